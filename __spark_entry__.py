@@ -12,8 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.fixtures import Views, cte
-from larder.operators import sales
+from larder.fixtures import CHANGE_EVERY, UNMATCHED_OFFSET, Views, cte
+from larder.functions.scalar import blank, non_positive
+from larder.operators import merge, nested, sales, stock
+from larder.session import scratch_path
+from larder.sources import files
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -108,6 +111,353 @@ _SALES_SQL = {
 }
 
 
+# ---------------------------------------------------------------------------
+# nested documents
+def q_nest_orders(spark, d):
+    v = Views(spark, d)
+    docs = nested.nest_orders(v.orders_named, v.items)
+    return docs.select("order_id", "customer_name", "status", "created_at",
+                       F.to_json("items").alias("items_json"), F.size("items").alias("n_items"))
+
+
+def q_nest_menu(spark, d):
+    v = Views(spark, d)
+    docs = nested.nest_menu(v.menu, v.bom)
+    return docs.select("product_id", "name", "description", F.col("price").cast("double").alias("price"),
+                       F.to_json("ingredients").alias("ingredients_json"))
+
+
+def q_explode_items(spark, d):
+    v = Views(spark, d)
+    return nested.explode_items(nested.nest_orders(v.orders_named, v.items))
+
+
+def q_explode_ingredients(spark, d):
+    v = Views(spark, d)
+    out = nested.explode_ingredients(nested.nest_menu(v.menu, v.bom))
+    return out.withColumn("quantity", F.col("quantity").cast("double"))
+
+
+def q_append_items(spark, d):
+    """Every line of each processing order is ordered once more, after the existing lines."""
+    v = Views(spark, d)
+    again = v.items.join(v.orders.filter(F.col("status") == "processing").select("order_id"), "order_id", "left_semi")
+    return nested.append_items(v.items, again)
+
+
+_NESTED_SQL = {
+    "nest_orders": cte("v_orders_named", "v_items", extra=[("agg", """
+        select order_id, to_json(list({'product_id': product_id, 'quantity': quantity} order by pos)) as j,
+               count(*) as n from v_items group by order_id""")]) + """
+        select o.order_id, o.customer_name, o.status, strftime(o.created_at, '%Y-%m-%dT%H:%M:%SZ') as created_at,
+               coalesce(a.j, '[]') as items_json, coalesce(a.n, 0) as n_items
+        from v_orders_named o left join agg a on a.order_id = o.order_id""",
+    "nest_menu": cte("v_menu", "v_bom", extra=[("agg", """
+        select menu_item_id,
+               '[' || string_agg('{"ingredient_id":' || inventory_id || ',"quantity":' || cast(quantity as varchar) || '}',
+                                 ',' order by pos) || ']' as j
+        from v_bom group by menu_item_id""")]) + """
+        select m.product_id, m.name, m.description, cast(m.price as double) as price,
+               coalesce(a.j, '[]') as ingredients_json
+        from v_menu m left join agg a on a.menu_item_id = m.product_id""",
+    "explode_items": cte("v_items") + "select order_id, pos, product_id, quantity from v_items",
+    "explode_ingredients": cte("v_bom") + """
+        select menu_item_id as product_id, pos, inventory_id as ingredient_id, cast(quantity as double) as quantity
+        from v_bom""",
+    "append_items": cte("v_orders", "v_items", extra=[("mx", "select order_id, max(pos) as m from v_items group by order_id")]) + """
+        select order_id, product_id, quantity, pos from v_items
+        union all
+        select i.order_id, i.product_id, i.quantity, i.pos + mx.m as pos
+        from v_items i join v_orders o on o.order_id = i.order_id and o.status = 'processing'
+        join mx on mx.order_id = i.order_id""",
+}
+
+
+# ---------------------------------------------------------------------------
+# sources and sinks (write to the shared scratch folder, read back)
+def q_scan_stock(spark, d):
+    v = Views(spark, d)
+    root = scratch_path(spark, "stock")
+    path = files.write_snapshot(v.stock, root)
+    return files.scan_stock(spark, path).withColumn("quantity", F.col("quantity").cast("double"))
+
+
+def q_scan_menu_json(spark, d):
+    v = Views(spark, d)
+    root = scratch_path(spark, "menu_json")
+    path = files.write_snapshot(nested.nest_menu(v.menu, v.bom), root, fmt="json")
+    back = files.scan_menu_json(spark, path)
+    return back.select("product_id", "name", "description", F.col("price").cast("double").alias("price"),
+                       F.size("ingredients").alias("n_ingredients"))
+
+
+def q_scan_orders_json(spark, d):
+    v = Views(spark, d)
+    root = scratch_path(spark, "orders_json")
+    path = files.write_snapshot(nested.nest_orders(v.orders_named, v.items), root, fmt="json")
+    back = files.scan_orders_json(spark, path)
+    return back.select("order_id", "customer_name", "status", "created_at", F.size("items").alias("n_items"))
+
+
+def q_write_snapshot(spark, d):
+    """Two versions published one after the other; readers see the latest."""
+    v = Views(spark, d)
+    root = scratch_path(spark, "snap")
+    files.write_snapshot(v.stock, root)
+    files.write_snapshot(v.stock.withColumn("quantity", F.col("quantity") + 1), root)
+    return files.read_snapshot(spark, root).select("ingredient_id", F.col("quantity").cast("double").alias("quantity"))
+
+
+def q_append_rows(spark, d):
+    """Stock with holes is published, then every stock row is offered: only the holes go in."""
+    v = Views(spark, d)
+    root = scratch_path(spark, "append")
+    files.write_snapshot(v.stock_holes, root)
+    files.append_rows(v.stock, root)
+    return files.read_snapshot(spark, root).withColumn("quantity", F.col("quantity").cast("double"))
+
+
+def q_report_json(spark, d):
+    v = Views(spark, d)
+    pop = sales.popular_items(v.orders, v.items_plain)
+    return files.report_json(pop.select(F.col("product_id").cast("string").alias("product_id"), "quantity"))
+
+
+_SOURCES_SQL = {
+    "scan_stock": cte("v_stock") + "select ingredient_id, name, cast(quantity as double) as quantity, unit from v_stock",
+    "scan_menu_json": cte("v_menu") + """
+        select product_id, name, description, cast(price as double) as price, 3 as n_ingredients from v_menu""",
+    "scan_orders_json": cte("v_orders_named", extra=[("agg", "select l_orderkey, count(*) as n from lineitem group by l_orderkey")]) + """
+        select o.order_id, o.customer_name, o.status, strftime(o.created_at, '%Y-%m-%dT%H:%M:%SZ') as created_at,
+               coalesce(a.n, 0) as n_items
+        from v_orders_named o left join agg a on a.l_orderkey = o.order_id""",
+    "write_snapshot": cte("v_stock") + "select ingredient_id, cast(quantity + 1 as double) as quantity from v_stock",
+    "append_rows": cte("v_stock") + "select ingredient_id, name, cast(quantity as double) as quantity, unit from v_stock",
+    "report_json": cte("v_orders", "v_items") + """
+        select to_json({'product_id': cast(product_id as varchar), 'quantity': quantity}) as json from (
+          select i.product_id, sum(i.quantity) as quantity
+          from v_items i join v_orders o on o.order_id = i.order_id
+          where o.status = 'closed' group by i.product_id) t""",
+}
+
+
+# ---------------------------------------------------------------------------
+# bill of materials and stock
+def q_ingredient_demand(spark, d):
+    v = Views(spark, d)
+    return stock.ingredient_demand(v.items, v.bom).withColumn("demand", F.col("demand").cast("double"))
+
+
+def q_missing_ingredients(spark, d):
+    v = Views(spark, d)
+    return (stock.missing_ingredients(v.bom, v.stock_holes)
+            .select("menu_item_id", "inventory_id", "pos", F.col("quantity").cast("double").alias("quantity")))
+
+
+def q_line_shortages(spark, d):
+    v = Views(spark, d)
+    out = stock.line_shortages(stock.ingredient_demand(v.items, v.bom), v.stock_low)
+    return out.select("order_id", "pos", "ingredient_pos", "ingredient_id",
+                      F.col("demand").cast("double").alias("demand"), F.col("stock").cast("double").alias("stock"))
+
+
+def q_order_check(spark, d):
+    v = Views(spark, d)
+    return stock.order_check(v.items, v.menu_holes, v.bom, v.stock_low_holes)
+
+
+def q_order_cumulative_shortage(spark, d):
+    v = Views(spark, d)
+    out = stock.order_cumulative_shortage(stock.ingredient_demand(v.items, v.bom), v.stock_low)
+    return out.select("order_id", "pos", "ingredient_pos", "ingredient_id",
+                      F.col("demand").cast("double").alias("demand"),
+                      F.col("cum_demand").cast("double").alias("cum_demand"),
+                      F.col("stock").cast("double").alias("stock"))
+
+
+def q_ingredient_usage(spark, d):
+    v = Views(spark, d)
+    u = stock.ingredient_usage(stock.ingredient_demand(v.items_plain, v.bom))
+    return u.withColumn("usage", F.col("usage").cast("double"))
+
+
+def q_apply_usage(spark, d):
+    """Usage of the processing orders applied to the stock with holes."""
+    v = Views(spark, d)
+    proc = v.items_plain.join(v.orders.filter(F.col("status") == "processing").select("order_id"), "order_id", "left_semi")
+    out = stock.apply_usage(v.stock_holes, stock.ingredient_usage(stock.ingredient_demand(proc, v.bom)))
+    return out.select("ingredient_id", *[F.col(c).cast("double").alias(c) for c in ("quantity_before", "usage", "quantity")],
+                      "reason")
+
+
+_DEMAND = """select i.order_id, i.pos, i.product_id, b.pos as ingredient_pos, b.inventory_id as ingredient_id,
+                    b.quantity * i.quantity as demand
+             from v_items i join v_bom b on b.menu_item_id = i.product_id"""
+
+_STOCK_SQL = {
+    "ingredient_demand": cte("v_items", "v_bom") + f"""
+        select order_id, pos, product_id, ingredient_pos, ingredient_id, cast(demand as double) as demand
+        from ({_DEMAND}) t""",
+    "missing_ingredients": cte("v_bom", "v_stock_holes") + """
+        select menu_item_id, inventory_id, pos, cast(quantity as double) as quantity from v_bom b
+        where not exists (select 1 from v_stock_holes s where s.ingredient_id = b.inventory_id)""",
+    "line_shortages": cte("v_items", "v_bom", "v_stock_low", extra=[("dm", _DEMAND)]) + """
+        select d.order_id, d.pos, d.ingredient_pos, d.ingredient_id, cast(d.demand as double) as demand,
+               cast(s.quantity as double) as stock
+        from dm d join v_stock_low s on s.ingredient_id = d.ingredient_id where d.demand > s.quantity""",
+    "order_check": cte("v_items", "v_bom", "v_menu_holes", "v_stock_low_holes", extra=[("dm", _DEMAND), ("probs", """
+        select i.order_id, i.pos, 0 as ingredient_pos, 'unknown_item' as reason, i.product_id,
+               cast(null as bigint) as ingredient_id
+        from v_items i where not exists (select 1 from v_menu_holes m where m.product_id = i.product_id)
+        union all
+        select d.order_id, d.pos, d.ingredient_pos,
+               case when s.ingredient_id is null then 'unknown_ingredient' else 'not_enough' end,
+               d.product_id, d.ingredient_id
+        from dm d left join v_stock_low_holes s on s.ingredient_id = d.ingredient_id
+        where exists (select 1 from v_menu_holes m where m.product_id = d.product_id)
+          and (s.ingredient_id is null or d.demand > s.quantity)""")]) + """
+        select order_id, pos, ingredient_pos, reason, product_id, ingredient_id from (
+          select *, row_number() over (partition by order_id order by pos, ingredient_pos) as rn from probs) t
+        where rn = 1""",
+    "order_cumulative_shortage": cte("v_items", "v_bom", "v_stock_low", extra=[("dm", _DEMAND)]) + """
+        select order_id, pos, ingredient_pos, ingredient_id, cast(demand as double) as demand,
+               cast(cum_demand as double) as cum_demand, cast(stock as double) as stock from (
+          select d.*, s.quantity as stock,
+                 sum(d.demand) over (partition by d.order_id, d.ingredient_id order by d.pos, d.ingredient_pos
+                                     rows between unbounded preceding and current row) as cum_demand
+          from dm d join v_stock_low s on s.ingredient_id = d.ingredient_id) t
+        where cum_demand > stock""",
+    "ingredient_usage": cte("v_items", "v_bom", extra=[("dm", _DEMAND)]) + """
+        select ingredient_id, cast(sum(demand) as double) as usage from dm group by ingredient_id""",
+    "apply_usage": cte("v_orders", "v_items", "v_bom", "v_stock_holes", extra=[("dm", _DEMAND), ("u", """
+        select d.ingredient_id, sum(d.demand) as usage from dm d
+        join v_orders o on o.order_id = d.order_id and o.status = 'processing' group by d.ingredient_id""")]) + """
+        select coalesce(s.ingredient_id, u.ingredient_id) as ingredient_id,
+               cast(s.quantity as double) as quantity_before,
+               cast(coalesce(u.usage, 0) as double) as usage,
+               cast(case when s.ingredient_id is null then s.quantity
+                         when s.quantity - coalesce(u.usage, 0) < 0 then s.quantity
+                         else s.quantity - coalesce(u.usage, 0) end as double) as quantity,
+               case when s.ingredient_id is null then 'unknown_ingredient'
+                    when s.quantity - coalesce(u.usage, 0) < 0 then 'not_enough' end as reason
+        from v_stock_holes s full join u on u.ingredient_id = s.ingredient_id""",
+}
+
+
+# ---------------------------------------------------------------------------
+# keyed merges on the menu (change batch: every CHANGE_EVERY-th part with price + 1,
+# and the same rows shifted out of the key range)
+def _menu_batch(v: Views) -> DataFrame:
+    changed = (v.menu.filter(F.col("product_id") % CHANGE_EVERY == 0)
+               .withColumn("price", F.col("price") + 1))
+    shifted = changed.withColumn("product_id", F.col("product_id") + UNMATCHED_OFFSET)
+    return changed.unionByName(shifted)
+
+
+def _menu_valid() -> "F.Column":
+    return ~(non_positive("price") | blank("name") | blank("description"))
+
+
+def q_merge_insert(spark, d):
+    v = Views(spark, d)
+    snap, _, _ = merge.merge_insert(v.menu, _menu_batch(v), "product_id", _menu_valid())
+    return snap.select("product_id", "name", F.col("price").cast("double").alias("price"))
+
+
+def q_merge_replace(spark, d):
+    v = Views(spark, d)
+    snap, _ = merge.merge_replace(v.menu, _menu_batch(v), "product_id", _menu_valid())
+    return snap.select("product_id", "name", "description", F.col("price").cast("double").alias("price"))
+
+
+def q_stamp_updated_at(spark, d):
+    v = Views(spark, d)
+    base = v.menu.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    ts = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
+    snap, _ = merge.merge_replace(base, _menu_batch(v), "product_id", _menu_valid(), stamp=ts)
+    return snap.select("product_id", F.col("price").cast("double").alias("price"), "updated_at")
+
+
+def q_merge_quantity(spark, d):
+    v = Views(spark, d)
+    changed = (v.stock.filter(F.col("ingredient_id") % CHANGE_EVERY == 0)
+               .select("ingredient_id", (F.col("quantity") * 2).alias("quantity")))
+    batch = changed.unionByName(changed.withColumn("ingredient_id", F.col("ingredient_id") + UNMATCHED_OFFSET))
+    snap, _ = merge.merge_quantity(v.stock, batch)
+    return snap.withColumn("quantity", F.col("quantity").cast("double"))
+
+
+def q_merge_delete(spark, d):
+    v = Views(spark, d)
+    snap, _ = merge.merge_delete(v.menu, _menu_batch(v), "product_id")
+    return snap.select("product_id", "name")
+
+
+def q_merge_rejects(spark, d):
+    v = Views(spark, d)
+    b = _menu_batch(v)
+    _, _, r1 = merge.merge_insert(v.menu, b, "product_id", _menu_valid())
+    _, r2 = merge.merge_replace(v.menu, b, "product_id", _menu_valid())
+    _, r3 = merge.merge_delete(v.menu, b, "product_id")
+    return (r1.withColumn("op", F.lit("insert")).unionByName(r2.withColumn("op", F.lit("replace")))
+            .unionByName(r3.withColumn("op", F.lit("delete"))))
+
+
+def q_delete_effects(spark, d):
+    """Deleting the batch's menu items: BOM and price history cascade, order lines restrict."""
+    v = Views(spark, d)
+    eff = merge.delete_effects(
+        _menu_batch(v).select("product_id"), "product_id",
+        [merge.ChildRef("ingredients", v.bom, "menu_item_id", "cascade"),
+         merge.ChildRef("order_items", v.items_plain, "product_id", "restrict"),
+         merge.ChildRef("price_history", v.price, "menu_item_id", "cascade")])
+    return eff["summary"]
+
+
+_BATCH = f"""select product_id, name, description, category, price + 1 as price from v_menu
+             where product_id % {CHANGE_EVERY} = 0
+             union all
+             select product_id + {UNMATCHED_OFFSET}, name, description, category, price + 1 from v_menu
+             where product_id % {CHANGE_EVERY} = 0"""
+_VALID = "not (coalesce(price, 0) <= 0 or coalesce(name, '') = '' or coalesce(description, '') = '')"
+
+_MERGE_SQL = {
+    "merge_insert": cte("v_menu", extra=[("b", _BATCH)]) + f"""
+        select product_id, name, cast(price as double) as price from v_menu
+        union all
+        select product_id, name, cast(price as double) from b
+        where {_VALID} and product_id not in (select product_id from v_menu)""",
+    "merge_replace": cte("v_menu", extra=[("b", _BATCH)]) + f"""
+        select m.product_id, coalesce(b.name, m.name) as name, coalesce(b.description, m.description) as description,
+               cast(coalesce(b.price, m.price) as double) as price
+        from v_menu m left join (select * from b where {_VALID}) b on b.product_id = m.product_id""",
+    "stamp_updated_at": cte("v_menu", extra=[("b", _BATCH)]) + f"""
+        select m.product_id, cast(coalesce(b.price, m.price) as double) as price,
+               case when b.product_id is not null then timestamp '2024-06-01 12:00:00' end as updated_at
+        from v_menu m left join (select * from b where {_VALID}) b on b.product_id = m.product_id""",
+    "merge_quantity": cte("v_stock") + f"""
+        select ingredient_id, name,
+               cast(case when ingredient_id % {CHANGE_EVERY} = 0 then quantity * 2 else quantity end as double) as quantity,
+               unit from v_stock""",
+    "merge_delete": cte("v_menu") + f"select product_id, name from v_menu where product_id % {CHANGE_EVERY} <> 0",
+    "merge_rejects": cte("v_menu", extra=[("b", _BATCH)]) + f"""
+        select product_id, case when not ({_VALID}) then 'invalid' else 'exists' end as reason, 'insert' as op
+        from b where not ({_VALID}) or product_id in (select product_id from v_menu)
+        union all
+        select product_id, case when not ({_VALID}) then 'invalid' else 'not_found' end, 'replace'
+        from b where not ({_VALID}) or product_id not in (select product_id from v_menu)
+        union all
+        select product_id, 'not_found', 'delete' from b where product_id not in (select product_id from v_menu)""",
+    "delete_effects": cte("v_menu", "v_bom", "v_price", extra=[("b", _BATCH), ("p", "select distinct product_id from b"),
+        ("ni", "select l_partkey as k, count(*) as n from lineitem group by l_partkey"),
+        ("nb", "select menu_item_id as k, count(*) as n from v_bom group by menu_item_id"),
+        ("np", "select menu_item_id as k, count(*) as n from v_price group by menu_item_id")]) + """
+        select p.product_id, ni.k is not null as blocked, coalesce(nb.n, 0) as n_ingredients,
+               coalesce(ni.n, 0) as n_order_items, coalesce(np.n, 0) as n_price_history
+        from p left join ni on ni.k = p.product_id left join nb on nb.k = p.product_id
+        left join np on np.k = p.product_id""",
+}
+
 # ---------------------------------------------------------------------------
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "popular_items": q_popular_items,
@@ -118,9 +468,34 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "missing_menu_items": q_missing_menu_items,
     "filter_status": q_filter_status,
     "order_total_check": q_order_total_check,
+    "nest_orders": q_nest_orders,
+    "nest_menu": q_nest_menu,
+    "explode_items": q_explode_items,
+    "explode_ingredients": q_explode_ingredients,
+    "append_items": q_append_items,
+    "scan_stock": q_scan_stock,
+    "scan_menu_json": q_scan_menu_json,
+    "scan_orders_json": q_scan_orders_json,
+    "write_snapshot": q_write_snapshot,
+    "append_rows": q_append_rows,
+    "report_json": q_report_json,
+    "ingredient_demand": q_ingredient_demand,
+    "missing_ingredients": q_missing_ingredients,
+    "line_shortages": q_line_shortages,
+    "order_check": q_order_check,
+    "order_cumulative_shortage": q_order_cumulative_shortage,
+    "ingredient_usage": q_ingredient_usage,
+    "apply_usage": q_apply_usage,
+    "merge_insert": q_merge_insert,
+    "merge_replace": q_merge_replace,
+    "stamp_updated_at": q_stamp_updated_at,
+    "merge_quantity": q_merge_quantity,
+    "merge_delete": q_merge_delete,
+    "merge_rejects": q_merge_rejects,
+    "delete_effects": q_delete_effects,
 }
 
-_ORACLE: dict[str, str] = {**_SALES_SQL}
+_ORACLE: dict[str, str] = {**_SALES_SQL, **_NESTED_SQL, **_SOURCES_SQL, **_STOCK_SQL, **_MERGE_SQL}
 
 
 def entry(spark: SparkSession) -> DataFrame:
