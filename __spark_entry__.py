@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larder.fixtures import CHANGE_EVERY, UNMATCHED_OFFSET, Views, cte
 from larder.functions.scalar import blank, non_positive
-from larder.operators import merge, nested, sales, stock
+from larder.operators import history, merge, nested, sales, stock
 from larder.session import scratch_path
 from larder.sources import files
 
@@ -458,6 +458,127 @@ _MERGE_SQL = {
         left join np on np.k = p.product_id""",
 }
 
+# ---------------------------------------------------------------------------
+# change tracking: ledger, status history, price history
+_OPENING = "100.00"  # fixed: ledger opening balance (FIXTURES)
+_MERGE_AT = "2002-01-01 00:00:00"
+_CHANGE_CUTOFF = "2001-01-01 00:00:00"
+_CLOSE_BEFORE = "1998-01-01 00:00:00"
+
+
+def q_stock_ledger(spark, d):
+    v = Views(spark, d)
+    out = history.stock_ledger(v.ledger, F.lit(_OPENING).cast("decimal(18,2)"))
+    return out.select("event_id", "inventory_id", "transaction_type", F.col("balance").cast("double").alias("balance"))
+
+
+def q_stock_balance(spark, d):
+    v = Views(spark, d)
+    return history.stock_balance(v.ledger, F.lit(_OPENING).cast("decimal(18,2)")).withColumn("balance", F.col("balance").cast("double"))
+
+
+def q_status_history(spark, d):
+    v = Views(spark, d)
+    return history.status_history(v.status)
+
+
+def q_price_history(spark, d):
+    v = Views(spark, d)
+    return history.price_history(v.price).withColumn("price", F.col("price").cast("double"))
+
+
+def q_price_history_merge(spark, d):
+    """The history built from all observations, then the current menu prices applied."""
+    v = Views(spark, d)
+    h = history.price_history(v.price)
+    snap = v.menu.select(F.col("product_id").alias("menu_item_id"), "price")
+    out = history.price_history_merge(h, snap, F.lit(_MERGE_AT).cast("timestamp_ntz"))
+    return out.withColumn("price", F.col("price").cast("double"))
+
+
+def q_price_as_of(spark, d):
+    v = Views(spark, d)
+    ev = v.items.join(v.orders.select("order_id", "created_at"), "order_id")
+    out = history.price_as_of(ev, history.price_history(v.price))
+    return out.select("order_id", "pos", "product_id", "created_at", F.col("price").cast("double").alias("price"))
+
+
+def _orders_changed(v: Views) -> DataFrame:
+    close = (F.col("status") == "open") & (F.col("created_at") < F.lit(_CLOSE_BEFORE).cast("timestamp_ntz"))
+    return v.orders.withColumn("status", F.when(close, F.lit("closed")).otherwise(F.col("status")))
+
+
+def q_status_change_snapshot(spark, d):
+    """Old snapshot: orders before the cutoff; new: all orders with old open ones closed."""
+    v = Views(spark, d)
+    old = v.orders.filter(F.col("created_at") < F.lit(_CHANGE_CUTOFF).cast("timestamp_ntz"))
+    return history.status_change_snapshot(old, _orders_changed(v))
+
+
+_W4 = """
+    select id, menu_item_id, price, effective_from,
+           lead(effective_from) over (partition by menu_item_id order by effective_from) as effective_to
+    from (select menu_item_id || '_' || epoch_us(ts) || '_0' as id, menu_item_id, price, ts as effective_from
+          from (select *, lag(price) over (partition by menu_item_id order by ts) as prev,
+                       row_number() over (partition by menu_item_id order by ts) as rn from v_price) t
+          where rn = 1 or prev is distinct from price) c"""
+
+# the ledger oracle is a sequential fold (recursive CTE), independent of the window algorithm
+_FOLD = [("num", """select *, row_number() over (partition by inventory_id order by ts, event_id) as rn
+                    from v_ledger"""),
+         ("fold(inventory_id, rn, event_id, transaction_type, balance)", """
+            select inventory_id, rn, event_id, transaction_type,
+                   case transaction_type when 'increment' then 100.00 + quantity
+                        when 'decrement' then 100.00 - quantity when 'adjustment' then quantity end
+            from num where rn = 1
+            union all
+            select n.inventory_id, n.rn, n.event_id, n.transaction_type,
+                   case n.transaction_type when 'increment' then f.balance + n.quantity
+                        when 'decrement' then f.balance - n.quantity when 'adjustment' then n.quantity end
+            from fold f join num n on n.inventory_id = f.inventory_id and n.rn = f.rn + 1""")]
+
+_HISTORY_SQL = {
+    "stock_ledger": cte("v_ledger", extra=_FOLD).replace("with ", "with recursive ", 1) + """
+        select event_id, inventory_id, transaction_type, cast(balance as double) as balance from fold""",
+    "stock_balance": cte("v_ledger", extra=_FOLD).replace("with ", "with recursive ", 1) + """
+        select inventory_id, cast(arg_max(balance, rn) as double) as balance from fold group by inventory_id""",
+    "status_history": cte("v_status") + """
+        select order_id || '_' || epoch_us(ts) || '_' || event_id as id, order_id, status, ts as created_at
+        from (select *, lag(status) over w as prev, row_number() over w as rn from v_status
+              window w as (partition by order_id order by ts, event_id)) t
+        where rn = 1 or prev is distinct from status""",
+    "price_history": cte("v_price", extra=[("h", _W4)]) + """
+        select id, menu_item_id, cast(price as double) as price, effective_from, effective_to from h""",
+    "price_history_merge": cte("v_price", "v_menu", extra=[
+        ("h", _W4), ("o", "select * from h where effective_to is null"),
+        ("s", "select product_id as menu_item_id, price from v_menu")]) + f"""
+        select id, menu_item_id, cast(price as double) as price, effective_from, effective_to
+        from h where effective_to is not null
+        union all
+        select o.id, o.menu_item_id, cast(o.price as double), o.effective_from,
+               case when s.menu_item_id is not null and s.price is distinct from o.price
+                    then timestamp '{_MERGE_AT}' end
+        from o left join s on s.menu_item_id = o.menu_item_id
+        union all
+        select s.menu_item_id || '_' || epoch_us(timestamp '{_MERGE_AT}') || '_0', s.menu_item_id,
+               cast(s.price as double), timestamp '{_MERGE_AT}', null
+        from s left join o on o.menu_item_id = s.menu_item_id
+        where o.id is null or o.price is distinct from s.price""",
+    "price_as_of": cte("v_price", "v_items", "v_orders", extra=[("h", _W4)]) + """
+        select i.order_id, i.pos, i.product_id, o.created_at, cast(h.price as double) as price
+        from v_items i join v_orders o on o.order_id = i.order_id
+        left join h on h.menu_item_id = i.product_id and h.effective_from <= o.created_at
+                   and (o.created_at < h.effective_to or h.effective_to is null)""",
+    "status_change_snapshot": cte("v_orders", extra=[
+        ("old", f"select * from v_orders where created_at < timestamp '{_CHANGE_CUTOFF}'"),
+        ("new", f"""select order_id, case when status = 'open' and created_at < timestamp '{_CLOSE_BEFORE}'
+                                     then 'closed' else status end as status from v_orders""")]) + """
+        select n.order_id, o.status as old_status, n.status,
+               case when o.order_id is null then 'insert' else 'update' end as change
+        from new n left join old o on o.order_id = n.order_id
+        where o.order_id is null or o.status is distinct from n.status""",
+}
+
 # ---------------------------------------------------------------------------
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "popular_items": q_popular_items,
@@ -493,9 +614,16 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_delete": q_merge_delete,
     "merge_rejects": q_merge_rejects,
     "delete_effects": q_delete_effects,
+    "stock_ledger": q_stock_ledger,
+    "stock_balance": q_stock_balance,
+    "status_history": q_status_history,
+    "price_history": q_price_history,
+    "price_history_merge": q_price_history_merge,
+    "price_as_of": q_price_as_of,
+    "status_change_snapshot": q_status_change_snapshot,
 }
 
-_ORACLE: dict[str, str] = {**_SALES_SQL, **_NESTED_SQL, **_SOURCES_SQL, **_STOCK_SQL, **_MERGE_SQL}
+_ORACLE: dict[str, str] = {**_SALES_SQL, **_NESTED_SQL, **_SOURCES_SQL, **_STOCK_SQL, **_MERGE_SQL, **_HISTORY_SQL}
 
 
 def entry(spark: SparkSession) -> DataFrame:
