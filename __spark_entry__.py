@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from larder.fixtures import CHANGE_EVERY, UNMATCHED_OFFSET, Views, cte
 from larder.functions.scalar import blank, non_positive
-from larder.operators import history, merge, nested, sales, stock
+from larder.operators import history, merge, nested, quality, sales, stock
+from larder.schemas import ORDER_STATUS_ENUM, TRANSACTION_TYPE_ENUM
 from larder.session import scratch_path
 from larder.sources import files
 
@@ -579,6 +580,276 @@ _HISTORY_SQL = {
         where o.order_id is null or o.status is distinct from n.status""",
 }
 
+# ---------------------------------------------------------------------------
+# data quality.  "Dirty" inputs set some values to zero, empty or NULL by key
+# modulus (fixed rules), so every rule has rows to find.
+def _dirty_menu(v: Views) -> DataFrame:
+    k = F.col("product_id")
+    return (v.menu
+            .withColumn("price", F.when(k % 11 == 0, F.lit(0).cast("decimal(18,2)")).otherwise(F.col("price")))
+            .withColumn("name", F.when(k % 13 == 0, F.lit("")).otherwise(F.col("name")))
+            .withColumn("description", F.when(k % 23 == 0, F.lit(None).cast("string")).otherwise(F.col("description")))
+            .withColumn("category", F.when(k % 19 == 0, F.lit(None).cast("string")).otherwise(F.col("category"))))
+
+
+def _dirty_menu_docs(v: Views) -> DataFrame:
+    docs = nested.nest_menu(_dirty_menu(v), v.bom)
+    zero_first = F.transform("ingredients", lambda x, i: F.when(
+        i == 0, F.struct(x["ingredient_id"].alias("ingredient_id"), F.lit(0).cast("decimal(10,2)").alias("quantity")))
+        .otherwise(x))
+    return docs.withColumn("ingredients", F.when(F.col("product_id") % 29 == 0, zero_first).otherwise(F.col("ingredients")))
+
+
+def _dirty_order_docs(v: Views) -> DataFrame:
+    docs = nested.nest_orders(v.orders_named, v.items)
+    k = F.col("order_id")
+    zero_first = F.transform("items", lambda x, i: F.when(
+        i == 0, F.struct(x["product_id"].alias("product_id"), F.lit(0).alias("quantity"))).otherwise(x))
+    return (docs.withColumn("customer_name", F.when(k % 31 == 0, F.lit("")).otherwise(F.col("customer_name")))
+            .withColumn("items", F.when(k % 37 == 0, zero_first).otherwise(F.col("items"))))
+
+
+def _dirty_stock(v: Views) -> DataFrame:
+    k = F.col("ingredient_id")
+    return (v.stock
+            .withColumn("quantity", F.when(k % 11 == 0, F.lit(0)).when(k % 7 == 3, F.lit(-5))
+                        .otherwise(F.col("quantity")).cast("decimal(18,2)"))
+            .withColumn("ingredient_id", F.when(k % 17 == 0, F.lit(None).cast("long")).otherwise(k)))
+
+
+def _order_items_rel(v: Views) -> DataFrame:
+    """order_items as the schema has it: lines with the (dirty) menu price as unit_price."""
+    return v.items.join(_dirty_menu(v).select("product_id", F.col("price").alias("unit_price")), "product_id", "left")
+
+
+def q_invalid_menu(spark, d):
+    return quality.invalid_menu(_dirty_menu_docs(Views(spark, d)))
+
+
+def q_invalid_orders(spark, d):
+    return quality.invalid_orders(_dirty_order_docs(Views(spark, d)))
+
+
+def q_invalid_stock(spark, d):
+    return quality.invalid_stock(_dirty_stock(Views(spark, d)))
+
+
+def q_check_violations(spark, d):
+    """The seven CHECK constraints (NULL passes)."""
+    v = Views(spark, d)
+    c = quality.check
+    parts = [
+        quality.violations(_dirty_menu(v), "menu_items", ["product_id"], {"positive_price": c(F.col("price") > 0)}),
+        quality.violations(v.bom, "menu_item_ingredients", ["menu_item_id", "inventory_id"],
+                           {"positive_quantity": c(F.col("quantity") > 0)}),
+        quality.violations(v.orders, "orders", ["order_id"], {"positive_total_amount": c(F.col("total_amount") >= 0)}),
+        quality.violations(_order_items_rel(v), "order_items", ["order_id", "pos"],
+                           {"positive_quantity": c(F.col("quantity") > 0),
+                            "positive_unit_price": c(F.col("unit_price") > 0)}),
+        quality.violations(v.price, "price_history", ["menu_item_id", "ts"], {"positive_price": c(F.col("price") > 0)}),
+        quality.violations(v.ledger, "inventory_transactions", ["event_id"],
+                           {"non_zero_quantity": c(F.col("quantity") != 0)}),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_null_violations(spark, d):
+    """NOT NULL columns present in the mapped tables, one pass per table."""
+    v = Views(spark, d)
+    nn = lambda cols: {f"{c}_not_null": quality.not_null(c) for c in cols}
+    parts = [
+        quality.violations(v.customers_holes, "customers", ["id"], nn(["name"])),
+        quality.violations(_dirty_menu(v), "menu_items", ["product_id"], nn(["name", "category", "price"])),
+        quality.violations(v.bom, "menu_item_ingredients", ["menu_item_id", "inventory_id"], nn(["quantity"])),
+        quality.violations(v.orders, "orders", ["order_id"], nn(["status", "total_amount"])),
+        quality.violations(_order_items_rel(v), "order_items", ["order_id", "pos"], nn(["quantity", "unit_price"])),
+        quality.violations(v.status, "order_status_history", ["event_id"], nn(["status"])),
+        quality.violations(v.price, "price_history", ["menu_item_id", "ts"], nn(["price", "ts"])),
+        quality.violations(v.ledger, "inventory_transactions", ["event_id"], nn(["transaction_type", "quantity"])),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_enum_violations(spark, d):
+    """Statuses outside the enum: the application's 'open' is not in it."""
+    v = Views(spark, d)
+    return (quality.violations(v.orders, "orders", ["order_id"],
+                               {"status_enum": quality.in_domain("status", ORDER_STATUS_ENUM)})
+            .unionByName(quality.violations(v.ledger, "inventory_transactions", ["event_id"],
+                                            {"type_enum": quality.in_domain("transaction_type", TRANSACTION_TYPE_ENUM)})))
+
+
+def q_apply_defaults(spark, d):
+    v = Views(spark, d)
+    ts = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
+    out = quality.apply_defaults(_dirty_menu(v), {"name": F.lit("unnamed"), "is_available": F.lit(True),
+                                                  "created_at": ts, "updated_at": ts})
+    return out.select("product_id", "name", "is_available", "created_at", "updated_at")
+
+
+def q_key_duplicates(spark, d):
+    v = Views(spark, d)
+    t = v.table
+    parts = [
+        quality.key_duplicates(t("lineitem"), "lineitem", ["l_orderkey", "l_linenumber"]),
+        quality.key_duplicates(t("orders"), "orders", ["o_orderkey"]),
+        quality.key_duplicates(t("part"), "part", ["p_partkey"]),
+        quality.key_duplicates(t("supplier"), "supplier", ["s_suppkey"]),
+        quality.key_duplicates(t("customer"), "customer", ["c_custkey"]),
+        quality.key_duplicates(t("customer"), "customer_name", ["c_name"], nulls_allowed=True),
+        quality.key_duplicates(v.bom, "menu_item_ingredients", ["menu_item_id", "inventory_id"]),
+        quality.key_duplicates(v.price, "price_history", ["menu_item_id", "ts"]),
+        quality.key_duplicates(v.status, "order_status_history", ["order_id", "ts"]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_fk_orphans(spark, d):
+    """The nine foreign keys over the mapped tables (with the deliberate holes)."""
+    v = Views(spark, d)
+    o = quality.fk_orphans
+    no_order = v.ledger.withColumn("order_id", F.lit(None).cast("long"))
+    parts = [
+        o(v.bom, "menu_item_id", v.menu_holes, "product_id", "menu_item_ingredients.menu_item_id"),
+        o(v.bom, "inventory_id", v.stock_holes, "ingredient_id", "menu_item_ingredients.inventory_id"),
+        o(v.orders, "customer_id", v.customers_holes, "id", "orders.customer_id"),
+        o(v.items_plain, "order_id", v.orders, "order_id", "order_items.order_id"),
+        o(v.items_plain, "product_id", v.menu_holes, "product_id", "order_items.menu_item_id"),
+        o(v.status, "order_id", v.orders, "order_id", "order_status_history.order_id"),
+        o(v.price, "menu_item_id", v.menu_holes, "product_id", "price_history.menu_item_id"),
+        o(v.ledger, "inventory_id", v.stock_holes, "ingredient_id", "inventory_transactions.inventory_id"),
+        o(no_order, "order_id", v.orders, "order_id", "inventory_transactions.order_id"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_DM = """select product_id, name, description, category, price,
+                case when product_id % 11 = 0 then cast(0 as decimal(18,2)) else price end as dprice,
+                case when product_id % 13 = 0 then '' else name end as dname,
+                case when product_id % 23 = 0 then null else description end as ddesc,
+                case when product_id % 19 = 0 then null else category end as dcat
+         from v_menu"""
+_OI = """select i.order_id, i.pos, i.quantity, m.dprice as unit_price
+         from v_items i left join dm m on m.product_id = i.product_id"""
+
+_QUALITY_SQL = {
+    "invalid_menu": cte("v_menu", "v_bom", extra=[("dm", _DM)]) + """
+        select 'menu' as "table", 'price_not_positive' as rule, cast(product_id as varchar) as key from dm
+        where coalesce(dprice, 0) <= 0
+        union all select 'menu', 'name_empty', cast(product_id as varchar) from dm where coalesce(dname, '') = ''
+        union all select 'menu', 'description_empty', cast(product_id as varchar) from dm where coalesce(ddesc, '') = ''
+        union all select 'menu', 'ingredient_invalid', cast(product_id as varchar) from dm m
+        where exists (select 1 from v_bom b where b.menu_item_id = m.product_id
+                      and (b.quantity <= 0 or (m.product_id % 29 = 0 and b.pos = 1)))""",
+    "invalid_orders": cte("v_orders_named", "v_items") + """
+        select 'orders' as "table", 'status_closed' as rule, cast(order_id as varchar) as key
+        from v_orders_named where status = 'closed'
+        union all select 'orders', 'customer_empty', cast(order_id as varchar) from v_orders_named
+        where order_id % 31 = 0 or coalesce(customer_name, '') = ''
+        union all select 'orders', 'item_invalid', cast(order_id as varchar) from v_orders_named o
+        where exists (select 1 from v_items i where i.order_id = o.order_id
+                      and (i.quantity <= 0 or (o.order_id % 37 = 0 and i.pos = 1)))""",
+    "invalid_stock": cte("v_stock", extra=[("ds", """
+        select case when ingredient_id % 17 = 0 then null else ingredient_id end as ingredient_id,
+               case when ingredient_id % 11 = 0 then 0 when ingredient_id % 7 = 3 then -5 else quantity end as quantity
+        from v_stock""")]) + """
+        select 'inventory' as "table", 'ingredient_id_empty' as rule, coalesce(cast(ingredient_id as varchar), '') as key
+        from ds where ingredient_id is null
+        union all select 'inventory', 'quantity_not_positive', coalesce(cast(ingredient_id as varchar), '') from ds
+        where coalesce(quantity, 0) <= 0""",
+    "check_violations": cte("v_menu", "v_bom", "v_orders", "v_items", "v_price", "v_ledger",
+                            extra=[("dm", _DM), ("oi", _OI)]) + """
+        select 'menu_items' as "table", 'positive_price' as rule, cast(product_id as varchar) as key from dm
+        where dprice <= 0
+        union all select 'menu_item_ingredients', 'positive_quantity', menu_item_id || '|' || inventory_id
+        from v_bom where quantity <= 0
+        union all select 'orders', 'positive_total_amount', cast(order_id as varchar) from v_orders where total_amount < 0
+        union all select 'order_items', 'positive_quantity', order_id || '|' || pos from oi where quantity <= 0
+        union all select 'order_items', 'positive_unit_price', order_id || '|' || pos from oi where unit_price <= 0
+        union all select 'price_history', 'positive_price', menu_item_id || '|' || cast(ts as varchar)
+        from v_price where price <= 0
+        union all select 'inventory_transactions', 'non_zero_quantity', cast(event_id as varchar)
+        from v_ledger where quantity = 0""",
+    "null_violations": cte("v_customers_holes", "v_menu", "v_bom", "v_orders", "v_items", "v_status", "v_price",
+                           "v_ledger", extra=[("dm", _DM), ("oi", _OI)]) + """
+        select 'customers' as "table", 'name_not_null' as rule, cast(id as varchar) as key
+        from v_customers_holes where name is null
+        union all select 'menu_items', 'name_not_null', cast(product_id as varchar) from dm where dname is null
+        union all select 'menu_items', 'category_not_null', cast(product_id as varchar) from dm where dcat is null
+        union all select 'menu_items', 'price_not_null', cast(product_id as varchar) from dm where dprice is null
+        union all select 'menu_item_ingredients', 'quantity_not_null', menu_item_id || '|' || inventory_id
+        from v_bom where quantity is null
+        union all select 'orders', 'status_not_null', cast(order_id as varchar) from v_orders where status is null
+        union all select 'orders', 'total_amount_not_null', cast(order_id as varchar) from v_orders where total_amount is null
+        union all select 'order_items', 'quantity_not_null', order_id || '|' || pos from oi where quantity is null
+        union all select 'order_items', 'unit_price_not_null', order_id || '|' || pos from oi where unit_price is null
+        union all select 'order_status_history', 'status_not_null', cast(event_id as varchar) from v_status
+        where status is null
+        union all select 'price_history', 'price_not_null', menu_item_id || '|' || cast(ts as varchar) from v_price
+        where price is null
+        union all select 'price_history', 'ts_not_null', menu_item_id || '|' || cast(ts as varchar) from v_price
+        where ts is null
+        union all select 'inventory_transactions', 'transaction_type_not_null', cast(event_id as varchar) from v_ledger
+        where transaction_type is null
+        union all select 'inventory_transactions', 'quantity_not_null', cast(event_id as varchar) from v_ledger
+        where quantity is null""",
+    "enum_violations": cte("v_orders", "v_ledger") + f"""
+        select 'orders' as "table", 'status_enum' as rule, cast(order_id as varchar) as key from v_orders
+        where status not in {ORDER_STATUS_ENUM}
+        union all select 'inventory_transactions', 'type_enum', cast(event_id as varchar) from v_ledger
+        where transaction_type not in {TRANSACTION_TYPE_ENUM}""",
+    "apply_defaults": cte("v_menu", extra=[("dm", _DM)]) + """
+        select product_id, dname as name, true as is_available, timestamp '2024-06-01 12:00:00' as created_at,
+               timestamp '2024-06-01 12:00:00' as updated_at from dm""",
+    "key_duplicates": cte("v_bom", "v_price", "v_status") + """
+        select 'lineitem' as "table", l_orderkey || '|' || l_linenumber as key, count(*) as n from lineitem
+        group by l_orderkey, l_linenumber having count(*) > 1
+        union all select 'orders', cast(o_orderkey as varchar), count(*) from orders group by o_orderkey having count(*) > 1
+        union all select 'part', cast(p_partkey as varchar), count(*) from part group by p_partkey having count(*) > 1
+        union all select 'supplier', cast(s_suppkey as varchar), count(*) from supplier group by s_suppkey
+        having count(*) > 1
+        union all select 'customer', cast(c_custkey as varchar), count(*) from customer group by c_custkey
+        having count(*) > 1
+        union all select 'customer_name', c_name, count(*) from customer where c_name is not null group by c_name
+        having count(*) > 1
+        union all select 'menu_item_ingredients', menu_item_id || '|' || inventory_id, count(*) from v_bom
+        group by menu_item_id, inventory_id having count(*) > 1
+        union all select 'price_history', menu_item_id || '|' || cast(ts as varchar), count(*) from v_price
+        group by menu_item_id, ts having count(*) > 1
+        union all select 'order_status_history', order_id || '|' || cast(ts as varchar), count(*) from v_status
+        group by order_id, ts having count(*) > 1""",
+    "fk_orphans": cte("v_bom", "v_menu_holes", "v_stock_holes", "v_orders", "v_customers_holes", "v_items",
+                      "v_status", "v_price", "v_ledger") + """
+        select 'menu_item_ingredients.menu_item_id' as fk, cast(menu_item_id as varchar) as ref from v_bom b
+        where not exists (select 1 from v_menu_holes m where m.product_id = b.menu_item_id)
+        union all select 'menu_item_ingredients.inventory_id', cast(inventory_id as varchar) from v_bom b
+        where not exists (select 1 from v_stock_holes s where s.ingredient_id = b.inventory_id)
+        union all select 'orders.customer_id', cast(customer_id as varchar) from v_orders o
+        where customer_id is not null and not exists (select 1 from v_customers_holes c where c.id = o.customer_id)
+        union all select 'order_items.order_id', cast(order_id as varchar) from v_items i
+        where not exists (select 1 from v_orders o where o.order_id = i.order_id)
+        union all select 'order_items.menu_item_id', cast(product_id as varchar) from v_items i
+        where not exists (select 1 from v_menu_holes m where m.product_id = i.product_id)
+        union all select 'order_status_history.order_id', cast(order_id as varchar) from v_status s
+        where not exists (select 1 from v_orders o where o.order_id = s.order_id)
+        union all select 'price_history.menu_item_id', cast(menu_item_id as varchar) from v_price p
+        where not exists (select 1 from v_menu_holes m where m.product_id = p.menu_item_id)
+        union all select 'inventory_transactions.inventory_id', cast(inventory_id as varchar) from v_ledger l
+        where not exists (select 1 from v_stock_holes s where s.ingredient_id = l.inventory_id)""",
+}
+
 # ---------------------------------------------------------------------------
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "popular_items": q_popular_items,
@@ -621,9 +892,18 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "price_history_merge": q_price_history_merge,
     "price_as_of": q_price_as_of,
     "status_change_snapshot": q_status_change_snapshot,
+    "invalid_menu": q_invalid_menu,
+    "invalid_orders": q_invalid_orders,
+    "invalid_stock": q_invalid_stock,
+    "check_violations": q_check_violations,
+    "null_violations": q_null_violations,
+    "enum_violations": q_enum_violations,
+    "apply_defaults": q_apply_defaults,
+    "key_duplicates": q_key_duplicates,
+    "fk_orphans": q_fk_orphans,
 }
 
-_ORACLE: dict[str, str] = {**_SALES_SQL, **_NESTED_SQL, **_SOURCES_SQL, **_STOCK_SQL, **_MERGE_SQL, **_HISTORY_SQL}
+_ORACLE: dict[str, str] = {**_SALES_SQL, **_NESTED_SQL, **_SOURCES_SQL, **_STOCK_SQL, **_MERGE_SQL, **_HISTORY_SQL, **_QUALITY_SQL}
 
 
 def entry(spark: SparkSession) -> DataFrame:
