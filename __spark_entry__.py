@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larder.fixtures import CHANGE_EVERY, UNMATCHED_OFFSET, Views, cte
 from larder.functions.scalar import blank, non_positive
-from larder.operators import history, merge, nested, quality, sales, stock
+from larder.operators import history, merge, nested, orders, quality, sales, stock
 from larder.schemas import ORDER_STATUS_ENUM, TRANSACTION_TYPE_ENUM
 from larder.session import scratch_path
 from larder.sources import files
@@ -850,6 +850,97 @@ _QUALITY_SQL = {
         where not exists (select 1 from v_stock_holes s where s.ingredient_id = l.inventory_id)""",
 }
 
+# ---------------------------------------------------------------------------
+# order lifecycle.  Requests: every order of 1996, plus the same ids shifted out
+# of range (unknown orders).
+_REQ_YEAR = 1996
+
+
+def _request_ids(v: Views) -> DataFrame:
+    ids = v.orders.filter(F.year("created_at") == _REQ_YEAR).select("order_id")
+    return ids.unionByName(ids.select((F.col("order_id") + UNMATCHED_OFFSET).alias("order_id")))
+
+
+def q_place_orders(spark, d):
+    """M4: every order is a new request (no status yet), admitted against the stock in arrival order."""
+    v = Views(spark, d)
+    req = v.orders_named.withColumn("status", F.lit(None).cast("string"))
+    res = orders.place_orders(req, v.items, v.menu, v.bom, v.stock)
+    return res["accepted"].select("order_id", "created_at")
+
+
+def q_close_orders(spark, d):
+    v = Views(spark, d)
+    snap, _ = orders.close_orders(v.orders, _request_ids(v))
+    return snap.select("order_id", "status")
+
+
+def q_close_rejects(spark, d):
+    v = Views(spark, d)
+    _, rej = orders.close_orders(v.orders, _request_ids(v))
+    return rej
+
+
+def q_cancel_orders(spark, d):
+    v = Views(spark, d)
+    res = orders.cancel_orders(v.orders, v.items_plain, v.menu, v.bom, v.stock, _request_ids(v))
+    return res["stock"].select("ingredient_id", F.col("quantity").cast("double").alias("quantity"))
+
+
+def q_cancel_rejects(spark, d):
+    v = Views(spark, d)
+    return orders.cancel_orders(v.orders, v.items_plain, v.menu, v.bom, v.stock, _request_ids(v))["rejects"]
+
+
+def q_amend_orders(spark, d):
+    """M6: each 1996 order asks for its own lines once more; only the new lines are checked and deducted."""
+    v = Views(spark, d)
+    named = v.orders_named
+    ids = _request_ids(v)
+    reqs = (ids.join(named.select("order_id", "customer_name", "created_at"), "order_id", "left")
+            .select("order_id", F.coalesce("customer_name", F.lit("walk-in")).alias("customer_name"),
+                    F.lit(None).cast("string").alias("status"),
+                    F.coalesce("created_at", F.lit("2000-01-01").cast("timestamp_ntz")).alias("requested_at")))
+    new_items = v.items.join(ids, "order_id", "left_semi")
+    res = orders.amend_orders(v.orders, v.items, reqs, new_items, v.menu, v.bom, v.stock)
+    return res["accepted"]
+
+
+def q_assign_ids(spark, d):
+    """One new order per customer, numbered after the largest existing order id."""
+    v = Views(spark, d)
+    after = v.orders.select(F.max("order_id")).scalar()
+    cust = v.table("customer").select("c_custkey")
+    return orders.assign_ids(cust, ["c_custkey"], after).select("c_custkey", "new_id")
+
+
+_IDS = [("ids", f"""select order_id from v_orders where year(created_at) = {_REQ_YEAR}
+                    union all select order_id + {UNMATCHED_OFFSET} from v_orders where year(created_at) = {_REQ_YEAR}""")]
+
+_ORDERS_SQL = {
+    "close_orders": cte("v_orders", extra=_IDS) + """
+        select order_id, case when order_id in (select order_id from ids) then 'closed' else status end as status
+        from v_orders""",
+    "close_rejects": cte("v_orders", extra=_IDS) + """
+        select i.order_id, case when o.order_id is null then 'not_found' else 'already_closed' end as reason
+        from ids i left join v_orders o on o.order_id = i.order_id
+        where o.order_id is null or o.status = 'closed'""",
+    "cancel_orders": cte("v_orders", "v_items", "v_bom", "v_stock", extra=_IDS + [
+        ("done", "select o.order_id from v_orders o join ids on ids.order_id = o.order_id where o.status <> 'closed'"),
+        ("back", """select b.inventory_id, sum(b.quantity * i.quantity) as u
+                    from v_items i join done on done.order_id = i.order_id
+                    join v_bom b on b.menu_item_id = i.product_id group by b.inventory_id""")]) + """
+        select s.ingredient_id, cast(s.quantity + coalesce(back.u, 0) as double) as quantity
+        from v_stock s left join back on back.inventory_id = s.ingredient_id""",
+    "cancel_rejects": cte("v_orders", extra=_IDS) + """
+        select i.order_id, case when o.order_id is null then 'not_found' else 'already_closed' end as reason
+        from ids i left join v_orders o on o.order_id = i.order_id
+        where o.order_id is null or o.status = 'closed'""",
+    "assign_ids": """
+        select c_custkey, (select max(o_orderkey) from orders) + row_number() over (order by c_custkey) as new_id
+        from customer""",
+}
+
 # ---------------------------------------------------------------------------
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "popular_items": q_popular_items,
@@ -901,9 +992,16 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "apply_defaults": q_apply_defaults,
     "key_duplicates": q_key_duplicates,
     "fk_orphans": q_fk_orphans,
+    "place_orders": q_place_orders,
+    "close_orders": q_close_orders,
+    "close_rejects": q_close_rejects,
+    "cancel_orders": q_cancel_orders,
+    "cancel_rejects": q_cancel_rejects,
+    "amend_orders": q_amend_orders,
+    "assign_ids": q_assign_ids,
 }
 
-_ORACLE: dict[str, str] = {**_SALES_SQL, **_NESTED_SQL, **_SOURCES_SQL, **_STOCK_SQL, **_MERGE_SQL, **_HISTORY_SQL, **_QUALITY_SQL}
+_ORACLE: dict[str, str] = {**_SALES_SQL, **_NESTED_SQL, **_SOURCES_SQL, **_STOCK_SQL, **_MERGE_SQL, **_HISTORY_SQL, **_QUALITY_SQL, **_ORDERS_SQL}
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -52,6 +52,21 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     return j.withColumn(out, F.coalesce(F.col("_off"), zero) + inner).drop("_off")
 
 
+def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
+                 bucket: str) -> DataFrame:
+    """Several inclusive running sums at once (``{out: value column}``), one carry table."""
+    part = keys + [bucket]
+    totals = df.groupBy(*part).agg(*[F.sum(v).alias(f"_bt_{o}") for o, v in values.items()])
+    wb = _before_bucket(keys, bucket)
+    offsets = totals.select(*part, *[F.sum(f"_bt_{o}").over(wb).alias(f"_off_{o}") for o in values])
+    j = df.join(offsets, part)
+    w = _rows_to_here(part, order)
+    for o, v in values.items():
+        zero = F.lit(0).cast(df.schema[v].dataType)
+        j = j.withColumn(o, F.coalesce(F.col(f"_off_{o}"), zero) + F.sum(v).over(w)).drop(f"_off_{o}")
+    return j
+
+
 def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
                    bucket: str) -> DataFrame:
     """``lag(value)`` per key in ``order``, NULL for the key's first row.

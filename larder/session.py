@@ -28,6 +28,8 @@ def build_session(master: str | None = None, app: str = "larder",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = "16g"     # local mode: the driver JVM is the executor
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -74,3 +76,17 @@ def local_path(path: str) -> str:
 
 
 __all__ = ["build_session", "checkpoint_root", "scratch_path", "local_path"]
+
+
+def materialize(df, *tag: str):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage like ``checkpoint()`` but the result's plan is a plain file
+    scan, carrying none of the original plan's constraints or statistics -
+    which matters in iterative plans, where those would grow every round.
+    The files survive executor loss.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, *(tag or ("materialized",)))
+    df.write.parquet(path)
+    return spark.read.parquet(path)
