@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larder.fixtures import CHANGE_EVERY, UNMATCHED_OFFSET, Views, cte
 from larder.functions.scalar import blank, non_positive
-from larder.operators import history, merge, nested, orders, quality, sales, stock
+from larder.operators import history, lookup, merge, nested, orders, quality, sales, stock, text
 from larder.schemas import ORDER_STATUS_ENUM, TRANSACTION_TYPE_ENUM
 from larder.session import scratch_path
 from larder.sources import files
@@ -941,6 +941,102 @@ _ORDERS_SQL = {
         from customer""",
 }
 
+# ---------------------------------------------------------------------------
+# text search, lookups, indexed filters
+_TERMS = ["red", "gear", "economy", "small", "2"]        # fixed search terms
+_NAME_TERMS = ["000000042", "000000777", "nobody"]       # fixed customer-name terms
+_TRGM = 0.3                                              # trigram similarity threshold
+
+
+def q_weighted_search(spark, d):
+    return text.weighted_search(Views(spark, d).menu, _TERMS)
+
+
+def q_weighted_search_many(spark, d):
+    """Every category is a query against every menu row."""
+    v = Views(spark, d)
+    qs = v.menu.select(F.col("category").alias("query_id"), F.col("category").alias("text")).distinct()
+    return text.weighted_search_many(v.menu, qs)
+
+
+def q_name_search(spark, d):
+    c = Views(spark, d).table("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return text.name_search(c, _NAME_TERMS)
+
+
+def q_trigram_pairs(spark, d):
+    return text.trigram_pairs(Views(spark, d).menu.select("name"), _TRGM)
+
+
+def q_lookup_by_id(spark, d):
+    v = Views(spark, d)
+    found, _ = lookup.lookup_by_id(v.orders, _request_ids(v), "order_id")
+    return found.select("order_id", "status")
+
+
+def q_lookup_missing(spark, d):
+    v = Views(spark, d)
+    return lookup.lookup_by_id(v.orders, _request_ids(v), "order_id")[1]
+
+
+def q_exists_by_id(spark, d):
+    v = Views(spark, d)
+    return lookup.exists_by_id(v.orders, _request_ids(v), "order_id")
+
+
+def q_filter_indexed(spark, d):
+    v = Views(spark, d)
+    out = lookup.filter_indexed(v.orders, status="closed", created_from="1996-01-01", created_to="1997-01-01")
+    return out.select("order_id", "status", "created_at")
+
+
+def q_filter_category(spark, d):
+    return lookup.filter_indexed(Views(spark, d).menu, category="ECONOMY").select("product_id", "name")
+
+
+def _tok_sql(c: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^a-z0-9]+'), lambda x: x <> ''))"
+
+
+_TEXT_SQL = {
+    "weighted_search": cte("v_menu", extra=[("m", f"""
+        select product_id, len(list_intersect({_tok_sql('name')}, {_TERMS})) as na,
+               len(list_intersect({_tok_sql('description')}, {_TERMS})) as nb from v_menu""")]) + """
+        select product_id, cast(1.0 as double) * na + cast(0.4 as double) * nb as score from m where na + nb > 0""",
+    "weighted_search_many": cte("v_menu", extra=[
+        ("q", "select distinct category as query_id, category as text from v_menu"),
+        ("qt", f"select query_id, unnest({_tok_sql('text')}) as tok from q"),
+        ("t", f"""select product_id, unnest({_tok_sql('name')}) as tok, 1 as in_a, 0 as in_b from v_menu
+                  union all
+                  select product_id, unnest({_tok_sql('description')}), 0, 1 from v_menu""")]) + """
+        select query_id, product_id, cast(1.0 as double) * na + cast(0.4 as double) * nb as score from (
+          select qt.query_id, t.product_id, sum(in_a) as na, sum(in_b) as nb
+          from qt join t on t.tok = qt.tok group by qt.query_id, t.product_id) x""",
+    "name_search": f"""
+        select c_custkey as id, c_name as name from customer
+        where len(list_intersect({_tok_sql('c_name')}, {_NAME_TERMS})) > 0""",
+    "trigram_pairs": cte("v_menu", extra=[
+        ("n", "select distinct name from v_menu where name is not null"),
+        ("w", f"select name, '  ' || unnest({_tok_sql('name')}) || ' ' as p from n"),
+        ("tg", "select distinct name, substr(p, i, 3) as g from w, range(1, length(p) - 1) r(i)"),
+        ("sz", "select name, count(*) as c from tg group by name"),
+        ("inter", """select a.name as a, b.name as b, count(*) as k from tg a join tg b
+                     on a.g = b.g and a.name < b.name group by a.name, b.name""")]) + f"""
+        select i.a, i.b, i.k / (sa.c + sb.c - i.k) as similarity
+        from inter i join sz sa on sa.name = i.a join sz sb on sb.name = i.b
+        where i.k / (sa.c + sb.c - i.k) >= {_TRGM}""",
+    "lookup_by_id": cte("v_orders", extra=_IDS) + """
+        select order_id, status from v_orders where order_id in (select order_id from ids)""",
+    "lookup_missing": cte("v_orders", extra=_IDS) + """
+        select distinct order_id from ids where order_id not in (select order_id from v_orders)""",
+    "exists_by_id": cte("v_orders", extra=_IDS) + """
+        select distinct order_id, order_id in (select order_id from v_orders) as "exists" from ids""",
+    "filter_indexed": cte("v_orders") + """
+        select order_id, status, created_at from v_orders where status = 'closed'
+        and created_at >= timestamp '1996-01-01' and created_at < timestamp '1997-01-01'""",
+    "filter_category": cte("v_menu") + "select product_id, name from v_menu where category = 'ECONOMY'",
+}
+
 # ---------------------------------------------------------------------------
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "popular_items": q_popular_items,
@@ -999,9 +1095,18 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cancel_rejects": q_cancel_rejects,
     "amend_orders": q_amend_orders,
     "assign_ids": q_assign_ids,
+    "weighted_search": q_weighted_search,
+    "weighted_search_many": q_weighted_search_many,
+    "name_search": q_name_search,
+    "trigram_pairs": q_trigram_pairs,
+    "lookup_by_id": q_lookup_by_id,
+    "lookup_missing": q_lookup_missing,
+    "exists_by_id": q_exists_by_id,
+    "filter_indexed": q_filter_indexed,
+    "filter_category": q_filter_category,
 }
 
-_ORACLE: dict[str, str] = {**_SALES_SQL, **_NESTED_SQL, **_SOURCES_SQL, **_STOCK_SQL, **_MERGE_SQL, **_HISTORY_SQL, **_QUALITY_SQL, **_ORDERS_SQL}
+_ORACLE: dict[str, str] = {**_SALES_SQL, **_NESTED_SQL, **_SOURCES_SQL, **_STOCK_SQL, **_MERGE_SQL, **_HISTORY_SQL, **_QUALITY_SQL, **_ORDERS_SQL, **_TEXT_SQL}
 
 
 def entry(spark: SparkSession) -> DataFrame:
