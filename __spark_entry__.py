@@ -18,6 +18,7 @@ from larder.operators import history, lookup, merge, nested, orders, quality, sa
 from larder.schemas import ORDER_STATUS_ENUM, TRANSACTION_TYPE_ENUM
 from larder.session import scratch_path
 from larder.sources import files
+from larder.streaming import changes as streams
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -1037,6 +1038,69 @@ _TEXT_SQL = {
     "filter_category": cte("v_menu") + "select product_id, name from v_menu where category = 'ECONOMY'",
 }
 
+# ---------------------------------------------------------------------------
+# Structured Streaming: the table files read as streams, run to the end
+# (availableNow), results read back from the shared folder.
+def q_stream_status_history(spark, d):
+    ev = streams.read_table_stream(spark, d, "events.parquet")
+    st = ev.select("event_id", F.col("user_id").alias("order_id"), F.col("event_type").alias("status"), "ts")
+    out = scratch_path(spark, "st1", "out")
+    streams.run_to_end(streams.status_history_stream(st), "parquet", scratch_path(spark, "st1", "ckpt"), path=out)
+    return spark.read.parquet(out).filter(~F.col("late")).drop("late")
+
+
+def q_stream_stock_balance(spark, d):
+    ev = streams.read_table_stream(spark, d, "events.parquet")
+    t = F.col("event_type")
+    tx = ev.select("event_id", F.col("user_id").alias("inventory_id"),
+                   F.when(t == "signup", "adjustment").when(t.isin("view", "click"), "increment")
+                   .otherwise("decrement").alias("transaction_type"),
+                   F.col("value").cast("decimal(18,2)").alias("quantity"), "ts")
+    out = scratch_path(spark, "st2", "out")
+    streams.run_to_end(streams.stock_balance_stream(tx, _OPENING), "parquet", scratch_path(spark, "st2", "ckpt"),
+                       path=out)
+    return (spark.read.parquet(out).filter(~F.col("late"))
+            .select("event_id", "inventory_id", "transaction_type", F.col("balance").cast("double").alias("balance")))
+
+
+class _LineitemPrices:
+    """foreachBatch: a micro-batch of order lines -> stepped price observations -> history merge."""
+
+    def __init__(self, root: str):
+        self.sink = streams.price_history_sink(root)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        stepped = (20000 * F.floor(F.max("l_extendedprice") / 20000) + 100).cast("decimal(18,2)")
+        obs = (batch.groupBy("l_partkey", "l_shipdate").agg(stepped.alias("price"))
+               .select(F.col("l_partkey").alias("menu_item_id"), F.col("l_shipdate").alias("ts"), "price"))
+        self.sink(obs, batch_id)
+
+
+def q_stream_price_history(spark, d):
+    li = streams.read_table_stream(spark, d, "lineitem.parquet")
+    root = scratch_path(spark, "st3", "history")
+    streams.run_to_end(li, _LineitemPrices(root), scratch_path(spark, "st3", "ckpt"))
+    return files.read_snapshot(spark, root).withColumn("price", F.col("price").cast("double"))
+
+
+def q_stream_popular_items(spark, d):
+    v = Views(spark, d)
+    li = streams.read_table_stream(spark, d, "lineitem.parquet")
+    items = li.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+                      F.col("l_quantity").cast("int").alias("quantity"))
+    root = scratch_path(spark, "st4", "popular")
+    streams.run_to_end(streams.popular_items_stream(items, v.orders), streams.snapshot_sink(root),
+                       scratch_path(spark, "st4", "ckpt"), mode="complete")
+    return files.read_snapshot(spark, root)
+
+
+_STREAM_SQL = {
+    "stream_status_history": _HISTORY_SQL["status_history"],
+    "stream_stock_balance": _HISTORY_SQL["stock_ledger"],
+    "stream_price_history": _HISTORY_SQL["price_history"],
+    "stream_popular_items": _SALES_SQL["popular_items"],
+}
+
 # ---------------------------------------------------------------------------
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "popular_items": q_popular_items,
@@ -1104,9 +1168,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exists_by_id": q_exists_by_id,
     "filter_indexed": q_filter_indexed,
     "filter_category": q_filter_category,
+    "stream_status_history": q_stream_status_history,
+    "stream_stock_balance": q_stream_stock_balance,
+    "stream_price_history": q_stream_price_history,
+    "stream_popular_items": q_stream_popular_items,
 }
 
-_ORACLE: dict[str, str] = {**_SALES_SQL, **_NESTED_SQL, **_SOURCES_SQL, **_STOCK_SQL, **_MERGE_SQL, **_HISTORY_SQL, **_QUALITY_SQL, **_ORDERS_SQL, **_TEXT_SQL}
+_ORACLE: dict[str, str] = {**_SALES_SQL, **_NESTED_SQL, **_SOURCES_SQL, **_STOCK_SQL, **_MERGE_SQL, **_HISTORY_SQL, **_QUALITY_SQL, **_ORDERS_SQL, **_TEXT_SQL, **_STREAM_SQL}
 
 
 def entry(spark: SparkSession) -> DataFrame:
