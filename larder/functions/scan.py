@@ -3,10 +3,11 @@
 A window ``partitionBy(key).orderBy(ts)`` sends every row of a key to one
 task.  When one key may hold a third of the data, that task is the job.
 These helpers split each key's timeline into *buckets* (a monotone function
-of the order column, e.g. the day), run the window per (key, bucket) - so a
-hot key spreads over as many tasks as it has buckets - and carry state
-between buckets through a per-(key, bucket) summary table, which is
-``#keys x #buckets`` rows: orders of magnitude smaller than the data.
+of the order column; ``key_buckets`` sizes them per key from the key's row
+count), run the window per (key, bucket) - so a hot key spreads over as many
+tasks as it has buckets - and carry state between buckets through a
+per-(key, bucket) summary table of ``sum over keys of ceil(rows_k / target)``
+rows: orders of magnitude smaller than the data.
 
 The results are exact: the bucket is monotone in the ordering, so "earlier
 bucket" implies "earlier row".
@@ -26,6 +27,30 @@ def time_bucket(ts: str | Column, width_micros: int = DAY_MICROS) -> Column:
     return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(width_micros)).cast("long")
 
 
+TARGET_ROWS = 200_000   # rows per (key, bucket) that one task handles comfortably
+
+
+def key_buckets(df: DataFrame, keys: list[str], ts: str | Column, target_rows: int = TARGET_ROWS,
+                out: str = "_bucket") -> DataFrame:
+    """Per-key adaptive time buckets: key k's time span is cut into ~ceil(rows_k / target_rows) buckets.
+
+    A normal key gets one bucket (its scan is a plain window and its carry
+    table is one row); a key holding a third of the data gets thousands and
+    spreads over as many tasks.  One aggregate per key (partially aggregated,
+    so a hot key costs one row per map task), joined back on the key (a
+    skewed join partition is split by AQE).  The bucket is monotone in
+    ``ts`` within a key, which is all the scans need.
+    """
+    us = F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+    stats = (df.groupBy(*keys).agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+             .select(*keys, "_lo", F.greatest(F.lit(1), F.floor(
+                 (F.col("_hi") - F.col("_lo") + 1).cast("double") * F.lit(float(target_rows)) / F.col("_n"))
+                 .cast("long")).alias("_w")))
+    return (df.join(stats, keys)
+            .withColumn(out, F.floor((us - F.col("_lo")) / F.col("_w")).cast("long"))
+            .drop("_lo", "_w"))
+
+
 def _rows_to_here(part: list[str], order: list[str]):
     return Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 

@@ -2,9 +2,10 @@
 
 These are the batch forms of the reference's PL/pgSQL triggers.  Every
 ordered scan runs through ``larder.functions.scan``: windows per
-(key, day bucket) plus a small per-bucket carry table, so a key holding a
+(key, bucket) plus a small per-bucket carry table, so a key holding a
 third of all rows is still spread over many tasks.  Orderings are total:
-(ts, tie-breaker id).
+(ts, tie-breaker id).  ``target_rows`` sets how many rows of one key one
+task scans; keys with more rows are split into more buckets.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from larder.functions.scalar import distinct_from, history_id
 _B = "_bucket"
 
 
-def _bucketed(df: DataFrame, ts: str, width: int) -> DataFrame:
-    return df.withColumn(_B, scan.time_bucket(ts, width))
+def _bucketed(df: DataFrame, key: str, ts: str, target_rows: int) -> DataFrame:
+    return scan.key_buckets(df, [key], ts, target_rows, _B)
 
 
 # ---- W2 / W2b ---------------------------------------------------------------
 def stock_ledger(tx: DataFrame, opening: Column | None = None, key: str = "inventory_id",
-                 ts: str = "ts", seq: str = "event_id", bucket_micros: int = scan.DAY_MICROS) -> DataFrame:
+                 ts: str = "ts", seq: str = "event_id", target_rows: int = scan.TARGET_ROWS) -> DataFrame:
     """Running balance after every transaction.
 
     ``increment`` adds, ``decrement`` subtracts, ``adjustment`` replaces the
@@ -36,7 +37,7 @@ def stock_ledger(tx: DataFrame, opening: Column | None = None, key: str = "inven
     t = F.col("transaction_type")
     kind = F.when(t == "adjustment", F.lit("set")).when(t.isin("increment", "decrement"), F.lit("add"))
     val = F.when(t == "decrement", -F.col("quantity")).otherwise(F.col("quantity"))
-    df = _bucketed(tx.withColumn("_kind", kind).withColumn("_val", val), ts, bucket_micros)
+    df = _bucketed(tx.withColumn("_kind", kind).withColumn("_val", val), key, ts, target_rows)
     dtype = df.schema["_val"].dataType
     out = scan.set_add_fold(df, [key], [ts, seq], "_kind", "_val", opening.cast(dtype), "balance", _B)
     return out.drop("_kind", "_val", _B)
@@ -71,14 +72,14 @@ def stock_balance(tx: DataFrame, opening: Column | None = None, key: str = "inve
 
 # ---- W3 ---------------------------------------------------------------------
 def status_history(changes: DataFrame, key: str = "order_id", ts: str = "ts", seq: str = "event_id",
-                   bucket_micros: int = scan.DAY_MICROS) -> DataFrame:
+                   target_rows: int = scan.TARGET_ROWS) -> DataFrame:
     """A history row on a key's first row and whenever status IS DISTINCT FROM the previous.
 
     The first row is found by position, not by a NULL previous status, so a
     NULL status after a real one is still a change.
     Columns: id, order_id, status, created_at.
     """
-    df = _bucketed(changes, ts, bucket_micros)
+    df = _bucketed(changes, key, ts, target_rows)
     prev = scan.previous_value(df, [key], [ts, seq], "status", "_prev", _B)
     hit = prev.filter(F.col("_first") | distinct_from("status", "_prev"))
     return hit.select(history_id(key, ts, seq).alias("id"), key, "status", F.col(ts).alias("created_at"))
@@ -86,7 +87,7 @@ def status_history(changes: DataFrame, key: str = "order_id", ts: str = "ts", se
 
 # ---- W4 / W4b ----------------------------------------------------------------
 def price_history(prices: DataFrame, key: str = "menu_item_id", ts: str = "ts",
-                  bucket_micros: int = scan.DAY_MICROS * 30) -> DataFrame:
+                  target_rows: int = scan.TARGET_ROWS) -> DataFrame:
     """Slowly changing dimension (type 2) from a stream of price observations.
 
     A new interval opens on a key's first row and on every real change
@@ -94,7 +95,7 @@ def price_history(prices: DataFrame, key: str = "menu_item_id", ts: str = "ts",
     open one has ``effective_to`` NULL.  ``ts`` must be unique per key.
     Columns: id, menu_item_id, price, effective_from, effective_to.
     """
-    df = _bucketed(prices, ts, bucket_micros)
+    df = _bucketed(prices, key, ts, target_rows)
     prev = scan.previous_value(df, [key], [ts], "price", "_prev", _B)
     opened = prev.filter(F.col("_first") | distinct_from("price", "_prev")).drop("_prev", "_first")
     closed = scan.next_value(opened, [key], [ts], ts, "effective_to", _B)
@@ -130,7 +131,7 @@ def price_history_merge(history: DataFrame, snapshot: DataFrame, at: Column,
 # ---- W5 ---------------------------------------------------------------------
 def price_as_of(events: DataFrame, intervals: DataFrame, at: str = "created_at",
                 key: str = "product_id", hist_key: str = "menu_item_id",
-                bucket_micros: int = scan.DAY_MICROS * 30) -> DataFrame:
+                target_rows: int = scan.TARGET_ROWS) -> DataFrame:
     """The price in force at each event's time (half-open [from, to) intervals).
 
     Contiguous intervals (as ``price_history`` makes them) turn the range
@@ -147,7 +148,7 @@ def price_as_of(events: DataFrame, intervals: DataFrame, at: str = "created_at",
     u = (ev.select(*cols, F.lit(0).alias("_src"), F.lit(None).cast(starts.schema["_p"].dataType).alias("_p"),
                    F.lit(None).cast("timestamp_ntz").alias("_to"))
          .unionByName(starts.select(key, "_t", F.lit(1).alias("_src"), "_p", "_to"), allowMissingColumns=True))
-    u = u.withColumn(_B, scan.time_bucket("_t", bucket_micros)).withColumn("_iv", F.struct("_p", "_to"))
+    u = _bucketed(u, key, "_t", target_rows).withColumn("_iv", F.struct("_p", "_to"))
     u = u.withColumn("_iv", F.when(F.col("_src") == 1, F.col("_iv")))
     # starts sort before events at the same instant: order by (_t, -_src)
     u = u.withColumn("_ord", -F.col("_src"))

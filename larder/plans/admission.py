@@ -19,9 +19,10 @@ round the settled prefix (accepted orders before the earliest undecided one)
 is folded into the stock and dropped, rejected rows are dropped, and the
 working set is written as a table in the shared checkpoint folder and read
 back, which cuts the lineage (and the optimizer's carried constraints) and
-survives executor loss.  Decisions are appended to a table in
-the same folder.  The running sums use ``scan.running_sums``: windows per
-(ingredient, day) with a carry table, so a hot ingredient is split.
+survives executor loss.  Each round's decision table stays in the same
+folder; the final answer is their union.  The running sums use
+``scan.running_sums``: windows per (ingredient, bucket) with a carry table,
+buckets sized per ingredient, so a hot ingredient is split.
 
 Preconditions: demand > 0 and every ingredient exists in ``stock`` (reject
 unknown ones before).  With positive demand, the reference's line-by-line
@@ -34,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import scan
-from larder.session import materialize, scratch_path
+from larder.session import materialize
 
 _ORDER = ["arrival_ts", "arrival_seq"]
 _VERBOSE = False
 
 
 def admit_in_order(demand: DataFrame, arrival: DataFrame, stock: DataFrame, max_rounds: int = 100_000,
-                   bucket_micros: int = scan.DAY_MICROS) -> tuple[DataFrame, DataFrame, int]:
+                   target_rows: int = scan.TARGET_ROWS) -> tuple[DataFrame, DataFrame, int]:
     """Decide every order of ``arrival``.
 
     demand:  (order_id, ingredient_id, demand)   any number of rows per pair (summed)
@@ -49,59 +50,60 @@ def admit_in_order(demand: DataFrame, arrival: DataFrame, stock: DataFrame, max_
     stock:   (ingredient_id, quantity)
     Returns (decisions(order_id, accepted), stock_after(ingredient_id, quantity), rounds).
     Raises RuntimeError when ``max_rounds`` is reached (never a partial answer).
+
+    Per round: one materialized decision table (windows + one aggregate),
+    one small aggregate fetched to the driver (undecided count and the
+    frontier, two numbers), and the next working set and stock written.
     """
-    spark = demand.sparkSession
-    out_path = scratch_path(spark, "admission")
     arr = arrival.select("order_id", "arrival_ts", "arrival_seq")
     d = demand.groupBy("order_id", "ingredient_id").agg(F.sum("demand").alias("d"))
-    rows = (d.join(arr, "order_id")
-            .withColumn("_b", scan.time_bucket("arrival_ts", bucket_micros))
-            .withColumn("st", F.lit("U")))
-    rows = materialize(rows, "admission", "rows")
+    rows = scan.key_buckets(d.join(arr, "order_id"), ["ingredient_id"], "arrival_ts", target_rows, "_b")
+    rows = materialize(rows.withColumn("st", F.lit("U")), "admission", "rows")
     # orders that need nothing are accepted outright
-    (arr.join(d.select("order_id").distinct(), "order_id", "left_anti")
-     .select("order_id", F.lit(True).alias("accepted"))
-     .write.mode("append").parquet(out_path))
+    free = (arr.join(d.select("order_id").distinct(), "order_id", "left_anti")
+            .select("order_id", F.lit("A").alias("nst")))
+    decided = [materialize(free, "admission", "dec")]
     cur = materialize(stock.select("ingredient_id", F.col("quantity").alias("s")), "admission", "stock")
+    zero = F.lit(0).cast(rows.schema["d"].dataType)
+    order_key = F.struct(*_ORDER, "order_id")
     rounds = 0
     while True:
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"admission did not finish in {max_rounds} rounds")
-        j = rows.join(cur, "ingredient_id").withColumn("_da", F.when(F.col("st") == "A", F.col("d"))
-                                                        .otherwise(F.lit(0).cast(rows.schema["d"].dataType)))
+        j = rows.join(cur, "ingredient_id").withColumn("_da", F.when(F.col("st") == "A", F.col("d")).otherwise(zero))
         j = scan.running_sums(j, ["ingredient_id"], _ORDER + ["order_id"], {"_hi": "d", "_lo": "_da"}, "_b")
         u = j.filter(F.col("st") == "U").select(
-            "order_id",
+            "order_id", *_ORDER,
             (F.col("_hi") <= F.col("s")).alias("fit"),                    # hi_excl + d <= s
             ((F.col("_lo") - F.col("_da") + F.col("d")) > F.col("s")).alias("fail"))
-        dec = (u.groupBy("order_id").agg(F.min("fit").alias("all_fit"), F.max("fail").alias("any_fail"))
-               .select("order_id", F.when(F.col("any_fail"), F.lit("R")).when(F.col("all_fit"), F.lit("A"))
+        dec = (u.groupBy("order_id", *_ORDER).agg(F.min("fit").alias("all_fit"), F.max("fail").alias("any_fail"))
+               .select("order_id", *_ORDER,
+                       F.when(F.col("any_fail"), F.lit("R")).when(F.col("all_fit"), F.lit("A"))
                        .otherwise(F.lit("U")).alias("nst")))
         dec = materialize(dec, "admission", "dec")
-        (dec.filter(F.col("nst") != "U")
-         .select("order_id", (F.col("nst") == "A").alias("accepted"))
-         .write.mode("append").parquet(out_path))
-        n_open = dec.filter(F.col("nst") == "U").count()
+        decided.append(dec.select("order_id", "nst"))
+        left = dec.filter(F.col("nst") == "U").agg(F.count(F.lit(1)).alias("n"), F.min(order_key).alias("f")).first()
         if _VERBOSE:
             import time as _t
-            print(f"admission round {rounds}: {n_open} undecided t={_t.time():.1f}", flush=True)
-        if n_open == 0:
+            print(f"admission round {rounds}: {left['n']} undecided t={_t.time():.1f}", flush=True)
+        if left["n"] == 0:
             break
-        upd = (rows.join(dec, "order_id", "left")
+        frontier = F.struct(*[F.lit(left["f"][c]).alias(c) for c in (*_ORDER, "order_id")])
+        upd = (rows.join(dec.select("order_id", "nst"), "order_id", "left")
                .withColumn("st", F.coalesce(F.col("nst"), F.col("st"))).drop("nst")
                .filter(F.col("st") != "R"))
-        upd = materialize(upd, "admission", "rows")
-        # the earliest undecided order: one value, fetched to the driver as a literal
-        first = upd.filter(F.col("st") == "U").agg(F.min(F.struct(*_ORDER, "order_id")).alias("f")).first()["f"]
-        frontier = F.struct(*[F.lit(first[c]).alias(c) for c in (*_ORDER, "order_id")])
-        settled = (F.col("st") == "A") & (F.struct(*_ORDER, "order_id") < frontier)
+        # accepted orders before the earliest undecided one are final: fold into the stock, drop
+        settled = (F.col("st") == "A") & (order_key < frontier)
         used = upd.filter(settled).groupBy("ingredient_id").agg(F.sum("d").alias("_u"))
         cur = materialize(cur.join(used, "ingredient_id", "left")
-                          .select("ingredient_id", (F.col("s") - F.coalesce(F.col("_u"), F.lit(0))).alias("s")),
+                          .select("ingredient_id", (F.col("s") - F.coalesce(F.col("_u"), zero)).alias("s")),
                           "admission", "stock")
         rows = materialize(upd.filter(~settled), "admission", "rows")
-    decisions = spark.read.parquet(out_path)
+    spark = demand.sparkSession
+    paths = [p for df in decided for p in df.inputFiles()]
+    decisions = (spark.read.parquet(*paths).filter(F.col("nst") != "U")
+                 .select("order_id", (F.col("nst") == "A").alias("accepted")))
     acc = d.join(decisions.filter("accepted").select("order_id"), "order_id", "left_semi")
     used_all = acc.groupBy("ingredient_id").agg(F.sum("d").alias("_u"))
     after = (stock.join(used_all, "ingredient_id", "left")
