@@ -90,3 +90,33 @@ def materialize(df, *tag: str):
     path = scratch_path(spark, *(tag or ("materialized",)))
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``larder`` importable in Python workers (needed by the pandas state functions).
+
+    Zips the package once per SparkContext and registers it with
+    ``SparkContext.addPyFile``; Spark serves the file to every executor.
+    (With ``spark-submit --py-files`` this is already done and is harmless.)
+    """
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="larder-pyfiles-"), "larder.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, names in os.walk(pkg):
+            if "__pycache__" in base:
+                continue
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(base, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)

@@ -28,6 +28,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larder.functions.scalar import history_id
 from larder.operators import history
+from larder.session import ship_package
 from larder.sources import files
 
 # ---- sources -------------------------------------------------------------------
@@ -75,6 +76,7 @@ def _status_changes(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 def status_history_stream(changes: DataFrame) -> DataFrame:
     """ST1: streaming W3.  Input (event_id, order_id, status, ts); output W3's columns + ``late``."""
+    ship_package(changes.sparkSession)
     s = changes.select("order_id", "status", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
     out = s.groupBy("order_id").applyInPandasWithState(
         _status_changes, _ST1_OUT, _ST1_STATE, "append", GroupStateTimeout.NoTimeout)
@@ -123,6 +125,7 @@ def stock_balance_stream(tx: DataFrame, opening: str = "0.00") -> DataFrame:
     s = tx.select("event_id", "inventory_id", "transaction_type", cents.alias("cents"),
                   F.col("ts").cast("timestamp_ntz").alias("ts"))
     opening_cents = int(round(float(opening) * 100))
+    ship_package(tx.sparkSession)
     out = s.groupBy("inventory_id").applyInPandasWithState(
         _balances(opening_cents), _ST2_OUT, _ST2_STATE, "append", GroupStateTimeout.NoTimeout)
     return out.select("event_id", "inventory_id", "transaction_type",
