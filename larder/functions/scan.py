@@ -78,8 +78,17 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
-                 bucket: str) -> DataFrame:
-    """Several inclusive running sums at once (``{out: value column}``), one carry table."""
+                 bucket: str | None) -> DataFrame:
+    """Several inclusive running sums at once (``{out: value column}``), one carry table.
+
+    ``bucket=None`` is the plain per-key window, for callers that have
+    checked that no key needs more than one bucket.
+    """
+    if bucket is None:
+        w = _rows_to_here(keys, order)
+        for o, v in values.items():
+            df = df.withColumn(o, F.sum(v).over(w))
+        return df
     part = keys + [bucket]
     totals = df.groupBy(*part).agg(*[F.sum(v).alias(f"_bt_{o}") for o, v in values.items()])
     wb = _before_bucket(keys, bucket)

@@ -42,7 +42,7 @@ _VERBOSE = False
 
 
 def admit_in_order(demand: DataFrame, arrival: DataFrame, stock: DataFrame, max_rounds: int = 100_000,
-                   target_rows: int = scan.TARGET_ROWS) -> tuple[DataFrame, DataFrame, int]:
+                   target_rows: int = scan.TARGET_ROWS, fold_every: int = 4) -> tuple[DataFrame, DataFrame, int]:
     """Decide every order of ``arrival``.
 
     demand:  (order_id, ingredient_id, demand)   any number of rows per pair (summed)
@@ -51,14 +51,21 @@ def admit_in_order(demand: DataFrame, arrival: DataFrame, stock: DataFrame, max_
     Returns (decisions(order_id, accepted), stock_after(ingredient_id, quantity), rounds).
     Raises RuntimeError when ``max_rounds`` is reached (never a partial answer).
 
-    Per round: one materialized decision table (windows + one aggregate),
+    Per round: one materialized decision table (windows + one aggregate) and
     one small aggregate fetched to the driver (undecided count and the
-    frontier, two numbers), and the next working set and stock written.
+    frontier).  After a round that decided at least a quarter of the orders
+    it saw, and at least every ``fold_every`` rounds, the settled prefix is
+    folded into the stock and the working set is rewritten; in between
+    the working set is the last written one joined with the newer decision
+    tables (small joins, the lineage stays short).  When no ingredient has
+    more rows than one bucket holds, the running sums are a plain window
+    per ingredient (checked once, on the data).
     """
     arr = arrival.select("order_id", "arrival_ts", "arrival_seq")
     d = demand.groupBy("order_id", "ingredient_id").agg(F.sum("demand").alias("d"))
     rows = scan.key_buckets(d.join(arr, "order_id"), ["ingredient_id"], "arrival_ts", target_rows, "_b")
     rows = materialize(rows.withColumn("st", F.lit("U")), "admission", "rows")
+    bucket = "_b" if rows.agg(F.max("_b")).first()[0] else None
     # orders that need nothing are accepted outright
     free = (arr.join(d.select("order_id").distinct(), "order_id", "left_anti")
             .select("order_id", F.lit("A").alias("nst")))
@@ -72,7 +79,7 @@ def admit_in_order(demand: DataFrame, arrival: DataFrame, stock: DataFrame, max_
         if rounds > max_rounds:
             raise RuntimeError(f"admission did not finish in {max_rounds} rounds")
         j = rows.join(cur, "ingredient_id").withColumn("_da", F.when(F.col("st") == "A", F.col("d")).otherwise(zero))
-        j = scan.running_sums(j, ["ingredient_id"], _ORDER + ["order_id"], {"_hi": "d", "_lo": "_da"}, "_b")
+        j = scan.running_sums(j, ["ingredient_id"], _ORDER + ["order_id"], {"_hi": "d", "_lo": "_da"}, bucket)
         u = j.filter(F.col("st") == "U").select(
             "order_id", *_ORDER,
             (F.col("_hi") <= F.col("s")).alias("fit"),                    # hi_excl + d <= s
@@ -83,16 +90,21 @@ def admit_in_order(demand: DataFrame, arrival: DataFrame, stock: DataFrame, max_
                        .otherwise(F.lit("U")).alias("nst")))
         dec = materialize(dec, "admission", "dec")
         decided.append(dec.select("order_id", "nst"))
-        left = dec.filter(F.col("nst") == "U").agg(F.count(F.lit(1)).alias("n"), F.min(order_key).alias("f")).first()
+        left = dec.agg(F.count(F.when(F.col("nst") == "U", 1)).alias("n"), F.count(F.lit(1)).alias("seen"),
+                       F.min(F.when(F.col("nst") == "U", order_key)).alias("f")).first()
         if _VERBOSE:
             import time as _t
             print(f"admission round {rounds}: {left['n']} undecided t={_t.time():.1f}", flush=True)
         if left["n"] == 0:
             break
-        frontier = F.struct(*[F.lit(left["f"][c]).alias(c) for c in (*_ORDER, "order_id")])
         upd = (rows.join(dec.select("order_id", "nst"), "order_id", "left")
                .withColumn("st", F.coalesce(F.col("nst"), F.col("st"))).drop("nst")
                .filter(F.col("st") != "R"))
+        many_decided = 4 * (left["seen"] - left["n"]) >= left["seen"]
+        if rounds % fold_every and not many_decided:
+            rows = upd          # a short lazy chain of joins with small decision tables
+            continue
+        frontier = F.struct(*[F.lit(left["f"][c]).alias(c) for c in (*_ORDER, "order_id")])
         # accepted orders before the earliest undecided one are final: fold into the stock, drop
         settled = (F.col("st") == "A") & (order_key < frontier)
         used = upd.filter(settled).groupBy("ingredient_id").agg(F.sum("d").alias("_u"))
