@@ -115,7 +115,8 @@ def append_rows(rows: DataFrame, root: str, key: str = "ingredient_id") -> tuple
     cur = current_version(spark, root)
     base = read_snapshot(spark, root, INVENTORY) if cur else spark.createDataFrame([], INVENTORY)
     _, accepted, rejects = merge_insert(base, rows, key)
-    accepted = accepted.select(*[c for c in base.columns])
+    # appended files must carry exactly the snapshot's column types, or the folder becomes unreadable
+    accepted = accepted.select(*[F.col(c).cast(base.schema[c].dataType).alias(c) for c in base.columns])
     if cur is None:
         write_snapshot(accepted, root)
     else:
