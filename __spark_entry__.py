@@ -479,6 +479,11 @@ def q_stock_balance(spark, d):
     return history.stock_balance(v.ledger, F.lit(_OPENING).cast("decimal(18,2)")).withColumn("balance", F.col("balance").cast("double"))
 
 
+def q_stock_balance_int(spark, d):
+    v = Views(spark, d)
+    return history.stock_balance_int(v.ledger, F.lit(_OPENING).cast("decimal(18,2)"))
+
+
 def q_status_history(spark, d):
     v = Views(spark, d)
     return history.status_history(v.status)
@@ -544,6 +549,8 @@ _HISTORY_SQL = {
         select event_id, inventory_id, transaction_type, cast(balance as double) as balance from fold""",
     "stock_balance": cte("v_ledger", extra=_FOLD).replace("with ", "with recursive ", 1) + """
         select inventory_id, cast(arg_max(balance, rn) as double) as balance from fold group by inventory_id""",
+    "stock_balance_int": cte("v_ledger", extra=_FOLD).replace("with ", "with recursive ", 1) + """
+        select inventory_id, cast(round(arg_max(balance, rn), 0) as int) as quantity from fold group by inventory_id""",
     "status_history": cte("v_status") + """
         select order_id || '_' || epoch_us(ts) || '_' || event_id as id, order_id, status, ts as created_at
         from (select *, lag(status) over w as prev, row_number() over w as rn from v_status
@@ -991,6 +998,17 @@ def q_filter_indexed(spark, d):
     return out.select("order_id", "status", "created_at")
 
 
+def q_filter_partitioned(spark, d):
+    """P7 with partition pruning: orders written partitioned by month, read back for one year."""
+    v = Views(spark, d)
+    path = files.write_partitioned(v.orders, scratch_path(spark, "orders_by_month"))
+    back = spark.read.parquet(path)
+    out = back.filter((F.col("created_at_month") >= F.lit("1996-01-01").cast("date"))
+                      & (F.col("created_at_month") < F.lit("1997-01-01").cast("date")))
+    out = lookup.filter_indexed(out, status="closed", created_from="1996-01-01", created_to="1997-01-01")
+    return out.select("order_id", "status", "created_at")
+
+
 def q_filter_category(spark, d):
     return lookup.filter_indexed(Views(spark, d).menu, category="ECONOMY").select("product_id", "name")
 
@@ -1036,6 +1054,9 @@ _TEXT_SQL = {
         select order_id, status, created_at from v_orders where status = 'closed'
         and created_at >= timestamp '1996-01-01' and created_at < timestamp '1997-01-01'""",
     "filter_category": cte("v_menu") + "select product_id, name from v_menu where category = 'ECONOMY'",
+    "filter_partitioned": cte("v_orders") + """
+        select order_id, status, created_at from v_orders where status = 'closed'
+        and created_at >= timestamp '1996-01-01' and created_at < timestamp '1997-01-01'""",
 }
 
 # ---------------------------------------------------------------------------
@@ -1138,6 +1159,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "delete_effects": q_delete_effects,
     "stock_ledger": q_stock_ledger,
     "stock_balance": q_stock_balance,
+    "stock_balance_int": q_stock_balance_int,
     "status_history": q_status_history,
     "price_history": q_price_history,
     "price_history_merge": q_price_history_merge,
@@ -1168,6 +1190,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exists_by_id": q_exists_by_id,
     "filter_indexed": q_filter_indexed,
     "filter_category": q_filter_category,
+    "filter_partitioned": q_filter_partitioned,
     "stream_status_history": q_stream_status_history,
     "stream_stock_balance": q_stream_stock_balance,
     "stream_price_history": q_stream_price_history,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import scan
-from larder.functions.scalar import distinct_from, history_id
+from larder.functions.scalar import distinct_from, history_id, to_int_column
 
 _B = "_bucket"
 
@@ -70,6 +70,16 @@ def stock_balance(tx: DataFrame, opening: Column | None = None, key: str = "inve
     return agg.select(key, bal.alias("balance"))
 
 
+def stock_balance_int(tx: DataFrame, opening: Column | None = None, key: str = "inventory_id") -> DataFrame:
+    """W2b stored into the schema's INT quantity column: round half away from zero.
+
+    The balance itself stays exact (decimal) and is rounded once when
+    stored.  The database function would round at every update; that
+    per-step rounding is not reproduced (SURVEY 2.14 #11: decimal stock).
+    """
+    return stock_balance(tx, opening, key).select(key, to_int_column("balance").alias("quantity"))
+
+
 # ---- W3 ---------------------------------------------------------------------
 def status_history(changes: DataFrame, key: str = "order_id", ts: str = "ts", seq: str = "event_id",
                    target_rows: int = scan.TARGET_ROWS) -> DataFrame:

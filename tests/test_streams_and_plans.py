@@ -75,7 +75,7 @@ def _plan(df):
 
 def test_batch_plans_have_no_cartesian_or_python(spark, sf):
     skip = {"place_orders", "amend_orders", "scan_stock", "scan_menu_json", "scan_orders_json", "write_snapshot",
-            "append_rows", "assign_ids"} | {k for k in E.queries() if k.startswith("stream_")}
+            "append_rows", "assign_ids", "filter_partitioned"} | {k for k in E.queries() if k.startswith("stream_")}
     for k, fn in E.queries().items():
         if k in skip:
             continue
@@ -91,6 +91,12 @@ def test_scan_prunes_columns_and_pushes_filters(spark, sf):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_orderdate:timestamp_ntz>" in p
 
 
+def test_partitioned_write_prunes_folders(spark, sf):
+    p = _plan(E.queries()["filter_partitioned"](spark, sf))
+    assert "PartitionFilters: [isnotnull(created_at_month" in p
+    assert "EqualTo(status,closed)" in p
+
+
 def test_entry_and_contract(spark):
     df = E.entry(spark)
     assert set(df.columns) == {"product_id", "quantity"}
