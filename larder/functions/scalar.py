@@ -14,9 +14,14 @@ def utc_text(ts: Column | str) -> Column:
 
 
 def epoch_micros(ts: Column | str) -> Column:
-    """Microseconds since the epoch for timestamp or timestamp_ntz input."""
+    """Microseconds since 1970-01-01 00:00 of a wall-clock (timestamp_ntz) value.
+
+    Independent of the session time zone, so ids and buckets are the same
+    in every session (and monotone across daylight-saving changes).
+    """
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp"))
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            c.cast("timestamp_ntz"))
 
 
 def history_id(key: Column | str, ts: Column | str, seq: Column | str) -> Column:

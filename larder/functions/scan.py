@@ -18,13 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.scalar import epoch_micros
+
 DAY_MICROS = 86_400_000_000
 
 
 def time_bucket(ts: str | Column, width_micros: int = DAY_MICROS) -> Column:
     """Bucket number of a timestamp / timestamp_ntz: floor(epoch micros / width)."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(width_micros)).cast("long")
+    return F.floor(epoch_micros(ts) / F.lit(width_micros)).cast("long")
 
 
 TARGET_ROWS = 200_000   # rows per (key, bucket) that one task handles comfortably
@@ -41,7 +42,7 @@ def key_buckets(df: DataFrame, keys: list[str], ts: str | Column, target_rows: i
     skewed join partition is split by AQE).  The bucket is monotone in
     ``ts`` within a key, which is all the scans need.
     """
-    us = F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+    us = epoch_micros(ts)
     stats = (df.groupBy(*keys).agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"), F.count(F.lit(1)).alias("_n"))
              .select(*keys, "_lo", F.greatest(F.lit(1), F.floor(
                  (F.col("_hi") - F.col("_lo") + 1).cast("double") * F.lit(float(target_rows)) / F.col("_n"))
