@@ -54,24 +54,35 @@ _ST1_OUT = "order_id long, status string, ts timestamp_ntz, event_id long, late
 _ST1_STATE = "status string, ts timestamp_ntz, event_id long"
 
 
+def _split_late(pdf: pd.DataFrame, last_ts, last_id) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Rows ordered before the last applied (ts, event_id) of the key are late."""
+    if last_ts is None:
+        return pdf, pdf.iloc[0:0]
+    late = (pdf["ts"] < last_ts) | ((pdf["ts"] == last_ts) & (pdf["event_id"] < last_id))
+    return pdf[~late], pdf[late]
+
+
 def _status_changes(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     (oid,) = key
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    if state.exists:
-        prev, last_ts, last_id = state.get
-        seen = True
-    else:
-        prev, last_ts, last_id, seen = None, None, None, False
-    out = []
-    for r in pdf.itertuples(index=False):
-        if seen and (r.ts, r.event_id) < (last_ts, last_id):
-            out.append((oid, r.status, r.ts, r.event_id, True))
-            continue
-        if not seen or r.status != prev:
-            out.append((oid, r.status, r.ts, r.event_id, False))
-        prev, last_ts, last_id, seen = r.status, r.ts, r.event_id, True
-    state.update((prev, last_ts, last_id))
-    yield pd.DataFrame(out, columns=["order_id", "status", "ts", "event_id", "late"])
+    prev, last_ts, last_id = state.get if state.exists else (None, None, None)
+    ok, late = _split_late(pdf, last_ts, last_id)
+    cols = ["order_id", "status", "ts", "event_id", "late"]
+    out = [late.assign(order_id=oid, late=True)[cols]]
+    if len(ok):
+        before = ok["status"].shift(1)
+        if state.exists:
+            before.iloc[0] = prev
+        first = pd.Series(False, index=ok.index)
+        if not state.exists:
+            first.iloc[0] = True
+        # IS DISTINCT FROM: NULL vs value is a change, NULL vs NULL is not
+        distinct = (ok["status"] != before) & ~(ok["status"].isna() & before.isna())
+        hit = ok[first | distinct]
+        out.append(hit.assign(order_id=oid, late=False)[cols])
+        last = ok.iloc[-1]
+        state.update((last["status"], last["ts"], int(last["event_id"])))
+    yield pd.concat(out, ignore_index=True)
 
 
 def status_history_stream(changes: DataFrame) -> DataFrame:
@@ -95,27 +106,29 @@ def _balances(opening_cents: int):
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
         if state.exists:
             bal, known, last_ts, last_id = state.get
-            seen = True
         else:
-            bal, known, last_ts, last_id, seen = opening_cents, True, None, None, False
-        out = []
-        for r in pdf.itertuples(index=False):
-            if seen and (r.ts, r.event_id) < (last_ts, last_id):
-                out.append((r.event_id, iid, r.transaction_type, None, True))
-                continue
-            t, q = r.transaction_type, int(r.cents)
-            if t == "adjustment":
-                bal, known = q, True
-            elif t == "increment" and known:
-                bal += q
-            elif t == "decrement" and known:
-                bal -= q
-            elif t not in ("increment", "decrement"):
-                known = False          # unknown type: NULL until the next adjustment
-            out.append((r.event_id, iid, t, bal if known else None, False))
-            last_ts, last_id, seen = r.ts, r.event_id, True
-        state.update((bal, known, last_ts, last_id))
-        yield pd.DataFrame(out, columns=["event_id", "inventory_id", "transaction_type", "balance_cents", "late"])
+            bal, known, last_ts, last_id = opening_cents, True, None, None
+        ok, late = _split_late(pdf, last_ts, last_id)
+        cols = ["event_id", "inventory_id", "transaction_type", "balance_cents", "late"]
+        out = [late.assign(inventory_id=iid, balance_cents=None, late=True)[cols]]
+        if len(ok):
+            t = ok["transaction_type"]
+            is_set = t == "adjustment"
+            delta = ok["cents"].where(t == "increment", -ok["cents"]).where(t.isin(["increment", "decrement"]), 0)
+            bad = ~t.isin(["increment", "decrement", "adjustment"])
+            seg = is_set.cumsum()                       # segment 0 continues the state
+            base = ok["cents"].where(is_set).groupby(seg).transform("first")
+            base = base.where(seg > 0, bal)
+            run = delta.groupby(seg).cumsum()
+            poisoned = bad.astype(int).groupby(seg).cummax().astype(bool) | ((seg == 0) & (not known))
+            balance = (base + run).where(~poisoned)
+            out.append(pd.DataFrame({"event_id": ok["event_id"], "inventory_id": iid, "transaction_type": t,
+                                     "balance_cents": balance.astype("Int64"), "late": False}))
+            last = ok.iloc[-1]
+            end_known = not bool(poisoned.iloc[-1])
+            state.update((int(balance.iloc[-1]) if end_known else int(bal), end_known, last["ts"],
+                          int(last["event_id"])))
+        yield pd.concat(out, ignore_index=True)
     return fn
 
 
