@@ -16,7 +16,7 @@ from larder.fixtures import CHANGE_EVERY, UNMATCHED_OFFSET, Views, cte
 from larder.functions.scalar import blank, non_positive
 from larder.operators import history, lookup, merge, nested, orders, quality, sales, stock, text
 from larder.schemas import ORDER_STATUS_ENUM, TRANSACTION_TYPE_ENUM
-from larder.session import scratch_path
+from larder.session import materialize, scratch_path
 from larder.sources import files
 from larder.streaming import changes as streams
 
@@ -497,7 +497,7 @@ def q_price_history(spark, d):
 def q_price_history_merge(spark, d):
     """The history built from all observations, then the current menu prices applied."""
     v = Views(spark, d)
-    h = history.price_history(v.price)
+    h = materialize(history.price_history(v.price), "price_history")   # the stored history table
     snap = v.menu.select(F.col("product_id").alias("menu_item_id"), "price")
     out = history.price_history_merge(h, snap, F.lit(_MERGE_AT).cast("timestamp_ntz"))
     return out.withColumn("price", F.col("price").cast("double"))
@@ -506,7 +506,7 @@ def q_price_history_merge(spark, d):
 def q_price_as_of(spark, d):
     v = Views(spark, d)
     ev = v.items.join(v.orders.select("order_id", "created_at"), "order_id")
-    out = history.price_as_of(ev, history.price_history(v.price))
+    out = history.price_as_of(ev, materialize(history.price_history(v.price), "price_history"))
     return out.select("order_id", "pos", "product_id", "created_at", F.col("price").cast("double").alias("price"))
 
 

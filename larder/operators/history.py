@@ -149,7 +149,8 @@ def price_as_of(events: DataFrame, intervals: DataFrame, at: str = "created_at",
     order by time (starts first on ties) and carry the last started price
     forward.  No pairs of (event, interval) are ever formed; the scan is
     bucketed so a hot key is split.  Events before the first interval, or
-    after a closed last interval, get NULL.
+    after a closed last interval, get NULL.  ``intervals`` is meant to be
+    the stored history table (as in the schema), not a plan that derives it.
     """
     ev = events.withColumn("_t", F.col(at).cast("timestamp_ntz"))
     starts = intervals.select(F.col(hist_key).alias(key), F.col("effective_from").alias("_t"),
