@@ -37,14 +37,15 @@ def one_change_per_key(batch: DataFrame, key: str, order_col: str | None = None)
     return clean, _reject(batch.join(dup, key, "left_semi"), key, "duplicate_in_batch")
 
 
-def merge_insert(base: DataFrame, batch: DataFrame, key: str,
-                 valid: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def merge_insert(base: DataFrame, batch: DataFrame, key: str, valid: Column | None = None,
+                 order_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """M1: validate, reject keys that exist, append the rest.
 
     Returns (snapshot, accepted, rejects).  ``valid`` is a boolean column over
-    the batch (V1 / V3); NULL counts as invalid.
+    the batch (V1 / V3); NULL counts as invalid.  ``order_col``: keep the
+    latest change of a repeated key instead of rejecting its copies.
     """
-    batch, dups = one_change_per_key(batch, key)
+    batch, dups = one_change_per_key(batch, key, order_col)
     ok = F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True)
     checked = batch.withColumn("_ok", ok)
     invalid = _reject(checked.filter(~F.col("_ok")), key, "invalid")
@@ -56,14 +57,15 @@ def merge_insert(base: DataFrame, batch: DataFrame, key: str,
 
 
 def merge_replace(base: DataFrame, batch: DataFrame, key: str, valid: Column | None = None,
-                  stamp: Column | None = None, stamp_col: str = "updated_at") -> tuple[DataFrame, DataFrame]:
+                  stamp: Column | None = None, stamp_col: str = "updated_at",
+                  order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Replace the whole row of existing keys; unknown keys and invalid rows are rejected.
 
     With ``stamp`` (M9) the replaced rows get ``stamp_col = stamp`` - even
     when nothing changed, as the reference's BEFORE UPDATE trigger does.
     Returns (snapshot, rejects).
     """
-    batch, dups = one_change_per_key(batch, key)
+    batch, dups = one_change_per_key(batch, key, order_col)
     ok = F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True)
     checked = batch.withColumn("_ok", ok)
     invalid = _reject(checked.filter(~F.col("_ok")), key, "invalid")
@@ -88,12 +90,13 @@ def merge_replace(base: DataFrame, batch: DataFrame, key: str, valid: Column | N
 
 def merge_quantity(base: DataFrame, batch: DataFrame, key: str = "ingredient_id",
                    qty: str = "quantity", stamp: Column | None = None,
-                   stamp_col: str = "updated_at") -> tuple[DataFrame, DataFrame]:
+                   stamp_col: str = "updated_at", order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Set only ``quantity`` (and the update stamp) of existing keys; no validation.
 
     Name and unit are untouched.  Unknown keys are rejected.
     """
-    batch, dups = one_change_per_key(batch.select(key, qty), key)
+    batch, dups = one_change_per_key(batch.select(key, qty, *([order_col] if order_col else [])), key, order_col)
+    batch = batch.select(key, qty)
     missing = _reject(batch.join(base.select(key), key, "left_anti"), key, "not_found")
     new = batch.select(key, F.col(qty).alias("_nq"), F.lit(True).alias("_m"))
     j = base.join(new, key, "left")
