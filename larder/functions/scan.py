@@ -182,8 +182,11 @@ def set_add_fold(df: DataFrame, keys: list[str], order: list[str], kind: str, va
     summ = summ.select(*part, F.when(F.col("_has_set"), F.lit("set")).otherwise(F.lit("add")).alias("_k"),
                        F.col("_end"))
     folded = _fold(summ, keys, [bucket], "_k", "_end", init, "_after")
-    carry = folded.select(*part, F.coalesce(F.lag("_after").over(Window.partitionBy(*keys).orderBy(bucket)), init)
-                          .alias("_in"))
+    # a key's first bucket starts from ``init``; later ones from the previous bucket's end
+    # state, which may be NULL (poisoned) and must stay NULL
+    kb = Window.partitionBy(*keys).orderBy(bucket)
+    carry = folded.select(*part, F.when(F.row_number().over(kb) == 1, init)
+                          .otherwise(F.lag("_after").over(kb)).alias("_in"))
     j = df.join(carry, part)
     return _fold(j, part, order, kind, value, F.col("_in"), out).drop("_in")
 

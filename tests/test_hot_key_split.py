@@ -63,3 +63,16 @@ def test_admission_split_equals_unsplit(spark, sf):
     b, sb, _ = admit_in_order(dem, arr, v.stock_low)
     assert _rows(a, ["order_id", "accepted"]) == _rows(b, ["order_id", "accepted"])
     assert _rows(sa, ["ingredient_id", "quantity"]) == _rows(sb, ["ingredient_id", "quantity"])
+
+
+def test_ledger_poison_crosses_buckets(spark, sf):
+    """Unknown transaction types make the balance NULL until the next adjustment, across bucket edges."""
+    v = Views(spark, sf)
+    t = F.col("transaction_type")
+    tx = v.ledger.withColumn("transaction_type",
+                             F.when((F.col("event_id") % 11 == 0) & (t != "adjustment"), F.lit("bogus")).otherwise(t))
+    op = F.lit(Decimal("100.00"))
+    split = _rows(history.stock_ledger(tx, op, target_rows=3), ["event_id", "balance"])
+    whole = _rows(history.stock_ledger(tx, op), ["event_id", "balance"])
+    assert split == whole
+    assert any(b is None for _, b in whole) and any(b is not None for _, b in whole)
