@@ -925,7 +925,37 @@ def q_assign_ids(spark, d):
 _IDS = [("ids", f"""select order_id from v_orders where year(created_at) = {_REQ_YEAR}
                     union all select order_id + {UNMATCHED_OFFSET} from v_orders where year(created_at) = {_REQ_YEAR}""")]
 
+# M4 oracle: an independent sequential walk over the orders in arrival order (recursive CTE);
+# the stock is carried as a list indexed by ingredient id (ids are 0..n-1).
+_ADMISSION_WALK = cte("v_orders", "v_items", "v_bom", "v_stock", extra=[
+    ("n", "select count(*)::int as n from v_stock"),
+    ("dem", """select i.order_id, b.inventory_id as ing, sum(b.quantity * i.quantity) as d
+               from v_items i join v_bom b on b.menu_item_id = i.product_id group by i.order_id, b.inventory_id"""),
+    ("o", """select row_number() over (order by o.created_at, o.order_id) as rn, o.order_id, o.created_at,
+                    list_transform(range(0, (select n from n)),
+                                   lambda j: coalesce(list_sum(list_transform(list_filter(dl, lambda x: x.ing = j),
+                                                                              lambda x: x.d)), 0)) as dense
+             from v_orders o left join (select order_id, list({'ing': ing, 'd': d}) as dl from dem group by order_id) g
+             on g.order_id = o.order_id"""),
+    ("walk(rn, bal, acc)", """
+        select 0::bigint, (select list(quantity::decimal(38,2) order by ingredient_id) from v_stock), true
+        union all
+        select o.rn,
+               case when list_bool_and(list_transform(range(1, len(w.bal) + 1), lambda j: o.dense[j] <= w.bal[j]))
+                    then list_transform(range(1, len(w.bal) + 1), lambda j: w.bal[j] - o.dense[j]) else w.bal end,
+               list_bool_and(list_transform(range(1, len(w.bal) + 1), lambda j: o.dense[j] <= w.bal[j]))
+        from walk w join o on o.rn = w.rn + 1""")]).replace("with ", "with recursive ", 1)
+
+_AMEND_WALK = _ADMISSION_WALK.replace(
+    "from v_orders o left join (select order_id, list({'ing': ing, 'd': d})",
+    f"from (select * from v_orders where year(created_at) = {_REQ_YEAR} and status <> 'closed') o "
+    "left join (select order_id, list({'ing': ing, 'd': d})")
+
 _ORDERS_SQL = {
+    "amend_orders": _AMEND_WALK + """
+        select o.order_id from walk w join o on o.rn = w.rn where w.acc and w.rn > 0""",
+    "place_orders": _ADMISSION_WALK + """
+        select o.order_id, o.created_at from walk w join o on o.rn = w.rn where w.acc and w.rn > 0""",
     "close_orders": cte("v_orders", extra=_IDS) + """
         select order_id, case when order_id in (select order_id from ids) then 'closed' else status end as status
         from v_orders""",
