@@ -126,3 +126,46 @@ def test_entry_and_contract(spark):
     assert df.count() > 0
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
+
+
+def test_price_sink_is_idempotent_per_batch(spark):
+    import datetime as dt
+    from decimal import Decimal
+    from larder.sources import files
+    root = scratch_path(spark, "test", "st3")
+    sink = streams.price_history_sink(root)
+    t0 = dt.datetime(2024, 1, 1)
+    b0 = spark.createDataFrame([(1, t0, Decimal("2")), (1, t0 + dt.timedelta(days=1), Decimal("3"))],
+                               "menu_item_id long, ts timestamp_ntz, price decimal(18,2)")
+    b1 = spark.createDataFrame([(1, t0 + dt.timedelta(days=2), Decimal("3")), (1, t0 + dt.timedelta(days=3), Decimal("4"))],
+                               "menu_item_id long, ts timestamp_ntz, price decimal(18,2)")
+    sink(b0, 0)
+    sink(b1, 1)
+    sink(b1, 1)                                   # a replay of the same batch changes nothing
+    log = spark.read.json(f"{root}/_versions")
+    assert log.count() == 2
+    got = sorted((r.price, r.effective_to is None) for r in files.read_snapshot(spark, root).collect())
+    assert got == [(Decimal("2.00"), False), (Decimal("3.00"), False), (Decimal("4.00"), True)]
+
+
+def test_popular_stream_over_several_files_equals_batch(spark, sf):
+    from larder.fixtures import Views
+    from larder.operators import sales
+    from larder.sources import files
+    d = tempfile.mkdtemp(prefix="larder-test-items-")
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    for i in range(3):
+        li.filter(F.col("l_orderkey") % 3 == i).coalesce(1).write.parquet(os.path.join(d, f"p{i}"))
+        f = [x for x in os.listdir(os.path.join(d, f"p{i}")) if x.endswith(".parquet")][0]
+        os.link(os.path.join(d, f"p{i}", f), os.path.join(d, f"p{i}.parquet"))
+    v = Views(spark, sf)
+    stream = streams.read_table_stream(spark, d, "p*.parquet", max_files=1)
+    items = stream.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+                          F.col("l_quantity").cast("int").alias("quantity"))
+    root = scratch_path(spark, "test", "st4")
+    streams.run_to_end(streams.popular_items_stream(items, v.orders), streams.snapshot_sink(root),
+                       scratch_path(spark, "test", "ck4"), mode="complete")
+    assert spark.read.json(f"{root}/_versions").count() == 3           # one version per micro-batch
+    got = sorted(tuple(r) for r in files.read_snapshot(spark, root).select("product_id", "quantity").collect())
+    want = sorted(tuple(r) for r in sales.popular_items(v.orders, v.items_plain).collect())
+    assert got == want
