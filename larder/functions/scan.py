@@ -52,6 +52,16 @@ def key_buckets(df: DataFrame, keys: list[str], ts: str | Column, target_rows: i
             .drop("_lo", "_w"))
 
 
+def needs_split(df: DataFrame, keys: list[str], target_rows: int = TARGET_ROWS) -> bool:
+    """Does any key hold more than ``target_rows`` rows?  One small aggregate job.
+
+    When no key does, a plain per-key window is the cheapest exact plan (one
+    shuffle); otherwise the bucketed helpers split the large keys.
+    """
+    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return bool(biggest) and biggest > target_rows
+
+
 def _rows_to_here(part: list[str], order: list[str]):
     return Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -61,7 +71,7 @@ def _before_bucket(keys: list[str], bucket: str):
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-                bucket: str) -> DataFrame:
+                bucket: str | None) -> DataFrame:
     """Inclusive running sum of ``value`` per key in ``order``.
 
     ``bucket`` names a column that is monotone in ``order``.  Per-bucket
@@ -69,6 +79,8 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     (keys, bucket), and added to the in-bucket running sum.  The join and
     the in-bucket window share the (keys, bucket) partitioning.
     """
+    if bucket is None:
+        return df.withColumn(out, F.sum(value).over(_rows_to_here(keys, order)))
     part = keys + [bucket]
     totals = df.groupBy(*part).agg(F.sum(value).alias("_bt"))
     offsets = totals.select(*part, F.sum("_bt").over(_before_bucket(keys, bucket)).alias("_off"))
@@ -108,7 +120,11 @@ def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str,
 
     Also sets ``_first`` (true on the key's first row), because a NULL
     previous value and "no previous row" must not be confused.
+    ``bucket=None``: plain per-key window.
     """
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(out, F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
     part = keys + [bucket]
     last = (df.groupBy(*part)
             .agg(F.max_by(F.col(value), F.struct(*order)).alias("_lv")))
@@ -127,7 +143,9 @@ def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str,
 
 def next_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
                bucket: str) -> DataFrame:
-    """``lead(value)`` per key in ``order``, NULL for the key's last row."""
+    """``lead(value)`` per key in ``order``, NULL for the key's last row (``bucket=None``: plain window)."""
+    if bucket is None:
+        return df.withColumn(out, F.lead(value).over(Window.partitionBy(*keys).orderBy(*order)))
     part = keys + [bucket]
     first = (df.groupBy(*part)
              .agg(F.min_by(F.col(value), F.struct(*order)).alias("_fv")))
@@ -142,7 +160,9 @@ def next_value(df: DataFrame, keys: list[str], order: list[str], value: str, out
 
 def last_non_null(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
                   bucket: str) -> DataFrame:
-    """As-of fill: the latest non-NULL ``value`` at or before each row, per key."""
+    """As-of fill: the latest non-NULL ``value`` at or before each row, per key (``bucket=None``: plain window)."""
+    if bucket is None:
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(_rows_to_here(keys, order)))
     part = keys + [bucket]
     last = (df.filter(F.col(value).isNotNull()).groupBy(*part)
             .agg(F.max_by(F.col(value), F.struct(*order)).alias("_lv")))

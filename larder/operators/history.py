@@ -19,8 +19,11 @@ from larder.functions.scalar import distinct_from, history_id, to_int_column
 _B = "_bucket"
 
 
-def _bucketed(df: DataFrame, key: str, ts: str, target_rows: int) -> DataFrame:
-    return scan.key_buckets(df, [key], ts, target_rows, _B)
+def _bucketed(df: DataFrame, key: str, ts: str, target_rows: int) -> tuple[DataFrame, str | None]:
+    """Bucket the keys that need it; (df, None) when every key fits one task (checked on the data)."""
+    if not scan.needs_split(df, [key], target_rows):
+        return df, None
+    return scan.key_buckets(df, [key], ts, target_rows, _B), _B
 
 
 # ---- W2 / W2b ---------------------------------------------------------------
@@ -37,9 +40,9 @@ def stock_ledger(tx: DataFrame, opening: Column | None = None, key: str = "inven
     t = F.col("transaction_type")
     kind = F.when(t == "adjustment", F.lit("set")).when(t.isin("increment", "decrement"), F.lit("add"))
     val = F.when(t == "decrement", -F.col("quantity")).otherwise(F.col("quantity"))
-    df = _bucketed(tx.withColumn("_kind", kind).withColumn("_val", val), key, ts, target_rows)
+    df, b = _bucketed(tx.withColumn("_kind", kind).withColumn("_val", val), key, ts, target_rows)
     dtype = df.schema["_val"].dataType
-    out = scan.set_add_fold(df, [key], [ts, seq], "_kind", "_val", opening.cast(dtype), "balance", _B)
+    out = scan.set_add_fold(df, [key], [ts, seq], "_kind", "_val", opening.cast(dtype), "balance", b)
     return out.drop("_kind", "_val", _B)
 
 
@@ -89,8 +92,8 @@ def status_history(changes: DataFrame, key: str = "order_id", ts: str = "ts", se
     NULL status after a real one is still a change.
     Columns: id, order_id, status, created_at.
     """
-    df = _bucketed(changes, key, ts, target_rows)
-    prev = scan.previous_value(df, [key], [ts, seq], "status", "_prev", _B)
+    df, b = _bucketed(changes, key, ts, target_rows)
+    prev = scan.previous_value(df, [key], [ts, seq], "status", "_prev", b)
     hit = prev.filter(F.col("_first") | distinct_from("status", "_prev"))
     return hit.select(history_id(key, ts, seq).alias("id"), key, "status", F.col(ts).alias("created_at"))
 
@@ -105,10 +108,10 @@ def price_history(prices: DataFrame, key: str = "menu_item_id", ts: str = "ts",
     open one has ``effective_to`` NULL.  ``ts`` must be unique per key.
     Columns: id, menu_item_id, price, effective_from, effective_to.
     """
-    df = _bucketed(prices, key, ts, target_rows)
-    prev = scan.previous_value(df, [key], [ts], "price", "_prev", _B)
+    df, b = _bucketed(prices, key, ts, target_rows)
+    prev = scan.previous_value(df, [key], [ts], "price", "_prev", b)
     opened = prev.filter(F.col("_first") | distinct_from("price", "_prev")).drop("_prev", "_first")
-    closed = scan.next_value(opened, [key], [ts], ts, "effective_to", _B)
+    closed = scan.next_value(opened, [key], [ts], ts, "effective_to", b)
     return closed.select(history_id(key, ts, F.lit(0)).alias("id"), key, "price",
                          F.col(ts).alias("effective_from"), "effective_to")
 
@@ -159,14 +162,15 @@ def price_as_of(events: DataFrame, intervals: DataFrame, at: str = "created_at",
     u = (ev.select(*cols, F.lit(0).alias("_src"), F.lit(None).cast(starts.schema["_p"].dataType).alias("_p"),
                    F.lit(None).cast("timestamp_ntz").alias("_to"))
          .unionByName(starts.select(key, "_t", F.lit(1).alias("_src"), "_p", "_to"), allowMissingColumns=True))
-    u = _bucketed(u, key, "_t", target_rows).withColumn("_iv", F.struct("_p", "_to"))
+    u, b = _bucketed(u, key, "_t", target_rows)
+    u = u.withColumn("_iv", F.struct("_p", "_to"))
     u = u.withColumn("_iv", F.when(F.col("_src") == 1, F.col("_iv")))
     # starts sort before events at the same instant: order by (_t, -_src)
     u = u.withColumn("_ord", -F.col("_src"))
-    filled = scan.last_non_null(u, [key], ["_t", "_ord"], "_iv", "_cur", _B)
+    filled = scan.last_non_null(u, [key], ["_t", "_ord"], "_iv", "_cur", b)
     res = filled.filter(F.col("_src") == 0)
     in_force = F.col("_cur").isNotNull() & (F.col("_cur._to").isNull() | (F.col("_t") < F.col("_cur._to")))
-    return res.select(*cols, F.when(in_force, F.col("_cur._p")).alias("price")).drop("_t")
+    return res.select(*cols, F.when(in_force, F.col("_cur._p")).alias("price")).drop("_t", _B)
 
 
 # ---- W6 ---------------------------------------------------------------------
