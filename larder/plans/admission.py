@@ -14,7 +14,14 @@ DataFrame jobs, exactly:
   lo + d > stock on any (it fails even if every undecided one is rejected).
 
 The earliest undecided order has hi == lo, so every round decides at least
-one order; in practice the first rounds decide most of them.  After each
+one order.  Near stock exhaustion the orders right after the frontier form a
+genuine chain (each decision changes what the next one sees), which the
+bounds untangle only slowly.  So after each fold the next ``slice_rows``
+working rows in arrival order - a bounded slice, starting exactly at the
+frontier where the stock is known - are decided by a plain sequential fold
+in one ``applyInPandas`` task (an order cut off at the slice end is left for
+the next round).  Bounds keep deciding everything else in parallel; at sf0.1
+this takes 3 rounds instead of 59.  After each
 round the settled prefix (accepted orders before the earliest undecided one)
 is folded into the stock and dropped, rejected rows are dropped, and the
 working set is written as a table in the shared checkpoint folder and read
@@ -39,10 +46,60 @@ from larder.session import materialize
 
 _ORDER = ["arrival_ts", "arrival_seq"]
 _VERBOSE = False
+SLICE_ROWS = 500_000   # rows decided sequentially per round, in one task (bounded memory)
+
+
+def _fold_slice(m: int):
+    """Sequential decisions for a slice that starts at the frontier (exact stock known)."""
+    import pandas as pd
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*_ORDER, "order_id", "ingredient_id"], kind="stable").reset_index(drop=True)
+        oid, ing = pdf["order_id"].tolist(), pdf["ingredient_id"].tolist()
+        d, st, s = pdf["d"].tolist(), pdf["st"].tolist(), pdf["s"].tolist()
+        n, whole = len(pdf), len(pdf) < m          # a full slice may end inside an order
+        rem, out_o, out_s, i = {}, [], [], 0
+        while i < n:
+            j = i
+            while j < n and oid[j] == oid[i]:
+                j += 1
+            if j == n and not whole:
+                break                              # possibly cut off: leave it to the next round
+            for t in range(i, j):
+                rem.setdefault(ing[t], s[t])
+            ok = st[i] == "A" or all(d[t] <= rem[ing[t]] for t in range(i, j))
+            if ok:
+                for t in range(i, j):
+                    rem[ing[t]] -= d[t]
+            if st[i] == "U":
+                out_o.append(oid[i])
+                out_s.append("A" if ok else "R")
+            i = j
+        return pd.DataFrame({"order_id": pd.Series(out_o, dtype="int64"), "nst": pd.Series(out_s, dtype="object")})
+    return fn
+
+
+def _slice_decisions(rows: DataFrame, cur: DataFrame, m: int) -> DataFrame:
+    """Exact decisions for the first ``m`` working rows in arrival order, in one bounded task.
+
+    Valid only right after a fold: then every working row is at or after the
+    frontier and ``cur`` is the exact stock there.
+    """
+    head = (rows.join(cur, "ingredient_id")
+            .select("order_id", *_ORDER, "ingredient_id", "d", "st", "s")
+            .orderBy(*_ORDER, "order_id", "ingredient_id").limit(m))
+    return head.groupBy(F.lit(0).alias("_g")).applyInPandas(_fold_slice(m), "order_id long, nst string")
+
+
+def _apply_decisions(rows: DataFrame, dec: DataFrame) -> DataFrame:
+    return (rows.join(dec.select("order_id", "nst"), "order_id", "left")
+            .withColumn("st", F.coalesce(F.col("nst"), F.col("st"))).drop("nst")
+            .filter(F.col("st") != "R"))
 
 
 def admit_in_order(demand: DataFrame, arrival: DataFrame, stock: DataFrame, max_rounds: int = 100_000,
-                   target_rows: int = scan.TARGET_ROWS, fold_every: int = 4) -> tuple[DataFrame, DataFrame, int]:
+                   target_rows: int = scan.TARGET_ROWS, fold_every: int = 4,
+                   slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, DataFrame, int]:
     """Decide every order of ``arrival``.
 
     demand:  (order_id, ingredient_id, demand)   any number of rows per pair (summed)
@@ -101,7 +158,7 @@ def admit_in_order(demand: DataFrame, arrival: DataFrame, stock: DataFrame, max_
                .withColumn("st", F.coalesce(F.col("nst"), F.col("st"))).drop("nst")
                .filter(F.col("st") != "R"))
         many_decided = 4 * (left["seen"] - left["n"]) >= left["seen"]
-        if rounds % fold_every and not many_decided:
+        if slice_rows <= 0 and rounds % fold_every and not many_decided:
             rows = upd          # a short lazy chain of joins with small decision tables
             continue
         frontier = F.struct(*[F.lit(left["f"][c]).alias(c) for c in (*_ORDER, "order_id")])
@@ -112,6 +169,11 @@ def admit_in_order(demand: DataFrame, arrival: DataFrame, stock: DataFrame, max_
                           .select("ingredient_id", (F.col("s") - F.coalesce(F.col("_u"), zero)).alias("s")),
                           "admission", "stock")
         rows = materialize(upd.filter(~settled), "admission", "rows")
+        if slice_rows > 0:
+            # the chain right after the frontier: decided sequentially, a bounded slice per round
+            sdec = materialize(_slice_decisions(rows, cur, slice_rows), "admission", "dec")
+            decided.append(sdec)
+            rows = _apply_decisions(rows, sdec)
     spark = demand.sparkSession
     paths = [p for df in decided for p in df.inputFiles()]
     decisions = (spark.read.parquet(*paths).filter(F.col("nst") != "U")

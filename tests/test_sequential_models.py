@@ -126,6 +126,24 @@ def test_admission_is_exact(spark):
         assert dec.count() == n_orders
 
 
+def test_admission_exact_for_any_slice_size(spark):
+    """Bounds only (slice 0), slices that end inside an order (5, 13 rows), and the default."""
+    rng = random.Random(99)
+    n_orders, n_ingr = 60, 5
+    stock = [(i, Decimal(rng.randrange(20, 60))) for i in range(n_ingr)]
+    demand = [(o, rng.randrange(n_ingr), Decimal(rng.randrange(1, 12)))
+              for o in range(n_orders) for _ in range(rng.randrange(0, 4))]
+    arrival = [(o, T0 + dt.timedelta(hours=rng.randrange(0, 100)), o) for o in range(n_orders)]
+    d = spark.createDataFrame(demand, "order_id long, ingredient_id long, demand decimal(18,2)")
+    a = spark.createDataFrame(arrival, "order_id long, arrival_ts timestamp_ntz, arrival_seq long")
+    s = spark.createDataFrame(stock, "ingredient_id long, quantity decimal(18,2)")
+    want, final = _sequential_admission(demand, arrival, stock)
+    for m in (0, 5, 13, 500_000):
+        dec, after, rounds = admit_in_order(d, a, s, slice_rows=m)
+        assert {r.order_id: r.accepted for r in dec.collect()} == want, m
+        assert {r.ingredient_id: r.quantity for r in after.collect()} == final, m
+
+
 def test_place_orders_rejects_are_atomic(spark):
     o = spark.createDataFrame([(1, "ann", None, T0), (2, "", None, T0 + dt.timedelta(hours=1)),
                                (3, "bob", None, T0 + dt.timedelta(hours=2)), (4, "cy", None, T0 + dt.timedelta(hours=3)),
