@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import scan
-from larder.session import materialize
+from larder.session import materialize, ship_package
 
 _ORDER = ["arrival_ts", "arrival_seq"]
 _VERBOSE = False
@@ -85,6 +85,7 @@ def _slice_decisions(rows: DataFrame, cur: DataFrame, m: int) -> DataFrame:
     Valid only right after a fold: then every working row is at or after the
     frontier and ``cur`` is the exact stock there.
     """
+    ship_package(rows.sparkSession)
     head = (rows.join(cur, "ingredient_id")
             .select("order_id", *_ORDER, "ingredient_id", "d", "st", "s")
             .orderBy(*_ORDER, "order_id", "ingredient_id").limit(m))
