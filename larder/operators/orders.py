@@ -135,7 +135,8 @@ def assign_ids(df: DataFrame, order: list[str], after: Column, out: str = "new_i
     one row per partition, a size bounded by the partition count - give each
     partition its offset.  The ranged data is written to the shared folder
     first so counts and ids see the same partitions.  ``after`` is usually a
-    scalar subquery such as ``existing.select(max(id)).scalar()``.
+    scalar subquery such as ``existing.select(max(id)).scalar()``; NULL (nothing
+    exists yet) counts as 0.
     """
     from larder.session import materialize
     from pyspark.sql import Window
@@ -151,5 +152,5 @@ def assign_ids(df: DataFrame, order: list[str], after: Column, out: str = "new_i
     offsets = counts.select("_p", F.coalesce(F.sum("_n").over(
         Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     return (ranged.join(F.broadcast(offsets), "_p")
-            .withColumn(out, after + F.col("_off") + F.col("_i") + 1)
+            .withColumn(out, F.coalesce(after, F.lit(0)) + F.col("_off") + F.col("_i") + 1)
             .drop("_mid", "_p", "_i", "_off"))

@@ -145,6 +145,13 @@ def test_assign_ids_dense(spark):
     assert got == [(k, 42 + k) for k in range(1000)]
 
 
+def test_assign_ids_when_nothing_exists(spark):
+    existing = spark.createDataFrame([], "order_id long")
+    df = spark.createDataFrame([(5,), (3,)], "k long")
+    got = sorted((r.k, r.new_id) for r in orders.assign_ids(df, ["k"], existing.select(F.max("order_id")).scalar()).collect())
+    assert got == [(3, 1), (5, 2)]
+
+
 def test_trigram_pairs_equal_brute_force(spark):
     names = ["small ring", "small rings", "red widget", "red widgets", "blue bolt", "bolt", "a", "ab ab", "x-y z"]
 
