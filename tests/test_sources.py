@@ -52,3 +52,35 @@ def test_report_json_names(spark):
     df = spark.createDataFrame([(Decimal("12.50"),)], "total_sales decimal(38,2)")
     got = files.report_json(df, {"total_sales": "total_sales: "}).first().json
     assert got == '{"total_sales: ":12.50}'
+
+
+def test_reference_orders_file_through_admission(spark):
+    """Nested orders in the reference's JSON-array file -> rows -> validation -> admission."""
+    from larder.operators import nested, orders
+
+    d = tempfile.mkdtemp(prefix="larder-test-json-")
+    docs = [
+        {"order_id": 1, "customer_name": "ann", "items": [{"product_id": 10, "quantity": 2}],
+         "status": "", "created_at": "2024-01-01T09:00:00Z"},
+        {"order_id": 2, "customer_name": "", "items": [{"product_id": 10, "quantity": 1}],
+         "status": "", "created_at": "2024-01-01T09:01:00Z"},
+        {"order_id": 3, "customer_name": "bob", "items": [{"product_id": 10, "quantity": 3}],
+         "status": "", "created_at": "2024-01-01T09:02:00Z"},
+        {"order_id": 4, "customer_name": "cy", "items": [], "status": "", "created_at": "2024-01-01T09:03:00Z"},
+    ]
+    path = os.path.join(d, "orders.json")
+    with open(path, "w") as f:
+        json.dump(docs, f, indent=2)
+    od = files.scan_orders_json(spark, path, multiline=True)
+    items = nested.explode_items(od)
+    heads = od.select("order_id", "customer_name", "status",
+                      F.to_timestamp("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").cast("timestamp_ntz").alias("created_at"))
+    menu = spark.createDataFrame([(10, "x", "d", Decimal("1"))],
+                                 "product_id long, name string, description string, price decimal(18,2)")
+    bom = spark.createDataFrame([(10, 0, Decimal("2"), 1)], "menu_item_id long, inventory_id long, quantity decimal(10,2), pos int")
+    stock = spark.createDataFrame([(0, Decimal("8"))], "ingredient_id long, quantity decimal(18,2)")
+    res = orders.place_orders(heads, items, menu, bom, stock)
+    # order 1 takes 4 of 8; order 2 has no customer; order 3 needs 6 > 4; order 4 has no items (valid)
+    assert sorted(r.order_id for r in res["accepted"].collect()) == [1, 4]
+    assert {r.order_id: r.reason for r in res["rejects"].collect()} == {2: "invalid", 3: "not_enough"}
+    assert [r.quantity for r in res["stock"].collect()] == [Decimal("4.00")]
