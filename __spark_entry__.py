@@ -1230,6 +1230,26 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ORACLE: dict[str, str] = {**_SALES_SQL, **_NESTED_SQL, **_SOURCES_SQL, **_STOCK_SQL, **_MERGE_SQL, **_HISTORY_SQL, **_QUALITY_SQL, **_ORDERS_SQL, **_TEXT_SQL, **_STREAM_SQL}
 
 
+# The training-data operators and the pipeline are optional: without their folders the rest stands.
+try:
+    from larder.llm import queries as _llm
+except ModuleNotFoundError as e:
+    if not (e.name or "").startswith("larder.llm"):
+        raise
+else:
+    _QUERIES.update(_llm.QUERIES)
+    _ORACLE.update(_llm.ORACLE)
+try:
+    import corpus_pipeline as _pipeline
+except ModuleNotFoundError as e:
+    if e.name != "corpus_pipeline" and not (e.name or "").startswith("larder.llm"):
+        raise
+else:
+    _QUERIES["pipeline"] = _pipeline.run
+    if _pipeline.ORACLE_SQL:
+        _ORACLE["pipeline"] = _pipeline.ORACLE_SQL
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: popular items (closed orders, quantity descending) at sf0.001."""
     return q_popular_items(spark, SF_SMOKE)
