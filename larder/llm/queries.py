@@ -5,21 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larder.llm import simhash_trie
+from larder.llm import bpe, line_dedup, order_minhash, simhash_trie
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup.clean(_table(spark, d, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = simhash_trie.near_duplicates(_table(spark, d, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op5_bpe_encode_decode(spark: SparkSession, d: str) -> DataFrame:
+    rows = bpe.encode(_table(spark, d, "documents"), decoded=True)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_order_minhash(spark: SparkSession, d: str) -> DataFrame:
+    return order_minhash.compare(_table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op5_bpe_encode_decode": op5_bpe_encode_decode,
+    "op6_order_minhash": op6_order_minhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": line_dedup.oracle(),
+}
