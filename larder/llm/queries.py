@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, line_dedup, order_minhash, simhash_trie
+from larder.llm import bpe, line_dedup, order_minhash, simhash_trie, substring_dedup, winnowing
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -34,11 +34,23 @@ def op6_order_minhash(spark: SparkSession, d: str) -> DataFrame:
     return order_minhash.compare(_table(spark, d, "documents"))
 
 
+def op7_winnowing_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    found = winnowing.contamination(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+    return found.drop("th")
+
+
+def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    found = substring_dedup.dedup(_table(spark, d, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_order_minhash": op6_order_minhash,
+    "op7_winnowing_decontamination": op7_winnowing_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {
