@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, line_dedup, order_minhash, simhash_trie, substring_dedup, winnowing
+from larder.llm import bpe, histogram_sort, line_dedup, order_minhash, simhash_trie, substring_dedup, toxicity, winnowing
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,6 +23,27 @@ def op2_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op3_histogram_sort(spark: SparkSession, d: str) -> DataFrame:
+    placed = histogram_sort.shard(_table(spark, d, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", F.crc32("text").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def held_out(doc_id) -> Column:
+    return F.crc32(doc_id.cast("string")) % 5 == 0
+
+
+def toxic_scores(spark: SparkSession, docs: DataFrame, d: str) -> DataFrame:
+    """``docs`` with ``score``, from a classifier fitted on the labels of documents that are not held out."""
+    labels = _table(spark, d, "labels").where(~held_out(F.col("doc_id")))
+    return toxicity.score(docs, toxicity.fit(_table(spark, d, "documents"), labels))
+
+
+def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    scored = toxic_scores(spark, _table(spark, d, "documents").select("doc_id", "text"), d)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_bpe_encode_decode(spark: SparkSession, d: str) -> DataFrame:
     rows = bpe.encode(_table(spark, d, "documents"), decoded=True)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -47,6 +68,8 @@ def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_histogram_sort": op3_histogram_sort,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_order_minhash": op6_order_minhash,
     "op7_winnowing_decontamination": op7_winnowing_decontamination,
