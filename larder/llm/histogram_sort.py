@@ -76,7 +76,7 @@ class Splitter:
 def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE, probes: int = PROBES) -> tuple[list[Splitter], int, int]:
     """The ``parts - 1`` boundaries that cut ``rows(key, tie, size)`` into ranges of near equal bytes, and all rows and bytes.
 
-    ``(key, tie)`` is unique and not NULL. Only counts come to the driver: ``probes`` for each boundary and round.
+    ``(key, tie)`` is not NULL; rows that share one are not parted. Only counts come to the driver: ``probes`` for each boundary and round.
     """
     ends = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"), F.min("key"), F.max("key"), F.min("tie"), F.max("tie")).first()
     n, size = ends[0], ends[1] or 0

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, histogram_sort, line_dedup, order_minhash, simhash_trie, substring_dedup, toxicity, winnowing
+from larder.llm import bpe, histogram_sort, line_dedup, order_minhash, rans, simhash_trie, substring_dedup, toxicity, warc, winnowing
+from larder.session import scratch_path
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -60,6 +61,18 @@ def op7_winnowing_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return found.drop("th")
 
 
+def op8_warc(spark: SparkSession, d: str) -> DataFrame:
+    root = scratch_path(spark, "warc-archives")
+    warc.write(_table(spark, d, "pages"), root)
+    return warc.read(spark, root, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_rans_tokens(spark: SparkSession, d: str) -> DataFrame:
+    root = scratch_path(spark, "token-files")
+    rans.write(_table(spark, d, "documents"), root)
+    return rans.read(spark, root, ids=False)
+
+
 def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = substring_dedup.dedup(_table(spark, d, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -73,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_order_minhash": op6_order_minhash,
     "op7_winnowing_decontamination": op7_winnowing_decontamination,
+    "op8_warc": op8_warc,
+    "op9_rans_tokens": op9_rans_tokens,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
