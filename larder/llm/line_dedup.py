@@ -56,12 +56,12 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text",
-          max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with the boilerplate lines gone from ``text``, and ``n_lines``, ``n_dropped`` after its columns.
+          max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with the boilerplate lines gone from ``text``, and the columns ``counts`` after its own.
 
     Every row stays, a text of boilerplate only as the empty text; NULL texts stay
     NULL with 0 lines, the empty text has one (blank) line; equal rows get equal
-    results; no rows give no rows. Columns of ``docs`` named n_lines or n_dropped
+    results; no rows give no rows. Columns of ``docs`` named as ``counts``
     give way to the operator's; all others stay as they are.
     """
     known = materialize(boilerplate(docs, host_col, text_col, max_ratio, min_pages), "line-dedup")
@@ -82,9 +82,9 @@ def clean(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     kept = F.transform(F.array(F.struct(every.alias("e"), F.col("_drop").alias("d"))), lambda x: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["e"]) - 1), x["d"]), lambda i: F.element_at(x["e"], i + 1)), "\n"))[0]
     out = [F.when(F.col("_drop").isNull(), text).otherwise(kept).alias(c) if c == text_col else docs[c]
-           for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*out, F.when(text.isNull(), 0).otherwise(F.size(every)).cast("long").alias("n_lines"),
-                         F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped"))
+           for c in docs.columns if c not in counts]
+    return joined.select(*out, F.when(text.isNull(), 0).otherwise(F.size(every)).cast("long").alias(counts[0]),
+                         F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias(counts[1]))
 
 
 def oracle(table: str = "documents", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> str:
