@@ -21,6 +21,8 @@ K, M, L = 2, 32, 2
 #: Tasks per shuffle partition for the k-mer rows, which are many times the text's size.
 SPREAD = 4
 _POS = (1 << 31) - 1
+#: Stands for the NULL id.
+_NULL = -(1 << 63)
 _WS = " \t\n\x0b\f\r"
 
 
@@ -40,7 +42,7 @@ def _kmers(text: Column, k: int) -> Column:
 
 
 def signatures(texts: DataFrame, keys: list[str], text_cols: list[str], k: int = K, m: int = M, l: int = L) -> DataFrame:  # noqa: E741
-    """``keys`` and for each text column ``c`` its signature ``c_sig`` (``m`` ints).
+    """``keys`` and for each text column ``c`` its signature ``c_sig`` (``m`` numbers of 31 bits).
 
     One row per key; partition ``texts`` by keys (or part of them) beforehand and
     the k-mer rows move no further: numbering and minima run where they are made.
@@ -58,7 +60,7 @@ def signatures(texts: DataFrame, keys: list[str], text_cols: list[str], k: int =
         picked = F.sort_array(F.array(*[
             F.struct(F.col(f"m{j}").bitwiseAND(F.lit(_POS)).alias("at"), F.lit(s).alias("s"), F.shiftright(f"m{j}", 31).alias("h"))
             for s, j in enumerate(range(i * l, i * l + l))]))
-        return F.xxhash64(F.transform(picked, lambda x: F.struct(x["s"], x["h"]))).bitwiseAND(F.lit((1 << 32) - 1)).alias(f"p{i}")
+        return F.shiftrightunsigned(F.xxhash64(F.transform(picked, lambda x: F.struct(x["s"], x["h"]))), 33).cast("int").alias(f"p{i}")
 
     sig = found.select(*keys, "v", F.array(*[part(i) for i in range(m)]).alias("sig"))
     return sig.groupBy(*keys).agg(*[F.first(F.when(F.col("v") == v, F.col("sig")), ignorenulls=True).alias(f"{c}_sig")
@@ -77,65 +79,63 @@ def to_hex(sig: Column) -> Column:
 
 
 def following(docs: DataFrame) -> DataFrame:
-    """``(doc_id, need, next_id)`` for each distinct id: the next id in descending order (after the
-    last, the first; NULL is last), and how many of the next text's characters the id's rows need."""
-    ids = docs.groupBy("doc_id").agg(F.max(F.char_length("text").cast("long")).alias("n"))
-    ranged = materialize(ids.select("doc_id", F.expr("coalesce(n, 0) div 3").cast("int").alias("need"))
-                         .repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").desc_nulls_last())
+    """``(did, need, next_id)`` for each distinct id: the next id in descending order (after the
+    last, the first), and how many of the next text's characters the id's rows need."""
+    ids = docs.groupBy("did").agg(F.max(F.char_length("text").cast("long")).alias("n"))
+    ranged = materialize(ids.select("did", F.expr("n div 3").cast("int").alias("need"))
+                         .repartitionByRange(partitions(docs.sparkSession), F.col("did").desc())
                          .withColumn("p", F.spark_partition_id()), "order-minhash")
     # one row per partition of the step before
     before = ranged.groupBy("p").count().withColumn("before", F.sum("count").over(
         Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))).select("p", F.coalesce("before", F.lit(0)).alias("before"))
     total = ranged.count()
     at = (ranged.join(F.broadcast(before), "p")
-          .withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("p").orderBy(F.col("doc_id").desc_nulls_last())) - 1))
-    after = at.select(F.col("doc_id").alias("next_id"), F.pmod(F.col("at") - 1, F.lit(max(total, 1))).alias("at"))
-    return at.join(after, "at").select("doc_id", "need", "next_id")
+          .withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("p").orderBy(F.col("did").desc())) - 1))
+    after = at.select(F.col("did").alias("next_id"), F.pmod(F.col("at") - 1, F.lit(max(total, 1))).alias("at"))
+    return at.join(after, "at").select("did", "need", "next_id")
 
 
 def edited(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
-    """``(doc_id, th, text, copies, edited)``: the last third of each text replaced by the start of the next id's text.
+    """``(did, th, text, copies, edited)``: the last third of each text replaced by the start of the next id's text.
 
     Rows equal in id and text are one row with their number in ``copies``; of an id's several
-    texts, the one with the smallest hash is what the id before it takes from.
+    texts, the one with the smallest hash is what the id before it takes from. Partitioned by
+    ``did``: whole texts are exchanged once, and the starts taken from them once.
     """
-    rows = (docs.repartition(parts, "doc_id").groupBy("doc_id", "th")
+    rows = (docs.repartition(parts, "did").groupBy("did", "th")
             .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
-    take = pairs.select(F.col("doc_id").alias("to_id"), "need", F.col("next_id"))
-    starts = (rows.join(take, rows.doc_id.eqNullSafe(take.next_id))
-              .select("to_id", "th", F.expr("substring(text, 1, need)").alias("start"))
-              .groupBy("to_id").agg(F.min_by("start", "th").alias("start")))
-    joined = rows.join(starts, rows.doc_id.eqNullSafe(starts.to_id), "left")
+    take = pairs.select(F.col("did").alias("to_id"), "need", F.col("next_id").alias("did"))
+    starts = (rows.join(take, "did").select("to_id", "th", F.expr("substring(text, 1, need)").alias("start"))
+              .repartition(parts, "to_id").groupBy(F.col("to_id").alias("did")).agg(F.min_by("start", "th").alias("start")))
     cut = F.expr("char_length(text) div 3").cast("int")
     kept = F.substring("text", F.lit(1), F.char_length("text") - cut)
-    return joined.select("doc_id", "th", "text", "copies",
-                         F.concat(kept, F.substring(F.coalesce("start", F.lit("")), F.lit(1), cut)).alias("edited"))
+    return rows.join(starts, "did").select("did", "th", "text", "copies", F.concat(kept, F.substring("start", F.lit(1), cut)).alias("edited"))
 
 
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, m: int = M, l: int = L) -> DataFrame:  # noqa: E741
     """Fingerprints of every text and of its edited text, and how alike they and the next text's are.
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next`` for every row. NULL texts count as empty; texts without
-    words share one fingerprint; one document alone is its own next; repeated rows
-    repeat their result; an id's rows with different texts all have the next
-    smaller id's text (of several, that with the smallest hash) as next; no rows
-    give no rows; other columns are ignored.
+    near_edited, near_next`` for every row. Ids are integers, NULL is the smallest. NULL
+    texts count as empty; texts without words share one fingerprint; one document alone is
+    its own next; repeated rows repeat their result; an id's rows with different texts all
+    have the next smaller id's text (of several, that with the smallest hash) as next; no
+    rows give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-            .select("doc_id", F.xxhash64("text").alias("th"), "text"))
+    rows = (docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+            .select("did", F.xxhash64("text").alias("th"), "text"))
     pairs = materialize(following(rows), "order-minhash")
     both = edited(rows, pairs, SPREAD * partitions(spark))
-    facts = both.select("doc_id", "th", "copies", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    sigs = signatures(both, ["doc_id", "th"], ["text", "edited"], k, m, l)
-    same = facts.doc_id.eqNullSafe(sigs.doc_id) & (facts.th == sigs.th)
-    found = materialize(facts.join(sigs, same).select(facts.doc_id, facts.th, "copies", "n_chars", "edited_sha256", "text_sig", "edited_sig"), "order-minhash")
+    facts = both.select("did", "th", "copies", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    sigs = signatures(both, ["did", "th"], ["text", "edited"], k, m, l).withColumnRenamed("th", "th2")
+    # both sides lie by did already: th is compared within it, not dealt out anew
+    found = materialize(facts.join(sigs, "did").where(F.col("th").bitwiseXOR(F.col("th2")) == 0).drop("th2"), "order-minhash")
     free_shuffles(spark)
-    own = found.join(pairs, found.doc_id.eqNullSafe(pairs.doc_id)).drop(pairs.doc_id)
-    ahead = found.groupBy(F.col("doc_id").alias("n_id")).agg(F.min_by("text_sig", "th").alias("next_sig"))
-    return (own.join(ahead, own.next_id.eqNullSafe(ahead.n_id))
-            .select("doc_id", "n_chars", "edited_sha256", to_hex(F.col("text_sig")).alias("fingerprint"),
+    own = found.join(pairs, "did")
+    ahead = found.groupBy(F.col("did").alias("next_id")).agg(F.min_by("text_sig", "th").alias("next_sig"))
+    return (own.join(ahead, "next_id")
+            .select(F.nullif("did", F.lit(_NULL)).alias("doc_id"), "n_chars", "edited_sha256", to_hex(F.col("text_sig")).alias("fingerprint"),
                     to_hex(F.col("edited_sig")).alias("edited_fingerprint"),
                     likeness(F.col("text_sig"), F.col("edited_sig"), l).alias("near_edited"),
                     likeness(F.col("text_sig"), F.col("next_sig"), l).alias("near_next"),
