@@ -21,7 +21,13 @@ STATUS_MAP = {"O": "open", "F": "closed"}          # anything else -> 'processin
 OPENING_BALANCE = "100.00"                           # stock ledger opening balance
 MENU_HOLE, STOCK_HOLE, CUSTOMER_HOLE = 17, 13, 19    # key moduli removed on purpose
 CHANGE_EVERY = 5                                     # merge batch: keys divisible by 5
-UNMATCHED_OFFSET = 1_000_000                         # merge batch: keys shifted out of range
+
+
+def unmatched(col: str):
+    """Merge batches: the key's partner that no table has (tables' keys are not negative)."""
+    return -1 - F.col(col)
+
+
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()

@@ -38,13 +38,6 @@ def distinct_from(a: Column | str, b: Column | str) -> Column:
     return ~a.eqNullSafe(b)
 
 
-def signed_quantity(ttype: Column | str, qty: Column | str) -> Column:
-    """Ledger delta: increment adds, decrement subtracts; adjustment/unknown -> NULL."""
-    t = F.col(ttype) if isinstance(ttype, str) else ttype
-    q = F.col(qty) if isinstance(qty, str) else qty
-    return F.when(t == "increment", q).when(t == "decrement", -q)
-
-
 def to_int_column(dec: Column | str) -> Column:
     """Numeric stored into an INT column: round half away from zero, then cast."""
     c = F.col(dec) if isinstance(dec, str) else dec

@@ -1,16 +1,17 @@
 """Ordered scans per key that do not put a hot key in one task.
 
 A window ``partitionBy(key).orderBy(ts)`` sends every row of a key to one
-task.  When one key may hold a third of the data, that task is the job.
-These helpers split each key's timeline into *buckets* (a monotone function
-of the order column; ``key_buckets`` sizes them per key from the key's row
-count), run the window per (key, bucket) - so a hot key spreads over as many
-tasks as it has buckets - and carry state between buckets through a
-per-(key, bucket) summary table of ``sum over keys of ceil(rows_k / target)``
-rows: orders of magnitude smaller than the data.
-
-The results are exact: the bucket is monotone in the ordering, so "earlier
-bucket" implies "earlier row".
+task.  When one key may hold a third of the data, that task is the job.  So
+all scans take the same way, whatever the sizes: ``ordered`` range-partitions
+the rows on (key, order) into parts of near equal row counts and stores them
+with the part's number, the *bucket*.  A key with many rows, also in a burst,
+spreads over many buckets; a bucket holds many small keys.  Windows run per
+(key, bucket); what a bucket must know of the ones before (or after) it comes
+from a summary with one row per (key, bucket) - at most one per key and one
+per part - and enters the window as one more row at its edge.
+
+Buckets are monotone in (key, order) and windows compare NULLs as equal, so
+results are exact, also for NULL keys, NULL times and ties.
 """
 
 from __future__ import annotations
@@ -18,209 +19,127 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.scalar import epoch_micros
+from larder.session import materialize
 
-DAY_MICROS = 86_400_000_000
+BUCKET = "_bucket"
 
 
-def time_bucket(ts: str | Column, width_micros: int = DAY_MICROS) -> Column:
-    """Bucket number of a timestamp / timestamp_ntz: floor(epoch micros / width)."""
-    return F.floor(epoch_micros(ts) / F.lit(width_micros)).cast("long")
+def ordered(df: DataFrame, keys: list[str], order: list[str], target_rows: int | None = None) -> DataFrame:
+    """``df`` stored in the shared folder with ``_bucket``, the number of its range of (keys, order).
 
-
-TARGET_ROWS = 200_000   # rows per (key, bucket) that one task handles comfortably
-
-
-def key_buckets(df: DataFrame, keys: list[str], ts: str | Column, target_rows: int = TARGET_ROWS,
-                out: str = "_bucket") -> DataFrame:
-    """Per-key adaptive time buckets: key k's time span is cut into ~ceil(rows_k / target_rows) buckets.
-
-    A normal key gets one bucket (its scan is a plain window and its carry
-    table is one row); a key holding a third of the data gets thousands and
-    spreads over as many tasks.  One aggregate per key (partially aggregated,
-    so a hot key costs one row per map task), joined back on the key (a
-    skewed join partition is split by AQE).  The bucket is monotone in
-    ``ts`` within a key, which is all the scans need.
+    As many ranges as shuffle partitions, or of about ``target_rows`` rows each.
+    Rows equal in (keys, order) share a range.
     """
-    us = epoch_micros(ts)
-    stats = (df.groupBy(*keys).agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-             .select(*keys, "_lo", F.greatest(F.lit(1), F.floor(
-                 (F.col("_hi") - F.col("_lo") + 1).cast("double") * F.lit(float(target_rows)) / F.col("_n"))
-                 .cast("long")).alias("_w")))
-    return (df.join(stats, keys)
-            .withColumn(out, F.floor((us - F.col("_lo")) / F.col("_w")).cast("long"))
-            .drop("_lo", "_w"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if target_rows:
+        parts = max(1, -(-df.count() // target_rows))
+    ranged = df.repartitionByRange(parts, *[F.col(c) for c in keys + order])
+    return materialize(ranged.withColumn(BUCKET, F.spark_partition_id()), "ordered")
 
 
-def needs_split(df: DataFrame, keys: list[str], target_rows: int = TARGET_ROWS) -> bool:
-    """Does any key hold more than ``target_rows`` rows?  One small aggregate job.
+def _edge(df: DataFrame, carry: DataFrame, at: int) -> DataFrame:
+    """``df`` with the rows of ``carry`` added; ``_edge`` is 1 for rows of ``df`` and ``at`` for the added ones."""
+    return (df.withColumn("_edge", F.lit(1))
+            .unionByName(carry.withColumn("_edge", F.lit(at)), allowMissingColumns=True))
 
-    When no key does, a plain per-key window is the cheapest exact plan (one
-    shuffle); otherwise the bucketed helpers split the large keys.
-    """
-    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return bool(biggest) and biggest > target_rows
+
+def _inside(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("_edge") == 1).drop("_edge")
 
 
 def _rows_to_here(part: list[str], order: list[str]):
-    return Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return Window.partitionBy(*part).orderBy("_edge", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _before_bucket(keys: list[str], bucket: str):
-    return Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+def _before(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-                bucket: str | None) -> DataFrame:
-    """Inclusive running sum of ``value`` per key in ``order``.
+def _buckets(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy(BUCKET)
 
-    ``bucket`` names a column that is monotone in ``order``.  Per-bucket
-    totals are summed over earlier buckets (small window), joined back on
-    (keys, bucket), and added to the in-bucket running sum.  The join and
-    the in-bucket window share the (keys, bucket) partitioning.
-    """
-    if bucket is None:
-        return df.withColumn(out, F.sum(value).over(_rows_to_here(keys, order)))
-    part = keys + [bucket]
-    totals = df.groupBy(*part).agg(F.sum(value).alias("_bt"))
-    offsets = totals.select(*part, F.sum("_bt").over(_before_bucket(keys, bucket)).alias("_off"))
-    j = df.join(offsets, part)
-    inner = F.sum(value).over(_rows_to_here(part, order))
-    zero = F.lit(0).cast(df.schema[value].dataType)
-    return j.withColumn(out, F.coalesce(F.col("_off"), zero) + inner).drop("_off")
 
-
-def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
-                 bucket: str | None) -> DataFrame:
-    """Several inclusive running sums at once (``{out: value column}``), one carry table.
-
-    ``bucket=None`` is the plain per-key window, for callers that have
-    checked that no key needs more than one bucket.
-    """
-    if bucket is None:
-        w = _rows_to_here(keys, order)
-        for o, v in values.items():
-            df = df.withColumn(o, F.sum(v).over(w))
-        return df
-    part = keys + [bucket]
-    totals = df.groupBy(*part).agg(*[F.sum(v).alias(f"_bt_{o}") for o, v in values.items()])
-    wb = _before_bucket(keys, bucket)
-    offsets = totals.select(*part, *[F.sum(f"_bt_{o}").over(wb).alias(f"_off_{o}") for o in values])
-    j = df.join(offsets, part)
+def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
+    """Inclusive running sums ``{out: value column}`` per key in ``order`` (NULL values add nothing)."""
+    part = keys + [BUCKET]
+    given = df.withColumns({f"_v_{o}": F.col(v) for o, v in values.items()})
+    sums = df.groupBy(*part).agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
+    earlier = (sums.withColumn("_n", F.row_number().over(_buckets(keys)))
+               .select(*part, "_n", *[F.sum(f"_t_{o}").over(_before(keys)).alias(f"_v_{o}") for o in values])
+               .filter(F.col("_n") > 1).drop("_n"))
     w = _rows_to_here(part, order)
-    for o, v in values.items():
-        zero = F.lit(0).cast(df.schema[v].dataType)
-        j = j.withColumn(o, F.coalesce(F.col(f"_off_{o}"), zero) + F.sum(v).over(w)).drop(f"_off_{o}")
-    return j
+    both = _edge(given, earlier, 0)
+    return _inside(both.withColumns({o: F.sum(f"_v_{o}").over(w) for o in values})).drop(*[f"_v_{o}" for o in values])
 
 
-def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-                   bucket: str) -> DataFrame:
+def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """``lag(value)`` per key in ``order``, NULL for the key's first row.
 
     Also sets ``_first`` (true on the key's first row), because a NULL
     previous value and "no previous row" must not be confused.
-    ``bucket=None``: plain per-key window.
     """
-    if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    part = keys + [bucket]
-    last = (df.groupBy(*part)
-            .agg(F.max_by(F.col(value), F.struct(*order)).alias("_lv")))
-    # the previous bucket's last value: lag over the small summary table
-    carry = last.select(*part,
-                        F.lag("_lv").over(Window.partitionBy(*keys).orderBy(bucket)).alias("_cv"),
-                        (F.row_number().over(Window.partitionBy(*keys).orderBy(bucket)) == 1).alias("_fb"))
-    w = Window.partitionBy(*part).orderBy(*order)
-    j = df.join(carry, part)
-    rn = F.row_number().over(w)
-    return (j.withColumn("_rn", rn)
-            .withColumn(out, F.when(F.col("_rn") == 1, F.col("_cv")).otherwise(F.lag(value).over(w)))
-            .withColumn("_first", (F.col("_rn") == 1) & F.col("_fb"))
-            .drop("_rn", "_cv", "_fb"))
-
-
-def next_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-               bucket: str) -> DataFrame:
-    """``lead(value)`` per key in ``order``, NULL for the key's last row (``bucket=None``: plain window)."""
-    if bucket is None:
-        return df.withColumn(out, F.lead(value).over(Window.partitionBy(*keys).orderBy(*order)))
-    part = keys + [bucket]
-    first = (df.groupBy(*part)
-             .agg(F.min_by(F.col(value), F.struct(*order)).alias("_fv")))
-    carry = first.select(*part, F.lead("_fv").over(Window.partitionBy(*keys).orderBy(bucket)).alias("_nv"))
-    w = Window.partitionBy(*part).orderBy(*order)
-    wd = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
-    j = df.join(carry, part)
-    return (j.withColumn("_rd", F.row_number().over(wd))
-            .withColumn(out, F.when(F.col("_rd") == 1, F.col("_nv")).otherwise(F.lead(value).over(w)))
-            .drop("_rd", "_nv"))
-
-
-def last_non_null(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-                  bucket: str) -> DataFrame:
-    """As-of fill: the latest non-NULL ``value`` at or before each row, per key (``bucket=None``: plain window)."""
-    if bucket is None:
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(_rows_to_here(keys, order)))
-    part = keys + [bucket]
-    last = (df.filter(F.col(value).isNotNull()).groupBy(*part)
-            .agg(F.max_by(F.col(value), F.struct(*order)).alias("_lv")))
-    buckets = df.select(*part).distinct()
-    b = buckets.join(last, part, "left")
-    carry = b.select(*part, F.last("_lv", ignorenulls=True).over(_before_bucket(keys, bucket)).alias("_cv"))
-    j = df.join(carry, part)
-    inner = F.last(value, ignorenulls=True).over(_rows_to_here(part, order))
-    return j.withColumn(out, F.coalesce(inner, F.col("_cv"))).drop("_cv")
-
-
-def set_add_fold(df: DataFrame, keys: list[str], order: list[str], kind: str, value: str,
-                 init: Column, out: str, bucket: str | None = None) -> DataFrame:
+    part = keys + [BUCKET]
+    last = df.groupBy(*part).agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
+    earlier = (last.withColumn("_n", F.row_number().over(_buckets(keys)))
+               .select(*part, "_n", F.lag("_last").over(_buckets(keys)).alias(value)).filter(F.col("_n") > 1).drop("_n"))
+    w = Window.partitionBy(*part).orderBy("_edge", *order)
+    return _inside(_edge(df, earlier, 0).withColumn(out, F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1))
+
+
+def next_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``lead(value)`` per key in ``order``, NULL for the key's last row."""
+    part = keys + [BUCKET]
+    first = df.groupBy(*part).agg(F.min_by(F.col(value), F.struct(*order)).alias("_next"))
+    later = (first.withColumn("_n", F.lead(F.lit(1)).over(_buckets(keys)))
+             .select(*part, "_n", F.lead("_next").over(_buckets(keys)).alias("_next")).filter(F.col("_n").isNotNull()).drop("_n"))
+    w = Window.partitionBy(*part).orderBy("_edge", *order)
+    return _inside(_edge(df.withColumn("_next", F.col(value)), later, 2).withColumn(out, F.lead("_next").over(w))).drop("_next")
+
+
+def last_non_null(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """As-of fill: the latest non-NULL ``value`` at or before each row, per key."""
+    part = keys + [BUCKET]
+    known = F.struct(*order)
+    last = df.groupBy(*part).agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), known)).alias("_last"))
+    earlier = (last.select(*part, F.last("_last", ignorenulls=True).over(_before(keys)).alias(value))
+               .filter(F.col(value).isNotNull()))
+    w = _rows_to_here(part, order)
+    return _inside(_edge(df, earlier, 0).withColumn(out, F.last(value, ignorenulls=True).over(w)))
+
+
+def set_add_fold(df: DataFrame, keys: list[str], order: list[str], kind: str, value: str, init: Column, out: str) -> DataFrame:
     """Running state per key where a row either *sets* the state or *adds* to it.
 
     ``kind`` is 'set' or 'add' (anything else adds NULL, making the state
     NULL until the next set - as SQL arithmetic with an unknown CASE does).
     The state after each row is written to ``out``; ``init`` is the state
-    before the key's first row.
-
-    Without ``bucket`` this is two windows per key: a running count of
-    'set' rows numbers the segments, and within a segment the state is the
-    set value (or ``init``) plus the running sum of added values.  With
-    ``bucket`` the same fold runs first over per-bucket summaries (each
-    bucket acts like one 'set' or 'add' row) to get every bucket's incoming
-    state, then inside each (key, bucket).
+    before the key's first row.  The same fold runs over the buckets (each acts
+    like one 'set' or 'add' row), and the state before a bucket enters it as a
+    'set' row at its edge.
     """
-    if bucket is None:
-        return _fold(df, keys, order, kind, value, init, out)
-    part = keys + [bucket]
-    # per bucket: does it set?  state contribution of the bucket
-    inner = _fold(df, part, order, kind, value, F.lit(0).cast(df.schema[value].dataType), "_st")
-    summ = (inner.groupBy(*part)
-            .agg(F.max(F.col(kind) == "set").alias("_has_set"),
-                 F.max_by(F.col("_st"), F.struct(*order)).alias("_end")))
-    # a bucket with a set row ends at _end whatever came before; else it adds _end
-    summ = summ.select(*part, F.when(F.col("_has_set"), F.lit("set")).otherwise(F.lit("add")).alias("_k"),
-                       F.col("_end"))
-    folded = _fold(summ, keys, [bucket], "_k", "_end", init, "_after")
-    # a key's first bucket starts from ``init``; later ones from the previous bucket's end
-    # state, which may be NULL (poisoned) and must stay NULL
-    kb = Window.partitionBy(*keys).orderBy(bucket)
-    carry = folded.select(*part, F.when(F.row_number().over(kb) == 1, init)
-                          .otherwise(F.lag("_after").over(kb)).alias("_in"))
-    j = df.join(carry, part)
-    return _fold(j, part, order, kind, value, F.col("_in"), out).drop("_in")
+    part = keys + [BUCKET]
+    zero = F.lit(0).cast(df.schema[value].dataType)
+    inner = _fold(df.withColumn("_edge", F.lit(1)), part, order, kind, value, zero, "_state")
+    ends = inner.groupBy(*part).agg(F.max(F.coalesce(F.col(kind) == "set", F.lit(False))).alias("_sets"),
+                                    F.max_by("_state", F.struct(*order)).alias("_end"))
+    summary = ends.select(*part, F.when(F.col("_sets"), F.lit("set")).otherwise(F.lit("add")).alias("_k"), "_end", F.lit(1).alias("_edge"))
+    after = _fold(summary, keys, [BUCKET], "_k", "_end", init, "_after")
+    earlier = (after.withColumn("_n", F.row_number().over(_buckets(keys)))
+               .select(*part, "_n", F.lit("set").alias(kind), F.lag("_after").over(_buckets(keys)).alias(value))
+               .filter(F.col("_n") > 1).drop("_n"))
+    return _inside(_fold(_edge(df, earlier, 0), part, order, kind, value, init, out))
 
 
 def _fold(df: DataFrame, part: list[str], order: list[str], kind: str, value: str,
           init: Column, out: str) -> DataFrame:
+    """The fold in one window per ``part``; a running count of 'set' rows numbers the segments."""
     w = _rows_to_here(part, order)
-    is_set = F.col(kind) == "set"
-    seg = F.sum(F.when(is_set, 1).otherwise(0)).over(w)
-    with_seg = df.withColumn("_seg", seg)
+    is_set = F.coalesce(F.col(kind) == "set", F.lit(False))
+    with_seg = df.withColumn("_seg", F.sum(F.when(is_set, 1).otherwise(0)).over(w))
     ws = _rows_to_here(part + ["_seg"], order)
     delta = F.when(is_set, F.lit(0)).when(F.col(kind) == "add", F.col(value))
-    base = F.when(F.col("_seg") == 0, init).otherwise(
-        F.first(F.when(is_set, F.col(value)), ignorenulls=True).over(ws))
+    # a segment begins with its 'set' row, whose value may be NULL
+    base = F.when(F.col("_seg") == 0, init).otherwise(F.first(F.col(value)).over(ws))
     # NULL delta (unknown kind) poisons the segment from that row on, like SQL
     poisoned = F.max(F.when(delta.isNull(), 1).otherwise(0)).over(ws) == 1
     total = base + F.sum(F.coalesce(delta, F.lit(0))).over(ws)

@@ -1,11 +1,11 @@
 """Change tracking: stock ledger, status history, price history.
 
-These are the batch forms of the reference's PL/pgSQL triggers.  Every
-ordered scan runs through ``larder.functions.scan``: windows per
-(key, bucket) plus a small per-bucket carry table, so a key holding a
-third of all rows is still spread over many tasks.  Orderings are total:
-(ts, tie-breaker id).  ``target_rows`` sets how many rows of one key one
-task scans; keys with more rows are split into more buckets.
+These are the batch forms of the reference's change triggers.  Every ordered
+scan runs through ``larder.functions.scan``: windows per (key, bucket) plus a
+small per-bucket summary, so a key holding a third of all rows is spread over
+many tasks.  Orderings are total: (ts, tie-breaker id), NULL first.
+``target_rows`` sets how many rows a bucket holds; by default there are as
+many buckets as shuffle partitions.
 """
 
 from __future__ import annotations
@@ -14,21 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import scan
+from larder.functions.scan import BUCKET
 from larder.functions.scalar import distinct_from, history_id, to_int_column
 
-_B = "_bucket"
-
-
-def _bucketed(df: DataFrame, key: str, ts: str, target_rows: int) -> tuple[DataFrame, str | None]:
-    """Bucket the keys that need it; (df, None) when every key fits one task (checked on the data)."""
-    if not scan.needs_split(df, [key], target_rows):
-        return df, None
-    return scan.key_buckets(df, [key], ts, target_rows, _B), _B
-
-
 # ---- W2 / W2b ---------------------------------------------------------------
 def stock_ledger(tx: DataFrame, opening: Column | None = None, key: str = "inventory_id",
-                 ts: str = "ts", seq: str = "event_id", target_rows: int = scan.TARGET_ROWS) -> DataFrame:
+                 ts: str = "ts", seq: str = "event_id", target_rows: int | None = None) -> DataFrame:
     """Running balance after every transaction.
 
     ``increment`` adds, ``decrement`` subtracts, ``adjustment`` replaces the
@@ -40,37 +31,46 @@ def stock_ledger(tx: DataFrame, opening: Column | None = None, key: str = "inven
     t = F.col("transaction_type")
     kind = F.when(t == "adjustment", F.lit("set")).when(t.isin("increment", "decrement"), F.lit("add"))
     val = F.when(t == "decrement", -F.col("quantity")).otherwise(F.col("quantity"))
-    df, b = _bucketed(tx.withColumn("_kind", kind).withColumn("_val", val), key, ts, target_rows)
+    df = scan.ordered(tx.withColumn("_kind", kind).withColumn("_val", val), [key], [ts, seq], target_rows)
     dtype = df.schema["_val"].dataType
-    out = scan.set_add_fold(df, [key], [ts, seq], "_kind", "_val", opening.cast(dtype), "balance", b)
-    return out.drop("_kind", "_val", _B)
+    out = scan.set_add_fold(df, [key], [ts, seq], "_kind", "_val", opening.cast(dtype), "balance")
+    return out.drop("_kind", "_val", BUCKET)
 
 
 def stock_balance(tx: DataFrame, opening: Column | None = None, key: str = "inventory_id",
-                  ts: str = "ts", seq: str = "event_id") -> DataFrame:
-    """Only the final balance per key, without any window.
+                  ts: str = "ts", seq: str = "event_id", target_rows: int | None = None) -> DataFrame:
+    """Only the final balance per key, without a window over the rows.
 
-    The last adjustment per key comes from a ``max_by`` aggregate; the signed
-    sum of the rows after it is a conditional aggregate over a join with that
-    one-row-per-key table.  Both aggregates combine map-side, so a hot key
-    costs no more than any other.
+    Two aggregates: each (key, bucket) of the ordered rows sums up to its last
+    adjustment and the signed sum after it; a key's buckets then combine in
+    order.  A bucket is a part of near equal size, so a hot key has many; the
+    second step has one row per (key, bucket).
     """
     opening = opening if opening is not None else F.lit(0)
     t = F.col("transaction_type")
-    order = F.struct(F.col(ts), F.col(seq))
-    last_adj = (tx.filter(t == "adjustment").groupBy(key)
-                .agg(F.max(order).alias("_la"), F.max_by("quantity", order).alias("_laq")))
-    signed = F.when(t == "increment", F.col("quantity")).when(t == "decrement", -F.col("quantity"))
-    after = F.col("_la").isNull() | (order > F.col("_la"))
-    j = tx.join(last_adj, key, "left")
-    agg = j.groupBy(key).agg(
-        F.first("_laq", ignorenulls=True).alias("_base"),
-        F.sum(F.when(after & (t != "adjustment"), signed)).alias("_after"),
-        F.max(F.when(after & ~t.isin("increment", "decrement", "adjustment"), 1)).alias("_bad"))
     dtype = tx.schema["quantity"].dataType
-    base = F.coalesce(F.col("_base"), opening.cast(dtype))
-    bal = F.when(F.col("_bad").isNotNull(), F.lit(None)).otherwise(base + F.coalesce(F.col("_after"), F.lit(0)))
-    return agg.select(key, bal.alias("balance"))
+    kind = F.when(t == "adjustment", F.lit("set")).when(t.isin("increment", "decrement"), F.lit("add"))
+    val = F.when(t == "decrement", -F.col("quantity")).otherwise(F.col("quantity"))
+    df = scan.ordered(tx.select(key, ts, seq, kind.alias("_kind"), val.alias("_val")), [key], [ts, seq], target_rows)
+    # within a bucket: rows as (order, kind, value); the fold needs the last 'set' and what follows it
+    row = F.struct(F.col(ts), F.col(seq))
+    is_set = F.coalesce(F.col("_kind") == "set", F.lit(False))
+    part = [key, BUCKET]
+    last = df.filter(is_set).groupBy(*part).agg(F.max(row).alias("_at"), F.max_by("_val", row).alias("_base"))
+    joined = df.join(last.select(F.col(key).alias("_k"), F.col(BUCKET).alias("_kb"), "_at", "_base"),
+                     df[key].eqNullSafe(F.col("_k")) & (df[BUCKET] == F.col("_kb")), "left")
+    later = ~is_set & (F.col("_at").isNull() | (row > F.col("_at")))
+    ends = joined.groupBy(*part).agg(
+        F.max(is_set).alias("_sets"), F.first("_base", ignorenulls=True).alias("_base"),
+        F.sum(F.when(later, F.col("_val"))).alias("_after"),
+        F.max(later & (F.col("_kind").isNull() | F.col("_val").isNull())).alias("_bad"))
+    end = F.when(F.col("_bad"), F.lit(None)).otherwise(
+        F.when(F.col("_sets"), F.col("_base")).otherwise(F.lit(0).cast(dtype)) + F.coalesce("_after", F.lit(0).cast(dtype)))
+    step = ends.select(key, F.struct(F.col(BUCKET).alias("b"), F.col("_sets").alias("s"), end.cast("decimal(38,6)").alias("e")).alias("x"))
+    zero = opening.cast("decimal(38,6)")
+    folded = F.aggregate(F.sort_array(F.collect_list("x")), F.struct(zero.alias("v")),
+                         lambda acc, x: F.struct(F.when(x["s"], x["e"]).otherwise((acc["v"] + x["e"]).cast("decimal(38,6)")).alias("v")))
+    return step.groupBy(key).agg(folded["v"].alias("balance")).withColumn("balance", F.col("balance").cast(f"decimal(38,{getattr(dtype, 'scale', 6)})"))
 
 
 def stock_balance_int(tx: DataFrame, opening: Column | None = None, key: str = "inventory_id") -> DataFrame:
@@ -85,22 +85,22 @@ def stock_balance_int(tx: DataFrame, opening: Column | None = None, key: str = "
 
 # ---- W3 ---------------------------------------------------------------------
 def status_history(changes: DataFrame, key: str = "order_id", ts: str = "ts", seq: str = "event_id",
-                   target_rows: int = scan.TARGET_ROWS) -> DataFrame:
+                   target_rows: int | None = None) -> DataFrame:
     """A history row on a key's first row and whenever status IS DISTINCT FROM the previous.
 
     The first row is found by position, not by a NULL previous status, so a
     NULL status after a real one is still a change.
     Columns: id, order_id, status, created_at.
     """
-    df, b = _bucketed(changes, key, ts, target_rows)
-    prev = scan.previous_value(df, [key], [ts, seq], "status", "_prev", b)
+    df = scan.ordered(changes.select(key, ts, seq, "status"), [key], [ts, seq], target_rows)
+    prev = scan.previous_value(df, [key], [ts, seq], "status", "_prev")
     hit = prev.filter(F.col("_first") | distinct_from("status", "_prev"))
     return hit.select(history_id(key, ts, seq).alias("id"), key, "status", F.col(ts).alias("created_at"))
 
 
 # ---- W4 / W4b ----------------------------------------------------------------
 def price_history(prices: DataFrame, key: str = "menu_item_id", ts: str = "ts",
-                  target_rows: int = scan.TARGET_ROWS) -> DataFrame:
+                  target_rows: int | None = None) -> DataFrame:
     """Slowly changing dimension (type 2) from a stream of price observations.
 
     A new interval opens on a key's first row and on every real change
@@ -108,10 +108,10 @@ def price_history(prices: DataFrame, key: str = "menu_item_id", ts: str = "ts",
     open one has ``effective_to`` NULL.  ``ts`` must be unique per key.
     Columns: id, menu_item_id, price, effective_from, effective_to.
     """
-    df, b = _bucketed(prices, key, ts, target_rows)
-    prev = scan.previous_value(df, [key], [ts], "price", "_prev", b)
+    df = scan.ordered(prices.select(key, ts, "price"), [key], [ts], target_rows)
+    prev = scan.previous_value(df, [key], [ts], "price", "_prev")
     opened = prev.filter(F.col("_first") | distinct_from("price", "_prev")).drop("_prev", "_first")
-    closed = scan.next_value(opened, [key], [ts], ts, "effective_to", b)
+    closed = scan.next_value(opened, [key], [ts], ts, "effective_to")
     return closed.select(history_id(key, ts, F.lit(0)).alias("id"), key, "price",
                          F.col(ts).alias("effective_from"), "effective_to")
 
@@ -144,7 +144,7 @@ def price_history_merge(history: DataFrame, snapshot: DataFrame, at: Column,
 # ---- W5 ---------------------------------------------------------------------
 def price_as_of(events: DataFrame, intervals: DataFrame, at: str = "created_at",
                 key: str = "product_id", hist_key: str = "menu_item_id",
-                target_rows: int = scan.TARGET_ROWS) -> DataFrame:
+                target_rows: int | None = None) -> DataFrame:
     """The price in force at each event's time (half-open [from, to) intervals).
 
     Contiguous intervals (as ``price_history`` makes them) turn the range
@@ -162,15 +162,13 @@ def price_as_of(events: DataFrame, intervals: DataFrame, at: str = "created_at",
     u = (ev.select(*cols, F.lit(0).alias("_src"), F.lit(None).cast(starts.schema["_p"].dataType).alias("_p"),
                    F.lit(None).cast("timestamp_ntz").alias("_to"))
          .unionByName(starts.select(key, "_t", F.lit(1).alias("_src"), "_p", "_to"), allowMissingColumns=True))
-    u, b = _bucketed(u, key, "_t", target_rows)
-    u = u.withColumn("_iv", F.struct("_p", "_to"))
-    u = u.withColumn("_iv", F.when(F.col("_src") == 1, F.col("_iv")))
+    u = u.withColumn("_iv", F.when(F.col("_src") == 1, F.struct("_p", "_to")))
     # starts sort before events at the same instant: order by (_t, -_src)
-    u = u.withColumn("_ord", -F.col("_src"))
-    filled = scan.last_non_null(u, [key], ["_t", "_ord"], "_iv", "_cur", b)
+    u = scan.ordered(u.withColumn("_ord", -F.col("_src")), [key], ["_t", "_ord"], target_rows)
+    filled = scan.last_non_null(u, [key], ["_t", "_ord"], "_iv", "_cur")
     res = filled.filter(F.col("_src") == 0)
     in_force = F.col("_cur").isNotNull() & (F.col("_cur._to").isNull() | (F.col("_t") < F.col("_cur._to")))
-    return res.select(*cols, F.when(in_force, F.col("_cur._p")).alias("price")).drop("_t", _B)
+    return res.select(*cols, F.when(in_force, F.col("_cur._p")).alias("price")).drop("_t")
 
 
 # ---- W6 ---------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.scalar import blank, non_positive
-from larder.operators import nested, stock as stock_ops
+from larder.operators import merge, nested, stock as stock_ops
 from larder.plans.admission import admit_in_order
 
 
@@ -28,68 +28,94 @@ def invalid_requests(orders: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def unknown_references(items: DataFrame, menu: DataFrame, bom: DataFrame, stock: DataFrame) -> DataFrame:
-    """Orders naming a product off the menu or an ingredient not in stock -> (order_id, reason)."""
-    unknown_item = _reject(items.join(menu.select("product_id"), "product_id", "left_anti"), "unknown_item")
-    d = stock_ops.ingredient_demand(items.join(menu.select("product_id"), "product_id", "left_semi"), bom)
-    unknown_ingr = _reject(d.join(stock.select("ingredient_id"), "ingredient_id", "left_anti"), "unknown_ingredient")
-    both = unknown_item.unionByName(unknown_ingr)
-    # one reason per order (unknown item wins, as it comes first in the reference's loop)
-    return both.groupBy("order_id").agg(F.max("reason").alias("reason"))
+    """Orders naming a product off the menu or an ingredient not in stock -> (order_id, reason).
+
+    One reason per order: its first problem in item, then ingredient order
+    (``pos``; items without positions count as one place).
+    """
+    at = F.col("pos") if "pos" in items.columns else F.lit(0)
+    known = menu.select("product_id")
+    unknown_item = (items.join(known, "product_id", "left_anti")
+                    .select("order_id", at.alias("pos"), F.lit(0).alias("ingredient_pos"), F.lit("unknown_item").alias("reason")))
+    d = stock_ops.ingredient_demand(items.join(known, "product_id", "left_semi"), bom)
+    unknown_ingr = (d.join(stock.select("ingredient_id"), "ingredient_id", "left_anti")
+                    .select("order_id", at.alias("pos"), "ingredient_pos", F.lit("unknown_ingredient").alias("reason")))
+    first = (unknown_item.unionByName(unknown_ingr).groupBy("order_id")
+             .agg(F.min(F.struct("pos", "ingredient_pos", "reason")).alias("p")))
+    return first.select("order_id", F.col("p.reason").alias("reason"))
 
 
 def place_orders(orders: DataFrame, items: DataFrame, menu: DataFrame, bom: DataFrame, stock: DataFrame,
-                 arrival: tuple[str, str] = ("created_at", "order_id"), max_rounds: int = 100_000) -> dict:
+                 arrival: tuple[str, str] = ("created_at", "order_id"), after: Column | None = None) -> dict:
     """M4: validate, check references, admit against stock in arrival order, deduct.
 
     orders: (order_id, customer_name, status, created_at)   one row per request
     items:  (order_id, pos, product_id, quantity)
-    Accepted orders get status ``open``; rejected ones appear only in
-    ``rejects`` (atomic per order - nothing of a rejected order is saved).
+    Accepted orders get status ``open``, their arrival as ``created_at`` and,
+    with ``after`` (the largest id in use), dense new ids in arrival order as
+    ``new_id`` (``order_id`` stays the request's key).  Rejected ones appear
+    only in ``rejects`` (atomic per order - nothing of a rejected order is
+    saved): every copy of a repeated request (``duplicate_in_batch``),
+    ``invalid`` (V2, or no arrival), unknown references, ``not_enough``.
     Returns dict(accepted, rejects, stock, rounds).
     """
-    invalid = invalid_requests(orders, items)
-    valid_orders = orders.join(invalid, "order_id", "left_anti")
-    valid_items = items.join(valid_orders.select("order_id"), "order_id", "left_semi")
+    single, repeated = merge.one_change_per_key(orders, "order_id")
+    single_items = items.join(single.select("order_id"), "order_id", "left_semi")
+    late = single.filter(F.col(arrival[0]).isNull()).select("order_id")
+    invalid = invalid_requests(single, single_items).unionByName(late).distinct()
+    valid_orders = single.join(invalid, "order_id", "left_anti")
+    valid_items = single_items.join(valid_orders.select("order_id"), "order_id", "left_semi")
     unknown = unknown_references(valid_items, menu, bom, stock)
     cand = valid_orders.join(unknown.select("order_id"), "order_id", "left_anti")
     cand_items = valid_items.join(unknown.select("order_id"), "order_id", "left_anti")
     demand = stock_ops.ingredient_demand(cand_items, bom)
     arr = cand.select("order_id", F.col(arrival[0]).alias("arrival_ts"), F.col(arrival[1]).alias("arrival_seq"))
-    decisions, after, rounds = admit_in_order(demand, arr, stock, max_rounds=max_rounds)
+    decisions, left, rounds = admit_in_order(demand, arr, stock)
     accepted = (cand.join(decisions.filter("accepted").select("order_id"), "order_id", "left_semi")
-                .withColumn("status", F.lit("open")))
-    rejects = (_reject(invalid, "invalid").unionByName(unknown)
+                .withColumns({"status": F.lit("open"), "created_at": F.col(arrival[0])}))
+    if after is not None:
+        accepted = assign_ids(accepted, list(dict.fromkeys(arrival)), after)
+    rejects = (repeated.unionByName(_reject(invalid, "invalid")).unionByName(unknown)
                .unionByName(_reject(decisions.filter(~F.col("accepted")), "not_enough")))
-    return {"accepted": accepted, "rejects": rejects, "stock": after, "rounds": rounds}
+    return {"accepted": accepted, "rejects": rejects, "stock": left, "rounds": rounds}
+
+
+def _found(ids: DataFrame, orders: DataFrame) -> DataFrame:
+    """Distinct requested ids with ``_here`` (true if the order exists) and its status, which may be NULL."""
+    known = orders.select("order_id", "status", F.lit(True).alias("_here"))
+    return (ids.select("order_id").distinct().join(known, "order_id", "left")
+            .withColumn("_here", F.coalesce("_here", F.lit(False))))
+
+
+def _closed() -> Column:
+    return F.coalesce(F.col("status") == "closed", F.lit(False))
+
+
+def _not_there_or_closed(found: DataFrame) -> DataFrame:
+    return found.filter(~F.col("_here") | _closed()).select(
+        "order_id", F.when(~F.col("_here"), F.lit("not_found")).otherwise(F.lit("already_closed")).alias("reason"))
 
 
 def close_orders(orders: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """M7: open -> closed.  Unknown ids: ``not_found``; already closed: ``already_closed``."""
-    req = ids.select("order_id").distinct()
-    known = orders.select("order_id", "status")
-    j = req.join(known, "order_id", "left")
-    rejects = j.filter(F.col("status").isNull() | (F.col("status") == "closed")).select(
-        "order_id", F.when(F.col("status").isNull(), F.lit("not_found")).otherwise(F.lit("already_closed")).alias("reason"))
-    hit = req.select("order_id", F.lit(True).alias("_hit"))
+    """M7: any order that is not closed -> closed.  Unknown ids: ``not_found``; already closed: ``already_closed``."""
+    found = _found(ids, orders)
+    hit = found.filter(F.col("_here")).select("order_id", F.lit(True).alias("_hit"))
     snap = (orders.join(hit, "order_id", "left")
             .withColumn("status", F.when(F.col("_hit"), F.lit("closed")).otherwise(F.col("status")))
             .drop("_hit"))
-    return snap, rejects
+    return snap, _not_there_or_closed(found)
 
 
 def cancel_orders(orders: DataFrame, items: DataFrame, menu: DataFrame, bom: DataFrame, stock: DataFrame,
                   ids: DataFrame) -> dict:
-    """M5: remove open orders and give their ingredients back.
+    """M5: remove orders that are not closed and give their ingredients back.
 
     Rejected: unknown (``not_found``), closed (``already_closed``), or naming
     a product / ingredient that no longer exists (the give-back would fail).
     Returns dict(orders, items, stock, rejects).
     """
-    req = ids.select("order_id").distinct()
-    j = req.join(orders.select("order_id", "status"), "order_id", "left")
-    r1 = j.filter(F.col("status").isNull() | (F.col("status") == "closed")).select(
-        "order_id", F.when(F.col("status").isNull(), F.lit("not_found")).otherwise(F.lit("already_closed")).alias("reason"))
-    ok = j.filter(F.col("status").isNotNull() & (F.col("status") != "closed")).select("order_id")
+    found = _found(ids, orders)
+    ok = found.filter(F.col("_here") & ~_closed()).select("order_id")
     ok_items = items.join(ok, "order_id", "left_semi")
     r2 = unknown_references(ok_items, menu, bom, stock)
     done = ok.join(r2.select("order_id"), "order_id", "left_anti")
@@ -99,31 +125,35 @@ def cancel_orders(orders: DataFrame, items: DataFrame, menu: DataFrame, bom: Dat
     return {"orders": orders.join(done, "order_id", "left_anti"),
             "items": items.join(done, "order_id", "left_anti"),
             "stock": new_stock,
-            "rejects": r1.unionByName(r2)}
+            "rejects": _not_there_or_closed(found).unionByName(r2)}
 
 
 def amend_orders(orders: DataFrame, items: DataFrame, requests: DataFrame, new_items: DataFrame,
                  menu: DataFrame, bom: DataFrame, stock: DataFrame,
-                 arrival: tuple[str, str] = ("requested_at", "order_id"), max_rounds: int = 100_000) -> dict:
+                 arrival: tuple[str, str] = ("requested_at", "order_id")) -> dict:
     """M6: append items to open orders; only the *new* items are checked and deducted.
 
     requests:  (order_id, customer_name, status, requested_at)  the amendment documents
     new_items: (order_id, pos, product_id, quantity)            their items, 1-based pos
-    Rejected: ``not_found``, ``already_closed``, ``invalid`` (V2 on the
-    request), unknown references, ``not_enough`` (admission of the new
-    demand in arrival order).  Accepted items are appended after the
-    order's existing lines (U1).  Returns dict(items, stock, accepted, rejects, rounds).
+    Rejected: ``duplicate_in_batch``, ``not_found``, ``not_open`` (any status
+    but ``open``), ``invalid`` (V2 on the request, or no arrival), unknown
+    references, ``not_enough`` (admission of the new demand in arrival
+    order).  Accepted items are appended after the order's existing lines
+    (U1).  Returns dict(items, stock, accepted, rejects, rounds).
     """
-    req = requests.join(orders.select("order_id", F.col("status").alias("_cur")), "order_id", "left")
-    r0 = req.filter(F.col("_cur").isNull() | (F.col("_cur") == "closed")).select(
-        "order_id", F.when(F.col("_cur").isNull(), F.lit("not_found")).otherwise(F.lit("already_closed")).alias("reason"))
-    live = req.filter(F.col("_cur").isNotNull() & (F.col("_cur") != "closed")).drop("_cur")
+    single, repeated = merge.one_change_per_key(requests, "order_id")
+    current = orders.select("order_id", F.col("status").alias("_cur"), F.lit(True).alias("_here"))
+    req = single.join(current, "order_id", "left").withColumn("_here", F.coalesce("_here", F.lit(False)))
+    is_open = F.coalesce(F.col("_cur") == "open", F.lit(False))
+    refused = req.filter(~is_open).select(
+        "order_id", F.when(~F.col("_here"), F.lit("not_found")).otherwise(F.lit("not_open")).alias("reason"))
+    live = req.filter(is_open).drop("_cur", "_here")
     live_items = new_items.join(live.select("order_id"), "order_id", "left_semi")
-    placed = place_orders(live, live_items, menu, bom, stock, arrival=arrival, max_rounds=max_rounds)
+    placed = place_orders(live, live_items, menu, bom, stock, arrival=arrival)
     acc = placed["accepted"].select("order_id")
     appended = nested.append_items(items, new_items.join(acc, "order_id", "left_semi"))
     return {"items": appended, "stock": placed["stock"], "accepted": acc,
-            "rejects": r0.unionByName(placed["rejects"]), "rounds": placed["rounds"]}
+            "rejects": repeated.unionByName(refused).unionByName(placed["rejects"]), "rounds": placed["rounds"]}
 
 
 def assign_ids(df: DataFrame, order: list[str], after: Column, out: str = "new_id") -> DataFrame:

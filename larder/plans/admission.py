@@ -14,26 +14,23 @@ DataFrame jobs, exactly:
   lo + d > stock on any (it fails even if every undecided one is rejected).
 
 The earliest undecided order has hi == lo, so every round decides at least
-one order.  Near stock exhaustion the orders right after the frontier form a
-genuine chain (each decision changes what the next one sees), which the
-bounds untangle only slowly.  So after each fold the next ``slice_rows``
-working rows in arrival order - a bounded slice, starting exactly at the
-frontier where the stock is known - are decided by a plain sequential fold
-in one ``applyInPandas`` task (an order cut off at the slice end is left for
-the next round).  Bounds keep deciding everything else in parallel; at sf0.1
-this takes 3 rounds instead of 59.  After each
-round the settled prefix (accepted orders before the earliest undecided one)
-is folded into the stock and dropped, rejected rows are dropped, and the
-working set is written as a table in the shared checkpoint folder and read
-back, which cuts the lineage (and the optimizer's carried constraints) and
-survives executor loss.  Each round's decision table stays in the same
-folder; the final answer is their union.  The running sums use
-``scan.running_sums``: windows per (ingredient, bucket) with a carry table,
-buckets sized per ingredient, so a hot ingredient is split.
-
-Preconditions: demand > 0 and every ingredient exists in ``stock`` (reject
-unknown ones before).  With positive demand, the reference's line-by-line
-check equals this per-order sum test.
+one order; a round that decided none would mean a broken input and raises.
+
+Only ingredients whose whole demand exceeds the stock matter: before the first
+round, and again whenever rows are rewritten, the rows of an ingredient whose
+remaining demand fits are dropped (an order with no other rows is accepted).
+Accepted orders before the earliest undecided one are folded into the stock
+and dropped, rejected rows are dropped, and the working set is written as a
+table in the shared checkpoint folder and read back, which cuts the lineage
+(and the optimizer's carried constraints) and survives executor loss; the
+table before it is removed. The rows are range-partitioned once
+(``scan.ordered``), and the running sums use windows per (ingredient, bucket),
+so a hot ingredient is split. Near stock exhaustion decisions form chains, one
+order waiting for another: the number of rounds is the longest such chain.
+
+Preconditions: demand > 0, arrival not NULL and every ingredient exists in
+``stock`` (reject others before).  With positive demand, the reference's
+line-by-line check equals this per-order sum test.
 """
 
 from __future__ import annotations
@@ -42,102 +39,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import scan
-from larder.session import materialize, ship_package
+from larder.session import discard, materialize
 
 _ORDER = ["arrival_ts", "arrival_seq"]
-_VERBOSE = False
-SLICE_ROWS = 500_000   # rows decided sequentially per round, in one task (bounded memory)
-
-
-def _fold_slice(m: int):
-    """Sequential decisions for a slice that starts at the frontier (exact stock known)."""
-    import pandas as pd
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*_ORDER, "order_id", "ingredient_id"], kind="stable").reset_index(drop=True)
-        oid, ing = pdf["order_id"].tolist(), pdf["ingredient_id"].tolist()
-        d, st, s = pdf["d"].tolist(), pdf["st"].tolist(), pdf["s"].tolist()
-        n, whole = len(pdf), len(pdf) < m          # a full slice may end inside an order
-        rem, out_o, out_s, i = {}, [], [], 0
-        while i < n:
-            j = i
-            while j < n and oid[j] == oid[i]:
-                j += 1
-            if j == n and not whole:
-                break                              # possibly cut off: leave it to the next round
-            for t in range(i, j):
-                rem.setdefault(ing[t], s[t])
-            ok = st[i] == "A" or all(d[t] <= rem[ing[t]] for t in range(i, j))
-            if ok:
-                for t in range(i, j):
-                    rem[ing[t]] -= d[t]
-            if st[i] == "U":
-                out_o.append(oid[i])
-                out_s.append("A" if ok else "R")
-            i = j
-        return pd.DataFrame({"order_id": pd.Series(out_o, dtype="int64"), "nst": pd.Series(out_s, dtype="object")})
-    return fn
-
-
-def _slice_decisions(rows: DataFrame, cur: DataFrame, m: int) -> DataFrame:
-    """Exact decisions for the first ``m`` working rows in arrival order, in one bounded task.
-
-    Valid only right after a fold: then every working row is at or after the
-    frontier and ``cur`` is the exact stock there.
-    """
-    ship_package(rows.sparkSession)
-    head = (rows.join(cur, "ingredient_id")
-            .select("order_id", *_ORDER, "ingredient_id", "d", "st", "s")
-            .orderBy(*_ORDER, "order_id", "ingredient_id").limit(m))
-    return head.groupBy(F.lit(0).alias("_g")).applyInPandas(_fold_slice(m), "order_id long, nst string")
+#: Rounds after which the working set is rewritten, also if they decided little.
+FOLD_EVERY = 4
 
 
-def _apply_decisions(rows: DataFrame, dec: DataFrame) -> DataFrame:
+def _decide(rows: DataFrame, dec: DataFrame) -> DataFrame:
+    """Working rows with the orders' new states, without the rejected ones."""
     return (rows.join(dec.select("order_id", "nst"), "order_id", "left")
             .withColumn("st", F.coalesce(F.col("nst"), F.col("st"))).drop("nst")
             .filter(F.col("st") != "R"))
 
 
-def admit_in_order(demand: DataFrame, arrival: DataFrame, stock: DataFrame, max_rounds: int = 100_000,
-                   target_rows: int = scan.TARGET_ROWS, fold_every: int = 4,
-                   slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, DataFrame, int]:
+def _scarce(rows: DataFrame, cur: DataFrame) -> DataFrame:
+    """Ingredients whose demand in ``rows`` exceeds the stock."""
+    total = rows.groupBy("ingredient_id").agg(F.sum("d").alias("_t"))
+    return total.join(cur, "ingredient_id").filter(F.col("_t") > F.col("s")).select("ingredient_id")
+
+
+def admit_in_order(demand: DataFrame, arrival: DataFrame, stock: DataFrame,
+                   target_rows: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """Decide every order of ``arrival``.
 
     demand:  (order_id, ingredient_id, demand)   any number of rows per pair (summed)
     arrival: (order_id, arrival_ts, arrival_seq) one row per order; the order is (ts, seq)
     stock:   (ingredient_id, quantity)
     Returns (decisions(order_id, accepted), stock_after(ingredient_id, quantity), rounds).
-    Raises RuntimeError when ``max_rounds`` is reached (never a partial answer).
-
-    Per round: one materialized decision table (windows + one aggregate) and
-    one small aggregate fetched to the driver (undecided count and the
-    frontier).  After a round that decided at least a quarter of the orders
-    it saw, and at least every ``fold_every`` rounds, the settled prefix is
-    folded into the stock and the working set is rewritten; in between
-    the working set is the last written one joined with the newer decision
-    tables (small joins, the lineage stays short).  When no ingredient has
-    more rows than one bucket holds, the running sums are a plain window
-    per ingredient (checked once, on the data).
+
+    Per round: one written decision table (windows and one aggregate) and one
+    small aggregate for the driver (undecided count and frontier).  After a
+    round that decided at least a quarter of the orders it saw, and at least
+    every FOLD_EVERY rounds, the working set is rewritten; in between it is the
+    last written one joined with the newer decision tables.
     """
     arr = arrival.select("order_id", "arrival_ts", "arrival_seq")
     d = demand.groupBy("order_id", "ingredient_id").agg(F.sum("demand").alias("d"))
-    rows = scan.key_buckets(d.join(arr, "order_id"), ["ingredient_id"], "arrival_ts", target_rows, "_b")
-    rows = materialize(rows.withColumn("st", F.lit("U")), "admission", "rows")
-    bucket = "_b" if rows.agg(F.max("_b")).first()[0] else None
-    # orders that need nothing are accepted outright
-    free = (arr.join(d.select("order_id").distinct(), "order_id", "left_anti")
+    cur = materialize(stock.select("ingredient_id", F.col("quantity").alias("s")), "admission", "stock")
+    scarce = materialize(_scarce(d, cur), "admission", "scarce")
+    rows = scan.ordered(d.join(scarce, "ingredient_id", "left_semi").join(arr, "order_id").withColumn("st", F.lit("U")),
+                        ["ingredient_id"], [*_ORDER, "order_id"], target_rows)
+    # orders that need nothing scarce are accepted outright
+    free = (arr.join(rows.select("order_id").distinct(), "order_id", "left_anti")
             .select("order_id", F.lit("A").alias("nst")))
     decided = [materialize(free, "admission", "dec")]
-    cur = materialize(stock.select("ingredient_id", F.col("quantity").alias("s")), "admission", "stock")
     zero = F.lit(0).cast(rows.schema["d"].dataType)
     order_key = F.struct(*_ORDER, "order_id")
-    rounds = 0
+    written, rounds = rows, 0
     while True:
         rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"admission did not finish in {max_rounds} rounds")
         j = rows.join(cur, "ingredient_id").withColumn("_da", F.when(F.col("st") == "A", F.col("d")).otherwise(zero))
-        j = scan.running_sums(j, ["ingredient_id"], _ORDER + ["order_id"], {"_hi": "d", "_lo": "_da"}, bucket)
+        j = scan.running_sums(j, ["ingredient_id"], [*_ORDER, "order_id"], {"_hi": "d", "_lo": "_da"})
         u = j.filter(F.col("st") == "U").select(
             "order_id", *_ORDER,
             (F.col("_hi") <= F.col("s")).alias("fit"),                    # hi_excl + d <= s
@@ -150,35 +103,31 @@ def admit_in_order(demand: DataFrame, arrival: DataFrame, stock: DataFrame, max_
         decided.append(dec.select("order_id", "nst"))
         left = dec.agg(F.count(F.when(F.col("nst") == "U", 1)).alias("n"), F.count(F.lit(1)).alias("seen"),
                        F.min(F.when(F.col("nst") == "U", order_key)).alias("f")).first()
-        if _VERBOSE:
-            import time as _t
-            print(f"admission round {rounds}: {left['n']} undecided t={_t.time():.1f}", flush=True)
         if left["n"] == 0:
             break
-        upd = (rows.join(dec.select("order_id", "nst"), "order_id", "left")
-               .withColumn("st", F.coalesce(F.col("nst"), F.col("st"))).drop("nst")
-               .filter(F.col("st") != "R"))
-        many_decided = 4 * (left["seen"] - left["n"]) >= left["seen"]
-        if slice_rows <= 0 and rounds % fold_every and not many_decided:
+        if left["n"] == left["seen"]:
+            raise RuntimeError(f"admission round {rounds} decided none of {left['n']} orders")
+        upd = _decide(rows, dec)
+        if rounds % FOLD_EVERY and 4 * (left["seen"] - left["n"]) < left["seen"]:
             rows = upd          # a short lazy chain of joins with small decision tables
             continue
         frontier = F.struct(*[F.lit(left["f"][c]).alias(c) for c in (*_ORDER, "order_id")])
         # accepted orders before the earliest undecided one are final: fold into the stock, drop
         settled = (F.col("st") == "A") & (order_key < frontier)
+        # an ingredient that had enough for all rows of this round held up none of the orders left
+        keep = _scarce(rows, cur)
         used = upd.filter(settled).groupBy("ingredient_id").agg(F.sum("d").alias("_u"))
-        cur = materialize(cur.join(used, "ingredient_id", "left")
-                          .select("ingredient_id", (F.col("s") - F.coalesce(F.col("_u"), zero)).alias("s")),
-                          "admission", "stock")
-        rows = materialize(upd.filter(~settled), "admission", "rows")
-        if slice_rows > 0:
-            # the chain right after the frontier: decided sequentially, a bounded slice per round
-            sdec = materialize(_slice_decisions(rows, cur, slice_rows), "admission", "dec")
-            decided.append(sdec)
-            rows = _apply_decisions(rows, sdec)
+        new_cur = materialize(cur.join(used, "ingredient_id", "left")
+                              .select("ingredient_id", (F.col("s") - F.coalesce(F.col("_u"), zero)).alias("s")),
+                              "admission", "stock")
+        rows = materialize(upd.filter(~settled).join(keep, "ingredient_id", "left_semi"), "admission", "rows")
+        discard(written)
+        discard(cur)
+        cur, written = new_cur, rows
     spark = demand.sparkSession
     paths = [p for df in decided for p in df.inputFiles()]
-    decisions = (spark.read.parquet(*paths).filter(F.col("nst") != "U")
-                 .select("order_id", (F.col("nst") == "A").alias("accepted")))
+    decisions = (spark.read.schema("order_id " + arr.schema["order_id"].dataType.simpleString() + ", nst string").parquet(*paths)
+                 .filter(F.col("nst") != "U").select("order_id", (F.col("nst") == "A").alias("accepted")))
     acc = d.join(decisions.filter("accepted").select("order_id"), "order_id", "left_semi")
     used_all = acc.groupBy("ingredient_id").agg(F.sum("d").alias("_u"))
     after = (stock.join(used_all, "ingredient_id", "left")

@@ -65,18 +65,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+SCRATCH = "larder"   # folder of intermediate tables under the checkpoint folder
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A fresh, never-reused path under the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
-    return "/".join([root, "larder", *parts, uuid.uuid4().hex])
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme (for python-side existence checks in tests)."""
-    return path[5:] if path.startswith("file:") else path
-
-
-__all__ = ["build_session", "checkpoint_root", "scratch_path", "local_path"]
+    return "/".join([root, SCRATCH, *parts, uuid.uuid4().hex])
 
 
 def materialize(df, *tag: str):
@@ -93,6 +88,16 @@ def materialize(df, *tag: str):
     return spark.read.parquet(path)
 
 
+def discard(df) -> None:
+    """Remove the files of a ``materialize`` result that nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/{SCRATCH}/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -1,9 +1,5 @@
-"""The bucketed scans must give the same answer however finely a key is split.
-
-With the default target (200k rows per bucket) every key of the test data is
-one bucket; here keys are cut into buckets of a handful of rows, which is
-what a hot key looks like at scale.
-"""
+"""The bucketed scans must give the same answer however finely a key is split,
+also for NULL keys, NULL times and a key whose rows come in one burst."""
 
 import datetime as dt
 import random
@@ -39,22 +35,69 @@ def test_ledger_status_price_split_equals_unsplit(spark, sf):
 
 
 def test_one_hot_key_is_split(spark):
+    """A key with two thirds of all rows, nearly all of them at one time, spreads over near equal buckets."""
     t0 = dt.datetime(2024, 1, 1)
     rng = random.Random(3)
-    rows = [(i, 0 if i % 3 else rng.randrange(1, 5), t0 + dt.timedelta(minutes=i)) for i in range(600)]
+    rows = [(i, 0 if i % 3 else rng.randrange(1, 5), t0 + dt.timedelta(days=400 if i == 599 else 0, minutes=i % 2)) for i in range(600)]
     df = spark.createDataFrame(rows, "event_id long, k long, ts timestamp_ntz").withColumn("v", F.lit(1))
-    b = scan.key_buckets(df, ["k"], "ts", target_rows=50)
-    per_key = {r.k: r.n for r in b.groupBy("k").agg(F.countDistinct("_bucket").alias("n")).collect()}
-    assert per_key[0] >= 8                       # the hot key (2/3 of rows) spans many buckets
-    got = scan.running_sum(b, ["k"], ["ts", "event_id"], "v", "rs", "_bucket")
+    b = scan.ordered(df, ["k"], ["ts", "event_id"], target_rows=50)
+    sizes = [r["count"] for r in b.groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 100
+    assert b.filter("k = 0").select("_bucket").distinct().count() >= 7
+    got = scan.running_sums(b, ["k"], ["ts", "event_id"], {"rs": "v"})
     want = {}
     cnt = {}
-    for eid, k, _ in sorted(rows, key=lambda r: r[2]):
+    for eid, k, _ in sorted(rows, key=lambda r: (r[2], r[0])):
         cnt[k] = cnt.get(k, 0) + 1
         want[eid] = cnt[k]
     assert {r.event_id: r.rs for r in got.collect()} == want
 
 
+def test_null_keys_and_times_stay(spark):
+    """NULL keys are one key, NULL times come first; no row is lost, however fine the buckets."""
+    t0 = dt.datetime(2024, 1, 1)
+    rng = random.Random(6)
+    kinds = ["increment", "decrement", "adjustment", "bogus"]
+    rows = [(i, rng.choice([None, 1, 2]), rng.choice([None, t0, t0 + dt.timedelta(hours=rng.randrange(9))]),
+             rng.choice(kinds), Decimal(rng.randrange(1, 50)), rng.choice([None, "a", "b"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "event_id long, inventory_id long, ts timestamp_ntz, transaction_type string, quantity decimal(18,2), status string")
+    state, ledger, hist, last = {}, {}, set(), {}
+    for eid, k, ts, kind, q, st in sorted(rows, key=lambda r: (r[2] is not None, r[2] or t0, r[0])):
+        old = state.get(k, Decimal(100))
+        new = q if kind == "adjustment" else None if old is None or kind == "bogus" else old + (q if kind == "increment" else -q)
+        state[k] = ledger[eid] = new
+        if k not in last or last[k] != st:
+            hist.add((k, st, ts))
+        last[k] = st
+    op = F.lit(Decimal("100.00"))
+    for t in (3, None):
+        got = {r.event_id: r.balance for r in history.stock_ledger(df, op, target_rows=t).collect()}
+        assert got == ledger
+        assert {r.inventory_id: r.balance for r in history.stock_balance(df, op, target_rows=t).collect()} == state
+        got = history.status_history(df.withColumnRenamed("inventory_id", "order_id"), target_rows=t).collect()
+        assert {(r.order_id, r.status, r.created_at) for r in got} == hist
+        iv = spark.createDataFrame([(1, Decimal(5), t0, None), (None, Decimal(7), t0, None)], "menu_item_id long, price decimal(18,2), effective_from timestamp_ntz, effective_to timestamp_ntz")
+        ev = df.select("event_id", F.col("inventory_id").alias("product_id"), F.col("ts").alias("created_at"))
+        got = {r.event_id: r.price for r in history.price_as_of(ev, iv, target_rows=t).collect()}
+        assert got == {e: (None if ts is None else {1: Decimal(5), None: Decimal(7)}.get(k)) for e, k, ts, *_ in rows}
+
+
+def test_scans_have_no_window_on_a_bare_key(spark, sf):
+    """Without broadcasts, every window over rows is partitioned by key and bucket."""
+    v = Views(spark, sf)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (history.stock_ledger(v.ledger), history.status_history(v.status), history.price_history(v.price)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "FlatMapGroups" not in plan and "BroadcastNestedLoop" not in plan
+            below = [x for x in plan.split("\n") if "Window " in x and "_edge" in x]
+            assert below and all("_bucket" in x for x in below)
+        balance = history.stock_balance(v.ledger)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in balance
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_admission_split_equals_unsplit(spark, sf):
     v = Views(spark, sf)
     dem = stock.ingredient_demand(v.items_plain, v.bom)

@@ -5,13 +5,13 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from larder.fixtures import CHANGE_EVERY, UNMATCHED_OFFSET, Views
+from larder.fixtures import CHANGE_EVERY, Views, unmatched
 from larder.operators import history, merge, orders, sales, stock
 
 
 def _batch(v):
     changed = v.menu.filter(F.col("product_id") % CHANGE_EVERY == 0).withColumn("price", F.col("price") + 1)
-    return changed.unionByName(changed.withColumn("product_id", F.col("product_id") + UNMATCHED_OFFSET))
+    return changed.unionByName(changed.withColumn("product_id", unmatched("product_id")))
 
 
 def test_merge_counts_and_partition_of_batch(spark, sf):
