@@ -67,7 +67,7 @@ def q_filter_status(spark: SparkSession, d: str) -> DataFrame:
 
 def q_order_total_check(spark: SparkSession, d: str) -> DataFrame:
     v = Views(spark, d)
-    return sales.order_total_check(v.orders, v.items_plain, v.menu)
+    return sales.order_total_check(v.orders, v.items_priced)
 
 
 _SALES_SQL = {
@@ -102,13 +102,13 @@ _SALES_SQL = {
         select order_id, 'sales' as rule from v_orders where status is distinct from 'open'
         union all
         select order_id, 'popularity' as rule from v_orders where status = 'closed'""",
-    "order_total_check": cte("v_orders", "v_items", "v_menu") + """
+    "order_total_check": cte("v_orders", "v_items_priced") + """
         select o.order_id, cast(o.total_amount as double) as total_amount,
                cast(coalesce(t.items_total, 0) as double) as items_total,
                cast(o.total_amount - coalesce(t.items_total, 0) as double) as difference
         from v_orders o left join (
-          select i.order_id, sum(i.quantity * m.price) as items_total
-          from v_items i join v_menu m on m.product_id = i.product_id group by i.order_id) t
+          select i.order_id, sum(i.quantity * i.unit_price) as items_total
+          from v_items_priced i group by i.order_id) t
         on t.order_id = o.order_id""",
 }
 
@@ -187,18 +187,26 @@ def q_scan_stock(spark, d):
 def q_scan_menu_json(spark, d):
     v = Views(spark, d)
     root = scratch_path(spark, "menu_json")
-    path = files.write_snapshot(nested.nest_menu(v.menu, v.bom), root, fmt="json")
+    # ids as in the reference's files: text
+    menu = v.menu.withColumn("product_id", F.concat(F.lit("p"), "product_id"))
+    bom = v.bom.withColumns({"menu_item_id": F.concat(F.lit("p"), "menu_item_id"), "inventory_id": F.concat(F.lit("i"), "inventory_id"),
+                             "quantity": (F.col("quantity") / 1000).cast("decimal(18,3)")})
+    path = files.write_snapshot(nested.nest_menu(menu, bom), root, fmt="json")
     back = files.scan_menu_json(spark, path)
+    listed = F.transform("ingredients", lambda x: F.concat(x["ingredient_id"], F.lit(":"), x["quantity"].cast("decimal(18,3)").cast("string")))
     return back.select("product_id", "name", "description", F.col("price").cast("double").alias("price"),
-                       F.size("ingredients").alias("n_ingredients"))
+                       F.array_join(listed, ",").alias("ingredients"))
 
 
 def q_scan_orders_json(spark, d):
     v = Views(spark, d)
     root = scratch_path(spark, "orders_json")
-    path = files.write_snapshot(nested.nest_orders(v.orders_named, v.items), root, fmt="json")
+    heads = v.orders_named.withColumn("order_id", F.concat(F.lit("o"), "order_id"))
+    lines = v.items.withColumns({"order_id": F.concat(F.lit("o"), "order_id"), "product_id": F.concat(F.lit("p"), "product_id")})
+    path = files.write_snapshot(nested.nest_orders(heads, lines), root, fmt="json")
     back = files.scan_orders_json(spark, path)
-    return back.select("order_id", "customer_name", "status", "created_at", F.size("items").alias("n_items"))
+    listed = F.transform("items", lambda x: F.concat(x["product_id"], F.lit(":"), x["quantity"].cast("string")))
+    return back.select("order_id", "customer_name", "status", "created_at", F.array_join(listed, ",").alias("items"))
 
 
 def q_write_snapshot(spark, d):
@@ -211,11 +219,12 @@ def q_write_snapshot(spark, d):
 
 
 def q_append_rows(spark, d):
-    """Stock with holes is published, then every stock row is offered: only the holes go in."""
+    """Stock with holes is published, then every stock row is offered, some with a quantity of 0: only valid holes go in."""
     v = Views(spark, d)
     root = scratch_path(spark, "append")
     files.write_snapshot(v.stock_holes, root)
-    files.append_rows(v.stock, root)
+    none = F.when(F.col("ingredient_id") % 2 == 0, F.lit(0)).otherwise(F.col("quantity")).cast("decimal(18,2)")
+    files.append_rows(v.stock.withColumn("quantity", none), root)
     return files.read_snapshot(spark, root).withColumn("quantity", F.col("quantity").cast("double"))
 
 
@@ -227,14 +236,20 @@ def q_report_json(spark, d):
 
 _SOURCES_SQL = {
     "scan_stock": cte("v_stock") + "select ingredient_id, name, cast(quantity as double) as quantity, unit from v_stock",
-    "scan_menu_json": cte("v_menu") + """
-        select product_id, name, description, cast(price as double) as price, 3 as n_ingredients from v_menu""",
-    "scan_orders_json": cte("v_orders_named", extra=[("agg", "select l_orderkey, count(*) as n from lineitem group by l_orderkey")]) + """
-        select o.order_id, o.customer_name, o.status, strftime(o.created_at, '%Y-%m-%dT%H:%M:%SZ') as created_at,
-               coalesce(a.n, 0) as n_items
-        from v_orders_named o left join agg a on a.l_orderkey = o.order_id""",
+    "scan_menu_json": cte("v_menu", "v_bom", extra=[("agg", """
+        select menu_item_id, string_agg('i' || inventory_id || ':' || cast(cast(quantity / 1000 as decimal(18,3)) as varchar), ',' order by pos) as l
+        from v_bom group by menu_item_id""")]) + """
+        select 'p' || m.product_id as product_id, name, description, cast(price as double) as price, coalesce(a.l, '') as ingredients
+        from v_menu m left join agg a on a.menu_item_id = m.product_id""",
+    "scan_orders_json": cte("v_orders_named", "v_items", extra=[("agg", """
+        select order_id, string_agg('p' || product_id || ':' || quantity, ',' order by pos) as l from v_items group by order_id""")]) + """
+        select 'o' || o.order_id as order_id, o.customer_name, o.status, strftime(o.created_at, '%Y-%m-%dT%H:%M:%SZ') as created_at,
+               coalesce(a.l, '') as items
+        from v_orders_named o left join agg a on a.order_id = o.order_id""",
     "write_snapshot": cte("v_stock") + "select ingredient_id, cast(quantity + 1 as double) as quantity from v_stock",
-    "append_rows": cte("v_stock") + "select ingredient_id, name, cast(quantity as double) as quantity, unit from v_stock",
+    "append_rows": cte("v_stock", "v_stock_holes") + """
+        select ingredient_id, name, cast(quantity as double) as quantity, unit from v_stock
+        where ingredient_id in (select ingredient_id from v_stock_holes) or ingredient_id % 2 <> 0""",
     "report_json": cte("v_orders", "v_items") + """
         select to_json({'product_id': cast(product_id as varchar), 'quantity': quantity}) as json from (
           select i.product_id, sum(i.quantity) as quantity
@@ -274,7 +289,7 @@ def q_order_cumulative_shortage(spark, d):
     return out.select("order_id", "pos", "ingredient_pos", "ingredient_id",
                       F.col("demand").cast("double").alias("demand"),
                       F.col("cum_demand").cast("double").alias("cum_demand"),
-                      F.col("stock").cast("double").alias("stock"))
+                      F.col("stock").cast("double").alias("stock"), "is_first")
 
 
 def q_ingredient_usage(spark, d):
@@ -323,7 +338,8 @@ _STOCK_SQL = {
         where rn = 1""",
     "order_cumulative_shortage": cte("v_items", "v_bom", "v_stock_low", extra=[("dm", _DEMAND)]) + """
         select order_id, pos, ingredient_pos, ingredient_id, cast(demand as double) as demand,
-               cast(cum_demand as double) as cum_demand, cast(stock as double) as stock from (
+               cast(cum_demand as double) as cum_demand, cast(stock as double) as stock,
+               row_number() over (partition by order_id order by pos, ingredient_pos) = 1 as is_first from (
           select d.*, s.quantity as stock,
                  sum(d.demand) over (partition by d.order_id, d.ingredient_id order by d.pos, d.ingredient_pos
                                      rows between unbounded preceding and current row) as cum_demand
@@ -625,9 +641,30 @@ def _dirty_stock(v: Views) -> DataFrame:
             .withColumn("ingredient_id", F.when(k % 17 == 0, F.lit(None).cast("long")).otherwise(k)))
 
 
-def _order_items_rel(v: Views) -> DataFrame:
-    """order_items as the schema has it: lines with the (dirty) menu price as unit_price."""
-    return v.items.join(_dirty_menu(v).select("product_id", F.col("price").alias("unit_price")), "product_id", "left")
+def _spoilt(df: DataFrame, key, spoil: dict[str, tuple[int, object]]) -> DataFrame:
+    """``df`` with a column set to a value (None: NULL) where ``key`` leaves a given rest by 31; kinds stay."""
+    return df.withColumns({c: F.when(key % 31 == rest, F.lit(value)).otherwise(F.col(c)).cast(df.schema[c].dataType)
+                           for c, (rest, value) in spoil.items()})
+
+
+def _customers(v: Views) -> DataFrame:
+    c = v.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return _spoilt(c, F.col("id"), {"name": (3, None)})
+
+
+def _relational(v: Views, nulls: bool) -> dict[str, DataFrame]:
+    """The schema's tables with bad values by fixed rules: NULLs, or values that break a CHECK or an enum."""
+    bad = lambda value: None if nulls else value
+    line = F.col("order_id") + F.col("pos")
+    event = F.col("event_id")
+    return {
+        "menu_item_ingredients": _spoilt(v.bom.withColumn("unit", F.lit("g")), F.col("menu_item_id") + F.col("inventory_id"), {"quantity": (1, bad(0)), "unit": (2, None)}),
+        "orders": _spoilt(v.orders, F.col("order_id"), {"total_amount": (4, bad(-1)), "status": (5, bad("lost"))}),
+        "order_items": _spoilt(v.items_priced, line, {"quantity": (6, bad(0)), "unit_price": (7, bad(0))}),
+        "order_status_history": _spoilt(v.status, event, {"status": (8, None)}),
+        "price_history": _spoilt(v.price.withColumn("place", F.dayofyear("ts")), F.col("menu_item_id") + F.col("place"), {"price": (9, bad(0)), "ts": (10, None)}),
+        "inventory_transactions": _spoilt(v.ledger, event, {"transaction_type": (11, bad("gift")), "quantity": (12, bad(0))}),
+    }
 
 
 def q_invalid_menu(spark, d):
@@ -642,54 +679,52 @@ def q_invalid_stock(spark, d):
     return quality.invalid_stock(_dirty_stock(Views(spark, d)))
 
 
-def q_check_violations(spark, d):
-    """The seven CHECK constraints (NULL passes)."""
-    v = Views(spark, d)
-    c = quality.check
-    parts = [
-        quality.violations(_dirty_menu(v), "menu_items", ["product_id"], {"positive_price": c(F.col("price") > 0)}),
-        quality.violations(v.bom, "menu_item_ingredients", ["menu_item_id", "inventory_id"],
-                           {"positive_quantity": c(F.col("quantity") > 0)}),
-        quality.violations(v.orders, "orders", ["order_id"], {"positive_total_amount": c(F.col("total_amount") >= 0)}),
-        quality.violations(_order_items_rel(v), "order_items", ["order_id", "pos"],
-                           {"positive_quantity": c(F.col("quantity") > 0),
-                            "positive_unit_price": c(F.col("unit_price") > 0)}),
-        quality.violations(v.price, "price_history", ["menu_item_id", "ts"], {"positive_price": c(F.col("price") > 0)}),
-        quality.violations(v.ledger, "inventory_transactions", ["event_id"],
-                           {"non_zero_quantity": c(F.col("quantity") != 0)}),
-    ]
+def _together(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+_KEYS = {"menu_item_ingredients": ["menu_item_id", "inventory_id"], "orders": ["order_id"], "order_items": ["order_id", "pos"],
+         "order_status_history": ["event_id"], "price_history": ["menu_item_id", "place"], "inventory_transactions": ["event_id"]}
+
+
+def q_check_violations(spark, d):
+    """The seven CHECK constraints (NULL passes)."""
+    v = Views(spark, d)
+    t, c = _relational(v, nulls=False), quality.check
+    rules = {
+        "menu_item_ingredients": {"positive_quantity": c(F.col("quantity") > 0)},
+        "orders": {"positive_total_amount": c(F.col("total_amount") >= 0)},
+        "order_items": {"positive_quantity": c(F.col("quantity") > 0), "positive_unit_price": c(F.col("unit_price") > 0)},
+        "price_history": {"positive_price": c(F.col("price") > 0)},
+        "inventory_transactions": {"non_zero_quantity": c(F.col("quantity") != 0)},
+    }
+    menu = quality.violations(_dirty_menu(v), "menu_items", ["product_id"], {"positive_price": c(F.col("price") > 0)})
+    return _together([menu] + [quality.violations(t[n], n, _KEYS[n], r) for n, r in rules.items()])
+
+
 def q_null_violations(spark, d):
-    """NOT NULL columns present in the mapped tables, one pass per table."""
+    """NOT NULL columns of the mapped tables, one pass per table."""
     v = Views(spark, d)
+    t = _relational(v, nulls=True)
     nn = lambda cols: {f"{c}_not_null": quality.not_null(c) for c in cols}
-    parts = [
-        quality.violations(v.customers_holes, "customers", ["id"], nn(["name"])),
-        quality.violations(_dirty_menu(v), "menu_items", ["product_id"], nn(["name", "category", "price"])),
-        quality.violations(v.bom, "menu_item_ingredients", ["menu_item_id", "inventory_id"], nn(["quantity"])),
-        quality.violations(v.orders, "orders", ["order_id"], nn(["status", "total_amount"])),
-        quality.violations(_order_items_rel(v), "order_items", ["order_id", "pos"], nn(["quantity", "unit_price"])),
-        quality.violations(v.status, "order_status_history", ["event_id"], nn(["status"])),
-        quality.violations(v.price, "price_history", ["menu_item_id", "ts"], nn(["price", "ts"])),
-        quality.violations(v.ledger, "inventory_transactions", ["event_id"], nn(["transaction_type", "quantity"])),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    menu = _spoilt(_dirty_menu(v), F.col("product_id"), {"name": (13, None), "price": (14, None)})
+    return _together([
+        quality.violations(_customers(v), "customers", ["id"], nn(["name"])),
+        quality.violations(menu, "menu_items", ["product_id"], nn(["name", "category", "price"])),
+        *[quality.violations(t[n], n, _KEYS[n], nn(cols)) for n, cols in {
+            "menu_item_ingredients": ["quantity", "unit"], "orders": ["status", "total_amount"], "order_items": ["quantity", "unit_price"],
+            "order_status_history": ["status"], "price_history": ["price", "ts"], "inventory_transactions": ["transaction_type", "quantity"]}.items()]])
 
 
 def q_enum_violations(spark, d):
-    """Statuses outside the enum: the application's 'open' is not in it."""
-    v = Views(spark, d)
-    return (quality.violations(v.orders, "orders", ["order_id"],
+    """Statuses and types outside the enums: the application's 'open' is not in one."""
+    t = _relational(Views(spark, d), nulls=False)
+    return (quality.violations(t["orders"], "orders", ["order_id"],
                                {"status_enum": quality.in_domain("status", ORDER_STATUS_ENUM)})
-            .unionByName(quality.violations(v.ledger, "inventory_transactions", ["event_id"],
+            .unionByName(quality.violations(t["inventory_transactions"], "inventory_transactions", ["event_id"],
                                             {"type_enum": quality.in_domain("transaction_type", TRANSACTION_TYPE_ENUM)})))
 
 
@@ -714,6 +749,7 @@ def q_key_duplicates(spark, d):
         quality.key_duplicates(v.bom, "menu_item_ingredients", ["menu_item_id", "inventory_id"]),
         quality.key_duplicates(v.price, "price_history", ["menu_item_id", "ts"]),
         quality.key_duplicates(v.status, "order_status_history", ["order_id", "ts"]),
+        quality.key_duplicates(v.ledger, "inventory_transactions", ["event_id"]),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -749,8 +785,6 @@ _DM = """select product_id, name, description, category, price,
                 case when product_id % 23 = 0 then null else description end as ddesc,
                 case when product_id % 19 = 0 then null else category end as dcat
          from v_menu"""
-_OI = """select i.order_id, i.pos, i.quantity, m.dprice as unit_price
-         from v_items i left join dm m on m.product_id = i.product_id"""
 
 _QUALITY_SQL = {
     "invalid_menu": cte("v_menu", "v_bom", extra=[("dm", _DM)]) + """
@@ -777,51 +811,51 @@ _QUALITY_SQL = {
         from ds where ingredient_id is null
         union all select 'inventory', 'quantity_not_positive', coalesce(cast(ingredient_id as varchar), '') from ds
         where coalesce(quantity, 0) <= 0""",
-    "check_violations": cte("v_menu", "v_bom", "v_orders", "v_items", "v_price", "v_ledger",
-                            extra=[("dm", _DM), ("oi", _OI)]) + """
+    "check_violations": cte("v_menu", "v_bom", "v_orders", "v_items_priced", "v_price", "v_ledger", extra=[("dm", _DM)]) + """
         select 'menu_items' as "table", 'positive_price' as rule, cast(product_id as varchar) as key from dm
         where dprice <= 0
         union all select 'menu_item_ingredients', 'positive_quantity', menu_item_id || '|' || inventory_id
-        from v_bom where quantity <= 0
-        union all select 'orders', 'positive_total_amount', cast(order_id as varchar) from v_orders where total_amount < 0
-        union all select 'order_items', 'positive_quantity', order_id || '|' || pos from oi where quantity <= 0
-        union all select 'order_items', 'positive_unit_price', order_id || '|' || pos from oi where unit_price <= 0
-        union all select 'price_history', 'positive_price', menu_item_id || '|' || cast(ts as varchar)
-        from v_price where price <= 0
+        from v_bom where quantity <= 0 or (menu_item_id + inventory_id) % 31 = 1
+        union all select 'orders', 'positive_total_amount', cast(order_id as varchar) from v_orders where total_amount < 0 or order_id % 31 = 4
+        union all select 'order_items', 'positive_quantity', order_id || '|' || pos from v_items_priced where quantity <= 0 or (order_id + pos) % 31 = 6
+        union all select 'order_items', 'positive_unit_price', order_id || '|' || pos from v_items_priced where unit_price <= 0 or (order_id + pos) % 31 = 7
+        union all select 'price_history', 'positive_price', menu_item_id || '|' || dayofyear(ts)
+        from v_price where price <= 0 or (menu_item_id + dayofyear(ts)) % 31 = 9
         union all select 'inventory_transactions', 'non_zero_quantity', cast(event_id as varchar)
-        from v_ledger where quantity = 0""",
-    "null_violations": cte("v_customers_holes", "v_menu", "v_bom", "v_orders", "v_items", "v_status", "v_price",
-                           "v_ledger", extra=[("dm", _DM), ("oi", _OI)]) + """
-        select 'customers' as "table", 'name_not_null' as rule, cast(id as varchar) as key
-        from v_customers_holes where name is null
-        union all select 'menu_items', 'name_not_null', cast(product_id as varchar) from dm where dname is null
+        from v_ledger where quantity = 0 or event_id % 31 = 12""",
+    "null_violations": cte("v_menu", "v_bom", "v_orders", "v_items_priced", "v_status", "v_price", "v_ledger", extra=[("dm", _DM)]) + """
+        select 'customers' as "table", 'name_not_null' as rule, cast(c_custkey as varchar) as key
+        from customer where c_name is null or c_custkey % 31 = 3
+        union all select 'menu_items', 'name_not_null', cast(product_id as varchar) from dm where dname is null or product_id % 31 = 13
         union all select 'menu_items', 'category_not_null', cast(product_id as varchar) from dm where dcat is null
-        union all select 'menu_items', 'price_not_null', cast(product_id as varchar) from dm where dprice is null
+        union all select 'menu_items', 'price_not_null', cast(product_id as varchar) from dm where dprice is null or product_id % 31 = 14
         union all select 'menu_item_ingredients', 'quantity_not_null', menu_item_id || '|' || inventory_id
-        from v_bom where quantity is null
-        union all select 'orders', 'status_not_null', cast(order_id as varchar) from v_orders where status is null
-        union all select 'orders', 'total_amount_not_null', cast(order_id as varchar) from v_orders where total_amount is null
-        union all select 'order_items', 'quantity_not_null', order_id || '|' || pos from oi where quantity is null
-        union all select 'order_items', 'unit_price_not_null', order_id || '|' || pos from oi where unit_price is null
+        from v_bom where quantity is null or (menu_item_id + inventory_id) % 31 = 1
+        union all select 'menu_item_ingredients', 'unit_not_null', menu_item_id || '|' || inventory_id
+        from v_bom where (menu_item_id + inventory_id) % 31 = 2
+        union all select 'orders', 'status_not_null', cast(order_id as varchar) from v_orders where status is null or order_id % 31 = 5
+        union all select 'orders', 'total_amount_not_null', cast(order_id as varchar) from v_orders where total_amount is null or order_id % 31 = 4
+        union all select 'order_items', 'quantity_not_null', order_id || '|' || pos from v_items_priced where quantity is null or (order_id + pos) % 31 = 6
+        union all select 'order_items', 'unit_price_not_null', order_id || '|' || pos from v_items_priced where unit_price is null or (order_id + pos) % 31 = 7
         union all select 'order_status_history', 'status_not_null', cast(event_id as varchar) from v_status
-        where status is null
-        union all select 'price_history', 'price_not_null', menu_item_id || '|' || cast(ts as varchar) from v_price
-        where price is null
-        union all select 'price_history', 'ts_not_null', menu_item_id || '|' || cast(ts as varchar) from v_price
-        where ts is null
+        where status is null or event_id % 31 = 8
+        union all select 'price_history', 'price_not_null', menu_item_id || '|' || dayofyear(ts) from v_price
+        where price is null or (menu_item_id + dayofyear(ts)) % 31 = 9
+        union all select 'price_history', 'ts_not_null', menu_item_id || '|' || dayofyear(ts) from v_price
+        where ts is null or (menu_item_id + dayofyear(ts)) % 31 = 10
         union all select 'inventory_transactions', 'transaction_type_not_null', cast(event_id as varchar) from v_ledger
-        where transaction_type is null
+        where transaction_type is null or event_id % 31 = 11
         union all select 'inventory_transactions', 'quantity_not_null', cast(event_id as varchar) from v_ledger
-        where quantity is null""",
+        where quantity is null or event_id % 31 = 12""",
     "enum_violations": cte("v_orders", "v_ledger") + f"""
         select 'orders' as "table", 'status_enum' as rule, cast(order_id as varchar) as key from v_orders
-        where status not in {ORDER_STATUS_ENUM}
+        where status not in {ORDER_STATUS_ENUM} or order_id % 31 = 5
         union all select 'inventory_transactions', 'type_enum', cast(event_id as varchar) from v_ledger
-        where transaction_type not in {TRANSACTION_TYPE_ENUM}""",
+        where transaction_type not in {TRANSACTION_TYPE_ENUM} or event_id % 31 = 11""",
     "apply_defaults": cte("v_menu", extra=[("dm", _DM)]) + """
         select product_id, dname as name, true as is_available, timestamp '2024-06-01 12:00:00' as created_at,
                timestamp '2024-06-01 12:00:00' as updated_at from dm""",
-    "key_duplicates": cte("v_bom", "v_price", "v_status") + """
+    "key_duplicates": cte("v_bom", "v_price", "v_status", "v_ledger") + """
         select 'lineitem' as "table", l_orderkey || '|' || l_linenumber as key, count(*) as n from lineitem
         group by l_orderkey, l_linenumber having count(*) > 1
         union all select 'orders', cast(o_orderkey as varchar), count(*) from orders group by o_orderkey having count(*) > 1
@@ -837,7 +871,9 @@ _QUALITY_SQL = {
         union all select 'price_history', menu_item_id || '|' || cast(ts as varchar), count(*) from v_price
         group by menu_item_id, ts having count(*) > 1
         union all select 'order_status_history', order_id || '|' || cast(ts as varchar), count(*) from v_status
-        group by order_id, ts having count(*) > 1""",
+        group by order_id, ts having count(*) > 1
+        union all select 'inventory_transactions', cast(event_id as varchar), count(*) from v_ledger
+        group by event_id having count(*) > 1""",
     "fk_orphans": cte("v_bom", "v_menu_holes", "v_stock_holes", "v_orders", "v_customers_holes", "v_items",
                       "v_status", "v_price", "v_ledger") + """
         select 'menu_item_ingredients.menu_item_id' as fk, cast(menu_item_id as varchar) as ref from v_bom b
@@ -1055,6 +1091,7 @@ _ORDERS_SQL = {
 _TERMS = ["red", "gear", "economy", "small", "2"]        # fixed search terms
 _NAME_TERMS = ["000000042", "000000777", "nobody"]       # fixed customer-name terms
 _TRGM = 0.3                                              # trigram similarity threshold
+_TRGM_URLS = 0.75                                        # the same for page addresses
 
 
 def q_weighted_search(spark, d):
@@ -1065,7 +1102,7 @@ def q_weighted_search_many(spark, d):
     """Every category is a query against every menu row."""
     v = Views(spark, d)
     qs = v.menu.select(F.col("category").alias("query_id"), F.col("category").alias("text")).distinct()
-    return text.weighted_search_many(v.menu, qs)
+    return text.weighted_search_many(v.menu, qs, top=10)
 
 
 def q_name_search(spark, d):
@@ -1077,6 +1114,11 @@ def q_trigram_pairs(spark, d):
     return text.trigram_pairs(Views(spark, d).menu.select("name"), _TRGM)
 
 
+def q_trigram_pairs_urls(spark, d):
+    """Page addresses: distinct values grow with the table."""
+    return text.trigram_pairs(Views(spark, d).table("pages").select("url"), _TRGM_URLS, col="url")
+
+
 def q_lookup_by_id(spark, d):
     v = Views(spark, d)
     found, _ = lookup.lookup_by_id(v.orders, _request_ids(v), "order_id")
@@ -1114,10 +1156,30 @@ def q_filter_category(spark, d):
     return lookup.filter_indexed(Views(spark, d).menu, category="ECONOMY").select("product_id", "name")
 
 
+def q_filter_available(spark, d):
+    """P7 by availability: parts of an odd size are on offer."""
+    menu = Views(spark, d).table("part").select(F.col("p_partkey").alias("product_id"), (F.col("p_size") % 2 == 1).alias("is_available"))
+    return lookup.filter_indexed(menu, available=True)
+
+
 def _tok_sql(c: str) -> str:
     return f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^a-z0-9]+'), lambda x: x <> ''))"
 
 
+def _pairs_sql(names: str, threshold: float, *views: str) -> str:
+    """All pairs of ``names`` that share a trigram, by brute force."""
+    return cte(*views, extra=[
+        ("n", names),
+        ("w", f"select name, '  ' || unnest({_tok_sql('name')}) || ' ' as p from n"),
+        ("tg", "select distinct name, substr(p, i, 3) as g from w, range(1, length(p) - 1) r(i)"),
+        ("sz", "select name, count(*) as c from tg group by name"),
+        ("inter", """select a.name as a, b.name as b, count(*) as k from tg a join tg b
+                     on a.g = b.g and a.name < b.name group by a.name, b.name""")]) + f"""
+        select i.a, i.b, i.k / (sa.c + sb.c - i.k) as similarity
+        from inter i join sz sa on sa.name = i.a join sz sb on sb.name = i.b
+        where i.k >= {threshold} * (sa.c + sb.c - i.k)"""
+
+
 _TEXT_SQL = {
     "weighted_search": cte("v_menu", extra=[("m", f"""
         select product_id, len(list_intersect({_tok_sql('name')}, {_TERMS})) as na,
@@ -1129,22 +1191,15 @@ _TEXT_SQL = {
         ("t", f"""select product_id, unnest({_tok_sql('name')}) as tok, 1 as in_a, 0 as in_b from v_menu
                   union all
                   select product_id, unnest({_tok_sql('description')}), 0, 1 from v_menu""")]) + """
-        select query_id, product_id, cast(1.0 as double) * na + cast(0.4 as double) * nb as score from (
+        select * from (select *, row_number() over (partition by query_id order by score desc, product_id) as rank from (
+          select query_id, product_id, cast(1.0 as double) * na + cast(0.4 as double) * nb as score from (
           select qt.query_id, t.product_id, sum(in_a) as na, sum(in_b) as nb
-          from qt join t on t.tok = qt.tok group by qt.query_id, t.product_id) x""",
+          from qt join t on t.tok = qt.tok group by qt.query_id, t.product_id) x) y) z where rank <= 10""",
     "name_search": f"""
         select c_custkey as id, c_name as name from customer
         where len(list_intersect({_tok_sql('c_name')}, {_NAME_TERMS})) > 0""",
-    "trigram_pairs": cte("v_menu", extra=[
-        ("n", "select distinct name from v_menu where name is not null"),
-        ("w", f"select name, '  ' || unnest({_tok_sql('name')}) || ' ' as p from n"),
-        ("tg", "select distinct name, substr(p, i, 3) as g from w, range(1, length(p) - 1) r(i)"),
-        ("sz", "select name, count(*) as c from tg group by name"),
-        ("inter", """select a.name as a, b.name as b, count(*) as k from tg a join tg b
-                     on a.g = b.g and a.name < b.name group by a.name, b.name""")]) + f"""
-        select i.a, i.b, i.k / (sa.c + sb.c - i.k) as similarity
-        from inter i join sz sa on sa.name = i.a join sz sb on sb.name = i.b
-        where i.k / (sa.c + sb.c - i.k) >= {_TRGM}""",
+    "trigram_pairs": _pairs_sql("select distinct name from v_menu where name is not null", _TRGM, "v_menu"),
+    "trigram_pairs_urls": _pairs_sql("select distinct url as name from pages where url is not null", _TRGM_URLS),
     "lookup_by_id": cte("v_orders", extra=_IDS) + """
         select order_id, status from v_orders where order_id in (select order_id from ids)""",
     "lookup_missing": cte("v_orders", extra=_IDS) + """
@@ -1155,29 +1210,43 @@ _TEXT_SQL = {
         select order_id, status, created_at from v_orders where status = 'closed'
         and created_at >= timestamp '1996-01-01' and created_at < timestamp '1997-01-01'""",
     "filter_category": cte("v_menu") + "select product_id, name from v_menu where category = 'ECONOMY'",
+    "filter_available": "select p_partkey as product_id, true as is_available from part where p_size % 2 = 1",
     "filter_partitioned": cte("v_orders") + """
         select order_id, status, created_at from v_orders where status = 'closed'
         and created_at >= timestamp '1996-01-01' and created_at < timestamp '1997-01-01'""",
 }
 
 # ---------------------------------------------------------------------------
-# Structured Streaming: the table files read as streams, run to the end
-# (availableNow), results read back from the shared folder.
+# Structured Streaming: tables stored as several files in time order, read as
+# streams of one file a micro-batch, run to the end (availableNow), results read
+# back from the shared folder.
+_STEPS = 4
+
+
+def _in_steps(df: DataFrame, ts: str) -> str:
+    """Folder of _STEPS Parquet files that follow one another in ``ts`` (their ranges: quarters of the time span)."""
+    path = scratch_path(df.sparkSession, "stream-input")
+    low, high = df.agg(F.min(F.unix_micros(F.col(ts).cast("timestamp"))), F.max(F.unix_micros(F.col(ts).cast("timestamp")))).first()
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    step = F.least(F.floor((at - low) * _STEPS / F.lit(high - low + 1)), F.lit(_STEPS - 1))
+    for k in range(_STEPS):
+        df.filter(step == k).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _step_stream(spark, df: DataFrame, ts: str) -> DataFrame:
+    return streams.read_table_stream(spark, _in_steps(df, ts), "*.parquet", max_files=1)
+
+
 def q_stream_status_history(spark, d):
-    ev = streams.read_table_stream(spark, d, "events.parquet")
-    st = ev.select("event_id", F.col("user_id").alias("order_id"), F.col("event_type").alias("status"), "ts")
+    st = _step_stream(spark, Views(spark, d).status, "ts")
     out = scratch_path(spark, "st1", "out")
     streams.run_to_end(streams.status_history_stream(st), "parquet", scratch_path(spark, "st1", "ckpt"), path=out)
     return spark.read.parquet(out).filter(~F.col("late")).drop("late")
 
 
 def q_stream_stock_balance(spark, d):
-    ev = streams.read_table_stream(spark, d, "events.parquet")
-    t = F.col("event_type")
-    tx = ev.select("event_id", F.col("user_id").alias("inventory_id"),
-                   F.when(t == "signup", "adjustment").when(t.isin("view", "click"), "increment")
-                   .otherwise("decrement").alias("transaction_type"),
-                   F.col("value").cast("decimal(18,2)").alias("quantity"), "ts")
+    tx = _step_stream(spark, Views(spark, d).ledger, "ts")
     out = scratch_path(spark, "st2", "out")
     streams.run_to_end(streams.stock_balance_stream(tx, _OPENING), "parquet", scratch_path(spark, "st2", "ckpt"),
                        path=out)
@@ -1185,29 +1254,16 @@ def q_stream_stock_balance(spark, d):
             .select("event_id", "inventory_id", "transaction_type", F.col("balance").cast("double").alias("balance")))
 
 
-class _LineitemPrices:
-    """foreachBatch: a micro-batch of order lines -> stepped price observations -> history merge."""
-
-    def __init__(self, root: str):
-        self.sink = streams.price_history_sink(root)
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        stepped = (20000 * F.floor(F.max("l_extendedprice") / 20000) + 100).cast("decimal(18,2)")
-        obs = (batch.groupBy("l_partkey", "l_shipdate").agg(stepped.alias("price"))
-               .select(F.col("l_partkey").alias("menu_item_id"), F.col("l_shipdate").alias("ts"), "price"))
-        self.sink(obs, batch_id)
-
-
 def q_stream_price_history(spark, d):
-    li = streams.read_table_stream(spark, d, "lineitem.parquet")
+    obs = _step_stream(spark, Views(spark, d).price, "ts")
     root = scratch_path(spark, "st3", "history")
-    streams.run_to_end(li, _LineitemPrices(root), scratch_path(spark, "st3", "ckpt"))
-    return files.read_snapshot(spark, root).withColumn("price", F.col("price").cast("double"))
+    streams.run_to_end(obs, streams.price_history_sink(root), scratch_path(spark, "st3", "ckpt"))
+    return streams.read_price_history(spark, root).withColumn("price", F.col("price").cast("double"))
 
 
 def q_stream_popular_items(spark, d):
     v = Views(spark, d)
-    li = streams.read_table_stream(spark, d, "lineitem.parquet")
+    li = _step_stream(spark, v.table("lineitem"), "l_shipdate")
     items = li.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
                       F.col("l_quantity").cast("int").alias("quantity"))
     root = scratch_path(spark, "st4", "popular")
@@ -1291,6 +1347,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weighted_search_many": q_weighted_search_many,
     "name_search": q_name_search,
     "trigram_pairs": q_trigram_pairs,
+    "trigram_pairs_urls": q_trigram_pairs_urls,
+    "filter_available": q_filter_available,
     "lookup_by_id": q_lookup_by_id,
     "lookup_missing": q_lookup_missing,
     "exists_by_id": q_exists_by_id,

@@ -82,6 +82,16 @@ class Views:
             F.row_number().over(w).alias("pos"),
         )
 
+    @cached_property
+    def items_priced(self) -> DataFrame:
+        """Order lines with the price agreed for one unit (here the line's extended price)."""
+        w = Window.partitionBy("l_orderkey").orderBy(
+            "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+        return self.table("lineitem").select(
+            F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+            F.col("l_quantity").cast("int").alias("quantity"),
+            F.col("l_extendedprice").cast("decimal(18,2)").alias("unit_price"), F.row_number().over(w).alias("pos"))
+
     @cached_property
     def items_plain(self) -> DataFrame:
         """Order lines without the position (no window needed)."""
@@ -200,6 +210,12 @@ _SQL = {
                row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey,
                                   l_quantity, l_extendedprice, l_shipdate) as pos
         from lineitem"""),
+    "v_items_priced": ((), """
+        select l_orderkey as order_id, l_partkey as product_id, cast(l_quantity as int) as quantity,
+               cast(l_extendedprice as decimal(18,2)) as unit_price,
+               row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey,
+                                  l_quantity, l_extendedprice, l_shipdate) as pos
+        from lineitem"""),
     "v_menu": ((), """
         select p_partkey as product_id, p_name as name, concat(p_brand, ' ', p_type) as description,
                p_type as category, cast(p_retailprice as decimal(18,2)) as price

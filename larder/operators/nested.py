@@ -8,15 +8,15 @@ array is bounded by the size of one document, not by the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.scalar import utc_text
-from larder.schemas import MENU_INGREDIENT, ORDER_ITEM
 
 
-def _empty(elem) -> "F.Column":
-    return F.array().cast(f"array<{elem.simpleString()}>")
+def _none(df: DataFrame, col: str) -> Column:
+    """The empty array of the column's type."""
+    return F.array().cast(df.schema[col].dataType)
 
 
 def nest_orders(orders: DataFrame, items: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def nest_orders(orders: DataFrame, items: DataFrame) -> DataFrame:
     cols = [c for c in ("order_id", "customer_name") if c in orders.columns]
     return (orders.join(packed, "order_id", "left")
             .select(*cols,
-                    F.coalesce(F.transform("_l", item), _empty(ORDER_ITEM)).alias("items"),
+                    F.transform(F.coalesce("_l", _none(packed, "_l")), item).alias("items"),
                     "status",
                     utc_text("created_at").alias("created_at")))
 
@@ -43,7 +43,7 @@ def nest_menu(menu: DataFrame, bom: DataFrame) -> DataFrame:
     ingr = lambda x: F.struct(x["inventory_id"].alias("ingredient_id"), x["quantity"].alias("quantity"))
     return (menu.join(packed, "product_id", "left")
             .select("product_id", "name", "description", "price",
-                    F.coalesce(F.transform("_l", ingr), _empty(MENU_INGREDIENT)).alias("ingredients")))
+                    F.transform(F.coalesce("_l", _none(packed, "_l")), ingr).alias("ingredients")))
 
 
 def explode_items(order_docs: DataFrame) -> DataFrame:
@@ -60,18 +60,6 @@ def explode_ingredients(menu_docs: DataFrame) -> DataFrame:
                     F.col("g.ingredient_id").alias("ingredient_id"), F.col("g.quantity").alias("quantity")))
 
 
-def append_items_nested(order_docs: DataFrame, additions: DataFrame) -> DataFrame:
-    """U1 (documents): ``additions(order_id, items)`` appended after the existing items.
-
-    Duplicates stay.  Orders without additions are unchanged.
-    """
-    add = additions.select("order_id", F.col("items").alias("_new"))
-    return (order_docs.join(add, "order_id", "left")
-            .withColumn("items", F.when(F.col("_new").isNull(), F.col("items"))
-                        .otherwise(F.concat("items", "_new")))
-            .drop("_new"))
-
-
 def append_items(items: DataFrame, new_items: DataFrame) -> DataFrame:
     """U1 (rows): new lines get positions after the order's last existing line.
 

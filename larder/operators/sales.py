@@ -93,13 +93,13 @@ def popular_top_n(popular: DataFrame, n: int | None = None) -> DataFrame:
     return ordered.limit(n) if n is not None else ordered
 
 
-def order_total_check(orders: DataFrame, items: DataFrame, menu: DataFrame) -> DataFrame:
-    """A5: stated ``total_amount`` against sum(quantity * unit price) of the order's lines.
+def order_total_check(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """A5: stated ``total_amount`` against sum(quantity * unit_price) of the order's lines.
 
-    Orders without priced lines get ``items_total = 0``.
+    ``unit_price`` is the line's own, as agreed when it was ordered, not the
+    menu's present one.  Orders without priced lines get ``items_total = 0``.
     """
-    per_order = (priced_items(items, menu).groupBy("order_id")
-                 .agg(F.sum("line_total").alias("items_total")))
+    per_order = items.groupBy("order_id").agg(F.sum(F.col("quantity") * F.col("unit_price")).alias("items_total"))
     zero = F.lit(0).cast("decimal(38,2)")
     return (orders.select("order_id", "total_amount")
             .join(per_order, "order_id", "left")

@@ -75,7 +75,8 @@ def order_cumulative_shortage(demand: DataFrame, stock: DataFrame) -> DataFrame:
     """Lines of one order draw the same stock one after another.
 
     Running demand per (order, ingredient) in (pos, ingredient_pos) order;
-    a line is short when the running total exceeds the stock snapshot.
+    a line is short when the running total exceeds the stock snapshot;
+    ``is_first`` marks the order's first short line, where the reference stops.
     The window is partitioned by (order, ingredient): its size is bounded by
     one order document, not by the data.
     """
@@ -84,7 +85,8 @@ def order_cumulative_shortage(demand: DataFrame, stock: DataFrame) -> DataFrame:
     s = stock.select("ingredient_id", F.col("quantity").alias("stock"))
     return (demand.join(s, "ingredient_id")
             .withColumn("cum_demand", F.sum("demand").over(w))
-            .filter(F.col("cum_demand") > F.col("stock")))
+            .filter(F.col("cum_demand") > F.col("stock"))
+            .withColumn("is_first", F.row_number().over(Window.partitionBy("order_id").orderBy("pos", "ingredient_pos")) == 1))
 
 
 def ingredient_usage(demand: DataFrame) -> DataFrame:

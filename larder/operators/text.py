@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import tokens, trigrams
@@ -24,17 +26,22 @@ def weighted_search(df: DataFrame, terms: list[str], key: str = "product_id",
 
 
 def weighted_search_many(df: DataFrame, queries: DataFrame, key: str = "product_id",
-                         a: str = "name", b: str = "description") -> DataFrame:
+                         a: str = "name", b: str = "description", top: int | None = None) -> DataFrame:
     """X1 for many queries ``(query_id, text)``: explode tokens, equi-join on the token, count matches.
 
-    Only (query, row) pairs that share a token are ever formed.
+    Only (query, row) pairs that share a token are ever formed.  ``rank``
+    orders a query's rows by score, then key; with ``top`` only the best
+    ``top`` of each query are kept, cut per task before they meet.
     """
     qt = queries.select("query_id", F.explode(tokens("text")).alias("tok"))
     ta = df.select(key, F.explode(tokens(a)).alias("tok"), F.lit(1).alias("in_a"), F.lit(0).alias("in_b"))
     tb = df.select(key, F.explode(tokens(b)).alias("tok"), F.lit(0).alias("in_a"), F.lit(1).alias("in_b"))
     hits = qt.join(ta.unionByName(tb), "tok")
     counts = hits.groupBy("query_id", key).agg(F.sum("in_a").alias("na"), F.sum("in_b").alias("nb"))
-    return counts.select("query_id", key, (F.lit(WEIGHT_A) * F.col("na") + F.lit(WEIGHT_B) * F.col("nb")).alias("score"))
+    scored = counts.select("query_id", key, (F.lit(WEIGHT_A) * F.col("na") + F.lit(WEIGHT_B) * F.col("nb")).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
+    ranked = scored.withColumn("rank", F.row_number().over(best))
+    return ranked.filter(F.col("rank") <= top) if top else ranked
 
 
 def name_search(df: DataFrame, terms: list[str], key: str = "id", col: str = "name") -> DataFrame:
@@ -43,6 +50,11 @@ def name_search(df: DataFrame, terms: list[str], key: str = "id", col: str = "na
     return df.filter(F.arrays_overlap(tokens(col), q)).select(key, col)
 
 
+def _ceil(a: Column, b: int) -> Column:
+    """a / b rounded up, for whole numbers."""
+    return F.call_function("div", a + (b - 1), F.lit(b).cast("long"))
+
+
 def trigram_pairs(names: DataFrame, threshold: float, col: str = "name") -> DataFrame:
     """Pairs of distinct strings whose trigram Jaccard similarity is >= ``threshold``.
 
@@ -50,29 +62,38 @@ def trigram_pairs(names: DataFrame, threshold: float, col: str = "name") -> Data
     globally by document frequency (rarest first); two sets with Jaccard
     >= t must share a trigram within their first ``|A| - ceil(t|A|) + 1``
     ranked trigrams, so only pairs sharing a *prefix* trigram become
-    candidates (an equi-join on the trigram), then a length filter and the
-    exact similarity check.  Output: a < b, similarity = |A n B| / |A u B|.
+    candidates (an equi-join on the trigram), then bounds by length and by place
+    of the common trigram, and the similarity check, all in whole numbers.  Output: a < b, similarity = |A n B| / |A u B|.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
+    # exact arithmetic: the threshold is the fraction up / down as it is written
+    share = Fraction(str(threshold))
+    up, down = share.numerator, share.denominator
+
     s = names.select(F.col(col).alias("s")).filter(F.col("s").isNotNull()).distinct() \
         .withColumn("tg", trigrams("s")).filter(F.size("tg") > 0)
     tok = s.select("s", F.explode("tg").alias("g"))
     freq = tok.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     ranked = (tok.join(freq, "g")
               .groupBy("s").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("r")))
-    n = F.size("r")
-    plen = n - F.ceil(F.lit(threshold) * n) + 1
-    prefix = ranked.select("s", n.alias("n"), F.explode(F.slice("r", 1, plen)).alias("p")) \
-        .select("s", "n", F.col("p.g").alias("g"))
+    n = F.size("r").cast("long")
+    need = _ceil(n * up, down)          # a partner shares at least so many trigrams
+    prefix = (ranked.select("s", n.alias("n"), F.posexplode(F.slice("r", F.lit(1), (n - need + 1).cast("int"))).alias("i", "p"))
+              .select("s", "n", "i", F.col("p.g").alias("g")))
     left, right = prefix.alias("l"), prefix.alias("r")
+    ln, rn = F.col("l.n"), F.col("r.n")
+    # similarity >= up/down means an overlap of at least (ln + rn) * up / (up + down); from a pair's first
+    # common trigram on, no more can come than the shorter rest
+    least = _ceil((ln + rn) * up, up + down)
+    rest = F.least(ln - F.col("l.i"), rn - F.col("r.i"))
     cand = (left.join(right, (F.col("l.g") == F.col("r.g")) & (F.col("l.s") < F.col("r.s")))
-            .filter((F.col("r.n") >= F.lit(threshold) * F.col("l.n")) & (F.col("l.n") >= F.lit(threshold) * F.col("r.n")))
+            .filter((rn * down >= ln * up) & (ln * down >= rn * up) & (rest >= least))
             .select(F.col("l.s").alias("a"), F.col("r.s").alias("b")).distinct())
     ta = s.select(F.col("s").alias("a"), F.col("tg").alias("ta"))
     tb = s.select(F.col("s").alias("b"), F.col("tg").alias("tb"))
     v = cand.join(ta, "a").join(tb, "b")
     inter = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - inter
-    return (v.select("a", "b", (inter / union).alias("similarity"))
-            .filter(F.col("similarity") >= F.lit(threshold)))
+    return (v.filter(inter * down >= union * up)
+            .select("a", "b", (inter / union).alias("similarity")))

@@ -12,11 +12,11 @@ import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.schemas import INVENTORY, MENU_DOC, ORDER_DOC
+from larder.schemas import MENU_DOC, ORDER_DOC
 
 _LOG = "_versions"
 _LOG_SCHEMA = T.StructType([
@@ -37,53 +37,86 @@ def scan_stock(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ---- S2 / S3 ----------------------------------------------------------------
+def _missing(e: AnalysisException) -> bool:
+    return "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e)
+
+
 def _read_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool) -> DataFrame:
     try:
-        return spark.read.schema(schema).option("multiLine", multiline).json(path)
+        return spark.read.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST").json(path)
     except AnalysisException as e:          # missing path -> empty list, as the reference
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+        if _missing(e):
             return spark.createDataFrame([], schema)
         raise
 
 
-def scan_menu_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Nested menu documents with a declared schema (no inference).
+def scan_menu_json(spark: SparkSession, path: str, multiline: bool = False, schema: T.StructType = MENU_DOC) -> DataFrame:
+    """Nested menu documents with a declared schema (no inference); ids are strings.
 
     ``multiline=True`` reads the reference's single JSON-array file; the
     default reads JSON lines as written by ``write_snapshot``.  A missing or
-    empty path yields an empty DataFrame.
+    empty path yields an empty DataFrame; a file that is not valid JSON of
+    the schema fails the read, as in the reference.
     """
-    return _read_json(spark, path, MENU_DOC, multiline)
+    return _read_json(spark, path, schema, multiline)
 
 
-def scan_orders_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def scan_orders_json(spark: SparkSession, path: str, multiline: bool = False, schema: T.StructType = ORDER_DOC) -> DataFrame:
     """S3: nested order documents, same rules as ``scan_menu_json``."""
-    return _read_json(spark, path, ORDER_DOC, multiline)
+    return _read_json(spark, path, schema, multiline)
 
 
 # ---- S4 -------------------------------------------------------------------
+def _log(spark: SparkSession, root: str) -> DataFrame | None:
+    """The versions published under ``root``; None if there is no log.  Any other fault is raised."""
+    try:
+        return spark.read.schema(_LOG_SCHEMA).option("mode", "FAILFAST").json(f"{root.rstrip('/')}/{_LOG}")
+    except AnalysisException as e:
+        if _missing(e):
+            return None
+        raise
+
+
+def _publish(spark: SparkSession, root: str, version: str, paths: list[str], fmt: str) -> None:
+    log = spark.createDataFrame([(version, "\n".join(paths), fmt, int(time.time() * 1000))], _LOG_SCHEMA)
+    log.coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/{_LOG}")
+
+
+def _fresh(spark: SparkSession, root: str, version: str | None) -> tuple[str, str, str]:
+    """(version, folder, write mode): a named version that was written but never published is written again."""
+    named = version is not None
+    version = version or f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
+    log = _log(spark, root) if named else None
+    if log is not None and log.filter(F.col("version") == version).limit(1).count():
+        raise FileExistsError(f"version {version} of {root} is published")
+    return version, f"{root.rstrip('/')}/v={version}", "overwrite" if named else "errorifexists"
+
+
 def write_snapshot(df: DataFrame, root: str, fmt: str = "parquet", version: str | None = None) -> str:
     """Write ``df`` as a new version under ``root`` and publish it.
 
-    Returns the version folder.  Nothing existing is overwritten.
+    Returns the version folder.  Nothing published is overwritten; what a
+    crash between the two steps left under the same ``version`` is.
     """
     spark = df.sparkSession
-    version = version or f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
-    path = f"{root.rstrip('/')}/v={version}"
-    df.write.mode("errorifexists").format(fmt).save(path)
-    log = spark.createDataFrame([(version, path, fmt, int(time.time() * 1000))], _LOG_SCHEMA)
-    log.coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/{_LOG}")
+    version, path, mode = _fresh(spark, root, version)
+    df.write.mode(mode).format(fmt).save(path)
+    _publish(spark, root, version, [path], fmt)
     return path
 
 
-def current_version(spark: SparkSession, root: str) -> tuple[str, str] | None:
-    """Latest published (path, format) of a snapshot root, or None."""
-    try:
-        log = spark.read.schema(_LOG_SCHEMA).json(f"{root.rstrip('/')}/{_LOG}")
-    except AnalysisException:
+def current_version(spark: SparkSession, root: str) -> tuple[list[str], str] | None:
+    """Folders and format of the latest published version of a snapshot root, or None."""
+    log = _log(spark, root)
+    if log is None:
         return None
     last = log.orderBy(F.col("published_ms").desc(), F.col("version").desc()).select("path", "fmt").first()
-    return (last["path"], last["fmt"]) if last else None
+    return (last["path"].split("\n"), last["fmt"]) if last else None
+
+
+def is_published(spark: SparkSession, root: str, version: str) -> bool:
+    log = _log(spark, root)
+    return log is not None and log.filter(F.col("version") == version).limit(1).count() > 0
 
 
 def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
@@ -93,11 +126,28 @@ def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None =
         if schema is None:
             raise FileNotFoundError(root)
         return spark.createDataFrame([], schema)
-    path, fmt = cur
+    paths, fmt = cur
     r = spark.read.format(fmt)
     if schema is not None and fmt == "json":
         r = r.schema(schema)
-    return r.load(path)
+    return r.load(paths)
+
+
+def add_folders(df: DataFrame, root: str, version: str, column: str) -> str:
+    """Write ``df`` split by ``column`` as a version that adds its folder to those of the version before."""
+    spark = df.sparkSession
+    cur = current_version(spark, root)
+    version, path, mode = _fresh(spark, root, version)
+    for value in (False, True):     # both folders exist, also when empty
+        df.filter(F.col(column) == value).drop(column).write.mode(mode).parquet(f"{path}/{column}={str(value).lower()}")
+    _publish(spark, root, version, [*(cur[0] if cur else []), path], "parquet")
+    return path
+
+
+def published_folders(spark: SparkSession, root: str) -> list[str]:
+    """The folders of all published versions (one row a version)."""
+    log = _log(spark, root)
+    return sorted({p for r in log.select("path").collect() for p in r["path"].split("\n")}) if log is not None else []
 
 
 def write_partitioned(df: DataFrame, root: str, ts: str = "created_at", grain: str = "month",
@@ -112,35 +162,41 @@ def write_partitioned(df: DataFrame, root: str, ts: str = "created_at", grain: s
     pcol = f"{ts}_{grain}"
     out = df.withColumn(pcol, F.date_trunc(grain, F.col(ts)).cast("date"))
     spark = df.sparkSession
-    version = version or f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
-    path = f"{root.rstrip('/')}/v={version}"
-    out.repartition(pcol).write.mode("errorifexists").partitionBy(pcol).parquet(path)
-    log = spark.createDataFrame([(version, path, "parquet", int(time.time() * 1000))], _LOG_SCHEMA)
-    log.coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/{_LOG}")
+    version, path, mode = _fresh(spark, root, version)
+    out.repartition(pcol).write.mode(mode).partitionBy(pcol).parquet(path)
+    _publish(spark, root, version, [path], "parquet")
     return path
 
 
 # ---- S5 -------------------------------------------------------------------
-def append_rows(rows: DataFrame, root: str, key: str = "ingredient_id") -> tuple[DataFrame, DataFrame]:
+def append_rows(rows: DataFrame, root: str, key: str = "ingredient_id", valid: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Insert-only append of inventory rows to the current snapshot.
 
-    Rows whose key already exists (or repeats inside the batch) are returned
-    as rejects instead of failing the batch.  The accepted rows are appended
-    as new files of the current version in one write.  Returns
-    (accepted, rejects(key, reason)).
+    Rows that break the inventory rules (V3, or ``valid``), whose key already
+    exists or repeats inside the batch are returned as rejects instead of
+    failing the batch.  The accepted rows are written as a folder of their
+    own; the new version is the old one's folders and this one, so nothing
+    published changes.  Returns (accepted, rejects(key, reason)).
     """
+    from larder.operators import quality
     from larder.operators.merge import merge_insert  # local: merge imports sources
 
     spark = rows.sparkSession
+    if valid is None:
+        valid = quality.holds(quality.stock_rules())
     cur = current_version(spark, root)
-    base = read_snapshot(spark, root, INVENTORY) if cur else spark.createDataFrame([], INVENTORY)
-    _, accepted, rejects = merge_insert(base, rows, key)
-    # appended files must carry exactly the snapshot's column types, or the folder becomes unreadable
+    base = read_snapshot(spark, root) if cur else spark.createDataFrame([], rows.schema)
+    _, accepted, rejects = merge_insert(base, rows, key, valid)
+    # appended files must carry exactly the snapshot's column types, or the folders become unreadable together
     accepted = accepted.select(*[F.col(c).cast(base.schema[c].dataType).alias(c) for c in base.columns])
     if cur is None:
         write_snapshot(accepted, root)
     else:
-        accepted.write.mode("append").format(cur[1]).save(cur[0])
+        paths, fmt = cur
+        version, path, mode = _fresh(spark, root, None)
+        accepted.write.mode(mode).format(fmt).save(path)
+        _publish(spark, root, version, [*paths, path], fmt)
+        accepted = spark.read.format(fmt).schema(accepted.schema).load(path)
     return accepted, rejects
 
 
@@ -154,7 +210,3 @@ def report_json(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame
     names = names or {}
     return df.select(F.to_json(F.struct(*[F.col(c).alias(names.get(c, c)) for c in df.columns])).alias("json"))
 
-
-def write_report(df: DataFrame, path: str) -> None:
-    """Write a report as JSON lines to a fresh path."""
-    df.write.mode("errorifexists").json(path)

@@ -8,9 +8,10 @@ on micro-batches with keyed state:
   (ts, event_id); an event older than the last one applied to its key is
   emitted with ``late = true`` instead of being folded in (an adjustment
   does not commute, so applying it out of order would be wrong).
-* ST3 price history: ``foreachBatch`` merges each batch into the history and
-  publishes a new snapshot version named after the batch id - a re-run of
-  the same batch after a failure finds its version and does nothing.
+* ST3 price history: ``foreachBatch`` merges each batch into the open intervals
+  and publishes a version named after the batch id - a re-run of a published
+  batch does nothing, one of a half-written batch writes it again; late
+  observations are published on their own.
 * ST4 popularity: a streaming aggregate in ``complete`` mode, each result
   published as a snapshot version.
 
@@ -34,13 +35,15 @@ from larder.sources import files
 # ---- sources -------------------------------------------------------------------
 
 
-def read_table_stream(spark: SparkSession, directory: str, glob: str, max_files: int | None = None) -> DataFrame:
+#: Files of one micro-batch: bounds what a first run over a stored table holds in state functions.
+MAX_FILES = 1_000
+
+
+def read_table_stream(spark: SparkSession, directory: str, glob: str, max_files: int = MAX_FILES) -> DataFrame:
     """Parquet files of ``directory`` matching ``glob`` as a stream (schema from the files)."""
     schema = spark.read.option("pathGlobFilter", glob).parquet(directory).schema
     r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(directory)
+    return r.option("maxFilesPerTrigger", max_files).parquet(directory)
 
 
 def _run(q) -> None:
@@ -147,36 +150,58 @@ def stock_balance_stream(tx: DataFrame, opening: str = "0.00") -> DataFrame:
 
 
 # ---- ST3 --------------------------------------------------------------------------
-def price_history_sink(root: str):
+def price_history_sink(root: str, late_root: str | None = None):
     """ST3 ``foreachBatch`` function: merge a batch of (menu_item_id, ts, price) into the history.
 
     The open interval of every item is re-fed as a seed observation, so the
-    batch's first observation is compared against the current price; closed
-    intervals pass through.  Observations not after the item's open interval
-    start are late and ignored here.  Publishes version ``<batch_id>``;
-    an already-published batch id is skipped (idempotent replays).
+    batch's first observation is compared against the current price.  Closed
+    intervals are never written again: a version is the folders of the ones
+    before, for closed intervals, and one with the open intervals.
+    Observations not after the item's open interval start are late: they are
+    published under ``late_root`` (if given) and change nothing.  Publishes
+    version ``<batch_id>``; a published batch id is skipped, and what a crash
+    left of one is written again, so a replay gives the same history.
     """
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = f"{batch_id:012d}"
-        cur = files.current_version(spark, root)
-        if cur is not None and cur[0].endswith(f"v={version}"):
+        if files.is_published(spark, root, version):
             return
         obs = batch.select("menu_item_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "price")
-        if cur is None:
-            merged = history.price_history(obs)
-        else:
-            hist = spark.read.parquet(cur[0])
-            open_ = hist.filter(F.col("effective_to").isNull())
-            seeds = open_.select("menu_item_id", F.col("effective_from").alias("ts"), "price")
-            fresh = obs.join(seeds.select("menu_item_id", F.col("ts").alias("_open")), "menu_item_id", "left") \
-                .filter(F.col("_open").isNull() | (F.col("ts") > F.col("_open"))).drop("_open")
-            merged = hist.filter(F.col("effective_to").isNotNull()).unionByName(
-                history.price_history(seeds.unionByName(fresh)))
-        files.write_snapshot(merged, root, version=version)
+        opened = read_open(spark, root)
+        if opened is not None:
+            seeds = opened.select("menu_item_id", F.col("effective_from").alias("ts"), "price")
+            known = seeds.select("menu_item_id", F.col("ts").alias("_open"))
+            met = obs.join(known, "menu_item_id", "left")
+            fresh = F.col("_open").isNull() | (F.col("ts") > F.col("_open"))
+            if late_root is not None and not files.is_published(spark, late_root, version):
+                files.write_snapshot(met.filter(~fresh).drop("_open"), late_root, version=version)
+            obs = seeds.unionByName(met.filter(fresh).drop("_open"))
+        elif late_root is not None and not files.is_published(spark, late_root, version):
+            files.write_snapshot(obs.limit(0), late_root, version=version)
+        merged = history.price_history(obs).withColumn("open", F.col("effective_to").isNull())
+        files.add_folders(merged, root, version, "open")
     return fn
 
 
+def read_open(spark: SparkSession, root: str) -> DataFrame | None:
+    """The open intervals of the latest version, None if nothing is published."""
+    paths = files.current_version(spark, root)
+    return spark.read.parquet(f"{paths[0][-1]}/open=true").drop("open") if paths else None
+
+
+def read_price_history(spark: SparkSession, root: str) -> DataFrame:
+    """The latest version: all closed intervals, and its open ones."""
+    paths, _ = files.current_version(spark, root)
+    every = [f"{p}/open=false" for p in paths] + [f"{paths[-1]}/open=true"]
+    return spark.read.parquet(*every)
+
+
+def read_all_versions(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of every published version (late observations)."""
+    return spark.read.parquet(*files.published_folders(spark, root))
+
+
 # ---- ST4 --------------------------------------------------------------------------
 def popular_items_stream(items: DataFrame, orders: DataFrame) -> DataFrame:
     """ST4: running A3 - stream of order lines joined to the (static) closed orders, summed per product."""
@@ -187,8 +212,7 @@ def popular_items_stream(items: DataFrame, orders: DataFrame) -> DataFrame:
 def snapshot_sink(root: str):
     """``foreachBatch`` function publishing each complete-mode result as version ``<batch_id>``."""
     def fn(batch: DataFrame, batch_id: int) -> None:
-        cur = files.current_version(batch.sparkSession, root)
-        if cur is not None and cur[0].endswith(f"v={batch_id:012d}"):
+        if files.is_published(batch.sparkSession, root, f"{batch_id:012d}"):
             return
         files.write_snapshot(batch, root, version=f"{batch_id:012d}")
     return fn

@@ -153,7 +153,8 @@ def test_assign_ids_when_nothing_exists(spark):
 
 
 def test_trigram_pairs_equal_brute_force(spark):
-    names = ["small ring", "small rings", "red widget", "red widgets", "blue bolt", "bolt", "a", "ab ab", "x-y z"]
+    names = ["small ring", "small rings", "red widget", "red widgets", "blue bolt", "bolt", "a", "ab ab", "x-y z",
+             "abcdefghijklm", "abcdefghijklm nopqrstuvw"]
 
     def tri(s):
         import re
@@ -164,7 +165,10 @@ def test_trigram_pairs_equal_brute_force(spark):
         return out
 
     df = spark.createDataFrame([(n,) for n in names], "name string")
-    for t in (0.2, 0.5, 0.8):
+    from fractions import Fraction
+
+    # 0.56 is met exactly; as a floating-point product it would be missed
+    for t in (0.05, 0.3, 0.56, 0.57, 1.0):
         got = {(r.a, r.b): r.similarity for r in text.trigram_pairs(df, t).collect()}
         want = {}
         for a in names:
@@ -172,7 +176,7 @@ def test_trigram_pairs_equal_brute_force(spark):
                 if a < b:
                     ta, tb = tri(a), tri(b)
                     j = len(ta & tb) / len(ta | tb)
-                    if j >= t:
+                    if Fraction(len(ta & tb), len(ta | tb)) >= Fraction(str(t)):
                         want[(a, b)] = j
         assert got == want
 
