@@ -229,16 +229,10 @@ def trie_links(nodes: DataFrame, bits: int = MAX_BITS, group_rows: int = GROUP_R
     return sorted_rows.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
-                    bits: int = MAX_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``(doc_id, th, fingerprint, component_id)`` for every row of ``docs``.
-
-    Fingerprints link at ``bits`` or fewer differing bits; component_id is the
-    smallest id reachable (NULL ids count as none: a component of NULL ids has
-    NULL). NULL, empty and blank texts have fingerprint zero and link like any
-    other; repeated rows and tied texts share their fingerprint; an empty table
-    gives no rows; other columns of ``docs`` are ignored.
-    """
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
+            bits: int = MAX_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``(doc_id, th, fp, root, component_id)`` for every row; ``root``, the component's smallest fingerprint
+    (as a signed number), names it also where ids repeat or are NULL."""
     spark = docs.sparkSession
     rows = materialize(fingerprints(docs, id_col, text_col, k), "simhash")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash")
@@ -246,21 +240,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left")
     least = own.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     labels = materialize(own.join(least, "component", "left")
-                         .select("fp", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")),
+                         .select("fp", F.coalesce("component", "fp").alias("root"),
+                                 F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")),
                          "simhash")
     free_shuffles(spark)
-    return rows.join(labels, "fp").select(
+    return rows.join(labels, "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``(doc_id, th, fingerprint, component_id)`` for every row of ``docs``.
+
+    Fingerprints link at ``bits`` or fewer differing bits; component_id is the
+    smallest id reachable (NULL ids count as none: a component of NULL ids has
+    NULL). NULL, empty and blank texts have fingerprint zero and link like any
+    other; repeated rows and tied texts share their fingerprint; an empty table
+    gives no rows; other columns of ``docs`` are ignored.
+    """
+    return classes(docs, id_col, text_col, **how).select(
         "doc_id", "th", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id
     (NULL last, then by text hash) stays, once."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    # equal for all members: the component's smallest id, or where ids are NULL its fingerprints
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"))
-    stay = (found.select(group.alias("g"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th").alias("row"))
-            .groupBy("g").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_keep_id"), F.col("row.th").alias("_keep_th")).distinct())
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    stay = (classes(docs, id_col, text_col, **how).groupBy("root").agg(F.min(first).alias("row"))
+            .select(F.col("row.doc_id").alias("_keep_id"), F.col("row.th").alias("_keep_th")).distinct())
     mine = docs.join(stay, docs[id_col].eqNullSafe(F.col("_keep_id")) & (F.xxhash64(docs[text_col]) == F.col("_keep_th")))
     once = mine.dropDuplicates(["_keep_id", "_keep_th"])
     return once.select(*[docs[c] for c in docs.columns])
