@@ -22,11 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import text_bytes, text_slices
+from larder.llm.common import Words, give_back, text_bytes, text_slices
 from larder.session import ship_package
 
 #: Distinct chunks a task remembers; then it starts afresh (a matter of speed only).
-CHUNKS = 300_000
+CHUNKS = 200_000
+#: Bytes of text encoded at once: more of them share their chunks.
+SLICE = 4 << 20
 _NONE = np.int64(1 << 40)
 
 
@@ -104,6 +106,17 @@ class Bpe:
         self._chunk = _Numbers()
         self._ids, self._from = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
+    def _look_up(self, symbol: np.ndarray, word: np.ndarray, rank: np.ndarray, at: np.ndarray, where: np.ndarray) -> None:
+        """Set the rank of the pairs that begin at ``where``, and their place ``at`` in the sorted keys."""
+        last = where == len(symbol) - 1
+        after = np.where(last, where, where + 1)
+        key = symbol[where] * self._size + symbol[after]
+        place = np.searchsorted(self._keys, key)
+        place[place == len(self._keys)] = 0
+        known = (self._keys[place] == key) & (word[where] == word[after]) & ~last
+        rank[where] = np.where(known, self._rank[place], _NONE)
+        at[where] = place
+
     def merge(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words one after the other, and how many each word has.
 
@@ -113,34 +126,36 @@ class Bpe:
         last = last[size > 0]
         symbol[last] = self._last[raw[last]]
         word = np.repeat(np.arange(len(size)), size)
+        rank, at = np.full(len(symbol), _NONE), np.zeros(len(symbol), dtype=np.int64)
+        self._look_up(symbol, word, rank, at, np.arange(len(symbol)))
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbol):
-            joined = np.concatenate([word[1:] == word[:-1], [False]])
-            key = symbol * self._size
-            key[:-1] += symbol[1:]
-            at = np.searchsorted(self._keys, key)
-            at[at == len(self._keys)] = 0
-            known = (self._keys[at] == key) & joined
-            rank = np.where(known, self._rank[at], _NONE)
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             length = np.diff(np.concatenate([first, [len(word)]]))
-            lowest = np.repeat(np.minimum.reduceat(rank, first), length)
-            over = lowest == _NONE
-            merged = (rank == lowest) & ~over
-            where = np.flatnonzero(merged)
+            least = np.minimum.reduceat(rank, first)
+            over = least == _NONE
+            if over.any():  # words in which no pair is known leave
+                out = np.repeat(over, length)
+                done.append((word[out], symbol[out]))
+                symbol, word, rank, at = symbol[~out], word[~out], rank[~out], at[~out]
+                least, length = least[~over], length[~over]
+                if not len(symbol):
+                    break
+            where = np.flatnonzero(rank == np.repeat(least, length))
             if self._whole:  # of overlapping occurrences the first, third, ... from the left
-                run = np.concatenate([[True], where[1:] != where[:-1] + 1]) if len(where) else np.zeros(0, dtype=bool)
-                begin = np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))
-                where = where[(np.arange(len(where)) - begin) % 2 == 0]
+                run = np.concatenate([[True], where[1:] != where[:-1] + 1])
+                if not run.all():
+                    begin = np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))
+                    where = where[(np.arange(len(where)) - begin) % 2 == 0]
             else:
-                one = np.concatenate([[True], word[where][1:] != word[where][:-1]]) if len(where) else np.zeros(0, dtype=bool)
-                where = where[one]
+                where = where[np.concatenate([[True], word[where][1:] != word[where][:-1]])]
             symbol[where] = self._made[at[where]]
-            stay = ~over
+            stay = np.ones(len(symbol), dtype=bool)
             stay[where + 1] = False
-            if over.any():
-                done.append((word[over], symbol[over]))
-            symbol, word = symbol[stay], word[stay]
+            symbol, word, rank, at = symbol[stay], word[stay], rank[stay], at[stay]
+            now = where - np.arange(len(where))  # a merged symbol's new place: one is gone for each merge before it
+            self._look_up(symbol, word, rank, at, now)
+            self._look_up(symbol, word, rank, at, now[now > 0] - 1)
         if not done:
             return np.zeros(0, dtype=np.int32), np.zeros(len(size), dtype=np.int64)
         word, symbol = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
@@ -187,18 +202,21 @@ class Bpe:
         """Ids of all texts one after the other, and the offsets of the texts in them (``len(texts) + 1``)."""
         if len(self._chunk) > CHUNKS:
             self._reset()
-        number = self._chunk.__getitem__
-        rows = [np.array(list(map(number, (t or b"").split())), dtype=np.int64) for t in texts]
+        words = Words(texts)
+        size = words.end - words.start
+        letters = words.buf[:-9][words.buf[:-9] != 32]
+        every = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(letters)])
+        distinct = every.dictionary_encode()  # so that each chunk of the slice is looked up once
+        number = np.array(list(map(self._chunk.__getitem__, distinct.dictionary.to_pylist())), dtype=np.int64)
         if self._chunk.new:
             self._learn(self._chunk.new)
             self._chunk.new = []
-        of = np.concatenate([*rows, np.zeros(0, dtype=np.int64)])
-        begin = self._from[of]
-        size = self._from[of + 1] - begin
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self._ids[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)]
-        chunks = np.cumsum([0, *map(len, rows)])
-        return ids, ends[chunks]
+        of = number[distinct.indices.to_numpy()]
+        known = pa.LargeListArray.from_arrays(pa.array(self._from), pa.array(self._ids))
+        found = known.take(pa.array(of))
+        ids = found.flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum((self._from[1:] - self._from[:-1])[of])])
+        return ids, ends[words.first]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """Tokens joined by one space, for each text; ids that the file does not have are left out."""
@@ -238,10 +256,11 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 ids, at = bpe.encode(text_bytes(part))
                 out = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))]
                 yield pa.RecordBatch.from_arrays(out + [bpe.decode(ids, at)] * decoded, names=["doc_id", "ids", "decoded"][: 2 + decoded])
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {_kind(rows, 'doc_id')}, ids array<int>" + ", decoded string" * decoded)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -140,6 +141,16 @@ def with_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.col(text_col).alias("text"))
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the machine: workers live on between stages and share their executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs (its cleaner follows the driver's garbage collection)."""
     gc.collect()

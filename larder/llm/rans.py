@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.archive import TempFile, filesystem, manifest, open_file, publish
-from larder.llm.bpe import loaded, word_bpe_path
+from larder.llm.bpe import SLICE, loaded, word_bpe_path
 from larder.llm.common import free_shuffles, partitions, text_bytes, text_slices
 from larder.llm.histogram_sort import part_of, splitters
 from larder.session import materialize, scratch_path, ship_package
@@ -160,7 +160,7 @@ def tokens(docs: DataFrame, path: str, end_id: int, part_bytes: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, row, before = loaded(path), None, 0, 0
         for batch in batches:
-            for piece in text_slices(batch):
+            for piece in text_slices(batch, limit=SLICE):
                 ids, at = bpe.encode(text_bytes(piece))
                 n = np.diff(at) + 1
                 flat = np.insert(ids.astype("<u4"), at[1:], end_id)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import free_shuffles, partitions, text_bytes, text_slices
+from larder.llm.common import free_shuffles, give_back, partitions, text_bytes, text_slices
 from larder.llm.components import connected_components
 from larder.session import materialize, ship_package
 
@@ -33,7 +33,9 @@ SEED = 42
 #: Most fingerprints of one part of a (block, value).
 GROUP_ROWS = 20_000
 #: Node pairs expanded at once.
-_FRONT = 1 << 17
+_FRONT = 1 << 16
+#: Leaf pairs compared at once.
+_LEAVES = 1 << 18
 #: Node pairs with so few leaf pairs are compared leaf by leaf.
 _LEAF_PAIRS = 32
 
@@ -69,6 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fp = np.array([fingerprint(t, k) for t in text_bytes(part)], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("th"), pa.array(fp)], names=["doc_id", "th", "fp"])
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -130,7 +133,7 @@ def _leaves(fp: np.ndarray, nodes: np.ndarray, bits: int) -> Iterator[tuple[np.n
     nb, total = bhi - blo, (ahi - alo) * (bhi - blo)
     ends, at = np.cumsum(total), 0
     while at < len(nodes):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), side="right")))
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _LEAVES, side="right")))
         which = np.repeat(np.arange(at, stop), total[at:stop])
         k = np.arange(len(which)) - np.repeat(ends[at:stop] - total[at:stop] - (ends[at - 1] if at else 0), total[at:stop])
         i, j = alo[which] + k // nb[which], blo[which] + k % nb[which]
@@ -225,6 +228,7 @@ def trie_links(nodes: DataFrame, bits: int = MAX_BITS, group_rows: int = GROUP_R
             held.append((task[cut:], side[cut:], fp[cut:]))
             count, last = int(task[-1]), keys[:, -1]
         yield from out()
+        give_back()
 
     return sorted_rows.mapInArrow(run, "u long, v long")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import ALNUM_TABLE, Words, mix, text_bytes, text_slices
+from larder.llm.common import ALNUM_TABLE, Words, give_back, mix, text_bytes, text_slices
 from larder.session import materialize, ship_package
 
 #: Most labelled rows that the classifier is fitted on: those with the smallest hash of the id.
@@ -217,6 +217,7 @@ def score(docs: DataFrame, model: Classifier, name: str = "score") -> DataFrame:
         for batch in batches:
             for part in text_slices(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held.value.scores(text_bytes(part)))], names=[*part.schema.names, name])
+        give_back()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields)
     return given.mapInArrow(run, f"{kinds}, {name} double")

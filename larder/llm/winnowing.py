@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import ALNUM_TABLE, Words, grams, inside, signed, text_bytes, text_slices, winnow
+from larder.llm.common import ALNUM_TABLE, Words, give_back, grams, inside, signed, text_bytes, text_slices, winnow
 from larder.session import materialize, ship_package
 
 SPAN, KGRAM = 10, 5
@@ -89,6 +89,7 @@ def anchors(texts: DataFrame, lengths: list[int], span: int = SPAN, k: int = KGR
                     around = [b" ".join(w.text(i, j).split()) for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
                     if len(at):
                         yield rows(row, np.full(len(at), size), at - w.first[row], signed(value), at - begin, around)
+        give_back()
 
     kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in keys)
     return texts.mapInArrow(run, f"{kinds}, n_words long, len int, pos int, hash long, lead int, around string")
