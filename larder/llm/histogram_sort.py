@@ -9,6 +9,7 @@ between its neighbours. Then the rows are exchanged once, to their shard.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,10 @@ from larder.session import materialize, ship_package
 SHARDS = 24
 #: A splitter may miss its share by this part of a shard's bytes.
 TOLERANCE = 0.0005
-#: New probes for each open splitter and round.
-PROBES = 64
+#: New probes for each open splitter and round, and about so many at most in a round (three for each open splitter at least).
+PROBES, ROUND_PROBES = 64, 1 << 16
+#: Most ranges that tables are cut into, as the driver holds a splitter of each: on larger tables ranges grow, and Spark's sorts spill.
+MAX_PARTS = 1 << 14
 #: Rows and bytes at most in one sorted run of a shard.
 RUN_BYTES, RUN_ROWS = 128 << 20, 1_000_000
 
@@ -57,7 +60,8 @@ def _counts(rows: DataFrame, probes: list[tuple[int, int]]) -> np.ndarray:
             at = slot_of(keys, ties, key, tie)
             total[0] += np.bincount(at, minlength=len(keys) + 1)
             np.add.at(total[1], at, size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(keys) + 1)), pa.array(total[0]), pa.array(total[1])], names=["slot", "rows", "bytes"])
+        slot = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[0, slot]), pa.array(total[1, slot])], names=["slot", "rows", "bytes"])
 
     found = rows.select("key", "tie", "size").mapInArrow(count, "slot long, rows long, bytes long").groupBy("slot").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).collect()
     out = np.zeros((2, len(keys) + 1), dtype=np.int64)
@@ -91,7 +95,7 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE, probes:
         near = min(goal[i] - low[i].bytes, high[i].bytes - goal[i])
         return near <= tolerance * size / parts or high[i].rows - low[i].rows <= 1
 
-    def between(a: Splitter, b: Splitter) -> list[tuple[int, int]]:
+    def between(a: Splitter, b: Splitter, probes: int) -> list[tuple[int, int]]:
         """Probes strictly between: by key, or by tie where both bounds have neighbouring keys."""
         (k0, t0), (k1, t1) = a.at, b.at
         if k1 - k0 > 1 or (k1 - k0 == 1 and t1 > low_tie and t0 == low_tie):
@@ -101,21 +105,20 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE, probes:
         step = max(1, (top - t0) // (probes + 1))
         return [(k0, t) for t in range(t0 + step, top, step)][: probes + 1] + ([(k1, low_tie)] if k1 > k0 and (k1, low_tie) < b.at else [])
 
-    while True:
-        todo = sorted({p for i in range(parts - 1) if not closed(i) for p in between(low[i], high[i])})
+    while still := [i for i in range(parts - 1) if not closed(i)]:
+        each = max(3, min(probes, ROUND_PROBES // len(still)))
+        todo = sorted({p for i in still for p in between(low[i], high[i], each)})
         if not todo:
             break
-        count = np.cumsum(_counts(rows, todo), axis=1)
-        made = [Splitter(*p, int(count[0, j]), int(count[1, j])) for j, p in enumerate(todo)]
-        for i in range(parts - 1):
-            if not closed(i):
-                for s in made:
-                    if low[i].at < s.at < high[i].at:
-                        if s.bytes <= goal[i]:
-                            low[i] = s
-                        else:
-                            high[i] = s
-                            break
+        count = np.cumsum(_counts(rows, todo), axis=1)[:, :-1]
+        below = count[1].tolist()
+        for i in still:
+            start, end = bisect_right(todo, low[i].at), bisect_left(todo, high[i].at)
+            at = bisect_right(below, goal[i], start, end)  # the first probe above the goal
+            if at < end:
+                high[i] = Splitter(*todo[at], int(count[0, at]), below[at])
+            if at > start:
+                low[i] = Splitter(*todo[at - 1], int(count[0, at - 1]), below[at - 1])
     return [a if goal[i] - a.bytes <= b.bytes - goal[i] else b for i, (a, b) in enumerate(zip(low, high, strict=True))], n, size
 
 
@@ -144,8 +147,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
 
     Shards are ranges of the integer id (NULL first, equal ids by row number) of near
     equal bytes; ``slot`` is the row's place in its shard by that order, from 0 without gaps.
-    A shard is sorted in runs of at most about ``run_bytes`` and ``run_rows``, whose
-    boundaries are splitters too. Repeated rows get slots of their own; fewer rows than
+    A shard is sorted in runs of about ``run_bytes`` and ``run_rows`` at most (more where there
+    would be over MAX_PARTS runs), whose boundaries are splitters too. Repeated rows get slots of their own; fewer rows than
     shards leave shards empty; no rows give no rows. Columns of ``docs`` named size, shard
     or slot give way to the operator's.
     """
@@ -153,6 +156,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     keys = rows.select(F.col("_key").alias("key"), F.col("_tie").alias("tie"), F.col("_size").alias("size"))
     whole = keys.agg(F.count(F.lit(1)), F.sum("size")).first()
     runs = max(1, -(-(whole[1] or 0) // (shards * run_bytes)), -(-whole[0] // (shards * run_rows)))
+    runs = min(runs, max(1, MAX_PARTS // shards))
     bounds, _, _ = splitters(keys, shards * runs, tolerance)
     below = [0] + [b.rows for b in bounds]
     offsets = [below[i] - below[i - i % runs] for i in range(shards * runs)]

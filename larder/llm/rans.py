@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from larder.llm.archive import TempFile, filesystem, manifest, open_file, publish
 from larder.llm.bpe import SLICE, loaded, word_bpe_path
 from larder.llm.common import free_shuffles, partitions, text_bytes, text_slices
-from larder.llm.histogram_sort import part_of, splitters
+from larder.llm.histogram_sort import MAX_PARTS, part_of, splitters
 from larder.session import materialize, scratch_path, ship_package
 
 END_ID = 2
@@ -152,7 +152,7 @@ def tokens(docs: DataFrame, path: str, end_id: int, part_bytes: int) -> DataFram
     keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "_tie": F.xxhash64("text")})
     keys = materialize(keyed.select(F.col("_key").alias("key"), F.col("_tie").alias("tie"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size")), "rans")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
+    parts = max(1, min(-(-total // part_bytes), MAX_PARTS))
     bounds, _, _ = splitters(keys, parts, tolerance=0.01)
     place = part_of(bounds, [0] * parts)
     ordered = keyed.withColumn("part", place("_key", "_tie")["part"]).repartitionById(parts, "part").sortWithinPartitions("part", "_key", "_tie")
@@ -316,5 +316,5 @@ def read(spark: SparkSession, root: str, ids: bool = True) -> DataFrame:
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + ids])
 
-    tasks = max(1, min(n := marks.count(), max(partitions(spark), n // 16)))
+    tasks = max(1, min(n := marks.count(), max(partitions(spark), min(n // 16, MAX_PARTS))))
     return marks.repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)

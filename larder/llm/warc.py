@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.archive import TempFile, manifest, open_file, publish
-from larder.llm.histogram_sort import part_of, splitters
+from larder.llm.histogram_sort import MAX_PARTS, part_of, splitters
 from larder.session import materialize, ship_package
 
 SHARD_BYTES, FILE_BYTES = 64 << 20, 16 << 20
@@ -97,7 +97,7 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
             .withColumns({"_key": F.coalesce("page_id", F.lit(-(1 << 63))), "_tie": F.xxhash64("url", "payload")}))
     keys = materialize(rows.select(F.col("_key").alias("key"), F.col("_tie").alias("tie"), (F.octet_length("payload") + 1).cast("long").alias("size")), "warc")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = max(1, min(-(-total // shard_bytes), MAX_PARTS))
     bounds, _, _ = splitters(keys, shards, tolerance=0.01)
     part = part_of(bounds, [0] * shards)
     # a revisit's row comes just before its page's: one exchange carries both
@@ -212,4 +212,4 @@ def read(spark: SparkSession, root: str, payload: bool = True) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return files.repartition(max(1, files.count())).mapInArrow(run, schema)
+    return files.repartition(max(1, min(files.count(), MAX_PARTS))).mapInArrow(run, schema)

@@ -45,6 +45,40 @@ def test_shards_of_one_hot_key_and_of_nothing(spark, documents):
     assert histogram_sort.shard(docs.limit(3)).count() == 3
 
 
+@pytest.mark.parametrize("probes", [1, 1 << 16])
+def test_many_splitters_stay_exact(spark, monkeypatch, probes):
+    """Many ranges, few probes a round: every splitter has the rows and bytes below it, and lies as near as rows allow."""
+    monkeypatch.setattr(histogram_sort, "ROUND_PROBES", probes)
+    rnd = np.random.default_rng(2)
+    key = np.concatenate([rnd.integers(-(1 << 63), 1 << 62, 2000), np.full(1000, 5), np.arange(100)])
+    size = rnd.integers(1, 400, len(key))
+    rows = spark.createDataFrame([(int(k), i, int(b)) for i, (k, b) in enumerate(zip(key, size, strict=True))], "key long, tie long, size long").repartition(4)
+    found, n, total = histogram_sort.splitters(rows, 300, tolerance=0)
+    assert (n, total) == (len(key), size.sum()) and len(found) == 299
+    order = np.lexsort((np.arange(len(key)), key))
+    ends = np.concatenate([[0], np.cumsum(size[order])])
+    places = [(int(key[i]), int(i)) for i in order]
+    for i, s in enumerate(found):
+        below = sum(p < s.at for p in places)
+        assert (s.rows, s.bytes) == (below, ends[below])
+        goal = total * (i + 1) / 300
+        assert abs(s.bytes - goal) == np.abs(ends - goal).min()
+
+
+def test_ranges_are_bounded(spark, pages, documents, monkeypatch):
+    """At the most ranges allowed they grow instead, and nothing is lost."""
+    for module in (histogram_sort, warc, rans):
+        monkeypatch.setattr(module, "MAX_PARTS", 26)
+    got = histogram_sort.shard(documents, run_rows=1).collect()
+    assert len(got) == documents.count() and {r.shard for r in got} == set(range(24))
+    root = scratch_path(spark, "t")
+    assert {r.shard for r in warc.write(pages, root, shard_bytes=100).collect()} <= set(range(26))
+    assert warc.read(spark, root).count() == pages.count()
+    root = scratch_path(spark, "t")
+    rans.write(documents, root, part_bytes=100)
+    assert rans.read(spark, root).count() == documents.count()
+
+
 def brute_pages(rows):
     by = defaultdict(list)
     for i, h in rows:
