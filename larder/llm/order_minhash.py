@@ -1,11 +1,11 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
 A text's k-mers are runs of K words, each numbered by its earlier occurrences
-(``occurrence``). For each of M signature parts, L orders each select the
-minimal numbered k-mer; the selected ones are put in text order and the tuple
-is hashed. Two texts agree on a part if the selected k-mers are the same and
-stand in the same order, so the share of equal parts falls with the edit
-distance, also when words only change places.
+(``occurrence``). Each of M signature parts has a random order of numbered
+k-mers and selects the L smallest; the selected ones are put back in text order
+and the tuple is hashed. Two texts agree on a part if the selected k-mers are
+the same and stand in the same order, so the share of equal parts falls with
+the edit distance, also when words only change places.
 """
 
 from __future__ import annotations
@@ -44,23 +44,33 @@ def _kmers(text: Column, k: int) -> Column:
 def signatures(texts: DataFrame, keys: list[str], text_cols: list[str], k: int = K, m: int = M, l: int = L) -> DataFrame:  # noqa: E741
     """``keys`` and for each text column ``c`` its signature ``c_sig`` (``m`` numbers of 31 bits).
 
-    One row per key; partition ``texts`` by keys (or part of them) beforehand and
-    the k-mer rows move no further: numbering and minima run where they are made.
+    One row per key; partition ``texts`` by the first key beforehand and the k-mer rows
+    move no further: numbering and minima run where they are made. Keys are not NULL.
+    A text of fewer than ``l`` k-mers selects them all.
     """
     which = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), _kmers(F.col(c), k).alias("t")) for v, c in enumerate(text_cols)]))
     rows = (texts.select(*keys, which.alias("x")).select(*keys, "x.v", F.posexplode_outer("x.t").alias("pos", "kmer")))
     same = Window.partitionBy("kmer", *keys, "v").orderBy("pos")
     numbered = rows.withColumn("one", F.xxhash64("kmer", F.row_number().over(same)))
-    # an order's value of a k-mer: 33 bits of hash, then the 31 of its place
-    value = [F.xxhash64("one", F.lit(j)).bitwiseAND(F.lit(~_POS)).bitwiseOR(F.col("pos").cast("long")) for j in range(m * l)]
-    least = [F.min(F.when(F.col("kmer").isNotNull(), v)).alias(f"m{j}") for j, v in enumerate(value)]
-    found = numbered.groupBy(*keys, "v").agg(*least)
-
-    def part(i: int) -> Column:
-        picked = F.sort_array(F.array(*[
-            F.struct(F.col(f"m{j}").bitwiseAND(F.lit(_POS)).alias("at"), F.lit(s).alias("s"), F.shiftright(f"m{j}", 31).alias("h"))
-            for s, j in enumerate(range(i * l, i * l + l))]))
-        return F.shiftrightunsigned(F.xxhash64(F.transform(picked, lambda x: F.struct(x["s"], x["h"]))), 33).cast("int").alias(f"p{i}")
+    # a k-mer's value in the order of part j: 33 bits of hash, then the 31 of its place
+    value = [F.when(F.col("kmer").isNotNull(), F.xxhash64("one", F.lit(j)).bitwiseAND(F.lit(~_POS)).bitwiseOR(F.col("pos").cast("long")))
+             for j in range(m)]
+    found = numbered.groupBy(*keys, "v").agg(*[F.min(x).alias(f"m0_{j}") for j, x in enumerate(value)])
+    for s in range(1, l):  # the next smallest of each order: the least of those above the ones found
+        # one row a text; only the first key deals rows out, so neither side moves
+        known = found.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "v")], *[f"m{r}_{j}" for r in range(s) for j in range(m)]).hint("shuffle_hash")
+        on = F.col(keys[0]) == F.col(f"_{keys[0]}")
+        for c in (*keys[1:], "v"):
+            on = on & (F.col(c) <= F.col(f"_{c}")) & (F.col(c) >= F.col(f"_{c}"))
+        above = [F.min(F.when(x > F.col(f"m{s - 1}_{j}"), x)).alias(f"m{s}_{j}") for j, x in enumerate(value)]
+        before = [F.min(f"m{r}_{j}").alias(f"m{r}_{j}") for r in range(s) for j in range(m)]
+        found = numbered.join(known, on).groupBy(*keys, "v").agg(*before, *above)
+
+    def part(j: int) -> Column:
+        picked = F.sort_array(F.filter(F.array(*[
+            F.when(F.col(f"m{r}_{j}").isNotNull(), F.struct(F.col(f"m{r}_{j}").bitwiseAND(F.lit(_POS)).alias("at"), F.shiftright(f"m{r}_{j}", 31).alias("h")))
+            for r in range(l)]), lambda x: x.isNotNull()))
+        return F.shiftrightunsigned(F.xxhash64(F.transform(picked, lambda x: x["h"])), 33).cast("int").alias(f"p{j}")
 
     sig = found.select(*keys, "v", F.array(*[part(i) for i in range(m)]).alias("sig"))
     return sig.groupBy(*keys).agg(*[F.first(F.when(F.col("v") == v, F.col("sig")), ignorenulls=True).alias(f"{c}_sig")
@@ -68,7 +78,7 @@ def signatures(texts: DataFrame, keys: list[str], text_cols: list[str], k: int =
 
 
 def likeness(a: Column, b: Column, l: int = L) -> Column:  # noqa: E741
-    """The ``l``-th root of the share of equal parts: a part is equal if ``l`` k-mers are, so the
+    """The ``l``-th root of the share of equal parts: a part is equal if its ``l`` smallest k-mers are, so the
     root estimates the share of numbered k-mers in common (less where their order differs)."""
     equal = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return F.pow(equal.cast("double") / F.size(a), F.lit(1.0 / l))
