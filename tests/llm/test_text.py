@@ -104,28 +104,6 @@ def test_likeness_falls_with_edits_and_order(spark):
     assert got[2] < 0.85
 
 
-@pytest.mark.parametrize("least", [1, 2, 3])
-def test_parts_select_the_smallest_of_one_order(spark, least):
-    """Against a plain sort: two texts agree on a part if its smallest numbered k-mers are the same, in the same order."""
-    rnd = random.Random(8)
-    base = [rnd.choice("abcdefgh") for _ in range(40)]
-    texts = ["", "a", "a b", "a b a b", " ".join(base), " ".join(base[::-1]), " ".join(base[20:] + base[:20]), " ".join(base[:38]), " ".join([*base[:5], "x", *base[5:]])]
-    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
-    got = {r.k: r.t_sig for r in order_minhash.signatures(rows, ["k"], ["t"], m=16, l=least).collect()}
-    marks = rows.select("k", F.posexplode(order_minhash._kmers(F.col("t"), 2)).alias("pos", "kmer")).collect()
-    one, seen = [], defaultdict(int)
-    for r in sorted(marks, key=lambda r: (r.k, r.pos)):
-        seen[r.k, r.kmer] += 1
-        one.append((r.k, r.pos, r.kmer, seen[r.k, r.kmer]))
-    values = spark.createDataFrame(one, "k long, pos int, kmer long, nth int").select(
-        "k", "pos", "kmer", "nth", *[F.xxhash64(F.xxhash64("kmer", "nth"), F.lit(j)).alias(f"x{j}") for j in range(16)]).collect()
-    want = {k: [tuple((r.kmer, r.nth) for r in sorted(sorted((r for r in values if r.k == k), key=lambda r: r[f"x{j}"])[:least], key=lambda r: r.pos)) for j in range(16)]
-            for k in range(len(texts))}
-    for a in want:
-        for b in want:
-            assert [x == y for x, y in zip(got[a], got[b], strict=True)] == [x == y for x, y in zip(want[a], want[b], strict=True)]
-
-
 def test_occurrences_count(spark):
     rows = spark.createDataFrame([(0, "a b " * 50, "a b " * 100)], "k long, a string, b string")
     got = order_minhash.signatures(rows, ["k"], ["a", "b"], m=128).select(order_minhash.likeness(F.col("a_sig"), F.col("b_sig"))).first()[0]
