@@ -12,6 +12,9 @@ No pairs are made: each kind of stretch or window keeps its earliest place, and
 each slice of texts first drops its own later ones, so a passage that a third
 of all documents share sends one row a slice. An anchor with HOT or more kinds
 in a slice is compared by windows there, so its rows stay few as well.
+
+Rows equal in id and text stand at the same places, and no place is later than
+itself: they count as one row, once within a slice and as ties across slices.
 """
 
 from __future__ import annotations
@@ -55,6 +58,14 @@ def _firsts(k1, k2, did, th, start) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(order)]
 
 
+def _once(part: pa.RecordBatch) -> pa.RecordBatch:
+    """The slice's rows without those that repeat an earlier one's id and text."""
+    did, th = (part.column(c).to_numpy(zero_copy_only=False) for c in ("did", "th"))
+    order = np.lexsort((th, did))  # stable: the first of equal rows comes first
+    new = np.concatenate([[True], (did[order][1:] != did[order][:-1]) | (th[order][1:] != th[order][:-1])])[: len(order)]
+    return part if new.all() else part.take(pa.array(np.sort(order[new])))
+
+
 class _Slice:
     """Words of a slice of rows and the hashes of its windows."""
 
@@ -122,15 +133,16 @@ def _stretches(part: pa.RecordBatch, span: int, k: int, hot: int) -> Iterator[pa
 
 
 def _later(rows: DataFrame) -> DataFrame:
-    """Rows with ``place``, 1 for the earliest of each kind of stretch or window."""
-    same = Window.partitionBy("k1", "w", "k2").orderBy("did", "th", "pack")
-    return rows.withColumn("place", F.row_number().over(same))
+    """Rows with ``place``, 1 for the earliest of each kind of stretch or window and for all rows at its very place."""
+    same = Window.partitionBy("k1", "w", "k2").orderBy("did", "th", F.shiftright("pack", 8))
+    return rows.withColumn("place", F.rank().over(same))
 
 
 def repeats(docs: DataFrame, span: int = SPAN, k: int = KGRAM, hot: int = HOT) -> DataFrame:
     """``(did, th, pack)``: the stretches of words (start << 8 | length << 2) covered by windows that also start earlier.
 
-    docs: ``did`` (long, not NULL), ``th``, ``text``; earlier is by (did, th, start).
+    docs: ``did`` (long, not NULL), ``th``, ``text``; earlier is by (did, th, start), and rows
+    equal in did and th are one. A stretch of a repeated row may come more than once.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -138,11 +150,11 @@ def repeats(docs: DataFrame, span: int = SPAN, k: int = KGRAM, hot: int = HOT) -
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, limit=SLICE):
-                yield from _stretches(part, span, k, hot)
+                yield from _stretches(_once(part), span, k, hot)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, limit=SLICE):
+            for part in map(_once, text_slices(batch, limit=SLICE)):
                 s = _Slice(part, span)
                 lists = part.column("packs")
                 pack = lists.flatten().to_numpy(zero_copy_only=False)
@@ -164,7 +176,7 @@ def repeats(docs: DataFrame, span: int = SPAN, k: int = KGRAM, hot: int = HOT) -
                 .when(kind == WINDOW, F.lit("window")).when((kind == STRETCH) & F.col("mixed"), F.lit("split")).alias("what"))
         .where("what is not null"), "substring")
     free_shuffles(spark)
-    wanted = first.where("what = 'split'").groupBy("did", "th").agg(F.collect_list("pack").alias("packs"))
+    wanted = first.where("what = 'split'").groupBy("did", "th").agg(F.collect_set("pack").alias("packs"))
     texts = docs.select("did", "th", "text").join(wanted, ["did", "th"])
     windows = (texts.mapInArrow(expand, _ROW).withColumn("w", kind == WINDOW)
                .unionByName(first.where("what = 'window'").drop("what")))
@@ -186,7 +198,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"),
                        F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     found = repeats(rows, span, k, hot)
-    cut = found.groupBy("did", "th").agg(F.collect_list("pack").alias("packs"))
+    cut = found.groupBy("did", "th").agg(F.collect_set("pack").alias("packs"))
     again = Window.partitionBy("did", "th").orderBy("did")
     joined = rows.join(cut, ["did", "th"], "left").withColumn("again", F.row_number().over(again) > 1)
 

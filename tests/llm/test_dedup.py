@@ -167,6 +167,28 @@ def test_substring_dedup_of_few_words(spark):
         assert sorted(map(tuple, got), key=str) == brute_substrings([(i, t, 0) for i, t in rows], 8)
 
 
+@pytest.mark.parametrize("hot", [1, 3, 100])
+@pytest.mark.parametrize("parts", [1, 4])
+def test_one_of_repeated_rows_keeps_its_text(spark, hot, parts, monkeypatch):
+    """Rows repeated in a slice and across slices, also with NULL ids, whose text stands nowhere else or partly elsewhere."""
+    monkeypatch.setattr(substring_dedup, "SLICE", 700)
+    alone = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    shared = alone("s", 45)
+    rows = [(7, alone("a", 24)), (7, alone("a", 24)), (None, alone("b", 70)), (None, alone("b", 70)), (None, alone("c", 20)), (None, "few words"), (None, "few words")]
+    rows += [(i, f"{alone(f'x{i}y', 9)} {shared} {alone(f'z{i}y', 9)}") for i in (20, 21, 21, 22)]
+    rows += [(30, shared), (30, shared), (30, shared[:-4] + " end")]
+    rows += [(40 + i // 2, f"{alone(f'q{i // 2}y', 4)} {shared[20:150]} {alone(f'r{i // 2}y', 4)}") for i in range(8)]
+    rnd = np.random.default_rng(2)
+    rows += [(60 + int(i), " ".join("ab"[int(x)] for x in np.random.default_rng(int(i)).integers(0, 2, 40))) for i in rnd.integers(0, 6, 20)]
+    # the copies of a row lie apart: in one slice each, or in different tasks
+    rows = rows + rows[::-1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    th = {r.text: r.th for r in docs.selectExpr("text", "xxhash64(text) as th").distinct().collect()}
+    got = sorted(map(tuple, substring_dedup.dedup(docs, hot=hot).collect()), key=str)
+    assert got == brute_substrings([(i, t, th[t]) for i, t in rows], 20)
+    assert [r[2:] for r in got if r[0] == 7] == [(0, alone("a", 24))] + 3 * [(24, "")]
+
+
 def test_passages_in_a_third_of_all_rows_send_few_rows(spark):
     """A passage that many documents share reaches the exchange as a few rows a slice."""
     passage = " ".join(f"w{i}" for i in range(60))
