@@ -79,11 +79,12 @@ def to_hex(sig: Column) -> Column:
 
 
 def following(docs: DataFrame) -> DataFrame:
-    """``(did, need, next_id)`` for each distinct id: the next id in descending order (after the
-    last, the first), and how many of the next text's characters the id's rows need."""
-    ids = docs.groupBy("did").agg(F.max(F.char_length("text").cast("long")).alias("n"))
-    ranged = materialize(ids.select("did", F.expr("n div 3").cast("int").alias("need"))
-                         .repartitionByRange(partitions(docs.sparkSession), F.col("did").desc())
+    """``(did, th, need, next_id, next_th)`` for each distinct text of each id: the next id in descending
+    order (after the last, the first) and the smallest text hash there, and how many of that text's
+    characters are needed."""
+    texts = materialize(docs.groupBy("did", "th").agg(F.max(F.expr("char_length(text) div 3").cast("int")).alias("need")), "order-minhash")
+    ids = texts.groupBy("did").agg(F.min("th").alias("least"))
+    ranged = materialize(ids.repartitionByRange(partitions(docs.sparkSession), F.col("did").desc())
                          .withColumn("p", F.spark_partition_id()), "order-minhash")
     # one row per partition of the step before
     before = ranged.groupBy("p").count().withColumn("before", F.sum("count").over(
@@ -91,8 +92,8 @@ def following(docs: DataFrame) -> DataFrame:
     total = ranged.count()
     at = (ranged.join(F.broadcast(before), "p")
           .withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("p").orderBy(F.col("did").desc())) - 1))
-    after = at.select(F.col("did").alias("next_id"), F.pmod(F.col("at") - 1, F.lit(max(total, 1))).alias("at"))
-    return at.join(after, "at").select("did", "need", "next_id")
+    after = at.select(F.col("did").alias("next_id"), F.col("least").alias("next_th"), F.pmod(F.col("at") - 1, F.lit(max(total, 1))).alias("at"))
+    return texts.join(at.join(after, "at").select("did", "next_id", "next_th"), "did").select("did", "th", "need", "next_id", "next_th")
 
 
 def edited(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
@@ -100,16 +101,16 @@ def edited(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
 
     Rows equal in id and text are one row with their number in ``copies``; of an id's several
     texts, the one with the smallest hash is what the id before it takes from. Partitioned by
-    ``did``: whole texts are exchanged once, and the starts taken from them once.
+    ``did`` and ``th``: whole texts are exchanged once, and the starts taken from them once.
     """
-    rows = (docs.repartition(parts, "did").groupBy("did", "th")
+    rows = (docs.repartition(parts, "did", "th").groupBy("did", "th")
             .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
-    take = pairs.select(F.col("did").alias("to_id"), "need", F.col("next_id").alias("did"))
-    starts = (rows.join(take, "did").select("to_id", "th", F.expr("substring(text, 1, need)").alias("start"))
-              .repartition(parts, "to_id").groupBy(F.col("to_id").alias("did")).agg(F.min_by("start", "th").alias("start")))
-    cut = F.expr("char_length(text) div 3").cast("int")
-    kept = F.substring("text", F.lit(1), F.char_length("text") - cut)
-    return rows.join(starts, "did").select("did", "th", "text", "copies", F.concat(kept, F.substring("start", F.lit(1), cut)).alias("edited"))
+    take = pairs.select(F.col("did").alias("to_id"), F.col("th").alias("to_th"), "need", F.col("next_id").alias("did"), F.col("next_th").alias("th"))
+    starts = (take.repartition(parts, "did", "th").join(rows, ["did", "th"])
+              .select(F.col("to_id").alias("did"), F.col("to_th").alias("th"), F.expr("substring(text, 1, need)").alias("start"))
+              .repartition(parts, "did", "th"))
+    kept = F.substring("text", F.lit(1), F.char_length("text") - F.expr("char_length(text) div 3").cast("int"))
+    return rows.join(starts, ["did", "th"]).select("did", "th", "text", "copies", F.concat(kept, "start").alias("edited"))
 
 
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, m: int = M, l: int = L) -> DataFrame:  # noqa: E741
@@ -128,13 +129,12 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     pairs = materialize(following(rows), "order-minhash")
     both = edited(rows, pairs, SPREAD * partitions(spark))
     facts = both.select("did", "th", "copies", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    sigs = signatures(both, ["did", "th"], ["text", "edited"], k, m, l).withColumnRenamed("th", "th2")
-    # both sides lie by did already: th is compared within it, not dealt out anew
-    found = materialize(facts.join(sigs, "did").where(F.col("th").bitwiseXOR(F.col("th2")) == 0).drop("th2"), "order-minhash")
+    # both sides lie by did and th already
+    found = materialize(facts.join(signatures(both, ["did", "th"], ["text", "edited"], k, m, l), ["did", "th"]), "order-minhash")
     free_shuffles(spark)
-    own = found.join(pairs, "did")
-    ahead = found.groupBy(F.col("did").alias("next_id")).agg(F.min_by("text_sig", "th").alias("next_sig"))
-    return (own.join(ahead, "next_id")
+    own = found.join(pairs, ["did", "th"])
+    ahead = found.select(F.col("did").alias("next_id"), F.col("th").alias("next_th"), F.col("text_sig").alias("next_sig"))
+    return (own.join(ahead, ["next_id", "next_th"])
             .select(F.nullif("did", F.lit(_NULL)).alias("doc_id"), "n_chars", "edited_sha256", to_hex(F.col("text_sig")).alias("fingerprint"),
                     to_hex(F.col("edited_sig")).alias("edited_fingerprint"),
                     likeness(F.col("text_sig"), F.col("edited_sig"), l).alias("near_edited"),

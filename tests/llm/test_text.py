@@ -89,6 +89,25 @@ def test_order_minhash_of_repeated_rows(messy):
     assert all(once[r.doc_id, r.n_chars].fingerprint == r.fingerprint for r in got)
 
 
+def test_texts_of_one_id_are_spread_over_tasks(spark):
+    """A third of all rows has no id: their texts lie in many tasks, and each takes from the next id's text with the smallest hash."""
+    rnd = random.Random(12)
+    prose = lambda: " ".join(f"w{rnd.randint(0, 80)}" for _ in range(rnd.randint(0, 40)))
+    rows = [(None if i % 3 == 0 else i, prose()) for i in range(240)] + [(500, prose()), (500, prose()), (500, "the same"), (500, "the same")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    keyed = docs.select(F.coalesce("doc_id", F.lit(order_minhash._NULL)).alias("did"), "th", "text")
+    lie = order_minhash.edited(keyed, order_minhash.following(keyed), 8).withColumn("p", F.spark_partition_id())
+    assert lie.where(F.col("did") == order_minhash._NULL).select("p").distinct().count() == 8
+    first = {}
+    for r in docs.collect():
+        first.setdefault(r.doc_id, []).append((r.th, r.text))
+    order = sorted(first, key=lambda i: (i is not None, i or 0), reverse=True)
+    ahead = {i: min(first[order[(k + 1) % len(order)]])[1] for k, i in enumerate(order)}
+    want = [(i, len(t), hashlib.sha256((t[: len(t) - len(t) // 3] + ahead[i][: len(t) // 3]).encode()).hexdigest()) for i, t in rows]
+    got = order_minhash.compare(docs).collect()
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_likeness_falls_with_edits_and_order(spark):
     rnd = random.Random(4)
     base = [f"w{rnd.randint(0, 400)}" for _ in range(600)]
