@@ -72,11 +72,12 @@ def swap_terms(text: bytes, swaps: dict[bytes, bytes]) -> bytes | None:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """``(text, toxic, fold)`` of at most ``sample`` labelled rows; the set joined with ``docs`` has that bound."""
+    """``(doc_id, text, toxic)`` of at most ``sample`` labelled ids, one row each: of an id's texts the one with the smallest hash, NULL if it has no other."""
     chosen = (labels.where("toxic is not null and doc_id is not null")
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    return docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_l")), docs.doc_id == F.col("_l")).select(docs.doc_id, "text", "toxic")
+    rows = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_l")), docs.doc_id == F.col("_l"))
+    return rows.groupBy(docs.doc_id, "toxic").agg(F.min_by("text", F.when(F.col("text").isNotNull(), F.xxhash64("text"))).alias("text")).select("doc_id", "text", "toxic")
 
 
 def _chosen(rows: DataFrame, identity: np.ndarray, features: int) -> np.ndarray:
@@ -192,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, groups=IDENTITY_TERMS, sample: int =
     """Classifier of ``docs(doc_id, text)`` after ``labels(doc_id, toxic)``, fitted on at most ``sample`` labelled rows.
 
     Ids that are NULL or without a label or document are not learnt from; of several labels of
-    one id, toxic holds. With one class only, or none, the score is constant.
+    one id, toxic holds, of several texts the one with the smallest hash. With one class only, or none, the score is constant.
     """
     ship_package(docs.sparkSession)
     swaps = _terms(groups)

@@ -230,6 +230,20 @@ def test_scores_of_messy_rows(spark, messy):
     assert toxicity.score(messy.limit(0), model).count() == 0
 
 
+def test_one_text_of_each_labelled_id_is_learnt_from(spark):
+    docs = spark.createDataFrame([(i % 4, f"t{i} x") for i in range(200)] + [(i, None) for i in (0, 0, 7, 7)] + 5 * [(8, "same")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in (0, 1, 2, 3, 7, 8)], "doc_id long, toxic int")
+    least = {}
+    for r in docs.where("text is not null").withColumn("h", F.xxhash64("text")).collect():
+        least[r.doc_id] = min(least.get(r.doc_id, (r.h, r.text)), (r.h, r.text))
+    want = sorted((i, least[i][1] if i in least else None, i % 2) for i in (0, 1, 2, 3, 7, 8))
+    got = list(map(tuple, toxicity._sample(docs, labels, 100).select("doc_id", "text", "toxic").collect()))
+    assert len(got) == len(want)
+    assert sorted(got) == want
+    few = list(map(tuple, toxicity._sample(docs, labels, 3).collect()))
+    assert len(few) == 3 and set(few) < set(want)
+
+
 def test_scores_are_the_same_for_equal_texts(spark, messy):
     labels = spark.createDataFrame([(i, i % 2) for i in range(101)], "doc_id long, toxic int")
     by = defaultdict(set)
