@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -123,6 +123,33 @@ def test_likeness_falls_with_edits_and_order(spark):
     assert got[2] < 0.85
 
 
+def test_likeness_at_the_registered_setting(spark):
+    """M parts of L: the mean share of equal parts is J to the power of L, J the share of numbered k-mers in common."""
+    rnd = random.Random(6)
+    base = [[f"w{rnd.randint(0, 400)}" for _ in range(300)] for _ in range(150)]
+    third = [x[:200] + base[i - 1][:100] for i, x in enumerate(base)]
+    light = [[w if rnd.random() > 0.03 else "edit" for w in x] for x in base]
+    heavy = [[w if rnd.random() > 0.4 else "edit" for w in x] for x in base]
+    kinds = {"same": base, "light": light, "third": third, "swapped": [x[150:] + x[:150] for x in base], "heavy": heavy, "other": [*base[1:], base[0]]}
+    rows = [(name, i, " ".join(a), " ".join(b)) for name, texts in kinds.items() for i, (a, b) in enumerate(zip(base, texts, strict=True))]
+    sigs = order_minhash.signatures(spark.createDataFrame(rows, "kind string, i long, a string, b string").repartition(8), ["kind", "i"], ["a", "b"])
+    found = defaultdict(list)
+    for r in sigs.select("kind", F.size("a_sig").alias("m"), order_minhash.likeness(F.col("a_sig"), F.col("b_sig")).alias("x")).collect():
+        assert r.m == order_minhash.M
+        found[r.kind].append(r.x ** order_minhash.L)
+    mean = {name: sum(x) / len(x) for name, x in found.items()}
+
+    def common(a, b):
+        a, b = (Counter(zip(x, x[1:], strict=False)) for x in (a, b))
+        return (a & b).total() / (a | b).total()
+
+    want = {name: sum(common(a, b) ** order_minhash.L for a, b in zip(base, kinds[name], strict=True)) / len(base) for name in kinds}
+    assert mean["same"] == 1 and mean["other"] < 0.01
+    assert 1 > mean["light"] > mean["third"] > mean["heavy"] > mean["other"]
+    assert all(abs(mean[name] - want[name]) < 0.03 for name in ("light", "third", "heavy"))
+    assert mean["swapped"] < want["swapped"] - 0.2  # a k-mer set would call it nearly equal
+
+
 def test_occurrences_count(spark):
     rows = spark.createDataFrame([(0, "a b " * 50, "a b " * 100)], "k long, a string, b string")
     got = order_minhash.signatures(rows, ["k"], ["a", "b"], m=128).select(order_minhash.likeness(F.col("a_sig"), F.col("b_sig"))).first()[0]
