@@ -159,3 +159,15 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def meet(rows: DataFrame, table: DataFrame, key: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key`` (not NULL) and in ``count`` how many ``rows`` it has.
+
+    Keys with more than a quarter of a partition's share of the rows are met by broadcast, at most four for each
+    partition whatever the table's size; the others are shuffled, so that no partition holds a hot key.
+    """
+    spark = rows.sparkSession
+    share = (table.agg(F.sum(count)).first()[0] or 0) / (4 * partitions(spark))
+    heavy, light = F.broadcast(table.where(F.col(count) > share)), table.where(F.col(count) <= share)
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(*key), key, "left_anti").join(light, key))

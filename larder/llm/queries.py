@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, histogram_sort, line_dedup, order_minhash, rans, simhash_trie, substring_dedup, toxicity, warc, winnowing
+from larder.llm import (bpe, histogram_sort, importance, jaccard_join, line_dedup, order_minhash, rans, simhash_trie, substring_dedup, toxicity, vector_codes,
+                        warc, winnowing)
 from larder.session import scratch_path
 
 
@@ -78,6 +79,21 @@ def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
+    found = importance.resample(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    found = jaccard_join.classes(_table(spark, d, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def op13_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    coded, codebook = vector_codes.compress(_table(spark, d, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_sha256(codebook)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -89,8 +105,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_rans_tokens": op9_rans_tokens,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_jaccard_join": op12_jaccard_join,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
     "op1_line_dedup": line_dedup.oracle(),
+    "op11_importance_resampling": importance.oracle(),
+    "op12_jaccard_join": jaccard_join.oracle(),
+    "op13_vector_codes": vector_codes.oracle(),
 }
