@@ -14,6 +14,7 @@ these are compared exactly.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,8 @@ class Codebook:
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest entry (the lower of equal ones) and its squared distance, for each row of ``x``."""
         index, far = [], []
+        if self.entries.dtype == object:
+            x = x.astype(object)
         for at in range(0, len(x), _BLOCK):
             i, d = self._block(x[at: at + _BLOCK])
             index.append(i)
@@ -85,7 +88,6 @@ class Codebook:
 
 def _root(v: int) -> int:
     """A whole number not below the square root."""
-    import math
     return math.isqrt(v) + 1
 
 
