@@ -2,15 +2,15 @@
 
 A window ``partitionBy(key).orderBy(ts)`` sends every row of a key to one
 task.  When one key may hold a third of the data, that task is the job.  So
-all scans take the same way, whatever the sizes: ``ordered`` range-partitions
-the rows on (key, order) into parts of near equal row counts and stores them
-with the part's number, the *bucket*.  A key with many rows, also in a burst,
-spreads over many buckets; a bucket holds many small keys.  Windows run per
-(key, bucket); what a bucket must know of the ones before (or after) it comes
-from a summary with one row per (key, bucket) - at most one per key and one
-per part - and enters the window as one more row at its edge.
-
-Buckets are monotone in (key, order) and windows compare NULLs as equal, so
+``ordered`` cuts every key with more rows than a task should hold into ranges
+of its order, the *buckets*, at splitters that are found once from counts and
+a sample of those keys.  The bucket is then a plain expression of the row: no
+row is stored, and one exchange by (key, bucket) serves the window.  What a
+bucket must know of the ones before (or after) it comes from a summary of the
+cut keys with one row per (key, bucket), and enters the window as one more
+row at its edge; keys of one bucket need none.
+
+Buckets are monotone in the key's order and windows compare NULLs as equal, so
 results are exact, also for NULL keys, NULL times and ties.
 """
 
@@ -19,22 +19,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.session import materialize
+from larder.functions.joins import same
+from larder.session import discard, materialize
 
+#: Number of a row's bucket: negative for keys that are not cut, from 0 on within a cut key.
 BUCKET = "_bucket"
+#: Sampled rows between two splitters of a key.
+_SAMPLED = 32
+#: Halvings that find a bucket among a key's splitters.
+_HALVINGS = 32
+
+
+def _splitters(df: DataFrame, keys: list[str], order: list[str], target: int, counts: DataFrame) -> DataFrame:
+    """``(keys as _k..., _splits)`` of the keys with over ``target`` rows: boundaries of the order about ``target`` rows apart.
+
+    The sample is by hash of the order's columns, the same in every run. There are at most rows / target such keys and as many boundaries.
+    """
+    heavy = counts.filter(F.col("_n") > target)
+    each = max(1, target // _SAMPLED)
+    met = df.join(F.broadcast(heavy), same([df[c] for c in keys], [heavy[f"_k{i}"] for i in range(len(keys))]))
+    place = F.struct(*[df[c].alias(f"o{i}") for i, c in enumerate(order)])
+    taken = met.filter(F.pmod(F.xxhash64(*[df[c] for c in order]), F.lit(each)) == 0)
+    names = [f"_k{i}" for i in range(len(keys))]
+    every = max(1, target // each)
+    return (taken.groupBy(*names).agg(F.sort_array(F.collect_list(place)).alias("_s"))
+            .select(*names, F.expr(f"filter(_s, (x, i) -> i > 0 and i % {every} = 0)").alias("_splits")))
 
 
 def ordered(df: DataFrame, keys: list[str], order: list[str], target_rows: int | None = None) -> DataFrame:
-    """``df`` stored in the shared folder with ``_bucket``, the number of its range of (keys, order).
+    """``df`` with ``_bucket``, the range of its key's order that a row lies in.
 
-    As many ranges as shuffle partitions, or of about ``target_rows`` rows each.
-    Rows equal in (keys, order) share a range.
+    A bucket holds about ``target_rows`` rows, by default a shuffle partition's share of all.
+    Rows equal in (keys, order) share a bucket.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if target_rows:
-        parts = max(1, -(-df.count() // target_rows))
-    ranged = df.repartitionByRange(parts, *[F.col(c) for c in keys + order])
-    return materialize(ranged.withColumn(BUCKET, F.spark_partition_id()), "ordered")
+    spark = df.sparkSession
+    counts = materialize(df.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_n")), "scan-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    target = target_rows or max(1, -(-total // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    splits = materialize(_splitters(df, keys, order, target, counts), "scan-splitters")
+    discard(counts)
+    if splits.isEmpty():
+        return df.withColumn(BUCKET, F.lit(-1).cast("long"))
+    met = df.join(F.broadcast(splits), same([df[c] for c in keys], [splits[f"_k{i}"] for i in range(len(keys))]), "left")
+    place = F.struct(*[df[c].alias(f"o{i}") for i, c in enumerate(order)])
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        up = F.struct((mid + 1).alias("a"), s["b"].alias("b"))
+        down = F.struct(s["a"].alias("a"), mid.alias("b"))
+        return F.when(s["a"] >= s["b"], s).when(F.get(F.col("_splits"), mid) <= place, up).otherwise(down)
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(_HALVINGS)), F.struct(F.lit(0).alias("a"), F.size("_splits").alias("b")), halve)["a"]
+    own = F.pmod(F.xxhash64(*[df[c] for c in keys]), F.lit(1 << 30)).cast("long")  # buckets of different keys differ in number, too
+    bucket = F.when(F.col("_splits").isNull(), -1 - own).otherwise(F.shiftleft(own, 32) + found)
+    return met.select(*[df[c] for c in df.columns], bucket.alias(BUCKET))
+
+
+def ranges(df: DataFrame, order: list[str], target_rows: int) -> DataFrame:
+    """``df`` stored in the shared folder with ``_bucket``, the number of its range of ``order``: about ``target_rows`` rows each."""
+    parts = max(1, -(-df.count() // target_rows))
+    ranged = df.repartitionByRange(parts, *[F.col(c) for c in order])
+    return materialize(ranged.withColumn(BUCKET, F.spark_partition_id()), "ranges")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows of keys that have several buckets."""
+    return df.filter(F.col(BUCKET) >= 0)
 
 
 def _edge(df: DataFrame, carry: DataFrame, at: int) -> DataFrame:
@@ -63,7 +113,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[
     """Inclusive running sums ``{out: value column}`` per key in ``order`` (NULL values add nothing)."""
     part = keys + [BUCKET]
     given = df.withColumns({f"_v_{o}": F.col(v) for o, v in values.items()})
-    sums = df.groupBy(*part).agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
+    sums = _cut(df).groupBy(*part).agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
     earlier = (sums.withColumn("_n", F.row_number().over(_buckets(keys)))
                .select(*part, "_n", *[F.sum(f"_t_{o}").over(_before(keys)).alias(f"_v_{o}") for o in values])
                .filter(F.col("_n") > 1).drop("_n"))
@@ -79,7 +129,7 @@ def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str,
     previous value and "no previous row" must not be confused.
     """
     part = keys + [BUCKET]
-    last = df.groupBy(*part).agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
+    last = _cut(df).groupBy(*part).agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
     earlier = (last.withColumn("_n", F.row_number().over(_buckets(keys)))
                .select(*part, "_n", F.lag("_last").over(_buckets(keys)).alias(value)).filter(F.col("_n") > 1).drop("_n"))
     w = Window.partitionBy(*part).orderBy("_edge", *order)
@@ -89,24 +139,13 @@ def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str,
 def next_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """``lead(value)`` per key in ``order``, NULL for the key's last row."""
     part = keys + [BUCKET]
-    first = df.groupBy(*part).agg(F.min_by(F.col(value), F.struct(*order)).alias("_next"))
+    first = _cut(df).groupBy(*part).agg(F.min_by(F.col(value), F.struct(*order)).alias("_next"))
     later = (first.withColumn("_n", F.lead(F.lit(1)).over(_buckets(keys)))
              .select(*part, "_n", F.lead("_next").over(_buckets(keys)).alias("_next")).filter(F.col("_n").isNotNull()).drop("_n"))
     w = Window.partitionBy(*part).orderBy("_edge", *order)
     return _inside(_edge(df.withColumn("_next", F.col(value)), later, 2).withColumn(out, F.lead("_next").over(w))).drop("_next")
 
 
-def last_non_null(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """As-of fill: the latest non-NULL ``value`` at or before each row, per key."""
-    part = keys + [BUCKET]
-    known = F.struct(*order)
-    last = df.groupBy(*part).agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), known)).alias("_last"))
-    earlier = (last.select(*part, F.last("_last", ignorenulls=True).over(_before(keys)).alias(value))
-               .filter(F.col(value).isNotNull()))
-    w = _rows_to_here(part, order)
-    return _inside(_edge(df, earlier, 0).withColumn(out, F.last(value, ignorenulls=True).over(w)))
-
-
 def set_add_fold(df: DataFrame, keys: list[str], order: list[str], kind: str, value: str, init: Column, out: str) -> DataFrame:
     """Running state per key where a row either *sets* the state or *adds* to it.
 
@@ -119,7 +158,7 @@ def set_add_fold(df: DataFrame, keys: list[str], order: list[str], kind: str, va
     """
     part = keys + [BUCKET]
     zero = F.lit(0).cast(df.schema[value].dataType)
-    inner = _fold(df.withColumn("_edge", F.lit(1)), part, order, kind, value, zero, "_state")
+    inner = _fold(_cut(df).withColumn("_edge", F.lit(1)), part, order, kind, value, zero, "_state")
     ends = inner.groupBy(*part).agg(F.max(F.coalesce(F.col(kind) == "set", F.lit(False))).alias("_sets"),
                                     F.max_by("_state", F.struct(*order)).alias("_end"))
     summary = ends.select(*part, F.when(F.col("_sets"), F.lit("set")).otherwise(F.lit("add")).alias("_k"), "_end", F.lit(1).alias("_edge"))

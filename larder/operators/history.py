@@ -4,8 +4,8 @@ These are the batch forms of the reference's change triggers.  Every ordered
 scan runs through ``larder.functions.scan``: windows per (key, bucket) plus a
 small per-bucket summary, so a key holding a third of all rows is spread over
 many tasks.  Orderings are total: (ts, tie-breaker id), NULL first.
-``target_rows`` sets how many rows a bucket holds; by default there are as
-many buckets as shuffle partitions.
+``target_rows`` sets how many rows a bucket holds; by default a shuffle
+partition's share.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import scan
+from larder.functions.joins import meet
 from larder.functions.scan import BUCKET
-from larder.functions.scalar import distinct_from, history_id, to_int_column
+from larder.functions.scalar import distinct_from, epoch_micros, history_id, to_int_column
+from larder.session import materialize
 
 # ---- W2 / W2b ---------------------------------------------------------------
 def stock_ledger(tx: DataFrame, opening: Column | None = None, key: str = "inventory_id",
@@ -39,38 +41,28 @@ def stock_ledger(tx: DataFrame, opening: Column | None = None, key: str = "inven
 
 def stock_balance(tx: DataFrame, opening: Column | None = None, key: str = "inventory_id",
                   ts: str = "ts", seq: str = "event_id", target_rows: int | None = None) -> DataFrame:
-    """Only the final balance per key, without a window over the rows.
+    """Only the final balance per key: no window, no sort of the rows.
 
-    Two aggregates: each (key, bucket) of the ordered rows sums up to its last
-    adjustment and the signed sum after it; a key's buckets then combine in
-    order.  A bucket is a part of near equal size, so a hot key has many; the
-    second step has one row per (key, bucket).
+    One aggregate finds each key's last adjustment, a second sums up what
+    came after it; both combine before their exchange. Between them a hot key
+    meets its adjustment by broadcast (``meet``; keys of over ``target_rows`` rows).
     """
     opening = opening if opening is not None else F.lit(0)
     t = F.col("transaction_type")
     dtype = tx.schema["quantity"].dataType
-    kind = F.when(t == "adjustment", F.lit("set")).when(t.isin("increment", "decrement"), F.lit("add"))
-    val = F.when(t == "decrement", -F.col("quantity")).otherwise(F.col("quantity"))
-    df = scan.ordered(tx.select(key, ts, seq, kind.alias("_kind"), val.alias("_val")), [key], [ts, seq], target_rows)
-    # within a bucket: rows as (order, kind, value); the fold needs the last 'set' and what follows it
-    row = F.struct(F.col(ts), F.col(seq))
-    is_set = F.coalesce(F.col("_kind") == "set", F.lit(False))
-    part = [key, BUCKET]
-    last = df.filter(is_set).groupBy(*part).agg(F.max(row).alias("_at"), F.max_by("_val", row).alias("_base"))
-    joined = df.join(last.select(F.col(key).alias("_k"), F.col(BUCKET).alias("_kb"), "_at", "_base"),
-                     df[key].eqNullSafe(F.col("_k")) & (df[BUCKET] == F.col("_kb")), "left")
-    later = ~is_set & (F.col("_at").isNull() | (row > F.col("_at")))
-    ends = joined.groupBy(*part).agg(
-        F.max(is_set).alias("_sets"), F.first("_base", ignorenulls=True).alias("_base"),
-        F.sum(F.when(later, F.col("_val"))).alias("_after"),
-        F.max(later & (F.col("_kind").isNull() | F.col("_val").isNull())).alias("_bad"))
-    end = F.when(F.col("_bad"), F.lit(None)).otherwise(
-        F.when(F.col("_sets"), F.col("_base")).otherwise(F.lit(0).cast(dtype)) + F.coalesce("_after", F.lit(0).cast(dtype)))
-    step = ends.select(key, F.struct(F.col(BUCKET).alias("b"), F.col("_sets").alias("s"), end.cast("decimal(38,6)").alias("e")).alias("x"))
-    zero = opening.cast("decimal(38,6)")
-    folded = F.aggregate(F.sort_array(F.collect_list("x")), F.struct(zero.alias("v")),
-                         lambda acc, x: F.struct(F.when(x["s"], x["e"]).otherwise((acc["v"] + x["e"]).cast("decimal(38,6)")).alias("v")))
-    return step.groupBy(key).agg(folded["v"].alias("balance")).withColumn("balance", F.col("balance").cast(f"decimal(38,{getattr(dtype, 'scale', 6)})"))
+    is_set, known = F.coalesce(t == "adjustment", F.lit(False)), t.isin("increment", "decrement")
+    val = F.when(known, F.when(t == "decrement", -F.col("quantity")).otherwise(F.col("quantity")))
+    row = F.struct(F.col(ts).alias("t"), F.col(seq).alias("s"))
+    last = materialize(tx.groupBy(key).agg(
+        F.max(F.when(is_set, F.struct(row.alias("at"), F.col("quantity").alias("base")))).alias("_last"), F.count(F.lit(1)).alias("_n")), "balance")
+    met = meet(tx.select(key, is_set.alias("_set"), val.alias("_val"), row.alias("_row")), last, [key], "_n", target_rows)
+    later = ~F.col("_set") & (F.col("_last").isNull() | (F.col("_row") > F.col("_last.at")))
+    ends = met.groupBy(key).agg(
+        F.first("_last").alias("_last"), F.sum(F.when(later, F.col("_val"))).alias("_after"),
+        F.max(later & F.col("_val").isNull()).alias("_bad"))
+    base = F.when(F.col("_last").isNull(), opening.cast("decimal(38,6)")).otherwise(F.col("_last.base").cast("decimal(38,6)"))
+    end = base + F.coalesce("_after", F.lit(0)).cast("decimal(38,6)")
+    return ends.select(key, F.when(F.col("_bad"), F.lit(None)).otherwise(end).cast(f"decimal(38,{getattr(dtype, 'scale', 6)})").alias("balance"))
 
 
 def stock_balance_int(tx: DataFrame, opening: Column | None = None, key: str = "inventory_id") -> DataFrame:
@@ -142,33 +134,89 @@ def price_history_merge(history: DataFrame, snapshot: DataFrame, at: Column,
 
 
 # ---- W5 ---------------------------------------------------------------------
+#: Most levels of time cells, and the base cells that the events' span has at least.
+_LEVELS, _LEAST_CELLS = 24, 64
+_FOREVER = (1 << 62)
+
+
+def _cover(first: Column, end: Column, levels: int) -> Column:
+    """The dyadic cells (level, number) that make up the base cells from ``first`` to before ``end``: two a level at most."""
+    kind = "array<struct<v:int,c:bigint>>"
+
+    def step(s: Column, v: Column) -> Column:
+        open_ = s["l"] < s["r"]
+        left, right = open_ & (s["l"] % 2 == 1), open_ & (s["r"] % 2 == 1)
+
+        def one(ok: Column, c: Column) -> Column:
+            return F.when(ok, F.array(F.struct(v.cast("int").alias("v"), c.alias("c")))).otherwise(F.array().cast(kind))
+
+        return F.struct(F.shiftright(s["l"] + left.cast("long"), 1).alias("l"), F.shiftright(s["r"] - right.cast("long"), 1).alias("r"),
+                        F.concat(s["c"], one(left, s["l"]), one(right, s["r"] - 1)).alias("c"))
+
+    start = F.struct(first.cast("long").alias("l"), end.cast("long").alias("r"), F.array().cast(kind).alias("c"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step)["c"]
+
+
+def _cell_width(intervals: DataFrame, span: int, rows: int, target_rows: int | None) -> int:
+    """Power of two of microseconds: the base cell. A short interval's length, or so that a cell of evenly spread events has ``target_rows``."""
+    if target_rows:
+        width = span * target_rows // max(rows, 1)
+    else:
+        length = F.least(F.col("_e"), F.lit(_FOREVER)) - F.col("_f")
+        width = intervals.filter(F.col("_e") < _FOREVER).agg(F.percentile_approx(length, 0.1)).first()[0] or span
+    width = max(min(width, span // _LEAST_CELLS), span >> _LEVELS, 1)
+    return width.bit_length() - 1
+
+
+def interval_matches(points: DataFrame, intervals: DataFrame, key: str, at: str, target_rows: int | None = None) -> DataFrame:
+    """Pairs of ``points(key, at)`` and ``intervals(key, _f, _e, ...)`` with ``_f <= at < _e``; times in microseconds, keys compared with NULL equal.
+
+    Every interval is cut into the dyadic cells of time that make it up (at most two of each level, so the
+    logarithm of its length), every point lies in one cell of each level in use, and the two meet by
+    (key, level, cell). The cells at an interval's ends may reach over them, so the times are compared as well. No key meets whole: a hot one
+    spreads over its cells, and a point meets only intervals that hold it or end inside its base cell.
+    """
+    ends = points.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
+    low, high = ends[0] or 0, ends[1] or 0
+    near = intervals.filter((F.col("_f") < F.col("_e")) & (F.col("_e") > low) & (F.col("_f") <= high))
+    shift = _cell_width(near, high - low + 1, ends[2], target_rows)
+    top = (high - low) >> shift
+
+    def cell(t: Column) -> Column:
+        return F.shiftright(t - low, shift)
+
+    first = F.greatest(cell(F.col("_f")), F.lit(0).cast("long"))
+    end = F.least(cell(F.col("_e") - 1), F.lit(top).cast("long")) + 1
+    cells = near.withColumn("_c", F.explode(_cover(first, end, max(top, 1).bit_length())))
+    cells = cells.select(*[F.col(c).alias("_ik") if c == key else F.col(c) for c in near.columns], F.col("_c.v").alias("_iv"), F.col("_c.c").alias("_ic"))
+    used = sorted(r[0] for r in cells.select("_iv").distinct().collect())   # levels: a few dozen at most
+    if not used:
+        used = [0]
+    own = F.array(*[F.struct(F.lit(v).alias("v"), F.shiftright(cell(F.col(at)), v).alias("c")) for v in used])
+    asked = points.withColumn("_c", F.explode(own)).select(*points.columns, F.col("_c.v").alias("_v"), F.col("_c.c").alias("_cc"))
+    met = asked.join(cells, F.col(key).eqNullSafe(F.col("_ik")) & (F.col("_v") == F.col("_iv")) & (F.col("_cc") == F.col("_ic")))
+    return met.filter((F.col("_f") <= F.col(at)) & (F.col(at) < F.col("_e"))).drop("_v", "_cc", "_iv", "_ic", "_ik")
+
+
 def price_as_of(events: DataFrame, intervals: DataFrame, at: str = "created_at",
                 key: str = "product_id", hist_key: str = "menu_item_id",
                 target_rows: int | None = None) -> DataFrame:
     """The price in force at each event's time (half-open [from, to) intervals).
 
-    Contiguous intervals (as ``price_history`` makes them) turn the range
-    join into an as-of join: union the interval starts with the events,
-    order by time (starts first on ties) and carry the last started price
-    forward.  No pairs of (event, interval) are ever formed; the scan is
-    bucketed so a hot key is split.  Events before the first interval, or
-    after a closed last interval, get NULL.  ``intervals`` is meant to be
-    the stored history table (as in the schema), not a plan that derives it.
+    Intervals may overlap and leave gaps: of those that hold the time, the one that
+    started last counts; of these the one that ends last (open ends after all), then the higher price.
+    Events in no interval, or without a time, get NULL. An interval without a
+    start is never in force. NULL keys match NULL keys; equal (key, time) pairs are
+    looked up once. ``intervals`` is meant to be the stored history table (as in the schema), not a plan that derives it.
     """
-    ev = events.withColumn("_t", F.col(at).cast("timestamp_ntz"))
-    starts = intervals.select(F.col(hist_key).alias(key), F.col("effective_from").alias("_t"),
-                              F.col("price").alias("_p"), F.col("effective_to").alias("_to"))
-    cols = [c for c in ev.columns]
-    u = (ev.select(*cols, F.lit(0).alias("_src"), F.lit(None).cast(starts.schema["_p"].dataType).alias("_p"),
-                   F.lit(None).cast("timestamp_ntz").alias("_to"))
-         .unionByName(starts.select(key, "_t", F.lit(1).alias("_src"), "_p", "_to"), allowMissingColumns=True))
-    u = u.withColumn("_iv", F.when(F.col("_src") == 1, F.struct("_p", "_to")))
-    # starts sort before events at the same instant: order by (_t, -_src)
-    u = scan.ordered(u.withColumn("_ord", -F.col("_src")), [key], ["_t", "_ord"], target_rows)
-    filled = scan.last_non_null(u, [key], ["_t", "_ord"], "_iv", "_cur")
-    res = filled.filter(F.col("_src") == 0)
-    in_force = F.col("_cur").isNotNull() & (F.col("_cur._to").isNull() | (F.col("_t") < F.col("_cur._to")))
-    return res.select(*cols, F.when(in_force, F.col("_cur._p")).alias("price")).drop("_t")
+    time = epoch_micros(at)
+    points = events.select(F.col(key).alias("_k"), time.alias("_t")).where("_t is not null").distinct()
+    spans = intervals.select(F.col(hist_key).alias("_k"), epoch_micros("effective_from").alias("_f"),
+                             F.coalesce(epoch_micros("effective_to"), F.lit(_FOREVER)).alias("_e"), F.col("price").alias("_p"))
+    met = interval_matches(points, spans, "_k", "_t", target_rows)
+    best = met.groupBy("_k", "_t").agg(F.max(F.struct("_f", "_e", "_p")).alias("_b")).select("_k", "_t", F.col("_b._p").alias("_p"))
+    joined = events.join(best, events[key].eqNullSafe(best["_k"]) & (epoch_micros(events[at]) == best["_t"]), "left")
+    return joined.select(*[events[c] for c in events.columns], best["_p"].alias("price"))
 
 
 # ---- W6 ---------------------------------------------------------------------

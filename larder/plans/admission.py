@@ -2,31 +2,33 @@
 
 An order is accepted only if *all* its ingredient demands fit in what the
 orders accepted before it left over; a rejected order consumes nothing.  A
-plain running sum is wrong (it would let rejected orders consume), and a
-sequential loop is one task.  This plan decides orders in rounds of ordinary
-DataFrame jobs, exactly:
-
-  For every demand row (order, ingredient, d) in arrival order:
-    hi = demand of earlier orders that are not rejected (accepted or undecided)
-    lo = demand of earlier orders that are accepted
-  An undecided order is accepted if hi + d <= stock on all its ingredients
-  (it fits even if every undecided predecessor is accepted), and rejected if
-  lo + d > stock on any (it fails even if every undecided one is rejected).
-
-The earliest undecided order has hi == lo, so every round decides at least
-one order; a round that decided none would mean a broken input and raises.
-
-Only ingredients whose whole demand exceeds the stock matter: before the first
-round, and again whenever rows are rewritten, the rows of an ingredient whose
-remaining demand fits are dropped (an order with no other rows is accepted).
-Accepted orders before the earliest undecided one are folded into the stock
-and dropped, rejected rows are dropped, and the working set is written as a
-table in the shared checkpoint folder and read back, which cuts the lineage
-(and the optimizer's carried constraints) and survives executor loss; the
-table before it is removed. The rows are range-partitioned once
-(``scan.ordered``), and the running sums use windows per (ingredient, bucket),
-so a hot ingredient is split. Near stock exhaustion decisions form chains, one
-order waiting for another: the number of rounds is the longest such chain.
+plain running sum is wrong (it would let rejected orders consume), and one
+sequential walk is one task.  This plan decides orders in rounds, exactly:
+
+  The demand rows of scarce ingredients are cut into ranges of the arrival
+  order, of about RANGE_ROWS rows each.  At the start of a range two stocks
+  are known for each of its ingredients, by running sums over the ranges:
+    high = stock less the demand of earlier orders that are accepted
+    low  = stock less the demand of earlier orders that are accepted or undecided
+  All ranges are walked at once, each in arrival order.  An undecided order is
+  rejected if it asks for more than ``high`` of any ingredient (it fails even
+  if every undecided one before it is rejected) and accepted if it asks for no
+  more than ``low`` of all (it fits even if all those are accepted); then both
+  stocks fall.  Otherwise it stays undecided and only ``low`` falls.
+
+In the first range low equals high, so a round decides at least that whole
+range; the others decide whatever does not hang on orders of earlier ranges.
+What is left is cut into ranges anew.  A chain of orders that wait for one
+another is followed to its end inside a range; only its steps from range to
+range cost rounds, and these get fewer as what is left shrinks.
+
+Accepted rows matter only by their sums: between two undecided rows of an
+ingredient a range hands on one row with their sum, so the working set follows
+the undecided orders.  Each working set is a table in the shared checkpoint
+folder, which cuts the lineage and survives executor loss.
+
+Only ingredients whose whole demand exceeds the stock matter; an order with no
+other rows is accepted outright.
 
 Preconditions: demand > 0, arrival not NULL and every ingredient exists in
 ``stock`` (reject others before).  With positive demand, the reference's
@@ -35,22 +37,140 @@ line-by-line check equals this per-order sum test.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from decimal import localcontext
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.functions import scan
-from larder.session import discard, materialize
-
-_ORDER = ["arrival_ts", "arrival_seq"]
-#: Rounds after which the working set is rewritten, also if they decided little.
-FOLD_EVERY = 4
-
-
-def _decide(rows: DataFrame, dec: DataFrame) -> DataFrame:
-    """Working rows with the orders' new states, without the rejected ones."""
-    return (rows.join(dec.select("order_id", "nst"), "order_id", "left")
-            .withColumn("st", F.coalesce(F.col("nst"), F.col("st"))).drop("nst")
-            .filter(F.col("st") != "R"))
+from larder.functions.scan import BUCKET
+from larder.session import discard, materialize, ship_package
+
+#: Demand rows that one task walks, about.
+RANGE_ROWS = 100_000
+_ORDER = ["arrival_ts", "arrival_seq", "order_id"]
+#: Kinds of rows of a range, in the order in which they are read: its stocks, then orders. Written: orders, decisions.
+_STOCK, _ROWS, _DECIDED = 0, 1, 2
+
+
+class _Walk:
+    """One range walked in arrival order; ``out`` collects (kind, arrival..., ingredient, demand, state) rows."""
+
+    def __init__(self, low: dict, high: dict):
+        self.low, self.high = low, high
+        self.taken: dict = {}       # accepted demand of an ingredient since its last undecided row
+        self.out: list[tuple] = []
+
+    def accepted(self, need: list[tuple]) -> None:
+        for i, d in need:
+            self.low[i] -= d
+            self.high[i] -= d
+            self.taken[i] = self.taken.get(i, 0) + d
+
+    def order(self, at: tuple, need: list[tuple]) -> None:
+        if any(d > self.high[i] for i, d in need):
+            self.out.append((_DECIDED, *at, None, None, "R"))
+        elif all(d <= self.low[i] for i, d in need):
+            self.out.append((_DECIDED, *at, None, None, "A"))
+            self.accepted(need)
+        else:
+            for i, d in need:
+                self.low[i] -= d
+                self._hand_on(at, i)
+                self.out.append((_ROWS, *at, i, d, "U"))
+
+    def _hand_on(self, at: tuple, i) -> None:
+        if i in self.taken:
+            self.out.append((_ROWS, *at, i, self.taken.pop(i), "A"))
+
+    def end(self, at: tuple) -> list[tuple]:
+        for i in list(self.taken):
+            self._hand_on(at, i)
+        out, self.out = self.out, []
+        return out
+
+
+def _walk_ranges(rows: DataFrame) -> DataFrame:
+    """New states and decisions of ``rows(_bucket, kind, arrival..., ingredient_id, d, low, high, st)``, sorted by range."""
+    ship_package(rows.sparkSession)
+    names = ["kind", *_ORDER, "ingredient_id", "d", "st"]
+    schema = rows.select(*names).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, bucket, at, need = None, None, None, []
+        types: list[pa.DataType] = []
+
+        def flush(done: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal at, need
+            if at is not None:
+                walk.order(at, need)
+            if done and walk is not None:
+                out = walk.end(last)
+            else:
+                out, walk.out = walk.out, []
+            at, need = None, []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+        last = None
+        with localcontext() as exact:
+            exact.prec = 80
+            for batch in batches:
+                types = [batch.column(c).type for c in names]
+                columns = [batch.column(c).to_pylist() for c in (BUCKET, "kind", "ingredient_id", "d", "low", "high", "st", *_ORDER)]
+                for b, kind, i, d, low, high, st, *place in zip(*columns, strict=True):
+                    if b != bucket:
+                        if walk is not None:
+                            yield from flush(True)
+                        walk, bucket, last = _Walk({}, {}), b, None
+                    if kind == _STOCK:
+                        walk.low[i], walk.high[i] = low, high
+                        continue
+                    here = tuple(place)
+                    if st == "A":
+                        if at is not None:
+                            walk.order(at, need)
+                            at, need = None, []
+                        walk.accepted([(i, d)])
+                    else:
+                        if at is not None and here != at:
+                            walk.order(at, need)
+                            need = []
+                        at = here
+                        need.append((i, d))
+                    last = here
+                if walk is not None and len(walk.out) > 10_000:
+                    rows_out, walk.out = walk.out, []
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_out, strict=True), types, strict=True)], names=names)
+            if walk is not None:
+                yield from flush(True)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _difference(a: T.DataType, b: T.DataType) -> str:
+    """Type that holds sums and differences of the two exactly; doubles stay doubles."""
+    if any(isinstance(t, T.FractionalType) and not isinstance(t, T.DecimalType) for t in (a, b)):
+        return "double"
+    return f"decimal(38,{max(getattr(t, 'scale', 0) for t in (a, b))})"
+
+
+def _with_stocks(rows: DataFrame, cur: DataFrame) -> DataFrame:
+    """The ranges' rows, each range's stocks (low, high) before them."""
+    kind = _difference(rows.schema["d"].dataType, cur.schema["s"].dataType)
+    zero = F.lit(0).cast(kind)
+    sums = rows.groupBy(BUCKET, "ingredient_id").agg(F.sum(F.when(F.col("st") == "A", F.col("d"))).cast(kind).alias("_a"), F.sum("d").cast(kind).alias("_t"))
+    before = Window.partitionBy("ingredient_id").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    start = (sums.withColumns({"_a": F.coalesce(F.sum("_a").over(before), zero), "_t": F.coalesce(F.sum("_t").over(before), zero)})
+             .join(cur, "ingredient_id")
+             .select(BUCKET, "ingredient_id", F.lit(_STOCK).alias("kind"), (F.col("s") - F.col("_t")).cast(kind).alias("low"),
+                     (F.col("s") - F.col("_a")).cast(kind).alias("high")))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = rows.withColumn("kind", F.lit(_ROWS)).unionByName(start, allowMissingColumns=True)
+    return both.repartition(parts, BUCKET).sortWithinPartitions(BUCKET, "kind", *_ORDER, "st", "ingredient_id")
 
 
 def _scarce(rows: DataFrame, cur: DataFrame) -> DataFrame:
@@ -68,66 +188,38 @@ def admit_in_order(demand: DataFrame, arrival: DataFrame, stock: DataFrame,
     stock:   (ingredient_id, quantity)
     Returns (decisions(order_id, accepted), stock_after(ingredient_id, quantity), rounds).
 
-    Per round: one written decision table (windows and one aggregate) and one
-    small aggregate for the driver (undecided count and frontier).  After a
-    round that decided at least a quarter of the orders it saw, and at least
-    every FOLD_EVERY rounds, the working set is rewritten; in between it is the
-    last written one joined with the newer decision tables.
+    Per round: the working set written by ranges, the walked ranges written,
+    and one row of counts for the driver.  ``target_rows`` is the size of a
+    range (RANGE_ROWS); an order lies in one range.
     """
     arr = arrival.select("order_id", "arrival_ts", "arrival_seq")
     d = demand.groupBy("order_id", "ingredient_id").agg(F.sum("demand").alias("d"))
     cur = materialize(stock.select("ingredient_id", F.col("quantity").alias("s")), "admission", "stock")
     scarce = materialize(_scarce(d, cur), "admission", "scarce")
-    rows = scan.ordered(d.join(scarce, "ingredient_id", "left_semi").join(arr, "order_id").withColumn("st", F.lit("U")),
-                        ["ingredient_id"], [*_ORDER, "order_id"], target_rows)
+    rows = materialize(d.join(scarce, "ingredient_id", "left_semi").join(arr, "order_id").withColumn("st", F.lit("U")), "admission", "rows")
     # orders that need nothing scarce are accepted outright
     free = (arr.join(rows.select("order_id").distinct(), "order_id", "left_anti")
-            .select("order_id", F.lit("A").alias("nst")))
-    decided = [materialize(free, "admission", "dec")]
-    zero = F.lit(0).cast(rows.schema["d"].dataType)
-    order_key = F.struct(*_ORDER, "order_id")
-    written, rounds = rows, 0
-    while True:
+            .select("order_id", F.lit(True).alias("accepted")))
+    decided, used, rounds = [free], [rows], 0
+    while not rows.isEmpty():
         rounds += 1
-        j = rows.join(cur, "ingredient_id").withColumn("_da", F.when(F.col("st") == "A", F.col("d")).otherwise(zero))
-        j = scan.running_sums(j, ["ingredient_id"], [*_ORDER, "order_id"], {"_hi": "d", "_lo": "_da"})
-        u = j.filter(F.col("st") == "U").select(
-            "order_id", *_ORDER,
-            (F.col("_hi") <= F.col("s")).alias("fit"),                    # hi_excl + d <= s
-            ((F.col("_lo") - F.col("_da") + F.col("d")) > F.col("s")).alias("fail"))
-        dec = (u.groupBy("order_id", *_ORDER).agg(F.min("fit").alias("all_fit"), F.max("fail").alias("any_fail"))
-               .select("order_id", *_ORDER,
-                       F.when(F.col("any_fail"), F.lit("R")).when(F.col("all_fit"), F.lit("A"))
-                       .otherwise(F.lit("U")).alias("nst")))
-        dec = materialize(dec, "admission", "dec")
-        decided.append(dec.select("order_id", "nst"))
-        left = dec.agg(F.count(F.when(F.col("nst") == "U", 1)).alias("n"), F.count(F.lit(1)).alias("seen"),
-                       F.min(F.when(F.col("nst") == "U", order_key)).alias("f")).first()
-        if left["n"] == 0:
+        ranged = scan.ranges(rows, _ORDER, target_rows or RANGE_ROWS)
+        out = materialize(_walk_ranges(_with_stocks(ranged, cur)), "admission", "walked")
+        discard(ranged)
+        used.append(out)
+        decided.append(out.filter(F.col("kind") == _DECIDED).select("order_id", (F.col("st") == "A").alias("accepted")))
+        left = out.agg(F.count(F.when(F.col("kind") == _DECIDED, 1)).alias("decided"), F.count(F.when(F.col("st") == "U", 1)).alias("open")).first()
+        if left["open"] == 0:
             break
-        if left["n"] == left["seen"]:
-            raise RuntimeError(f"admission round {rounds} decided none of {left['n']} orders")
-        upd = _decide(rows, dec)
-        if rounds % FOLD_EVERY and 4 * (left["seen"] - left["n"]) < left["seen"]:
-            rows = upd          # a short lazy chain of joins with small decision tables
-            continue
-        frontier = F.struct(*[F.lit(left["f"][c]).alias(c) for c in (*_ORDER, "order_id")])
-        # accepted orders before the earliest undecided one are final: fold into the stock, drop
-        settled = (F.col("st") == "A") & (order_key < frontier)
-        # an ingredient that had enough for all rows of this round held up none of the orders left
-        keep = _scarce(rows, cur)
-        used = upd.filter(settled).groupBy("ingredient_id").agg(F.sum("d").alias("_u"))
-        new_cur = materialize(cur.join(used, "ingredient_id", "left")
-                              .select("ingredient_id", (F.col("s") - F.coalesce(F.col("_u"), zero)).alias("s")),
-                              "admission", "stock")
-        rows = materialize(upd.filter(~settled).join(keep, "ingredient_id", "left_semi"), "admission", "rows")
-        discard(written)
-        discard(cur)
-        cur, written = new_cur, rows
-    spark = demand.sparkSession
-    paths = [p for df in decided for p in df.inputFiles()]
-    decisions = (spark.read.schema("order_id " + arr.schema["order_id"].dataType.simpleString() + ", nst string").parquet(*paths)
-                 .filter(F.col("nst") != "U").select("order_id", (F.col("nst") == "A").alias("accepted")))
+        if left["decided"] == 0:
+            raise RuntimeError(f"admission round {rounds} decided no order")
+        rows = out.filter(F.col("kind") == _ROWS).drop("kind")
+    decisions = decided[0]
+    for more in decided[1:]:
+        decisions = decisions.unionByName(more)
+    decisions = materialize(decisions, "admission", "decisions")
+    for table in [*used, scarce]:
+        discard(table)
     acc = d.join(decisions.filter("accepted").select("order_id"), "order_id", "left_semi")
     used_all = acc.groupBy("ingredient_id").agg(F.sum("d").alias("_u"))
     after = (stock.join(used_all, "ingredient_id", "left")
