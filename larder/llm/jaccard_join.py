@@ -223,16 +223,16 @@ def _keys(shared: DataFrame) -> DataFrame:
 
 
 def _dealt(members: DataFrame, load: Column, most: int) -> DataFrame:
-    """Members of each ``sig`` that has two or more, dealt into parts of ``most`` by ``load``; each pair of parts is a task ``(sig, i, j)``.
+    """Members of each ``sig`` dealt into parts of ``most`` by ``load``; each pair of parts is a task ``(sig, i, j)``.
 
     In a task of two parts, ``side`` tells them apart.
     """
-    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum(load) / most).cast("int").alias("parts")).where("members > 1")
-    return (meet(members, sizes, ["sig"], "members")
+    large = materialize(members.groupBy("sig").agg(F.ceil(F.sum(load) / most).cast("int").alias("parts")).where("parts > 1"), "jaccard")
+    return (members.join(large, "sig", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
-            .drop("own", "other", "members", "parts"))
+            .drop("own", "other", "parts"))
 
 
 def _tasks(dealt: DataFrame, pairs: Callable, columns: list[str]) -> DataFrame:
@@ -429,9 +429,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     shared = (meet(prefixes, holders, ["token"], "holders").groupBy("node", "level")
               .agg(F.collect_list(F.struct(kind.alias("class"), "token")).alias("tokens")))
     members = materialize(_keys(shared.join(nodes.select("node", "n", "bits"), "node")), "jaccard")
+    discard(prefixes)
+    discard(holders)
     free_shuffles(spark)
     tasks = _dealt(members, F.lit(1), part_sets)
     edges = materialize(_tasks(tasks, _by_bitmap(percent), ["bits"]).groupBy("u", "v").agg(F.min("s").alias("s")), "jaccard")
+    free_shuffles(spark)
     judged = materialize(_verified(texts, edges, k, percent), "jaccard")
     links = judged.where("ok")
     found = materialize(_components(nodes, judged), "jaccard")
@@ -446,8 +449,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     own = nodes.join(found, "node", "left").select("node", "rep", "rows", F.coalesce("component", "node").alias("component"))
     least = own.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("held"))
     labels = materialize(meet(own, materialize(least, "jaccard"), ["component"], "held").select("node", "component", "component_id", "rows"), "jaccard")
-    for used in (prefixes, holders, members):
-        discard(used)
+    discard(members)
     free_shuffles(spark)
     named = meet(rows.where("n > 0"), labels, ["node"], "rows")
     blank = rows.where("n = 0").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
