@@ -53,6 +53,8 @@ FILTER_BITS = 1 << 24
 _BITS = (128, 8192)
 #: Edges of one set that are verified with one copy of it.
 _SHARE = 256
+#: Sets of a task that is solved together with others, and words of bitmaps compared at once.
+_SMALL, _WORDS = 16, 1 << 21
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in SPACE_TABLE)
 
@@ -235,42 +237,47 @@ def _dealt(members: DataFrame, load: Column, most: int) -> DataFrame:
             .drop("own", "other", "parts"))
 
 
-def _tasks(dealt: DataFrame, pairs: Callable, columns: list[str]) -> DataFrame:
-    """``u, v, s``: what ``pairs(side, node, n, *columns)`` finds in each task, as indexes; ``s`` numbers the shares of one set's edges."""
+def _tasks(dealt: DataFrame, solve: Callable, columns: list[str]) -> DataFrame:
+    """``u, v, s``: the edges that ``solve(rows, bounds)`` finds in whole tasks, as row numbers; ``s`` numbers the shares of one set's edges.
+
+    ``rows`` has node, n, side and ``columns``; each task, sorted by n, lies between two neighbouring ``bounds``.
+    """
     spark = dealt.sparkSession
     ship_package(spark)
     keys = ["sig", "i", "j"]
     rows = dealt.select(*keys, "side", "node", "n", *columns).repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "n", "node")
 
-    def links(task: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        node = task.column("node").to_numpy()
-        a, b = pairs(task.column("side").to_numpy(), node, task.column("n").to_numpy(), *(task.column(c).to_pylist() for c in columns))
-        # edges come in the order of their first set
-        share = (np.arange(len(a)) - np.searchsorted(a, a)) // _SHARE
-        return node[a], node[b], share
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
+        held: list[pa.RecordBatch] = []  # of the last task, which may go on
 
-        def out(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if sum(p.num_rows for p in parts) > 1:
-                u, v, s = links(pa.Table.from_batches(parts))
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], names=["u", "v", "s"])
+        def out(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(bounds) - 1 == rows.num_rows:
+                return
+            a, b = solve(rows.combine_chunks(), bounds)
+            if len(a):
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], b[order]
+                node = rows.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array((np.arange(len(a)) - np.searchsorted(a, a)) // _SHARE)], names=["u", "v", "s"])
+
+        def key(batch: pa.RecordBatch) -> np.ndarray:
+            return np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys])
-            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                own = tuple(key[:, a].tolist())
-                if own != last:
-                    yield from out(held)
-                    held, last = [], own
-                held.append(batch.slice(a, b - a))
-        yield from out(held)
+            own = key(batch)
+            cuts = (np.flatnonzero((own[:, 1:] != own[:, :-1]).any(axis=0)) + 1).tolist()
+            if held and (key(held[-1].slice(held[-1].num_rows - 1))[:, 0] != own[:, 0]).any():
+                yield from out(pa.Table.from_batches(held), np.array([0, sum(h.num_rows for h in held)]))
+                held = []
+            if cuts:
+                before = sum(h.num_rows for h in held)
+                yield from out(pa.Table.from_batches([*held, batch.slice(0, cuts[-1])]), np.array([0, *(before + c for c in cuts)]))
+                held = []
+            held.append(batch.slice(cuts[-1] if cuts else 0))
+        if held:
+            yield from out(pa.Table.from_batches(held), np.array([0, sum(h.num_rows for h in held)]))
         give_back()
 
     return rows.mapInArrow(run, "u long, v long, s long")
@@ -300,32 +307,75 @@ def _spanning(size: np.ndarray, side: np.ndarray, percent: int, linked: Callable
     return np.concatenate(a), np.concatenate(b)
 
 
-def _by_bitmap(percent: int) -> Callable:
-    def pairs(side, node, size, bits):
-        wide = np.array([len(b) // 8 for b in bits])
-        at: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each width: rows in it, and those twice as wide folded to it
-        for w in np.unique(wide).tolist():
-            rows = np.flatnonzero((wide == w) | (wide == 2 * w))
-            place = np.zeros(len(wide), dtype=np.int64)
-            place[rows] = np.arange(len(rows))
-            bitmap = np.zeros((len(rows), w), dtype=np.uint64)
-            for to, r in enumerate(rows.tolist()):
-                one = np.frombuffer(bits[r], "<u8")
-                bitmap[to] = one if len(one) == w else one[:w] ^ one[w:]
-            at[w] = place, bitmap
+class _Bitmaps:
+    """Parity bitmaps of many sets, compared in bulk."""
+
+    def __init__(self, size: np.ndarray, bits: pa.Array, percent: int):
+        self.size, self.percent = size, percent
+        at = np.frombuffer(bits.buffers()[1], dtype="<i4")[bits.offset: bits.offset + len(bits) + 1].astype(np.int64)
+        data = np.frombuffer(bits.buffers()[2], dtype=np.uint8)[at[0]: at[-1]]
+        self.words, self.at, self.wide = np.ascontiguousarray(data).view("<u8"), (at[:-1] - at[0]) >> 3, np.diff(at) >> 3
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs (a, b), the first not the larger set, differ in no more bits than linked sets may."""
+        out = np.zeros(len(a), dtype=bool)
+        fits = np.flatnonzero(self.size[b] * self.percent <= self.size[a] * 100)
+        kind = self.wide[a[fits]] * 2 + (self.wide[b[fits]] > self.wide[a[fits]])
+        for k in np.unique(kind).tolist():
+            w, fold, every = k >> 1, k & 1, fits[kind == k]
+            for cut in range(0, len(every), max(1, _WORDS // w)):
+                pick = every[cut: cut + max(1, _WORDS // w)]
+                x, y = a[pick], b[pick]
+                step = np.arange(w)
+                left, at = self.words[self.at[x][:, None] + step], self.at[y][:, None] + step
+                right = self.words[at] ^ self.words[at + w] if fold else self.words[at]
+                differ = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+                out[pick] = differ * (100 + self.percent) <= (self.size[x] + self.size[y]) * (100 - self.percent)
+        return out
 
-        def linked(r: int, other: np.ndarray) -> np.ndarray:
-            place, bitmap = at[int(wide[r])]
-            differ = np.bitwise_count(bitmap[place[other]] ^ bitmap[place[r]]).sum(axis=1, dtype=np.int64)
-            return other[differ * (100 + percent) <= (size[r] + size[other]) * (100 - percent)]
 
-        return _spanning(size, side, percent, linked)
+def _by_bitmap(percent: int) -> Callable:
+    """Edges between sets whose bitmaps allow a link.
 
-    return pairs
+    Small tasks are solved together: their first sets are compared with the others, then, where some of those aren't
+    near it, the pairs that the first comparison hasn't connected.
+    """
+    def solve(rows: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size, side = rows.column("n").to_numpy(), rows.column("side").to_numpy()
+        maps = _Bitmaps(size, rows.column("bits").chunk(0), percent)
+        held, first = np.diff(bounds), bounds[:-1]
+        small = (held > 1) & (held <= _SMALL)
+        lead = np.repeat(first, held)
+        other = np.flatnonzero(np.repeat(small, held) & (np.arange(len(size)) > lead) & ((side != side[lead]) | ~np.repeat(np.maximum.reduceat(side, first) > 0, held)))
+        near = maps.near(lead[other], other)
+        a, b = [lead[other[near]]], [other[near]]
+        joined = np.zeros(len(size), dtype=bool)
+        joined[other[near]] = True
+        few = np.add.reduceat(joined.astype(np.int64), first) + 1
+        for m in range(3, _SMALL + 1):
+            task = first[small & (held == m) & (few < m)]
+            if len(task):
+                i, j = np.triu_indices(m - 1, 1)
+                x, y = (task[:, None] + 1 + i).ravel(), (task[:, None] + 1 + j).ravel()
+                two = np.maximum.reduceat(side, first)[np.searchsorted(first, task)].repeat(len(i)) > 0
+                pick = ~(joined[x] & joined[y]) & (~two | (side[x] != side[y]))
+                x, y = x[pick], y[pick]
+                near = maps.near(x, y)
+                a.append(x[near])
+                b.append(y[near])
+        for t in np.flatnonzero(held > _SMALL).tolist():
+            low, high = bounds[t], bounds[t + 1]
+            x, y = _spanning(size[low:high], side[low:high], percent, lambda r, o, low=low: o[maps.near(np.full(len(o), low + r), low + o)])
+            a.append(x + low)
+            b.append(y + low)
+        return np.concatenate(a), np.concatenate(b)
+
+    return solve
 
 
 def _by_set(percent: int) -> Callable:
-    def pairs(side, node, size, tokens):
+    """Edges between sets that are as similar as asked for."""
+    def pairs(size: np.ndarray, side: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         flat = np.concatenate([np.frombuffer(t, "<i8") for t in tokens])
         row = np.repeat(np.arange(len(size)), size)
         _, name = np.unique(flat, return_inverse=True)
@@ -341,7 +391,17 @@ def _by_set(percent: int) -> Callable:
 
         return _spanning(size, side, percent, linked)
 
-    return pairs
+    def solve(rows: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size, side, tokens = rows.column("n").to_numpy(), rows.column("side").to_numpy(), rows.column("tokens")
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if high - low > 1:
+                x, y = pairs(size[low:high], side[low:high], tokens.slice(low, high - low).to_pylist())
+                a.append(x + low)
+                b.append(y + low)
+        return np.concatenate(a), np.concatenate(b)
+
+    return solve
 
 
 def _fetched(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
