@@ -16,9 +16,9 @@ indexed for both.
 
 Sets that share a key meet in a task. Parity bitmaps bound their difference
 from below and drop most; the task returns pairs that connect what is left of a key
-(not all pairs), and these are verified on the sets. Only where such a pair
-fails are the sets of that candidate component brought to their keys and
-compared exactly there.
+(not all pairs, but for keys of a few sets), and these are verified on the sets. Only where such a pair
+fails are the sets of that candidate component brought to those of their keys
+that hold several parts of it, and compared exactly there.
 """
 
 from __future__ import annotations
@@ -283,12 +283,13 @@ def _tasks(dealt: DataFrame, solve: Callable, columns: list[str]) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long, s long")
 
 
-def _spanning(size: np.ndarray, side: np.ndarray, percent: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _spanning(size: np.ndarray, side: np.ndarray, percent: int, linked: Callable[[int, np.ndarray], np.ndarray],
+              label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what ``linked`` links, of rows sorted by ``size``: a row is compared with later ones that it isn't connected to yet.
 
-    Only sizes that can link are compared, and only different sides where there are two.
+    Only sizes that can link are compared, and only different sides where there are two. Rows with the same ``label`` are connected from the start.
     """
-    label, a, b = np.arange(len(size)), [], []
+    label, a, b = np.arange(len(size)) if label is None else label.copy(), [], []
     end = np.searchsorted(size, size * 100 // percent, side="right")
     two = bool(side.any())
     for r in range(len(size) - 1):
@@ -335,47 +336,35 @@ class _Bitmaps:
 
 
 def _by_bitmap(percent: int) -> Callable:
-    """Edges between sets whose bitmaps allow a link.
-
-    Small tasks are solved together: their first sets are compared with the others, then, where some of those aren't
-    near it, the pairs that the first comparison hasn't connected.
-    """
+    """Edges between sets whose bitmaps allow a link: of tasks of _SMALL sets at most all, solved together; of others what connects them."""
     def solve(rows: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size, side = rows.column("n").to_numpy(), rows.column("side").to_numpy()
         maps = _Bitmaps(size, rows.column("bits").chunk(0), percent)
         held, first = np.diff(bounds), bounds[:-1]
-        small = (held > 1) & (held <= _SMALL)
-        lead = np.repeat(first, held)
-        other = np.flatnonzero(np.repeat(small, held) & (np.arange(len(size)) > lead) & ((side != side[lead]) | ~np.repeat(np.maximum.reduceat(side, first) > 0, held)))
-        near = maps.near(lead[other], other)
-        a, b = [lead[other[near]]], [other[near]]
-        joined = np.zeros(len(size), dtype=bool)
-        joined[other[near]] = True
-        few = np.add.reduceat(joined.astype(np.int64), first) + 1
-        for m in range(3, _SMALL + 1):
-            task = first[small & (held == m) & (few < m)]
+        two = np.maximum.reduceat(side, first) > 0
+        a, b = [], []
+        for m in range(2, _SMALL + 1):
+            task = np.flatnonzero(held == m)
             if len(task):
-                i, j = np.triu_indices(m - 1, 1)
-                x, y = (task[:, None] + 1 + i).ravel(), (task[:, None] + 1 + j).ravel()
-                two = np.maximum.reduceat(side, first)[np.searchsorted(first, task)].repeat(len(i)) > 0
-                pick = ~(joined[x] & joined[y]) & (~two | (side[x] != side[y]))
-                x, y = x[pick], y[pick]
-                near = maps.near(x, y)
-                a.append(x[near])
-                b.append(y[near])
+                i, j = np.triu_indices(m, 1)
+                x, y = (first[task][:, None] + i).ravel(), (first[task][:, None] + j).ravel()
+                pick = np.flatnonzero((side[x] != side[y]) | ~np.repeat(two[task], len(i)))
+                pick = pick[maps.near(x[pick], y[pick])]
+                a.append(x[pick])
+                b.append(y[pick])
         for t in np.flatnonzero(held > _SMALL).tolist():
             low, high = bounds[t], bounds[t + 1]
             x, y = _spanning(size[low:high], side[low:high], percent, lambda r, o, low=low: o[maps.near(np.full(len(o), low + r), low + o)])
             a.append(x + low)
             b.append(y + low)
-        return np.concatenate(a), np.concatenate(b)
+        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, dtype=np.int64),) * 2
 
     return solve
 
 
 def _by_set(percent: int) -> Callable:
-    """Edges between sets that are as similar as asked for."""
-    def pairs(size: np.ndarray, side: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between sets that are as similar as asked for and not connected yet."""
+    def pairs(size: np.ndarray, side: np.ndarray, label: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         flat = np.concatenate([np.frombuffer(t, "<i8") for t in tokens])
         row = np.repeat(np.arange(len(size)), size)
         _, name = np.unique(flat, return_inverse=True)
@@ -389,14 +378,14 @@ def _by_set(percent: int) -> Callable:
             both = np.bincount(held, minlength=len(size))[other]
             return other[100 * both >= percent * (size[r] + size[other] - both)]
 
-        return _spanning(size, side, percent, linked)
+        return _spanning(size, side, percent, linked, label)
 
     def solve(rows: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size, side, tokens = rows.column("n").to_numpy(), rows.column("side").to_numpy(), rows.column("tokens")
+        size, side, label, tokens = *(rows.column(c).to_numpy() for c in ("n", "side", "label")), rows.column("tokens")
         a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if high - low > 1:
-                x, y = pairs(size[low:high], side[low:high], tokens.slice(low, high - low).to_pylist())
+                x, y = pairs(size[low:high], side[low:high], label[low:high], tokens.slice(low, high - low).to_pylist())
                 a.append(x + low)
                 b.append(y + low)
         return np.concatenate(a), np.concatenate(b)
@@ -499,17 +488,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     links = judged.where("ok")
     found = materialize(_components(nodes, judged), "jaccard")
     wrong = found.join(judged.where("not ok").select(F.col("u").alias("node")).distinct(), "node").select("component").distinct()
-    doubtful = materialize(found.join(wrong, "component", "left_semi").select("node"), "jaccard")
-    if not doubtful.isEmpty():
-        sets = materialize(_fetched(texts, doubtful, k), "jaccard")
-        again = _dealt(members.select("sig", "node", "n").join(doubtful, "node", "left_semi"), F.col("n"), part_tokens)
-        exact = _tasks(again.join(sets.select("node", "tokens"), "node"), _by_set(percent), ["tokens"])
+    doubtful = found.join(wrong, "component", "left_semi").select("node")
+    if not wrong.isEmpty():
+        # connections that do hold; a key needs another look if it is not small (of small ones all pairs are judged) and has sets of several of them
+        now = materialize(_components(nodes, links), "jaccard")
+        marked = doubtful.join(now, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
+        large = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > _SMALL)
+        again = materialize(members.select("sig", "node", "n").join(large.select("sig"), "sig", "left_semi").join(marked, "node"), "jaccard")
+        several = again.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("sig")
+        again = materialize(again.join(several, "sig", "left_semi"), "jaccard")
+        discard(members)
+        free_shuffles(spark)
+        sets = materialize(_fetched(texts, again.select("node").distinct(), k).select("node", "tokens"), "jaccard")
+        exact = _tasks(_dealt(again, F.col("n"), part_tokens).join(sets, "node"), _by_set(percent), ["label", "tokens"])
         links = materialize(links.select("u", "v").unionByName(exact.select("u", "v")).distinct(), "jaccard")
         found = materialize(_components(nodes, links), "jaccard")
     own = nodes.join(found, "node", "left").select("node", "rep", "rows", F.coalesce("component", "node").alias("component"))
     least = own.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("held"))
     labels = materialize(meet(own, materialize(least, "jaccard"), ["component"], "held").select("node", "component", "component_id", "rows"), "jaccard")
-    discard(members)
     free_shuffles(spark)
     named = meet(rows.where("n > 0"), labels, ["node"], "rows")
     blank = rows.where("n = 0").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
