@@ -51,6 +51,41 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def newer() -> str:
+    """Code points that Unicode 3.2 had not assigned: the tables of Python, ``regex`` and the tokenizers library may differ in them."""
+    old = unicodedata.ucd_3_2_0
+    return "".join(c for c in map(chr, [*range(0xD800), *range(0xF900, 0x40000), *range(0xE0000, 0xE1000)]) if old.category(c) == "Cn")
+
+
+def _inside(chars: list[str]) -> str:
+    """The characters (sorted) as the inside of a character class."""
+    late = [ord(c) for c in chars]
+    start = [c for c, before in zip(late, [-1, *late], strict=False) if c != before + 1]
+    end = [c for c, after in zip(late, [*late[1:], -1], strict=False) if c + 1 != after]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(start, end, strict=True))
+
+
+class Newer:
+    """Rules for text with code points that are newer than Unicode 3.2, by the library's own tables."""
+
+    def __init__(self, pattern: str, chars: str):
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        self._nfc, self._lower = normalizers.NFC(), normalizers.Lowercase()
+        text = "\n".join(chars)
+        for name in (r"\p{L}", r"\p{N}"):
+            split = pre_tokenizers.Split(Regex(name), "removed", invert=True)
+            theirs = {chars[at // 2] for _, (at, _) in split.pre_tokenize_str(text)}
+            own = set(regex.findall(name, chars))
+            more, less = _inside(sorted(theirs - own)), _inside(sorted(own - theirs))
+            pattern = pattern.replace(name, f"[{name}{more}" + (f"--[{less}]]" if less else "]"))
+        self.find = regex.compile(pattern, regex.V1).findall
+
+    def plain(self, text: str) -> str:
+        """Normal form C in lower case."""
+        return self._lower.normalize_str(self._nfc.normalize_str(text))
+
+
 class _Numbers(dict):
     """Numbers keys in the order they first come."""
 
@@ -74,8 +109,10 @@ class Bpe:
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._find = regex.compile(pattern).findall
-        self._find_lines = regex.compile(pattern + r"|\n").findall  # \n, no part of any piece, ends a chunk
+        pattern += r"|\n"  # \n, no part of any piece, ends a chunk
+        self._find_lines = regex.compile(pattern).findall
+        self._pattern, self._chars = pattern, newer()
+        self._has_newer, self._newer = re.compile(f"[{_inside(list(self._chars))}]").search, None
         names = sorted(special, key=len, reverse=True)
         self._special = special
         self._split = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else None
@@ -168,7 +205,12 @@ class Bpe:
 
     def _chunk_ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks without special tokens, one after the other, and how many each chunk has."""
-        pieces = self._find_lines(self._plain(b"\n".join([*chunks, b""]).decode()))
+        text = b"\n".join([*chunks, b""]).decode()
+        if text.isascii() or not self._has_newer(text):
+            pieces = self._find_lines(self._plain(text))
+        else:
+            self._newer = self._newer or Newer(self._pattern, self._chars)
+            pieces = self._newer.find(self._newer.plain(text))
         raw = np.frombuffer(" ".join([*pieces, ""]).encode(), dtype=np.uint8)  # neither byte is part of a piece
         gap = np.flatnonzero(raw == 32)
         size = np.diff(np.concatenate([[-1], gap])) - 1

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a task; a longer single text is its own slice.
@@ -132,13 +132,28 @@ def signed(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64, copy=False).view(np.int64)
 
 
-def with_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``th`` (text hash, tells rows of one id apart) and ``text``; other columns go.
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
 
-    Rows equal in id and text are the same row repeated.
-    """
-    return df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"),
-                     F.col(text_col).alias("text"))
+
+#: Low bits of a tie that number rows.
+_NUMBERED = (1 << 24) - 1
+
+
+def tie_range(value: Column) -> tuple[Column, Column]:
+    """The smallest and the largest tie of rows with this hash."""
+    return value.bitwiseAND(F.lit(~_NUMBERED)), value.bitwiseOR(F.lit(_NUMBERED))
+
+
+def tie(value: Column) -> Column:
+    """A row's place among those with its key: by its hash and, in the low bits, by its number in its input partition, so that equal rows can be parted."""
+    return tie_range(value)[0].bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit(_NUMBERED)))
 
 
 def give_back() -> None:
@@ -159,15 +174,3 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def meet(rows: DataFrame, table: DataFrame, key: list[str], count: str) -> DataFrame:
-    """``rows`` joined with ``table``, which has one row for each ``key`` (not NULL) and in ``count`` how many ``rows`` it has.
-
-    Keys with more than a quarter of a partition's share of the rows are met by broadcast, at most four for each
-    partition whatever the table's size; the others are shuffled, so that no partition holds a hot key.
-    """
-    spark = rows.sparkSession
-    share = (table.agg(F.sum(count)).first()[0] or 0) / (4 * partitions(spark))
-    heavy, light = F.broadcast(table.where(F.col(count) > share)), table.where(F.col(count) <= share)
-    return rows.join(heavy, key).unionByName(rows.join(heavy.select(*key), key, "left_anti").join(light, key))

@@ -136,9 +136,9 @@ def part_of(bounds: list[Splitter], offsets: list[int]):
 
 
 def numbered(df: DataFrame, key: Column, size: Column, tag: str) -> DataFrame:
-    """``df`` written to the shared folder with ``_key`` (NULL lowest), ``_size`` and a row number ``_tie``."""
-    return materialize(df.withColumns({"_key": F.coalesce(key.cast("long"), F.lit(_NULL)), "_size": size.cast("long"),
-                                       "_tie": F.monotonically_increasing_id()}), tag)
+    """``df`` written to the shared folder: its columns in the struct ``row``, ``key`` (NULL lowest), ``size`` and a row number ``tie``."""
+    return materialize(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(key.cast("long"), F.lit(_NULL)).alias("key"),
+                                 size.cast("long").alias("size"), F.monotonically_increasing_id().alias("tie")), tag)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text",
@@ -153,15 +153,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     or slot give way to the operator's.
     """
     rows = numbered(docs, F.col(id_col), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 8, "histogram")
-    keys = rows.select(F.col("_key").alias("key"), F.col("_tie").alias("tie"), F.col("_size").alias("size"))
+    keys = rows.select("key", "tie", "size")
     whole = keys.agg(F.count(F.lit(1)), F.sum("size")).first()
     runs = max(1, -(-(whole[1] or 0) // (shards * run_bytes)), -(-whole[0] // (shards * run_rows)))
     runs = min(runs, max(1, MAX_PARTS // shards))
     bounds, _, _ = splitters(keys, shards * runs, tolerance)
     below = [0] + [b.rows for b in bounds]
     offsets = [below[i] - below[i - i % runs] for i in range(shards * runs)]
-    order = Window.partitionBy("_run").orderBy("_key", "_tie")
-    placed = (rows.withColumn("_part", part_of(bounds, offsets)("_key", "_tie")).withColumns({"_run": F.col("_part.part"), "_off": F.col("_part.offset")})
-              .drop("_part").withColumn("_at", F.row_number().over(order)))
-    named = {"size": F.col("_size"), "shard": F.floor(F.col("_run") / runs).cast("int"), "slot": F.col("_off") + F.col("_at") - 1}
-    return placed.select(*[c.alias(n) for n, c in named.items()], *[F.col(c) for c in docs.columns if c not in named])
+    order = Window.partitionBy("run").orderBy("key", "tie")
+    placed = (rows.withColumn("part", part_of(bounds, offsets)("key", "tie")).withColumns({"run": F.col("part.part"), "off": F.col("part.offset")})
+              .drop("part").withColumn("at", F.row_number().over(order)))
+    named = {"size": F.col("size"), "shard": F.floor(F.col("run") / runs).cast("int"), "slot": F.col("off") + F.col("at") - 1}
+    return placed.select(*[c.alias(n) for n, c in named.items()], *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in named])

@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import GRAM, SPACE_TABLE, Words, free_shuffles, give_back, grams, inside, meet, mix, partitions, signed, text_bytes, text_slices
+from larder.functions.joins import meet
+from larder.llm.common import GRAM, SPACE_TABLE, Words, free_shuffles, give_back, grams, inside, mix, partitions, signed, text_bytes, text_slices
 from larder.llm.components import connected_components
 from larder.session import discard, materialize, ship_package
 

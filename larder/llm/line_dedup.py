@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import own_names
 from larder.session import materialize
 
 MAX_RATIO = 0.1
@@ -72,19 +73,20 @@ def clean(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
                      F.pmod(F.xxhash64("i", "th"), F.lit(SALT)).alias("s")))
     bad = known.select("host", "line", _salts().alias("s2"))
     hit = lines.join(bad, lines.h.eqNullSafe(bad.host) & (lines.key == bad.line) & (lines.s == bad.s2))
-    drop = (hit.groupBy("i", "th", "h").agg(F.collect_set("pos").alias("_drop"))
-            .select(F.col("i").alias("_i"), F.col("th").alias("_th"), F.col("h").alias("_h"), "_drop"))
-    joined = docs.join(drop, docs[id_col].eqNullSafe(drop["_i"]) & (F.xxhash64(docs[text_col]) == drop["_th"])
-                       & docs[host_col].eqNullSafe(drop["_h"]), "left")
+    gone, i, th, h = own_names(docs, "_drop", "_i", "_th", "_h")
+    drop = (hit.groupBy("i", "th", "h").agg(F.collect_set("pos").alias(gone))
+            .select(F.col("i").alias(i), F.col("th").alias(th), F.col("h").alias(h), gone))
+    joined = docs.join(drop, docs[id_col].eqNullSafe(drop[i]) & (F.xxhash64(docs[text_col]) == drop[th])
+                       & docs[host_col].eqNullSafe(drop[h]), "left")
     text = docs[text_col]
     every = _lines(text)
     # the split text is bound once, as x.e, for all its lines
-    kept = F.transform(F.array(F.struct(every.alias("e"), F.col("_drop").alias("d"))), lambda x: F.array_join(
+    kept = F.transform(F.array(F.struct(every.alias("e"), F.col(gone).alias("d"))), lambda x: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["e"]) - 1), x["d"]), lambda i: F.element_at(x["e"], i + 1)), "\n"))[0]
-    out = [F.when(F.col("_drop").isNull(), text).otherwise(kept).alias(c) if c == text_col else docs[c]
+    out = [F.when(F.col(gone).isNull(), text).otherwise(kept).alias(c) if c == text_col else docs[c]
            for c in docs.columns if c not in counts]
     return joined.select(*out, F.when(text.isNull(), 0).otherwise(F.size(every)).cast("long").alias(counts[0]),
-                         F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias(counts[1]))
+                         F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(counts[1]))
 
 
 def oracle(table: str = "documents", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> str:

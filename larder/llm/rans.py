@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.archive import TempFile, filesystem, manifest, open_file, publish
 from larder.llm.bpe import SLICE, loaded, word_bpe_path
-from larder.llm.common import free_shuffles, partitions, text_bytes, text_slices
+from larder.llm.common import free_shuffles, partitions, text_bytes, text_slices, tie
 from larder.llm.histogram_sort import MAX_PARTS, part_of, splitters
 from larder.session import materialize, scratch_path, ship_package
 
@@ -149,8 +149,8 @@ def tokens(docs: DataFrame, path: str, end_id: int, part_bytes: int) -> DataFram
     ``at``: the row's place in its part, ``before``: the part's tokens before it, ``ids``: 32-bit little-endian.
     """
     ship_package(docs.sparkSession)
-    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "_tie": F.xxhash64("text")})
-    keys = materialize(keyed.select(F.col("_key").alias("key"), F.col("_tie").alias("tie"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size")), "rans")
+    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "_tie": tie(F.xxhash64("text"))})
+    keys = materialize(keyed.select(F.col("_key").alias("key"), F.col("_tie").alias("tie"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("size")), "rans")
     total = keys.agg(F.sum("size")).first()[0] or 0
     parts = max(1, min(-(-total // part_bytes), MAX_PARTS))
     bounds, _, _ = splitters(keys, parts, tolerance=0.01)

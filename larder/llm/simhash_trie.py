@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import free_shuffles, give_back, partitions, text_bytes, text_slices
+from larder.llm.common import free_shuffles, give_back, own_names, partitions, text_bytes, text_slices
 from larder.llm.components import connected_components
 from larder.session import materialize, ship_package
 
@@ -267,9 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id
     (NULL last, then by text hash) stays, once."""
+    own_id, own_th = own_names(docs, "_keep_id", "_keep_th")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     stay = (classes(docs, id_col, text_col, **how).groupBy("root").agg(F.min(first).alias("row"))
-            .select(F.col("row.doc_id").alias("_keep_id"), F.col("row.th").alias("_keep_th")).distinct())
-    mine = docs.join(stay, docs[id_col].eqNullSafe(F.col("_keep_id")) & (F.xxhash64(docs[text_col]) == F.col("_keep_th")))
-    once = mine.dropDuplicates(["_keep_id", "_keep_th"])
+            .select(F.col("row.doc_id").alias(own_id), F.col("row.th").alias(own_th)).distinct())
+    mine = docs.join(stay, docs[id_col].eqNullSafe(stay[own_id]) & (F.xxhash64(docs[text_col]) == stay[own_th]))
+    once = mine.dropDuplicates([own_id, own_th])
     return once.select(*[docs[c] for c in docs.columns])

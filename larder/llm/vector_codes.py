@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import give_back, meet
+from larder.functions.joins import meet
+from larder.llm.common import give_back
 from larder.session import materialize, ship_package
 
 SCALE = 1024

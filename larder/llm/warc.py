@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.archive import TempFile, manifest, open_file, publish
+from larder.llm.common import tie, tie_range
 from larder.llm.histogram_sort import MAX_PARTS, part_of, splitters
 from larder.session import materialize, ship_package
 
@@ -38,6 +39,9 @@ def digest(data: bytes) -> str:
     """Base32 SHA-1, upper case."""
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
+#: Bytes of a record besides its payload, about.
+_HEAD = 512
+
 
 def record_id(page_id: int | None, payload_digest: str, nth: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{payload_digest}:{nth}')}>"
@@ -73,15 +77,15 @@ def _info(name: str, date: str, level: int) -> bytes:
 
 
 def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """``(_key, _tie, refers_to)`` of pages whose payload, of ``least`` bytes or more, a page with a larger id has too.
+    """``(_key, _hash, refers_to)`` of pages whose payload, of ``least`` bytes or more, a page with a larger id has too.
 
-    ``pages(_key, _tie, page_id, payload)``, ``_tie`` a hash of the rest; pages tied for the largest id are all responses, NULL is the smallest.
+    ``pages(_key, _hash, page_id, payload)``, ``_hash`` of the rest; pages tied for the largest id are all responses, NULL is the smallest.
     """
-    sums = pages.where(F.octet_length("payload") >= least).select("_key", "_tie", "page_id", F.unhex(F.sha2("payload", 256)).alias("sum"))
+    sums = pages.where(F.octet_length("payload") >= least).select("_key", "_hash", "page_id", F.unhex(F.sha2("payload", 256)).alias("sum"))
     best = sums.groupBy("sum").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
     dealt = best.select("sum", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("s"))
-    return (sums.withColumn("s", F.pmod(F.xxhash64("_tie"), F.lit(SALT)).cast("int")).join(dealt, ["sum", "s"])
-            .where("page_id is null or page_id < refers_to").select("_key", "_tie", "refers_to"))
+    return (sums.withColumn("s", F.pmod(F.xxhash64("_key", "_hash"), F.lit(SALT)).cast("int")).join(dealt, ["sum", "s"])
+            .where("page_id is null or page_id < refers_to").select("_key", "_hash", "refers_to"))
 
 
 def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0,
@@ -94,18 +98,21 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
     spark = pages.sparkSession
     ship_package(spark)
     rows = (pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
-            .withColumns({"_key": F.coalesce("page_id", F.lit(-(1 << 63))), "_tie": F.xxhash64("url", "payload")}))
-    keys = materialize(rows.select(F.col("_key").alias("key"), F.col("_tie").alias("tie"), (F.octet_length("payload") + 1).cast("long").alias("size")), "warc")
-    total = keys.agg(F.sum("size")).first()[0] or 0
+            .withColumns({"_key": F.coalesce("page_id", F.lit(-(1 << 63))), "_hash": F.xxhash64("url", "payload")}).withColumn("_tie", tie(F.col("_hash"))))
+    keys = materialize(rows.select(F.col("_key").alias("key"), F.col("_tie").alias("tie"), (F.octet_length("payload") + _HEAD).cast("long").alias("size")), "warc")
+    total, low_tie = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.min("tie")).first()
     shards = max(1, min(-(-total // shard_bytes), MAX_PARTS))
     bounds, _, _ = splitters(keys, shards, tolerance=0.01)
+    goes_on = {i + 1: b.at[0] for i, b in enumerate(bounds) if total and b.at[1] > low_tie}  # key whose rows began in a shard before
     part = part_of(bounds, [0] * shards)
-    # a revisit's row comes just before its page's: one exchange carries both
-    marks = revisits(rows, least).select("_key", "_tie", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"),
-                                         F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "refers_to")
-    whole = rows.select("_key", "_tie", F.lit(1).alias("kind"), "page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
-    placed = (whole.unionByName(marks).withColumn("shard", part("_key", "_tie")["part"]).repartitionById(shards, "shard")
-              .sortWithinPartitions("shard", "_key", "_tie", "kind"))
+    # a revisit's row comes just before its page's, in each shard that has copies of the page's row: one exchange carries both
+    ends = [part("_key", t)["part"] for t in tie_range(F.col("_hash"))]
+    marks = (revisits(rows, least).distinct().withColumn("shard", F.explode(F.sequence(*ends)))
+             .select("shard", "_key", "_hash", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"),
+                     F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "refers_to"))
+    whole = rows.select(part("_key", "_tie")["part"].alias("shard"), "_key", "_hash", F.lit(1).alias("kind"), "page_id", "url", "payload",
+                        F.lit(None).cast("long").alias("refers_to"))
+    placed = whole.unionByName(marks).repartitionById(shards, "shard").sortWithinPartitions("shard", "_key", "_hash", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = out = None
@@ -128,13 +135,13 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
         for batch in batches:
             for r in range(batch.num_rows):
                 kind, page_id, refers_to = (batch.column(c)[r].as_py() for c in ("kind", "page_id", "refers_to"))
-                key = batch.column("_key")[r].as_py(), batch.column("_tie")[r].as_py()
+                key = batch.column("_key")[r].as_py(), batch.column("_hash")[r].as_py()
                 if kind == 0:
                     refers = {key: refers_to}
                     continue
                 at, payload = batch.column("shard")[r].as_py(), batch.column("payload")[r].as_buffer().to_pybytes()
-                nth = nth + 1 if last == (page_id,) else 0
-                last = (page_id,)
+                nth = nth + 1 if last == (page_id, at) else at << 32 if goes_on.get(at) == key[0] else 0
+                last = (page_id, at)
                 data = page_record(page_id, batch.column("url")[r].as_py(), payload, refers.get(key), nth, date, level)
                 if at != shard or out.bytes + len(data) > file_bytes and records:
                     yield from close()

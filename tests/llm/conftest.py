@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-CLASH = ("score", "fingerprint", "component_id", "fp", "th", "size", "shard", "slot", "n_lines", "ids", "key", "pos", "host", "line", "i", "n", "at")
+CLASH = ("score", "fingerprint", "component_id", "fp", "th", "size", "shard", "slot", "n_lines", "ids", "key", "pos", "host", "line", "i", "n", "at",
+         "_drop", "_i", "_th", "_h", "_key", "_tie", "_size", "_run", "_off", "_at", "_part", "row", "part", "run", "off", "_keep_id", "_keep_th", "_toxicity",
+         "_n_lines", "_n_dropped", "_id", "tie", "weight", "rank", "node", "n_words", "n_features", "before", "gone", "_hash")
 
 
 @pytest.fixture(scope="session")

@@ -25,6 +25,17 @@ def strings(n, seed):
     return ["".join(f() for f in rnd.choices(make, [5, 2, 2, 2], k=rnd.randint(0, 60))) for _ in range(n)] + ["", "a", "a" * 999, "<|endoftext|>"]
 
 
+def test_encoder_equals_library_on_every_code_point():
+    own, points = bpe.Bpe(bpe.word_bpe_path()), [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)]]
+    rnd = random.Random(9)
+    texts = points + [f"a{c}b" for c in points] + ["".join(rnd.choices(points, k=rnd.randint(1, 20))) for _ in range(10_000)]
+    for at in range(0, len(texts), 50_000):
+        part = texts[at: at + 50_000]
+        ids, ends = own.encode([t.encode() for t in part])
+        want = LIBRARY.encode_batch(part, add_special_tokens=False)
+        assert [t for k, t in enumerate(part) if ids[ends[k]: ends[k + 1]].tolist() != want[k].ids] == []
+
+
 def test_encoder_equals_library(monkeypatch):
     for cap in (bpe.CHUNKS, 50):
         monkeypatch.setattr(bpe, "CHUNKS", cap)
