@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import bpe, line_dedup, queries, simhash_trie, toxicity, winnowing
+from larder.llm.common import own_names
 from larder.session import materialize
 
 #: A document goes if its score is this or more.
@@ -25,16 +26,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under TOXIC; learnt from the labels that are not held out."""
     labels = _table(spark, sf_dir, "labels").where(~queries.held_out(F.col("doc_id")))
-    scored = toxicity.score(docs, toxicity.fit(docs, labels), "_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    (score,) = own_names(docs, "_toxicity")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), score)
+    return scored.where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their source's boilerplate lines; ``n_chars`` follows a changed text."""
-    cleaned = line_dedup.clean(docs, counts=("_n_lines", "_n_dropped"))
+    lines, dropped = own_names(docs, "_n_lines", "_n_dropped")
+    cleaned = line_dedup.clean(docs, counts=(lines, dropped))
     if "n_chars" in docs.columns:
         now = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, now).otherwise(F.col("n_chars")))
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(dropped) > 0, now).otherwise(F.col("n_chars")))
     return cleaned.select(*docs.columns)
 
 
@@ -46,8 +49,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
     found = winnowing.contamination(docs, _table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_th"]), "left_anti")
+    own_id, own_th = own_names(docs, "_id", "_th")
+    bad = found.where("contaminated").select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[own_id]) & (F.xxhash64(docs["text"]) == bad[own_th]), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
