@@ -1061,8 +1061,10 @@ _ORDERS_SQL = {
         select o.order_id, 'not_enough' as reason from walk w join o on o.rn = w.rn where not w.acc and w.rn > 0
         union all select order_id, 'unknown_item' from bad""",
     "place_stock": _PLACE_WALK + """
-        select i - 1 as ingredient_id, cast(bal[i] as double) as quantity
-        from (select bal, unnest(range(1, len(bal) + 1)) as i from (select bal from walk order by rn desc limit 1))""",
+        select s.ingredient_id, cast(s.quantity - coalesce(u.d, 0) as double) as quantity
+        from v_stock s left join (
+          select dem.ing, sum(dem.d) as d from dem where dem.order_id in (select o.order_id from walk w join o on o.rn = w.rn where w.acc and w.rn > 0)
+          group by dem.ing) u on u.ing = s.ingredient_id""",
     "close_orders": cte("v_orders", extra=_IDS) + """
         select order_id, case when order_id in (select order_id from ids) then 'closed' else status end as status
         from v_orders""",
@@ -1217,25 +1219,32 @@ _TEXT_SQL = {
 }
 
 # ---------------------------------------------------------------------------
-# Structured Streaming: tables stored as several files in time order, read as
-# streams of one file a micro-batch, run to the end (availableNow), results read
+# Structured Streaming: tables stored in steps that follow one another in time, read as
+# streams of one step a micro-batch, run to the end (availableNow), results read
 # back from the shared folder.
-_STEPS = 4
+_STEPS, _FILES = 4, 4
+_ENOUGH = 1000   # rows of a step from which no file of it can be empty
+
 
+def _in_steps(df: DataFrame, ts: str) -> tuple[str, int]:
+    """Folder of files in _STEPS steps that follow one another in ``ts`` (quarters of its span), and the files of a step.
 
-def _in_steps(df: DataFrame, ts: str) -> str:
-    """Folder of _STEPS Parquet files that follow one another in ``ts`` (their ranges: quarters of the time span)."""
+    Every step has as many files, _FILES or, where a step has few rows, one: so a micro-batch of that many files is a step.
+    """
     path = scratch_path(df.sparkSession, "stream-input")
     low, high = df.agg(F.min(F.unix_micros(F.col(ts).cast("timestamp"))), F.max(F.unix_micros(F.col(ts).cast("timestamp")))).first()
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     step = F.least(F.floor((at - low) * _STEPS / F.lit(high - low + 1)), F.lit(_STEPS - 1))
+    held = [r["count"] for r in df.groupBy(step.alias("step")).count().collect()]
+    each = _FILES if len(held) == _STEPS and min(held) >= _ENOUGH else 1
     for k in range(_STEPS):
-        df.filter(step == k).coalesce(1).write.mode("append").parquet(path)
-    return path
+        df.filter(step == k).repartition(each).write.mode("append").parquet(path)
+    return path, each
 
 
 def _step_stream(spark, df: DataFrame, ts: str) -> DataFrame:
-    return streams.read_table_stream(spark, _in_steps(df, ts), "*.parquet", max_files=1)
+    path, files_a_step = _in_steps(df, ts)
+    return streams.read_table_stream(spark, path, "*.parquet", max_files=files_a_step)
 
 
 def q_stream_status_history(spark, d):

@@ -3,11 +3,12 @@
 The reference's triggers process one row at a time; here the same rules run
 on micro-batches with keyed state:
 
-* ST1 status history and ST2 stock balance: ``applyInPandasWithState`` keyed
-  by order / ingredient.  Inside a micro-batch a key's rows are ordered by
-  (ts, event_id); an event older than the last one applied to its key is
-  emitted with ``late = true`` instead of being folded in (an adjustment
-  does not commute, so applying it out of order would be wrong).
+* ST1 status history and ST2 stock balance: ``transformWithStateInPandas``
+  keyed by order / ingredient (``streaming.keyed``).  Rows wait in list state
+  until the watermark reaches them and are applied in (ts, event_id) order by
+  event-time timers; an event behind the watermark is emitted with ``late =
+  true`` instead of being folded in (an adjustment does not commute, so
+  applying it out of order would be wrong).
 * ST3 price history: ``foreachBatch`` merges each batch into the open intervals
   and publishes a version named after the batch id - a re-run of a published
   batch does nothing, one of a half-written batch writes it again; late
@@ -20,17 +21,16 @@ Every query has its own checkpoint location in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from decimal import Decimal, localcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larder.functions.scalar import history_id
 from larder.operators import history
-from larder.session import ship_package
 from larder.sources import files
+from larder.streaming import keyed
 
 # ---- sources -------------------------------------------------------------------
 
@@ -46,6 +46,11 @@ def read_table_stream(spark: SparkSession, directory: str, glob: str, max_files:
     return r.option("maxFilesPerTrigger", max_files).parquet(directory)
 
 
+#: List states, value states and timers need this store.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _run(q) -> None:
     q.awaitTermination()
     if q.exception() is not None:
@@ -53,100 +58,79 @@ def _run(q) -> None:
 
 
 # ---- ST1 --------------------------------------------------------------------------
-_ST1_OUT = "order_id long, status string, ts timestamp_ntz, event_id long, late boolean"
-_ST1_STATE = "status string, ts timestamp_ntz, event_id long"
-
-
-def _split_late(pdf: pd.DataFrame, last_ts, last_id) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Rows ordered before the last applied (ts, event_id) of the key are late."""
-    if last_ts is None:
-        return pdf, pdf.iloc[0:0]
-    late = (pdf["ts"] < last_ts) | ((pdf["ts"] == last_ts) & (pdf["event_id"] < last_id))
-    return pdf[~late], pdf[late]
-
-
-def _status_changes(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (oid,) = key
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    prev, last_ts, last_id = state.get if state.exists else (None, None, None)
-    ok, late = _split_late(pdf, last_ts, last_id)
-    cols = ["order_id", "status", "ts", "event_id", "late"]
-    out = [late.assign(order_id=oid, late=True)[cols]]
-    if len(ok):
-        before = ok["status"].shift(1)
-        if state.exists:
-            before.iloc[0] = prev
-        first = pd.Series(False, index=ok.index)
-        if not state.exists:
-            first.iloc[0] = True
-        # IS DISTINCT FROM: NULL vs value is a change, NULL vs NULL is not
-        distinct = (ok["status"] != before) & ~(ok["status"].isna() & before.isna())
-        hit = ok[first | distinct]
-        out.append(hit.assign(order_id=oid, late=False)[cols])
-        last = ok.iloc[-1]
-        state.update((last["status"], last["ts"], int(last["event_id"])))
-    yield pd.concat(out, ignore_index=True)
-
-
-def status_history_stream(changes: DataFrame) -> DataFrame:
-    """ST1: streaming W3.  Input (event_id, order_id, status, ts); output W3's columns + ``late``."""
-    ship_package(changes.sparkSession)
-    s = changes.select("order_id", "status", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
-    out = s.groupBy("order_id").applyInPandasWithState(
-        _status_changes, _ST1_OUT, _ST1_STATE, "append", GroupStateTimeout.NoTimeout)
-    return out.select(history_id("order_id", "ts", "event_id").alias("id"), "order_id", "status",
-                      F.col("ts").alias("created_at"), "late")
+class _StatusChanges(keyed.InOrder):
+    def apply(self, last, row):
+        at, event, status = row
+        # IS DISTINCT FROM: a first row is a change, also of NULL
+        return (status,), ((status, at, event, False) if last is None or last[0] != status else None)
 
+    def late(self, row):
+        at, event, status = row
+        return status, at, event, True
 
-# ---- ST2 --------------------------------------------------------------------------
-_ST2_OUT = "event_id long, inventory_id long, transaction_type string, balance_cents long, late boolean"
-_ST2_STATE = "balance_cents long, known boolean, ts timestamp_ntz, event_id long"
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
-def _balances(opening_cents: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (iid,) = key
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        if state.exists:
-            bal, known, last_ts, last_id = state.get
+def _millis(span: str | None) -> int | None:
+    return None if span is None else int(pd.Timedelta(span).total_seconds() * 1000)
+
+
+def status_history_stream(changes: DataFrame, delay: str = "0 seconds", idle: str | None = None) -> DataFrame:
+    """ST1: streaming W3.  Input (event_id, order_id, status, ts); output W3's columns + ``late``.
+
+    Ids are of any type with an order. Rows that come at most ``delay`` out of order are put in order; a row behind the
+    watermark is late (as is one without a time). ``idle``: forget an order so long after its last change.
+    """
+    event = _kind(changes, "event_id")
+    s = changes.select("order_id", keyed.micros("ts"), "event_id", "status")
+    processor = _StatusChanges(f"at bigint, event_id {event}, status string", "status string", ["order_id", "status", "at", "event_id", "late"], _millis(idle))
+    out = keyed.in_order(s, "order_id", "ts", "event_id", delay, processor,
+                         f"order_id {_kind(changes, 'order_id')}, status string, at bigint, event_id {event}, late boolean")
+    return (out.withColumn("created_at", keyed.from_micros("at"))
+            .select(history_id("order_id", "created_at", "event_id").alias("id"), "order_id", "status", "created_at", "late"))
+
+
+# ---- ST2 --------------------------------------------------------------------------
+class _Balances(keyed.InOrder):
+    def __init__(self, opening: str, *how):
+        super().__init__(*how)
+        self.opening = Decimal(opening)
+
+    def apply(self, last, row):
+        _, event, kind, amount = row
+        balance = self.opening if last is None else None if last[0] is None else Decimal(last[0])
+        amount = None if amount is None else Decimal(amount)
+        if kind == "adjustment":
+            balance = amount
+        elif balance is None or amount is None or kind not in ("increment", "decrement"):
+            balance = None      # an unknown type makes the balance unknown until the next adjustment
         else:
-            bal, known, last_ts, last_id = opening_cents, True, None, None
-        ok, late = _split_late(pdf, last_ts, last_id)
-        cols = ["event_id", "inventory_id", "transaction_type", "balance_cents", "late"]
-        out = [late.assign(inventory_id=iid, balance_cents=None, late=True)[cols]]
-        if len(ok):
-            t = ok["transaction_type"]
-            is_set = t == "adjustment"
-            delta = ok["cents"].where(t == "increment", -ok["cents"]).where(t.isin(["increment", "decrement"]), 0)
-            bad = ~t.isin(["increment", "decrement", "adjustment"])
-            seg = is_set.cumsum()                       # segment 0 continues the state
-            base = ok["cents"].where(is_set).groupby(seg).transform("first")
-            base = base.where(seg > 0, bal)
-            run = delta.groupby(seg).cumsum()
-            poisoned = bad.astype(int).groupby(seg).cummax().astype(bool) | ((seg == 0) & (not known))
-            balance = (base + run).where(~poisoned)
-            out.append(pd.DataFrame({"event_id": ok["event_id"], "inventory_id": iid, "transaction_type": t,
-                                     "balance_cents": balance.astype("Int64"), "late": False}))
-            last = ok.iloc[-1]
-            end_known = not bool(poisoned.iloc[-1])
-            state.update((int(balance.iloc[-1]) if end_known else int(bal), end_known, last["ts"],
-                          int(last["event_id"])))
-        yield pd.concat(out, ignore_index=True)
-    return fn
+            with localcontext() as exact:
+                exact.prec = 60
+                balance = balance + amount if kind == "increment" else balance - amount
+        text = None if balance is None else format(balance, "f")
+        return (text,), (event, kind, text, False)
 
+    def late(self, row):
+        _, event, kind, _ = row
+        return event, kind, None, True
 
-def stock_balance_stream(tx: DataFrame, opening: str = "0.00") -> DataFrame:
-    """ST2: streaming W2.  Quantities travel as integer cents, so the state is exact."""
-    cents = F.round(F.col("quantity").cast("decimal(20,2)") * 100, 0).cast("long")
-    s = tx.select("event_id", "inventory_id", "transaction_type", cents.alias("cents"),
-                  F.col("ts").cast("timestamp_ntz").alias("ts"))
-    opening_cents = int(round(float(opening) * 100))
-    ship_package(tx.sparkSession)
-    out = s.groupBy("inventory_id").applyInPandasWithState(
-        _balances(opening_cents), _ST2_OUT, _ST2_STATE, "append", GroupStateTimeout.NoTimeout)
+
+def stock_balance_stream(tx: DataFrame, opening: str = "0.00", delay: str = "0 seconds", idle: str | None = None) -> DataFrame:
+    """ST2: streaming W2, with ids, ``delay`` and ``idle`` as in ``status_history_stream``; a forgotten ingredient starts from ``opening``.
+
+    Quantities travel as decimal text, so the state is exact at any scale.
+    """
+    event, key, dtype = _kind(tx, "event_id"), _kind(tx, "inventory_id"), tx.schema["quantity"].dataType
+    s = tx.select("inventory_id", keyed.micros("ts"), "event_id", "transaction_type", F.col("quantity").cast("string").alias("amount"))
+    processor = _Balances(opening, f"at bigint, event_id {event}, transaction_type string, amount string", "balance string",
+                          ["inventory_id", "event_id", "transaction_type", "balance", "late"], _millis(idle))
+    out = keyed.in_order(s, "inventory_id", "ts", "event_id", delay, processor,
+                         f"inventory_id {key}, event_id {event}, transaction_type string, balance string, late boolean")
     return out.select("event_id", "inventory_id", "transaction_type",
-                      (F.col("balance_cents").cast("decimal(20,0)") / 100).cast("decimal(18,2)").alias("balance"),
-                      "late")
+                      F.col("balance").cast(f"decimal(38,{getattr(dtype, 'scale', 6)})").alias("balance"), "late")
 
 
 # ---- ST3 --------------------------------------------------------------------------
@@ -225,8 +209,10 @@ def run_to_end(df: DataFrame, sink, checkpoint: str, mode: str = "append", path:
     ``path`` is the output folder).
     """
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if sink == "parquet":
-        q = w.format("parquet").option("path", path).start()
-    else:
-        q = w.foreachBatch(sink).start()
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, _ROCKS)     # a query takes its settings when it starts
+    try:
+        q = w.format("parquet").option("path", path).start() if sink == "parquet" else w.foreachBatch(sink).start()
+    finally:
+        conf.unset(_PROVIDER) if before is None else conf.set(_PROVIDER, before)
     _run(q)
