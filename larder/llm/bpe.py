@@ -206,11 +206,7 @@ class Bpe:
     def _chunk_ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks without special tokens, one after the other, and how many each chunk has."""
         text = b"\n".join([*chunks, b""]).decode()
-        if text.isascii() or not self._has_newer(text):
-            pieces = self._find_lines(self._plain(text))
-        else:
-            self._newer = self._newer or Newer(self._pattern, self._chars)
-            pieces = self._newer.find(self._newer.plain(text))
+        pieces = self._find_lines(self._plain(text)) if text.isascii() or not self._has_newer(text) else self._newer_pieces(text)
         raw = np.frombuffer(" ".join([*pieces, ""]).encode(), dtype=np.uint8)  # neither byte is part of a piece
         gap = np.flatnonzero(raw == 32)
         size = np.diff(np.concatenate([[-1], gap])) - 1
@@ -219,6 +215,19 @@ class Bpe:
         ids, size = self.merge(raw[(raw != 32) & (raw != 10)], size)
         return ids, np.diff(np.concatenate([[0], np.cumsum(size)[close]]))
 
+    def _newer_pieces(self, text: str) -> list[str]:
+        """Pieces of a text of which some lines have newer code points: only those lines take the library's tables."""
+        self._newer = self._newer or Newer(self._pattern, self._chars)
+        pieces, plain = [], []
+        for line in text.split("\n")[:-1]:
+            if line.isascii() or not self._has_newer(line):
+                plain.append(line)
+                continue
+            pieces += self._find_lines(self._plain("\n".join([*plain, ""])))
+            pieces += [*self._newer.find(self._newer.plain(line)), "\n"]
+            plain = []
+        return pieces + self._find_lines(self._plain("\n".join([*plain, ""])))
+
     def _marked_ids(self, chunk: bytes) -> np.ndarray:
         """Ids of one chunk in which special tokens stand."""
         parts = [p for p in self._split(chunk.decode()) if p]
