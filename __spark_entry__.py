@@ -519,6 +519,25 @@ def q_price_history_merge(spark, d):
     return out.withColumn("price", F.col("price").cast("double"))
 
 
+def _promotions(h: DataFrame) -> DataFrame:
+    """Intervals that overlap and leave gaps: of each history interval from an even month only the first 60 days, and for every
+    third item another price for the 200 days from each interval's start on."""
+    cut = (F.month("effective_from") % 2 == 0)
+    end = F.col("effective_from") + F.expr("interval 60 days")
+    short = h.withColumn("effective_to", F.when(cut, F.least(F.coalesce("effective_to", end), end)).otherwise(F.col("effective_to")))
+    other = h.filter("menu_item_id % 3 = 0").select("menu_item_id", (F.col("price") + 7).alias("price"), "effective_from",
+                                                    (F.col("effective_from") + F.expr("interval 200 days")).alias("effective_to"))
+    return short.select("menu_item_id", "price", "effective_from", "effective_to").unionByName(other)
+
+
+def q_price_as_of_promotions(spark, d):
+    """W5 over intervals that overlap and leave gaps."""
+    v = Views(spark, d)
+    ev = v.items.join(v.orders.select("order_id", "created_at"), "order_id")
+    out = history.price_as_of(ev, _promotions(materialize(history.price_history(v.price), "price_history")))
+    return out.select("order_id", "pos", "product_id", "created_at", F.col("price").cast("double").alias("price"))
+
+
 def q_price_as_of(spark, d):
     v = Views(spark, d)
     ev = v.items.join(v.orders.select("order_id", "created_at"), "order_id")
@@ -594,6 +613,16 @@ _HISTORY_SQL = {
         from v_items i join v_orders o on o.order_id = i.order_id
         left join h on h.menu_item_id = i.product_id and h.effective_from <= o.created_at
                    and (o.created_at < h.effective_to or h.effective_to is null)""",
+    "price_as_of_promotions": cte("v_price", "v_items", "v_orders", extra=[("h", _W4), ("iv", """
+          select menu_item_id, price, effective_from, case when month(effective_from) % 2 = 0
+                 then least(coalesce(effective_to, effective_from + interval 60 day), effective_from + interval 60 day) else effective_to end as effective_to from h
+          union all select menu_item_id, price + 7, effective_from, effective_from + interval 200 day from h where menu_item_id % 3 = 0""")]) + """
+        select order_id, pos, product_id, created_at, cast(price as double) as price from (
+          select i.order_id, i.pos, i.product_id, o.created_at, iv.price, row_number() over (
+                 partition by i.order_id, i.pos order by iv.effective_from desc nulls last, coalesce(iv.effective_to, timestamp '9999-01-01') desc, iv.price desc) as nth
+          from v_items i join v_orders o on o.order_id = i.order_id
+          left join iv on iv.menu_item_id = i.product_id and iv.effective_from <= o.created_at
+                     and (o.created_at < iv.effective_to or iv.effective_to is null)) where nth = 1""",
     "status_change_snapshot": cte("v_orders", extra=[
         ("old", f"select * from v_orders where created_at < timestamp '{_CHANGE_CUTOFF}'"),
         ("new", f"""select order_id, case when status = 'open' and created_at < timestamp '{_CLOSE_BEFORE}'
@@ -1271,14 +1300,18 @@ def q_stream_price_history(spark, d):
 
 
 def q_stream_popular_items(spark, d):
+    """Lines come by ship date; every order comes open first and takes its status 30 days after it was created."""
     v = Views(spark, d)
     li = _step_stream(spark, v.table("lineitem"), "l_shipdate")
     items = li.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
                       F.col("l_quantity").cast("int").alias("quantity"))
+    later = F.col("created_at") + F.expr("interval 30 days")
+    statuses = (v.orders.select("order_id", F.lit("open").alias("status"), F.col("created_at").alias("ts"))
+                .unionByName(v.orders.filter("status <> 'open'").select("order_id", "status", later.alias("ts"))))
     root = scratch_path(spark, "st4", "popular")
-    streams.run_to_end(streams.popular_items_stream(items, v.orders), streams.snapshot_sink(root),
-                       scratch_path(spark, "st4", "ckpt"), mode="complete")
-    return files.read_snapshot(spark, root)
+    streams.run_to_end(streams.popular_changes_stream(items, _step_stream(spark, statuses, "ts")), streams.totals_sink(root, compact=3),
+                       scratch_path(spark, "st4", "ckpt"))
+    return streams.read_totals(spark, root).select("product_id", "quantity")
 
 
 _STREAM_SQL = {
@@ -1330,6 +1363,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "price_history": q_price_history,
     "price_history_merge": q_price_history_merge,
     "price_as_of": q_price_as_of,
+    "price_as_of_promotions": q_price_as_of_promotions,
     "status_change_snapshot": q_status_change_snapshot,
     "invalid_menu": q_invalid_menu,
     "invalid_orders": q_invalid_orders,

@@ -7,8 +7,12 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.joins import meet
 from larder.functions.text import tokens, trigrams
+from larder.session import materialize
 
+#: Strings of one prefix trigram that meet in a join key, at most about.
+PART_ROWS = 10_000
 WEIGHT_A, WEIGHT_B = 1.0, 0.4   # fixed: weights of the name (A) and description (B) fields
 
 
@@ -55,7 +59,7 @@ def _ceil(a: Column, b: int) -> Column:
     return F.call_function("div", a + (b - 1), F.lit(b).cast("long"))
 
 
-def trigram_pairs(names: DataFrame, threshold: float, col: str = "name") -> DataFrame:
+def trigram_pairs(names: DataFrame, threshold: float, col: str = "name", part_rows: int = PART_ROWS) -> DataFrame:
     """Pairs of distinct strings whose trigram Jaccard similarity is >= ``threshold``.
 
     Exact, without forming all pairs: prefix filtering.  Trigrams are ranked
@@ -81,13 +85,19 @@ def trigram_pairs(names: DataFrame, threshold: float, col: str = "name") -> Data
     need = _ceil(n * up, down)          # a partner shares at least so many trigrams
     prefix = (ranked.select("s", n.alias("n"), F.posexplode(F.slice("r", F.lit(1), (n - need + 1).cast("int"))).alias("i", "p"))
               .select("s", "n", "i", F.col("p.g").alias("g")))
-    left, right = prefix.alias("l"), prefix.alias("r")
+    # a prefix trigram of many strings is dealt into parts, and each pair of its parts is a join key of its own
+    held = materialize(prefix, "trigrams")
+    sizes = held.groupBy("g").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").withColumn("parts", F.ceil(F.col("held") / part_rows).cast("int"))
+    dealt = (meet(held, materialize(sizes, "trigrams"), ["g"], "held")
+             .withColumns({"own": F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}))
+    left, right = dealt.alias("l"), dealt.alias("r")
     ln, rn = F.col("l.n"), F.col("r.n")
     # similarity >= up/down means an overlap of at least (ln + rn) * up / (up + down); from a pair's first
     # common trigram on, no more can come than the shorter rest
     least = _ceil((ln + rn) * up, up + down)
     rest = F.least(ln - F.col("l.i"), rn - F.col("r.i"))
-    cand = (left.join(right, (F.col("l.g") == F.col("r.g")) & (F.col("l.s") < F.col("r.s")))
+    cand = (left.join(right, (F.col("l.g") == F.col("r.g")) & (F.col("l.own") == F.col("r.other")) & (F.col("l.other") == F.col("r.own"))
+                      & (F.col("l.s") < F.col("r.s")))
             .filter((rn * down >= ln * up) & (ln * down >= rn * up) & (rest >= least))
             .select(F.col("l.s").alias("a"), F.col("r.s").alias("b")).distinct())
     ta = s.select(F.col("s").alias("a"), F.col("tg").alias("ta"))

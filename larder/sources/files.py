@@ -134,20 +134,26 @@ def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None =
 
 
 def add_folders(df: DataFrame, root: str, version: str, column: str) -> str:
-    """Write ``df`` split by ``column`` as a version that adds its folder to those of the version before."""
+    """Write ``df``, split by the boolean ``column``, as a version of its own folder; readers join it with those of the versions before.
+
+    The log gets one row of fixed size.
+    """
     spark = df.sparkSession
-    cur = current_version(spark, root)
     version, path, mode = _fresh(spark, root, version)
-    for value in (False, True):     # both folders exist, also when empty
-        df.filter(F.col(column) == value).drop(column).write.mode(mode).parquet(f"{path}/{column}={str(value).lower()}")
-    _publish(spark, root, version, [*(cur[0] if cur else []), path], "parquet")
+    df.write.mode(mode).partitionBy(column).parquet(path)
+    empty = spark.createDataFrame([], df.drop(column).schema)
+    for value in ("false", "true"):     # both folders exist, also when empty
+        empty.write.mode("append").parquet(f"{path}/{column}={value}")
+    _publish(spark, root, version, [path], "parquet")
     return path
 
 
-def published_folders(spark: SparkSession, root: str) -> list[str]:
-    """The folders of all published versions (one row a version)."""
+def published_folders(spark: SparkSession, root: str, after: str = "") -> list[str]:
+    """The folders of all published versions (one row a version), or of those whose names come after ``after``."""
     log = _log(spark, root)
-    return sorted({p for r in log.select("path").collect() for p in r["path"].split("\n")}) if log is not None else []
+    if log is None:
+        return []
+    return sorted({p for r in log.filter(F.col("version") > after).select("path").collect() for p in r["path"].split("\n")})
 
 
 def write_partitioned(df: DataFrame, root: str, ts: str = "created_at", grain: str = "month",

@@ -13,25 +13,34 @@ on micro-batches with keyed state:
   and publishes a version named after the batch id - a re-run of a published
   batch does nothing, one of a half-written batch writes it again; late
   observations are published on their own.
-* ST4 popularity: a streaming aggregate in ``complete`` mode, each result
-  published as a snapshot version.
+* ST4 popularity: lines and order statuses are two streams; keyed state gives
+  out what a batch changes (lines of an order that closes, or opens again), and
+  a sink publishes the changed keys only. With static orders, a streaming
+  aggregate in ``complete`` mode.
 
 Every query has its own checkpoint location in the shared folder.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from decimal import Decimal, localcontext
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from larder.functions.scalar import history_id
 from larder.operators import history
+from larder.session import ship_package
 from larder.sources import files
 from larder.streaming import keyed
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])    # as in ``keyed``
+
 # ---- sources -------------------------------------------------------------------
 
 
@@ -175,9 +184,9 @@ def read_open(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def read_price_history(spark: SparkSession, root: str) -> DataFrame:
-    """The latest version: all closed intervals, and its open ones."""
+    """The closed intervals of all versions, and the open ones of the latest."""
     paths, _ = files.current_version(spark, root)
-    every = [f"{p}/open=false" for p in paths] + [f"{paths[-1]}/open=true"]
+    every = [f"{p}/open=false" for p in files.published_folders(spark, root)] + [f"{paths[-1]}/open=true"]
     return spark.read.parquet(*every)
 
 
@@ -202,6 +211,86 @@ def snapshot_sink(root: str):
     return fn
 
 
+class _Popularity(StatefulProcessor):
+    """An order's lines count while its latest status is closed; gives out what that changes, line by line."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.lines = handle.getListState("lines", "product_id string, quantity bigint")
+        self.status = handle.getValueState("status", "at bigint, closed boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        at, closed = self.status.get() if self.status.exists() else (None, False)
+        for chunk in rows:
+            chunk = chunk.astype(object).where(chunk.notna(), None)
+            change: dict = {}
+
+            def count(lines, sign: int) -> None:
+                for product, quantity in lines:
+                    got = change.setdefault(product, [0, 0])  # noqa: B023
+                    got[0] += sign * int(quantity or 0)
+                    got[1] += sign
+
+            heads = chunk[~chunk["line"].astype(bool)]
+            for when, status in sorted(zip(heads["at"], heads["status"], strict=True), key=lambda x: (x[0] is not None, x[0] or 0)):
+                if when is None or at is not None and when < at:
+                    continue    # an older status than the known one changes nothing
+                at = int(when)
+                if (status == "closed") != closed:
+                    closed = not closed
+                    count(self.lines.get() if self.lines.exists() else [], 1 if closed else -1)
+            lines = [(p, None if q is None else int(q)) for p, q in chunk.loc[chunk["line"].astype(bool), ["product_id", "quantity"]].itertuples(index=False, name=None)]
+            if lines:
+                self.lines.appendList(lines)
+                if closed:
+                    count(lines, 1)
+            out = [(p, q, n) for p, (q, n) in change.items() if q or n]
+            if out:
+                yield pd.DataFrame(out, columns=["product_id", "quantity", "lines"]).astype(object)
+        if at is not None:
+            self.status.update((at, closed))
+
+    def close(self) -> None:
+        pass
+
+
+def popular_changes_stream(items: DataFrame, statuses: DataFrame) -> DataFrame:
+    """ST4 over orders that change: streams of lines (order_id, product_id, quantity) and of statuses (order_id, status, ts).
+
+    Gives ``product_id, quantity, lines``: what the totals of A3 gain, or lose where a closed order is opened again. Lines
+    and statuses may come in any order; of an order's statuses the one with the latest time holds.
+    """
+    ship_package(items.sparkSession)
+    lines = items.select("order_id", F.lit(True).alias("line"), F.col("product_id").cast("string").alias("product_id"), F.col("quantity").cast("long").alias("quantity"),
+                         F.lit(None).cast("long").alias("at"), F.lit(None).cast("string").alias("status"))
+    heads = statuses.select("order_id", F.lit(False).alias("line"), F.lit(None).cast("string").alias("product_id"), F.lit(None).cast("long").alias("quantity"), keyed.micros("ts"), "status")
+    out = lines.unionByName(heads).groupBy("order_id").transformWithStateInPandas(
+        _Popularity(), "product_id string, quantity bigint, lines bigint", "append", "none")
+    return out.withColumn("product_id", F.col("product_id").cast(items.schema["product_id"].dataType))
+
+
+def totals_sink(root: str, key: str = "product_id", compact: int = 100):
+    """``foreachBatch`` function that publishes a batch's changed totals as version ``<batch_id>``; only changed keys are written.
+
+    Every ``compact`` versions the totals so far are written out, so that readers add up fewer folders than that.
+    """
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        spark, version = batch.sparkSession, f"{batch_id:012d}"
+        if not files.is_published(spark, root, version):
+            sums = [F.sum(c).alias(c) for c in batch.columns if c != key]
+            files.write_snapshot(batch.groupBy(key).agg(*sums), root, version=version)
+        if batch_id % compact == compact - 1 and not files.is_published(spark, f"{root}/totals", version):
+            files.write_snapshot(read_totals(spark, root, key), f"{root}/totals", version=version)
+    return fn
+
+
+def read_totals(spark: SparkSession, root: str, key: str = "product_id") -> DataFrame:
+    """The sums of all published changes by ``key``; keys without ``lines`` left have none."""
+    base = files.published_folders(spark, f"{root}/totals")
+    since = base[-1].rsplit("v=", 1)[1] if base else ""
+    every = spark.read.parquet(*base[-1:], *files.published_folders(spark, root, after=since))
+    return every.groupBy(key).agg(*[F.sum(c).alias(c) for c in every.columns if c != key]).filter(F.col("lines") > 0)
+
+
 def run_to_end(df: DataFrame, sink, checkpoint: str, mode: str = "append", path: str | None = None) -> None:
     """Run a streaming DataFrame over everything available, then stop.
 

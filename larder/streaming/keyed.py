@@ -16,10 +16,12 @@ Times are microseconds, watermarks and timers milliseconds, both since 1970.
 
 from __future__ import annotations
 
+import sys
 from abc import abstractmethod
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,10 +30,18 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 from larder.functions.scalar import epoch_micros
 from larder.session import ship_package
 
+# Processors go to the workers whole: the one that Spark starts beside the driver does not see shipped files.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Time of the row that ends a finite stream: the watermark passes every row.
 END_OF_STREAM = "9999-01-01 00:00:00"
 
 
+def _place(row: tuple) -> tuple:
+    """Where a row stands in its key's order: by time, then by id, NULL first."""
+    return row[0], row[1] is not None, 0 if row[1] is None else row[1]
+
+
 class InOrder(StatefulProcessor):
     """Applies a key's rows ``(at, event_id, ...)`` in order; ``row`` and ``state`` are the schemas of a row and of what ``apply`` keeps."""
 
@@ -62,7 +72,7 @@ class InOrder(StatefulProcessor):
         waiting = self.waiting.exists()
         if waiting:
             rows = [*self.waiting.get(), *rows]
-        due = sorted((r for r in rows if r[0] // 1000 <= watermark), key=lambda r: (r[0], r[1]))
+        due = sorted((r for r in rows if r[0] // 1000 <= watermark), key=_place)
         left = [r for r in rows if r[0] // 1000 > watermark]
         if not due:
             if left:
@@ -75,7 +85,7 @@ class InOrder(StatefulProcessor):
         held = self.last.get() if self.last.exists() else None
         state, place, out = (held[2:], held[:2], []) if held else (None, None, [])
         for r in due:
-            if place is not None and (r[0], r[1]) < tuple(place):
+            if place is not None and _place(r) < _place(place):
                 out.append(self.late(r))
                 continue
             state, given = self.apply(state, r)
@@ -116,11 +126,12 @@ def in_order(rows: DataFrame, key: str, ts: str, seq: str, delay: str, processor
     """``processor`` over ``rows`` by ``key``; ``delay`` is how far rows may come out of order.
 
     The watermark is taken on a column that is dropped again, so that Spark passes late rows on to the processor.
-    Rows without an id (the end of a finite stream) only move the watermark.
+    The row that ends a finite stream only moves the watermark (its filter names the marked column, or Spark would filter first).
     """
     ship_package(rows.sparkSession)
     marked = rows.withColumn("_mark", F.timestamp_micros(F.col("at"))).withWatermark("_mark", delay)
-    taken = marked.drop("_mark").filter(F.col("event_id").isNotNull())
+    last = F.timestamp_micros(epoch_micros(F.lit(END_OF_STREAM).cast("timestamp_ntz")))
+    taken = marked.filter(F.col("event_id").isNotNull() | F.col("_mark").isNull() | (F.col("_mark") < last)).drop("_mark")
     return taken.groupBy(key).transformWithStateInPandas(processor, out, "append", "eventTime")
 
 

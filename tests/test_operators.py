@@ -152,6 +152,14 @@ def test_assign_ids_when_nothing_exists(spark):
     assert got == [(3, 1), (5, 2)]
 
 
+def test_trigram_in_a_third_of_all_names(spark):
+    """A prefix trigram of many names is dealt into parts; the pairs are those of one part."""
+    names = [f"zzz item{i % 7}{i}" if i % 3 else f"zzz" + "abc"[i % 2] * (1 + i % 5) for i in range(240)]
+    df = spark.createDataFrame([(x,) for x in names], "name string")
+    whole = sorted(tuple(r) for r in text.trigram_pairs(df, 0.6).collect())
+    assert len(whole) > 50 and sorted(tuple(r) for r in text.trigram_pairs(df, 0.6, part_rows=7).collect()) == whole
+
+
 def test_trigram_pairs_equal_brute_force(spark):
     names = ["small ring", "small rings", "red widget", "red widgets", "blue bolt", "bolt", "a", "ab ab", "x-y z",
              "abcdefghijklm", "abcdefghijklm nopqrstuvw"]

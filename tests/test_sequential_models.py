@@ -126,6 +126,64 @@ def test_admission_is_exact(spark):
         assert dec.count() == n_orders
 
 
+def test_admission_by_many_ranges_is_exact_in_few_rounds(spark):
+    """Ranges of a few rows, mixed types of demand, ids of text and ties in arrival: the sequential answer."""
+    for seed, kind in ((3, "decimal(18,2)"), (4, "double")):
+        rng = random.Random(seed)
+        number = Decimal if kind.startswith("decimal") else float
+        n_orders, n_ingr = 150, 5
+        stock = [(f"i{i}", number(rng.randrange(60, 160))) for i in range(n_ingr)]
+        demand = [(f"o{o:03d}", f"i{rng.randrange(n_ingr)}", number(rng.randrange(1, 14))) for o in range(n_orders) for _ in range(rng.randrange(0, 4))]
+        arrival = [(f"o{o:03d}", T0 + dt.timedelta(hours=rng.randrange(0, 40)), f"o{o:03d}") for o in range(n_orders)]
+        d = spark.createDataFrame(demand, f"order_id string, ingredient_id string, demand {kind}")
+        a = spark.createDataFrame(arrival, "order_id string, arrival_ts timestamp_ntz, arrival_seq string")
+        s = spark.createDataFrame(stock, f"ingredient_id string, quantity {kind}")
+        dec, after, rounds = admit_in_order(d, a, s, target_rows=20)
+        want, final = _sequential_admission([(o, i, Decimal(q)) for o, i, q in demand], arrival, [(i, Decimal(q)) for i, q in stock])
+        assert {r.order_id: r.accepted for r in dec.collect()} == want
+        assert {r.ingredient_id: r.quantity for r in after.collect()} == final
+        assert 1 < rounds < 15
+
+
+def test_price_as_of_with_overlaps_and_gaps(spark):
+    rng = random.Random(8)
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    iv = []
+    for _ in range(120):
+        f = rng.randrange(0, 900)
+        iv.append((rng.choice([1, 1, 1, 2, None]), Decimal(rng.randrange(1, 50)), at(f), rng.choice([None, at(f), at(f + rng.randrange(1, 30)), at(f + rng.randrange(1, 700))])))
+    iv.append((1, Decimal(3), None, at(5)))
+    ev = [(i, rng.choice([1, 1, 2, 3, None]), rng.choice([None, *[at(rng.randrange(-20, 1000)) for _ in range(12)]])) for i in range(400)]
+
+    def price(k, t):
+        best = [(f, e or dt.datetime.max, p) for key, p, f, e in iv if key == k and t is not None and f is not None and f <= t and (e is None or t < e)]
+        return max(best)[2] if best else None
+    e = spark.createDataFrame(ev, "event_id long, product_id long, created_at timestamp_ntz")
+    h = spark.createDataFrame(iv, "menu_item_id long, price decimal(10,2), effective_from timestamp_ntz, effective_to timestamp_ntz")
+    for rows in (None, 20):
+        got = {r.event_id: r.price for r in history.price_as_of(e, h, target_rows=rows).collect()}
+        assert got == {i: price(k, t) for i, k, t in ev}
+    # the half-open interval of a day inside a longer one; no intervals, no events
+    h = spark.createDataFrame([(1, Decimal(1), at(0), at(240)), (1, Decimal(2), at(72), at(120))], h.schema)
+    e7 = spark.createDataFrame([(1, 1, at(168)), (2, 1, at(72)), (3, 1, at(120)), (4, 1, at(240))], e.schema)
+    assert {r.event_id: r.price for r in history.price_as_of(e7, h).collect()} == {1: 1, 2: 2, 3: 1, 4: None}
+    assert [r.price for r in history.price_as_of(e7.limit(1), h.limit(0)).collect()] == [None]
+    assert history.price_as_of(e7.limit(0), h).count() == 0
+
+
+def test_intervals_of_a_hot_key_spread(spark):
+    """One item with all events and intervals: points and intervals meet by cells, none with a large share."""
+    n = 4000
+    points = spark.range(n).select(F.lit(1).alias("_k"), (F.col("id") * 1000).alias("_t"))
+    spans = spark.range(n // 10).select(F.lit(1).alias("_k"), (F.col("id") * 10_000).alias("_f"), (F.col("id") * 10_000 + 15_000).alias("_e"))
+    met = history.interval_matches(points, spans, "_k", "_t")
+    per = met.groupBy("_t").count().collect()
+    assert sum(r["count"] for r in per) == 15 * (n // 10) - 5 and max(r["count"] for r in per) <= 2
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join Inner" in x]
+    assert len(joins) == 1 and "_v" in joins[0] and "_cc" in joins[0]
+
+
 def test_order_rules_of_the_reference(spark):
     """NULL status is a status, only open orders are amended, requests come once, the first problem counts."""
     kinds = "order_id long, customer_name string, status string, created_at timestamp_ntz"

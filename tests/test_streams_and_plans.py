@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from larder.operators import history
 from larder.session import scratch_path
+from larder.sources import files
 from larder.streaming import changes as streams
 
 
@@ -106,26 +107,35 @@ def test_batch_plans_have_no_cartesian_or_python(spark, sf):
             assert node not in p, (k, node)
 
 
-def test_admission_plan_has_no_python_and_no_constant_group(spark, sf, monkeypatch):
-    """Every table that admission writes is made by joins, windows and aggregates by key."""
+def test_admission_walks_bounded_ranges_and_nothing_else_in_python(spark, sf, monkeypatch):
+    """Every table that admission writes is made by joins, windows and aggregates by key, but for the walk, which goes by range."""
     from larder.fixtures import Views
+    from larder.functions import scan
     from larder.operators import stock
     from larder.plans import admission
 
-    plans, write = [], admission.materialize
+    plans, sizes, write, cut = [], [], admission.materialize, scan.ranges
 
     def keep(df, *tag):
-        plans.append(_plan(df))
+        plans.append((tag, _plan(df)))
         return write(df, *tag)
 
+    def ranged(*a):
+        out = cut(*a)
+        sizes.append([r["count"] for r in out.groupBy("_bucket").count().collect()])
+        return out
+
     monkeypatch.setattr(admission, "materialize", keep)
+    monkeypatch.setattr(scan, "ranges", ranged)
     v = Views(spark, sf)
-    arr = v.orders.filter("order_id % 20 = 0").select("order_id", F.col("created_at").alias("arrival_ts"), F.col("order_id").alias("arrival_seq"))
+    arr = v.orders.filter("order_id % 5 = 0").select("order_id", F.col("created_at").alias("arrival_ts"), F.col("order_id").alias("arrival_seq"))
     low = v.stock.withColumn("quantity", (F.col("quantity") / 20).cast("decimal(18,2)"))
-    admission.admit_in_order(stock.ingredient_demand(v.items_plain, v.bom).join(arr.select("order_id"), "order_id", "left_semi"), arr, low)
-    assert len(plans) > 6
-    for p in plans:
+    _, _, rounds = admission.admit_in_order(stock.ingredient_demand(v.items_plain, v.bom).join(arr.select("order_id"), "order_id", "left_semi"), arr, low, 300)
+    assert len(sizes) == rounds and len(sizes[0]) > 5 and max(map(max, sizes)) < 900
+    assert sum(tag[-1] == "walked" for tag, _ in plans) == rounds
+    for tag, p in plans:
         assert "Python" not in p and "Pandas" not in p and "TakeOrdered" not in p
+        assert ("MapInArrow" in p) == (tag[-1] == "walked")
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark, sf):
@@ -216,3 +226,89 @@ def test_popular_stream_over_several_files_equals_batch(spark, sf):
     got = sorted(tuple(r) for r in files.read_snapshot(spark, root).select("product_id", "quantity").collect())
     want = sorted(tuple(r) for r in sales.popular_items(v.orders, v.items_plain).collect())
     assert got == want
+
+
+def _files(spark, d, batches, schema):
+    """One file a batch, in order."""
+    for k, rows in enumerate(batches):
+        sub = os.path.join(d, f"b{k}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(sub)
+        f = [x for x in os.listdir(sub) if x.endswith(".parquet")][0]
+        os.link(os.path.join(sub, f), os.path.join(d, f"b{k}.parquet"))
+        os.utime(os.path.join(d, f"b{k}.parquet"), (1_700_000_000 + 10 * k,) * 2)
+
+
+def test_streams_put_rows_in_order_within_the_delay(spark):
+    """Text ids; rows up to the delay out of order give what the batch gives, later ones are late; idle keys are forgotten."""
+    import datetime as dt
+    import random
+    from decimal import Decimal
+    from larder.streaming import keyed
+
+    t0, rnd = dt.datetime(2024, 1, 1), random.Random(2)
+    schema = "event_id string, order_id string, status string, ts timestamp_ntz, transaction_type string, quantity decimal(18,3)"
+    rows = [(f"e{i:03d}", rnd.choice(["a", "b", None]), rnd.choice(["x", "y", None]), t0 + dt.timedelta(minutes=10 * i),
+             rnd.choice(["increment", "decrement", "adjustment"]), Decimal(rnd.randint(1, 9000)) / 1000) for i in range(60)]
+    order = sorted(range(60), key=lambda i: i + rnd.uniform(0, 6))     # at most an hour out of order
+    batches = [[rows[i] for i in order[k: k + 15]] for k in range(0, 60, 15)]
+    late = ("late", "a", "z", t0 + dt.timedelta(minutes=1), "adjustment", Decimal("1.000"))
+    d = tempfile.mkdtemp(prefix="larder-test-order-")
+    _files(spark, d, [*batches[:3], [*batches[3], late]], schema)
+    keyed.end_stream(spark.createDataFrame([], schema).schema, os.path.join(d, "end"), "ts", spark)
+    f = [x for x in os.listdir(os.path.join(d, "end")) if x.endswith(".parquet")][0]
+    os.link(os.path.join(d, "end", f), os.path.join(d, "b9.parquet"))
+    batch = spark.createDataFrame(rows, schema)
+    ev = streams.read_table_stream(spark, d, "b*.parquet", max_files=1)
+    out = scratch_path(spark, "test", "order")
+    streams.run_to_end(streams.status_history_stream(ev, delay="1 hour"), "parquet", scratch_path(spark, "test", "ck"), path=out)
+    got = spark.read.parquet(out)
+    assert [r.status for r in got.filter("late").collect()] == ["z"]
+    assert sorted(r.id for r in got.filter("not late").collect()) == sorted(r.id for r in history.status_history(batch).collect())
+    tx = ev.withColumnRenamed("order_id", "inventory_id")
+    out = scratch_path(spark, "test", "order")
+    streams.run_to_end(streams.stock_balance_stream(tx, "5", delay="1 hour"), "parquet", scratch_path(spark, "test", "ck"), path=out)
+    got = {r.event_id: r.balance for r in spark.read.parquet(out).filter("not late").collect()}
+    want = history.stock_ledger(batch.withColumnRenamed("order_id", "inventory_id"), F.lit(Decimal(5)))
+    assert got == {r.event_id: r.balance for r in want.collect()}
+
+
+def test_idle_keys_are_forgotten(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    d = tempfile.mkdtemp(prefix="larder-test-idle-")
+    _files(spark, d, [[("1", "a", "x", t0), ("2", "b", "x", t0)], [("3", "b", "x", t0 + dt.timedelta(hours=5))], [("4", "c", "x", t0 + dt.timedelta(days=3))],
+                      [("5", "a", "x", t0 + dt.timedelta(days=3, hours=1)), ("6", "c", "x", t0 + dt.timedelta(days=3, hours=1))]],
+           "event_id string, order_id string, status string, ts timestamp_ntz")
+    for idle, want in ((None, ["1", "2", "4"]), ("1 day", ["1", "2", "4", "5"])):
+        ev = streams.read_table_stream(spark, d, "b*.parquet", max_files=1)
+        out = scratch_path(spark, "test", "idle")
+        streams.run_to_end(streams.status_history_stream(ev, idle=idle), "parquet", scratch_path(spark, "test", "ck"), path=out)
+        assert sorted(r.id.rsplit("_", 1)[1] for r in spark.read.parquet(out).collect()) == want
+
+
+def test_orders_that_close_later_or_open_again_change_the_totals(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    at = [t0 + dt.timedelta(days=k) for k in range(9)]
+    lines, heads = tempfile.mkdtemp(prefix="larder-test-lines-"), tempfile.mkdtemp(prefix="larder-test-heads-")
+    _files(spark, lines, [[("o1", "p", 2), ("o2", "p", 3), ("o3", "q", 7)], [("o1", "q", 5)], [("o3", "p", 1)], [("o2", "r", 4)]], "order_id string, product_id string, quantity int")
+    _files(spark, heads, [[("o1", "open", at[0]), ("o3", "closed", at[1])], [("o2", "closed", at[2])], [("o1", "closed", at[3]), ("o3", "closed", at[0])],
+                          [("o3", "open", at[4]), ("o2", "processing", at[1])]], "order_id string, status string, ts timestamp_ntz")
+    for compact in (2, 100):
+        root = scratch_path(spark, "test", "st4")
+        changes = streams.popular_changes_stream(streams.read_table_stream(spark, lines, "b*.parquet", 1), streams.read_table_stream(spark, heads, "b*.parquet", 1))
+        streams.run_to_end(changes, streams.totals_sink(root, compact=compact), scratch_path(spark, "test", "ck"))
+        got = {r.product_id: (r.quantity, r.lines) for r in streams.read_totals(spark, root).collect()}
+        assert got == {"p": (5, 2), "q": (5, 1), "r": (4, 1)}
+
+
+def test_price_log_rows_stay_small(spark, sf):
+    import datetime as dt
+    from decimal import Decimal
+    root = scratch_path(spark, "test", "log")
+    sink = streams.price_history_sink(root)
+    for k in range(3):
+        sink(spark.createDataFrame([(1, dt.datetime(2024, 1, 1 + k), Decimal(k))] if k != 1 else [], "menu_item_id long, ts timestamp_ntz, price decimal(10,2)"), k)
+    log = files._log(spark, root).collect()
+    assert len(log) == 3 and all("\n" not in r["path"] for r in log)
+    assert streams.read_price_history(spark, root).count() == 2
