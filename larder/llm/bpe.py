@@ -111,8 +111,9 @@ class Bpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern += r"|\n"  # \n, no part of any piece, ends a chunk
         self._find_lines = regex.compile(pattern).findall
-        self._pattern, self._chars = pattern, newer()
-        self._has_newer, self._newer = re.compile(f"[{_inside(list(self._chars))}]").search, None
+        self._pattern, self._chars, self._newer = pattern, newer(), None
+        self._is_newer = np.zeros(0x110000, dtype=bool)
+        self._is_newer[np.frombuffer(self._chars.encode("utf-32-le"), "<u4")] = True
         names = sorted(special, key=len, reverse=True)
         self._special = special
         self._split = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else None
@@ -206,7 +207,7 @@ class Bpe:
     def _chunk_ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks without special tokens, one after the other, and how many each chunk has."""
         text = b"\n".join([*chunks, b""]).decode()
-        pieces = self._find_lines(self._plain(text)) if text.isascii() or not self._has_newer(text) else self._newer_pieces(text)
+        pieces = self._find_lines(self._plain(text)) if not self._has_newer(text) else self._newer_pieces(text)
         raw = np.frombuffer(" ".join([*pieces, ""]).encode(), dtype=np.uint8)  # neither byte is part of a piece
         gap = np.flatnonzero(raw == 32)
         size = np.diff(np.concatenate([[-1], gap])) - 1
@@ -215,12 +216,15 @@ class Bpe:
         ids, size = self.merge(raw[(raw != 32) & (raw != 10)], size)
         return ids, np.diff(np.concatenate([[0], np.cumsum(size)[close]]))
 
+    def _has_newer(self, text: str) -> bool:
+        return not text.isascii() and bool(self._is_newer[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
+
     def _newer_pieces(self, text: str) -> list[str]:
         """Pieces of a text of which some lines have newer code points: only those lines take the library's tables."""
         self._newer = self._newer or Newer(self._pattern, self._chars)
         pieces, plain = [], []
         for line in text.split("\n")[:-1]:
-            if line.isascii() or not self._has_newer(line):
+            if not self._has_newer(line):
                 plain.append(line)
                 continue
             pieces += self._find_lines(self._plain("\n".join([*plain, ""])))
