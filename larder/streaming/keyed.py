@@ -88,6 +88,8 @@ class InOrder(StatefulProcessor):
             if place is not None and _place(r) < _place(place):
                 out.append(self.late(r))
                 continue
+            if self.idle_ms is not None and place is not None and r[0] // 1000 > place[0] // 1000 + self.idle_ms:
+                state = None    # as if the timer had come between
             state, given = self.apply(state, r)
             place = (r[0], r[1])
             if given is not None:
@@ -115,8 +117,8 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         yield from self._out(key, self._apply_due([], watermark))
-        if self.idle_ms is not None and not self.waiting.exists() and self.last.exists() and self.last.get()[0] // 1000 + self.idle_ms <= watermark:
-            self.last.clear()
+        if self.idle_ms is not None and self.last.exists() and self.last.get()[0] // 1000 + self.idle_ms <= watermark:
+            self.last.clear()   # rows that wait are later than the watermark
 
     def close(self) -> None:
         pass
