@@ -475,8 +475,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     prefixes = materialize(_prefixes(texts, rank, k, percent, levels).distinct(), "jaccard")
     holders = materialize(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "jaccard")
     most = F.element_at(F.array(*[F.lit(c) for _, c in levels], F.lit(1)), F.col("level") + 1)
-    kind = F.least(F.when(F.col("holders") <= frequent[0], 1).when(F.col("holders") <= frequent[1], 2).otherwise(3), most)
-    shared = (meet(prefixes, holders, ["token"], "holders").groupBy("node", "level")
+    usual = F.when(F.col("holders") <= frequent[0], 1).when(F.col("holders") <= frequent[1], 2).otherwise(3)
+    kind = F.least("usual", most)
+    shared = (meet(prefixes, holders.withColumn("usual", usual), ["token"], "holders").groupBy("node", "level")
               .agg(F.collect_list(F.struct(kind.alias("class"), "token")).alias("tokens")))
     members = materialize(_keys(shared.join(nodes.select("node", "n", "bits"), "node")), "jaccard")
     discard(prefixes)

@@ -139,6 +139,16 @@ def test_join_equals_brute_force(spark, percent, how):
     assert Counter(tuple(r) for r in got.collect()) == joined(rows, percent)
 
 
+def test_classes_of_shared_tokens_follow_their_holders(spark):
+    """Texts of a common body and own tails: their shingles are of every class, met by broadcast and by shuffle."""
+    body = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{body} tail{i % 7}") for i in range(40)] + [(100 + i, f"own{i} text{i} of{i} row{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for frequent in ((1, 3), (64, 4096)):
+        got = jaccard_join.classes(docs, frequent=frequent).select("doc_id", "n_shingles", "component_id").collect()
+        assert Counter(tuple(r) for r in got) == joined(rows, 90)
+
+
 def test_join_of_messy_and_empty_rows(spark, messy):
     rows = [tuple(r) for r in messy.select("doc_id", "text").collect()]
     got = jaccard_join.classes(messy).select("doc_id", "n_shingles", "component_id")
