@@ -196,3 +196,23 @@ def test_weighted_search(spark):
     assert got == {1: 2.0, 3: 0.4}
     many = text.weighted_search_many(m, spark.createDataFrame([("q", "RED")], "query_id string, text string"))
     assert {r.product_id: r.score for r in many.collect()} == {1: 1.0, 3: 0.4}
+
+
+def test_order_steps_cut_their_lineage(spark):
+    """Each result is planned from stored tables: its own joins are few, whatever came before."""
+    orders_ = spark.createDataFrame([(1, "a", "open"), (2, "b", "open"), (3, "c", "closed")], "order_id long, customer_name string, status string")
+    lines = spark.createDataFrame([(1, 1, 10, 1), (2, 1, 10, 2), (3, 1, 10, 1)], "order_id long, pos int, product_id long, quantity int")
+    menu = spark.createDataFrame([(10,)], "product_id long")
+    bom = spark.createDataFrame([(10, 100, 1, 1)], "menu_item_id long, inventory_id long, quantity int, pos int")
+    stock = spark.createDataFrame([(100, 2)], "ingredient_id long, quantity int")
+    reqs = orders_.withColumns({"status": F.lit(None), "requested_at": F.lit("2024-01-01").cast("timestamp_ntz")})
+    done = {"amend": orders.amend_orders(orders_, lines, reqs, lines, menu, bom, stock),
+            "place": orders.place_orders(reqs, lines, menu, bom, stock, arrival=("requested_at", "order_id")),
+            "cancel": orders.cancel_orders(orders_, lines, menu, bom, stock, orders_)}
+    for what, result in done.items():
+        for name, df in result.items():
+            if hasattr(df, "_jdf"):
+                assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 6, (what, name)
+    assert sorted(tuple(r) for r in done["amend"]["rejects"].collect()) == [(2, "not_enough"), (3, "not_open")]
+    assert sorted(tuple(r) for r in done["place"]["rejects"].collect()) == [(2, "not_enough")]
+    assert [tuple(r) for r in done["cancel"]["stock"].collect()] == [(100, 5)]
