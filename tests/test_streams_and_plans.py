@@ -302,6 +302,38 @@ def test_orders_that_close_later_or_open_again_change_the_totals(spark):
         assert got == {"p": (5, 2), "q": (5, 1), "r": (4, 1)}
 
 
+def test_popular_changes_keep_many_orders_in_a_state_key(spark, monkeypatch):
+    """Statuses and lines of 300 orders and of NULL in any order over batches; the state keys are buckets, not orders, and lines meet flips in a join."""
+    import datetime as dt
+    import random
+    rnd, t0 = random.Random(5), dt.datetime(2024, 1, 1)
+    ids = [None, *(10**17 + i for i in range(300))]
+    heads = [(o, s, t) for o in ids for s, t in zip(rnd.sample(["open", "closed", "processing", None, "closed "], 3), rnd.sample([None, *(t0 + dt.timedelta(days=i) for i in range(4))], 3), strict=True)]
+    heads += [(o, "closed", t0 + dt.timedelta(days=9)) for o in ids[::2]]
+    lines = [(o, rnd.randrange(7), rnd.choice([None, 1, 2, 3])) for o in ids for _ in range(3)]
+    latest = {}
+    for o, s, t in heads:
+        if t is not None and (o not in latest or t > latest[o][0]):
+            latest[o] = (t, s)
+    want = {}
+    for o, p, q in lines:
+        if latest.get(o, (0, ""))[1] == "closed":
+            had = want.get(p, (0, 0))
+            want[p] = had[0] + (q or 0), had[1] + 1
+    rnd.shuffle(heads)
+    rnd.shuffle(lines)
+    a, b = tempfile.mkdtemp(prefix="larder-test-lines-"), tempfile.mkdtemp(prefix="larder-test-heads-")
+    _files(spark, a, [lines[k::3] for k in range(3)], "order_id long, product_id long, quantity int")
+    _files(spark, b, [heads[k::3] for k in range(3)], "order_id long, status string, ts timestamp_ntz")
+    monkeypatch.setattr(streams, "ORDER_BUCKETS", 16)
+    root = scratch_path(spark, "test", "st4")
+    changes = streams.popular_changes_stream(streams.read_table_stream(spark, a, "b*.parquet", 1), streams.read_table_stream(spark, b, "b*.parquet", 1))
+    plan = changes._jdf.queryExecution().analyzed().toString()
+    assert "Join Inner" in plan and "bucket" in [x for x in plan.split("\n") if "TransformWithState" in x][0]
+    streams.run_to_end(changes, streams.totals_sink(root), scratch_path(spark, "test", "ck"))
+    assert {r.product_id: (r.quantity, r.lines) for r in streams.read_totals(spark, root).collect()} == want
+
+
 def test_price_log_rows_stay_small(spark, sf):
     import datetime as dt
     from decimal import Decimal
