@@ -119,3 +119,20 @@ def test_ledger_poison_crosses_buckets(spark, sf):
     whole = _rows(history.stock_ledger(tx, op), ["event_id", "balance"])
     assert split == whole
     assert any(b is None for _, b in whole) and any(b is not None for _, b in whole)
+
+
+def test_groups_are_dealt_into_more_tasks_as_rows_grow(spark):
+    """Many keys, a hot key and NULL keys: the groups of ``groupBy``, in tasks of a given number of rows; few rows keep the plain plan."""
+    from larder.functions.grouping import dealt_groups
+    rows = [(k, None if k % 7 == 0 else k) for k in range(400)] + [(5, 5)] * 300 + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "a long, b long")
+    n = F.count(F.lit(1)).alias("n")
+    want = sorted(map(str, df.groupBy("a", "b").agg(n).collect()))
+    dealt = dealt_groups(df, ["a", "b"], n, rows=40)
+    assert sorted(map(str, dealt.collect())) == want
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    calm = dealt_groups(df.distinct(), ["a", "b"], n, rows=20)   # no hot key: one aggregate, no plain one beside it
+    plan = calm._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Union" not in plan
+    assert sorted(map(str, calm.collect())) == sorted(map(str, df.distinct().groupBy("a", "b").agg(n).collect()))
+    assert "REPARTITION_BY_NUM" not in dealt_groups(df, ["a", "b"], n)._jdf.queryExecution().executedPlan().toString()
