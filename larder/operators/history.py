@@ -198,6 +198,22 @@ def interval_matches(points: DataFrame, intervals: DataFrame, key: str, at: str,
     return met.filter((F.col("_f") <= F.col(at)) & (F.col(at) < F.col("_e"))).drop("_v", "_cc", "_iv", "_ic", "_ik")
 
 
+def last_started(points: DataFrame, spans: DataFrame, target_rows: int | None = None) -> DataFrame:
+    """``_k, _t, _p, _earlier`` for the ``points(_k, _t)`` that an interval of ``spans(_k, _f, _e, _p)`` may hold.
+
+    One ordered scan over both gives each point the interval that started last up to it, which counts if it holds the
+    point. If it has ended but one that started earlier has not, ``_earlier`` is true and ``_p`` NULL.
+    """
+    span = F.struct("_f", "_e", "_p").alias("_b")
+    # at one time intervals come first: they hold their start
+    starts = spans.filter(F.col("_f") < F.col("_e")).select("_k", F.col("_f").alias("_t"), F.lit(0).alias("_s"), span, F.col("_e").alias("_u"))
+    both = starts.unionByName(points.withColumn("_s", F.lit(1)), allowMissingColumns=True)
+    df = scan.ordered(materialize(both, "as-of"), ["_k"], ["_t", "_s"], target_rows)
+    run = scan.running_max(df, ["_k"], ["_t", "_s"], {"_last": "_b", "_until": "_u"}).filter((F.col("_s") == 1) & (F.col("_until") > F.col("_t")))
+    earlier = F.col("_last._e") <= F.col("_t")
+    return run.select("_k", "_t", F.when(~earlier, F.col("_last._p")).alias("_p"), earlier.alias("_earlier"))
+
+
 def price_as_of(events: DataFrame, intervals: DataFrame, at: str = "created_at",
                 key: str = "product_id", hist_key: str = "menu_item_id",
                 target_rows: int | None = None) -> DataFrame:
@@ -208,13 +224,19 @@ def price_as_of(events: DataFrame, intervals: DataFrame, at: str = "created_at",
     Events in no interval, or without a time, get NULL. An interval without a
     start is never in force. NULL keys match NULL keys; equal (key, time) pairs are
     looked up once. ``intervals`` is meant to be the stored history table (as in the schema), not a plan that derives it.
+
+    The interval that started last is found by a scan; only times at which it has ended and an earlier one has not
+    are looked up in all intervals (``interval_matches``).
     """
     time = epoch_micros(at)
     points = events.select(F.col(key).alias("_k"), time.alias("_t")).where("_t is not null").distinct()
-    spans = intervals.select(F.col(hist_key).alias("_k"), epoch_micros("effective_from").alias("_f"),
-                             F.coalesce(epoch_micros("effective_to"), F.lit(_FOREVER)).alias("_e"), F.col("price").alias("_p"))
-    met = interval_matches(points, spans, "_k", "_t", target_rows)
-    best = met.groupBy("_k", "_t").agg(F.max(F.struct("_f", "_e", "_p")).alias("_b")).select("_k", "_t", F.col("_b._p").alias("_p"))
+    spans = materialize(intervals.select(F.col(hist_key).alias("_k"), epoch_micros("effective_from").alias("_f"),
+                                         F.coalesce(epoch_micros("effective_to"), F.lit(_FOREVER)).alias("_e"), F.col("price").alias("_p")), "as-of")
+    found = materialize(last_started(points, spans, target_rows), "as-of")
+    best, open_ = found.filter("not _earlier").select("_k", "_t", "_p"), found.filter("_earlier").select("_k", "_t")
+    if not open_.isEmpty():
+        met = interval_matches(open_, spans, "_k", "_t", target_rows)
+        best = best.unionByName(met.groupBy("_k", "_t").agg(F.max(F.struct("_f", "_e", "_p")).alias("_b")).select("_k", "_t", F.col("_b._p").alias("_p")))
     joined = events.join(best, events[key].eqNullSafe(best["_k"]) & (epoch_micros(events[at]) == best["_t"]), "left")
     return joined.select(*[events[c] for c in events.columns], best["_p"].alias("price"))
 

@@ -136,3 +136,26 @@ def test_groups_are_dealt_into_more_tasks_as_rows_grow(spark):
     assert "REPARTITION_BY_NUM" in plan and "Union" not in plan
     assert sorted(map(str, calm.collect())) == sorted(map(str, df.distinct().groupBy("a", "b").agg(n).collect()))
     assert "REPARTITION_BY_NUM" not in dealt_groups(df, ["a", "b"], n)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_as_of_cuts_times_into_cells_only_where_intervals_overlap(spark, monkeypatch):
+    """Half-open intervals, gaps and an overlap: only the time that an earlier interval alone holds is looked up in all of them."""
+    t0 = dt.datetime(2024, 1, 1)
+
+    def day(n):
+        return None if n is None else t0 + dt.timedelta(days=n)
+
+    iv = [(1, 10, 0, 5), (1, 20, 5, 9), (1, 30, 12, None), (None, 40, 0, None), (2, 50, 0, 3), (2, 60, 3, 3), (1, 70, None, 4)]
+    kinds = "menu_item_id long, price long, effective_from timestamp_ntz, effective_to timestamp_ntz"
+    plain = [(k, p, day(a), day(b)) for k, p, a, b in iv]
+    points = [(1, -1, None), (1, 0, 10), (1, 5, 20), (1, 9, None), (1, 12, 30), (None, 2, 40), (2, 2, 50), (2, 3, None), (1, None, None), (3, 1, None), (1, 0, 10)]
+    ev = spark.createDataFrame([(i, k, day(d)) for i, (k, d, _) in enumerate(points)], "event_id long, product_id long, created_at timestamp_ntz")
+    asked, real = [], history.interval_matches
+    monkeypatch.setattr(history, "interval_matches", lambda p, *a: asked.extend(map(tuple, p.collect())) or real(p, *a))
+    for t in (2, None):
+        got = {r.event_id: r.price for r in history.price_as_of(ev, spark.createDataFrame(plain, kinds), target_rows=t).collect()}
+        assert got == {i: p for i, (_, _, p) in enumerate(points)} and not asked
+    over = spark.createDataFrame([*plain, (1, 80, day(0), day(11))], kinds)     # from day 9 on the one that started on day 5 has ended, this one has not
+    got = {r.event_id: r.price for r in history.price_as_of(ev, over).collect()}
+    assert got == {i: 80 if (k, d) in ((1, 0), (1, 9)) else p for i, (k, d, p) in enumerate(points)}
+    assert [k for k, *_ in asked] == [1]
