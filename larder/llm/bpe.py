@@ -5,7 +5,8 @@ adjacent pair up by binary search in the sorted pair keys, takes each word's
 pair of lowest rank, and merges its occurrences from the left; words without a
 known pair leave the array. The file's rules (special tokens, NFC, white space,
 lower case, word pattern, byte alphabet, end-of-word suffix) come before the
-rounds and are worked once per distinct white-space-delimited chunk of a task.
+rounds and are worked once per distinct white-space-delimited chunk that a task
+remembers; of the pieces of its new chunks, each distinct one is merged once.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from larder.llm.common import Words, give_back, text_bytes, text_slices
 from larder.session import ship_package
 
 #: Distinct chunks a task remembers; then it starts afresh (a matter of speed only).
-CHUNKS = 200_000
+CHUNKS = 1 << 20
 #: Bytes of text encoded at once: more of them share their chunks.
 SLICE = 4 << 20
 _NONE = np.int64(1 << 40)
@@ -86,17 +87,9 @@ class Newer:
         return self._lower.normalize_str(self._nfc.normalize_str(text))
 
 
-class _Numbers(dict):
-    """Numbers keys in the order they first come."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, key: bytes) -> int:
-        n = self[key] = len(self)
-        self.new.append(key)
-        return n
+def _offsets(a: pa.Array) -> np.ndarray:
+    """Where the values of a large binary array begin and end in its bytes."""
+    return np.frombuffer(a.buffers()[1], dtype=np.int64)[a.offset: a.offset + len(a) + 1] if len(a) else np.zeros(1, dtype=np.int64)
 
 
 class Bpe:
@@ -141,7 +134,7 @@ class Bpe:
         self._reset()
 
     def _reset(self) -> None:
-        self._chunk = _Numbers()
+        self._chunk = pa.array([], pa.large_binary())
         self._ids, self._from = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
     def _look_up(self, symbol: np.ndarray, word: np.ndarray, rank: np.ndarray, at: np.ndarray, where: np.ndarray) -> None:
@@ -208,13 +201,17 @@ class Bpe:
         """Ids of chunks without special tokens, one after the other, and how many each chunk has."""
         text = b"\n".join([*chunks, b""]).decode()
         pieces = self._find_lines(self._plain(text)) if not self._has_newer(text) else self._newer_pieces(text)
-        raw = np.frombuffer(" ".join([*pieces, ""]).encode(), dtype=np.uint8)  # neither byte is part of a piece
-        gap = np.flatnonzero(raw == 32)
-        size = np.diff(np.concatenate([[-1], gap])) - 1
-        close = raw[gap - 1] == 10
-        size[close] = 0
-        ids, size = self.merge(raw[(raw != 32) & (raw != 10)], size)
-        return ids, np.diff(np.concatenate([[0], np.cumsum(size)[close]]))
+        every = pa.array(pieces, pa.large_string()).dictionary_encode()
+        distinct, of = every.dictionary.cast(pa.large_binary()), every.indices.to_numpy()
+        close = of == distinct.index(b"\n").as_py()
+        at = _offsets(distinct)
+        raw = np.frombuffer(distinct.buffers()[2], dtype=np.uint8)[at[0]: at[-1]]
+        size = np.diff(at)
+        size[of[close][:1]] = 0
+        ids, size = self.merge(raw[raw != 10], size)  # no other piece has that byte
+        known = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(ids))
+        ids = known.take(pa.array(of)).flatten().to_numpy(zero_copy_only=False)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(size[of])[close]]))
 
     def _has_newer(self, text: str) -> bool:
         return not text.isascii() and bool(self._is_newer[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
@@ -253,6 +250,17 @@ class Bpe:
         self._from = np.concatenate([self._from, ends + len(self._ids)])
         self._ids = np.concatenate([self._ids, ids])
 
+    def _numbers(self, chunks: pa.Array) -> np.ndarray:
+        """The places of distinct chunks among the known ones; new ones become known."""
+        number = pc.index_in(chunks, value_set=self._chunk)
+        if number.null_count:
+            unknown = number.is_null()
+            new = chunks.filter(unknown)
+            number = pc.replace_with_mask(number, unknown, pa.array(np.arange(len(self._chunk), len(self._chunk) + len(new)), pa.int32()))
+            self._learn(new.to_pylist())
+            self._chunk = pa.concat_arrays([self._chunk, new])
+        return number.to_numpy(zero_copy_only=False)
+
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the offsets of the texts in them (``len(texts) + 1``)."""
         if len(self._chunk) > CHUNKS:
@@ -262,11 +270,7 @@ class Bpe:
         letters = words.buf[:-9][words.buf[:-9] != 32]
         every = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(letters)])
         distinct = every.dictionary_encode()  # so that each chunk of the slice is looked up once
-        number = np.array(list(map(self._chunk.__getitem__, distinct.dictionary.to_pylist())), dtype=np.int64)
-        if self._chunk.new:
-            self._learn(self._chunk.new)
-            self._chunk.new = []
-        of = number[distinct.indices.to_numpy()]
+        of = self._numbers(distinct.dictionary)[distinct.indices.to_numpy()]
         known = pa.LargeListArray.from_arrays(pa.array(self._from), pa.array(self._ids))
         found = known.take(pa.array(of))
         ids = found.flatten().to_numpy(zero_copy_only=False)

@@ -50,6 +50,17 @@ def test_encoder_equals_library(monkeypatch):
                 assert decoded[k] == LIBRARY.decode(want, skip_special_tokens=False)
 
 
+def test_pieces_and_chunks_are_merged_once(monkeypatch):
+    """Chunks stay known from one slice to the next, and of the new ones' pieces each distinct one is merged once."""
+    own, merged = bpe.Bpe(bpe.word_bpe_path()), []
+    merge = own.merge
+    monkeypatch.setattr(own, "merge", lambda raw, size: merged.append(int((size > 0).sum())) or merge(raw, size))
+    texts = ["alpha, alpha. (alpha) beta, beta!", "alpha, gamma. beta!"]
+    for t in texts:
+        assert own.encode([t.encode()])[0].tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+    assert merged == [7, 2]    # alpha beta , . ( ) !, then gamma .
+
+
 def test_merge_one_at_a_time_equals_merge_of_all():
     own = bpe.Bpe(bpe.word_bpe_path())
     texts = [t.encode() for t in strings(300, 2)]
