@@ -286,6 +286,36 @@ def test_idle_keys_are_forgotten(spark):
         assert sorted(r.id.rsplit("_", 1)[1] for r in spark.read.parquet(out).collect()) == want
 
 
+def test_ordered_streams_keep_many_keys_in_a_state_key(spark, monkeypatch):
+    """200 keys and NULL, large ids and NULL ones, a key's far row that waits longer than its bucket's others: the state keys are buckets."""
+    import datetime as dt
+    import random
+    from decimal import Decimal
+    from larder.streaming import keyed
+
+    rnd, t0 = random.Random(7), dt.datetime(2024, 1, 1)
+    schema = "event_id long, inventory_id long, transaction_type string, quantity decimal(18,3), ts timestamp_ntz"
+    ids = [None, *(10**17 + i for i in range(200))]
+    rows = [(None if i == 77 else 10**17 + i, rnd.choice(ids), rnd.choice(["increment", "decrement", "adjustment"]), Decimal(rnd.randint(1, 9000)) / 1000,
+             t0 + dt.timedelta(minutes=i)) for i in range(900)]
+    batches = [rows[:300], rows[300:600], rows[600:]]
+    batches[0] = batches[0][:-1] + [rows[899]]     # far ahead of its batch, within the delay
+    batches[2] = batches[2][:-1] + [rows[299]]     # as late as the delay lets it be
+    d = tempfile.mkdtemp(prefix="larder-test-buckets-")
+    _files(spark, d, batches, schema)
+    keyed.end_stream(spark.createDataFrame([], schema).schema, os.path.join(d, "end"), "ts", spark)
+    f = [x for x in os.listdir(os.path.join(d, "end")) if x.endswith(".parquet")][0]
+    os.link(os.path.join(d, "end", f), os.path.join(d, "b9.parquet"))
+    monkeypatch.setattr(keyed, "KEY_BUCKETS", 8)
+    got = streams.stock_balance_stream(streams.read_table_stream(spark, d, "b*.parquet", 1), "5", delay="11 hours")
+    assert "bucket" in [x for x in got._jdf.queryExecution().analyzed().toString().split("\n") if "TransformWithState" in x][0]
+    out = scratch_path(spark, "test", "buckets")
+    streams.run_to_end(got, "parquet", scratch_path(spark, "test", "ck"), path=out)
+    got = sorted((r.event_id or 0, r.inventory_id or 0, r.balance, r.late) for r in spark.read.parquet(out).collect())
+    want = history.stock_ledger(spark.createDataFrame(rows, schema), F.lit(Decimal(5))).collect()
+    assert got == sorted((r.event_id or 0, r.inventory_id or 0, r.balance, False) for r in want)
+
+
 def test_orders_that_close_later_or_open_again_change_the_totals(spark):
     import datetime as dt
     t0 = dt.datetime(2024, 1, 1)
