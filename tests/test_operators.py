@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from larder.operators import merge, nested, orders, quality, sales, stock, text
@@ -160,6 +161,25 @@ def test_trigram_in_a_third_of_all_names(spark):
     assert len(whole) > 50 and sorted(tuple(r) for r in text.trigram_pairs(df, 0.6, part_rows=7).collect()) == whole
 
 
+def test_trigram_pairs_meet_once(spark, monkeypatch):
+    """No rows for candidate pairs: strings meet in cells, pairs come out checked and once, whatever the size of tiles."""
+    names = [f"host{i % 3} shop page {i}" for i in range(60)] + [f"host{i % 3} shop {'x' * (i % 9)}" for i in range(30)] + ["", "?!", None, "host1 shop page 7"]
+    df = spark.createDataFrame([(x,) for x in names], "name string")
+    whole = [tuple(r) for r in text.trigram_pairs(df, 0.7).collect()]
+    assert len(whole) > 300 and len({r[:2] for r in whole}) == len(whole)
+    got = text.trigram_pairs(df, 0.7, part_rows=20)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    cells = [pa.RecordBatch.from_pylist([{"g": 3, "lo": 0, "hi": 0, "own": 0, "s": s, "r": r} for s, r in
+                                         [("a", [1, 3, 5, 6]), ("c", [1, 3, 5, 7]), ("b", [3, 5, 6, 8]), ("d", [3, 5, 6])]])]
+    for rows, size in ((1_000, 1 << 24), (3, 1 << 24), (1_000, 4)):
+        monkeypatch.setattr(text, "TILE_ROWS", rows)
+        monkeypatch.setattr(text, "TILE", size)
+        # a and c have trigram 1 in common before this cell's
+        out = [tuple(r.values()) for c in text._cells(iter(cells)) for x in text._near(c, 1, 2) for r in x.to_pylist()]
+        assert sorted(out) == [("a", "b", 0.6), ("a", "d", 0.75), ("b", "d", 0.75)]
+    assert sorted(map(tuple, got.collect())) == sorted(whole)
+
+
 def test_trigram_pairs_equal_brute_force(spark):
     names = ["small ring", "small rings", "red widget", "red widgets", "blue bolt", "bolt", "a", "ab ab", "x-y z",
              "abcdefghijklm", "abcdefghijklm nopqrstuvw"]
