@@ -1,7 +1,7 @@
 """Byte-pair encoding and decoding in batched numpy merge rounds.
 
 The symbols of many words stand in one flat array. A round looks every
-adjacent pair up by binary search in the sorted pair keys, takes each word's
+adjacent pair up in a table of slots over the sorted pair keys, takes each word's
 pair of lowest rank, and merges its occurrences from the left; words without a
 known pair leave the array. The file's rules (special tokens, NFC, white space,
 lower case, word pattern, byte alphabet, end-of-word suffix) come before the
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import Words, give_back, text_bytes, text_slices
+from larder.llm.common import GRAM, Words, give_back, hashes, text_bytes, text_slices
 from larder.session import ship_package
 
 #: Distinct chunks a task remembers; then it starts afresh (a matter of speed only).
@@ -31,6 +31,7 @@ CHUNKS = 1 << 20
 #: Bytes of text encoded at once: more of them share their chunks.
 SLICE = 4 << 20
 _NONE = np.int64(1 << 40)
+_SLOT_BITS = 18
 
 
 def word_bpe_path() -> str:
@@ -87,9 +88,12 @@ class Newer:
         return self._lower.normalize_str(self._nfc.normalize_str(text))
 
 
-def _offsets(a: pa.Array) -> np.ndarray:
-    """Where the values of a large binary array begin and end in its bytes."""
-    return np.frombuffer(a.buffers()[1], dtype=np.int64)[a.offset: a.offset + len(a) + 1] if len(a) else np.zeros(1, dtype=np.int64)
+def _bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large binary array's values, one after the other, and where the values begin and end in them."""
+    if not len(a):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    at = np.frombuffer(a.buffers()[1], dtype=np.int64)[a.offset: a.offset + len(a) + 1]
+    return np.frombuffer(a.buffers()[2] or b"", dtype=np.uint8)[at[0]: at[-1]], at - at[0]
 
 
 class Bpe:
@@ -127,6 +131,11 @@ class Bpe:
         key = left * self._size + right
         order = np.argsort(key)
         self._keys, self._rank, self._made = key[order], order.astype(np.int64), made[order]
+        #: a pair's slot names its place in the sorted keys; of several pairs the last, the others are searched
+        slot = self._slots(self._keys)
+        self._slot = np.zeros(1 << _SLOT_BITS, dtype=np.int32)
+        self._slot[slot] = np.arange(len(slot))
+        self._crowded = np.bincount(slot, minlength=len(self._slot)) > 1
         tokens = [""] * (1 + max([*vocab.values(), *special.values()]))
         for t, i in (vocab | special).items():
             tokens[i] = t
@@ -135,16 +144,25 @@ class Bpe:
 
     def _reset(self) -> None:
         self._chunk = pa.array([], pa.large_binary())
+        self._hash, self._place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)   # of the chunks, sorted by hash
         self._ids, self._from = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
+    @staticmethod
+    def _slots(key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * GRAM >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
     def _look_up(self, symbol: np.ndarray, word: np.ndarray, rank: np.ndarray, at: np.ndarray, where: np.ndarray) -> None:
         """Set the rank of the pairs that begin at ``where``, and their place ``at`` in the sorted keys."""
         last = where == len(symbol) - 1
         after = np.where(last, where, where + 1)
         key = symbol[where] * self._size + symbol[after]
-        place = np.searchsorted(self._keys, key)
-        place[place == len(self._keys)] = 0
-        known = (self._keys[place] == key) & (word[where] == word[after]) & ~last
+        slot = self._slots(key)
+        place = self._slot[slot].astype(np.int64)
+        known = self._keys[place] == key
+        rest = np.flatnonzero(self._crowded[slot] & ~known)
+        place[rest] = np.minimum(np.searchsorted(self._keys, key[rest]), len(self._keys) - 1)
+        known[rest] = self._keys[place[rest]] == key[rest]
+        known &= (word[where] == word[after]) & ~last
         rank[where] = np.where(known, self._rank[place], _NONE)
         at[where] = place
 
@@ -197,15 +215,14 @@ class Bpe:
         """Normal form C in lower case, character by character (no final-sigma rule)."""
         return (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
 
-    def _chunk_ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks without special tokens, one after the other, and how many each chunk has."""
-        text = b"\n".join([*chunks, b""]).decode()
+    def _chunk_ids(self, lines: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks without special tokens, a line each, one after the other, and how many each chunk has."""
+        text = lines.decode()
         pieces = self._find_lines(self._plain(text)) if not self._has_newer(text) else self._newer_pieces(text)
         every = pa.array(pieces, pa.large_string()).dictionary_encode()
         distinct, of = every.dictionary.cast(pa.large_binary()), every.indices.to_numpy()
         close = of == distinct.index(b"\n").as_py()
-        at = _offsets(distinct)
-        raw = np.frombuffer(distinct.buffers()[2], dtype=np.uint8)[at[0]: at[-1]]
+        raw, at = _bytes(distinct)
         size = np.diff(at)
         size[of[close][:1]] = 0
         ids, size = self.merge(raw[raw != 10], size)  # no other piece has that byte
@@ -233,33 +250,48 @@ class Bpe:
         """Ids of one chunk in which special tokens stand."""
         parts = [p for p in self._split(chunk.decode()) if p]
         return np.concatenate([np.array([self._special[p]], dtype=np.int32) if p in self._special
-                               else self._chunk_ids([p.encode()])[0] for p in parts])
+                               else self._chunk_ids(p.encode() + b"\n")[0] for p in parts])
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Add the ids of new chunks."""
-        joined = b"\n".join(chunks)
-        if any(m in joined for m in self._mark):
+    def _learn(self, lines: bytes) -> None:
+        """Add the ids of new chunks, a line each."""
+        if any(m in lines for m in self._mark):
+            chunks = lines.split(b"\n")[:-1]
             marked = {i: self._marked_ids(c) for i, c in enumerate(chunks) if any(m in c for m in self._mark)}
-            ids, count = self._chunk_ids([b"" if i in marked else c for i, c in enumerate(chunks)])
+            ids, count = self._chunk_ids(b"\n".join([*(b"" if i in marked else c for i, c in enumerate(chunks)), b""]))
             at = np.cumsum(count)
             ids = np.insert(ids, np.repeat([at[i] for i in marked], [len(v) for v in marked.values()]), np.concatenate([*marked.values()])).astype(np.int32)
             count[list(marked)] = [len(v) for v in marked.values()]
         else:
-            ids, count = self._chunk_ids(chunks)
+            ids, count = self._chunk_ids(lines)
         ends = np.cumsum(count)
         self._from = np.concatenate([self._from, ends + len(self._ids)])
         self._ids = np.concatenate([self._ids, ids])
 
     def _numbers(self, chunks: pa.Array) -> np.ndarray:
         """The places of distinct chunks among the known ones; new ones become known."""
-        number = pc.index_in(chunks, value_set=self._chunk)
-        if number.null_count:
-            unknown = number.is_null()
-            new = chunks.filter(unknown)
-            number = pc.replace_with_mask(number, unknown, pa.array(np.arange(len(self._chunk), len(self._chunk) + len(new)), pa.int32()))
-            self._learn(new.to_pylist())
-            self._chunk = pa.concat_arrays([self._chunk, new])
-        return number.to_numpy(zero_copy_only=False)
+        raw, at = _bytes(chunks)
+        own = hashes(np.concatenate([raw, np.zeros(9, dtype=np.uint8)]), at[:-1], at[1:])
+        order = np.argsort(own)                   # near hashes are looked up together
+        number = np.zeros(len(own), dtype=np.int64)
+        new = np.ones(len(own), dtype=bool)
+        place = np.searchsorted(self._hash, own[order])
+        if len(self._hash):
+            found = np.minimum(place, len(self._hash) - 1)
+            hit = self._hash[found] == own[order]
+            known, found = order[hit], self._place[found[hit]]
+            # of chunks with one hash only the first known one is found; the others are learned again
+            same = pc.equal(chunks.take(pa.array(known)), self._chunk.take(pa.array(found))).to_numpy(zero_copy_only=False)
+            number[known[same]], new[known[same]] = found[same], False
+        if new.any():
+            more = chunks.filter(pa.array(new))
+            number[new] = np.arange(len(self._chunk), len(self._chunk) + len(more))
+            raw, at = _bytes(more)
+            self._learn(np.insert(raw, at[1:], 10).tobytes())   # no chunk has that byte
+            self._chunk = pa.concat_arrays([self._chunk, more])
+            late = new[order]
+            self._hash = np.insert(self._hash, place[late], own[order][late])
+            self._place = np.insert(self._place, place[late], number[order][late])
+        return number
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the offsets of the texts in them (``len(texts) + 1``)."""

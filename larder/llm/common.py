@@ -55,6 +55,21 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes from each start to its end, eight bytes a round; ``buf`` has 8 bytes more at least."""
+    eight = np.ndarray(shape=(len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
+    rest = end - start
+    out = mix(rest.astype(np.uint64) * GRAM)
+    live, at = np.arange(len(rest)), start
+    while len(live):
+        take = np.minimum(rest, 8)
+        part = eight[at] & _KEEP[take]
+        out[live] = mix(out[live] * GRAM ^ part)
+        more = rest > 8
+        live, at, rest = live[more], at[more] + 8, rest[more] - 8
+    return out
+
+
 class Words:
     """Words of many texts in flat arrays: ``buf`` bytes, ``start``/``end`` offsets, ``first`` word of each text."""
 
@@ -76,18 +91,8 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each word's bytes, eight bytes a round."""
-        eight = np.ndarray(shape=(len(self.buf) - 7,), dtype="<u8", buffer=self.buf, strides=(1,))
-        rest = self.end - self.start
-        out = mix(rest.astype(np.uint64) * GRAM)
-        live, at = np.arange(len(rest)), self.start
-        while len(live):
-            take = np.minimum(rest, 8)
-            part = eight[at] & _KEEP[take]
-            out[live] = mix(out[live] * GRAM ^ part)
-            more = rest > 8
-            live, at, rest = live[more], at[more] + 8, rest[more] - 8
-        return out
+        """64-bit hash of each word's bytes."""
+        return hashes(self.buf, self.start, self.end)
 
     def text(self, i: int, j: int) -> bytes:
         """Bytes of the words i to j-1 with what separates them."""

@@ -61,6 +61,22 @@ def test_pieces_and_chunks_are_merged_once(monkeypatch):
     assert merged == [7, 2]    # alpha beta , . ( ) !, then gamma .
 
 
+def test_known_chunks_and_pairs_are_found_by_hash(monkeypatch):
+    """Nothing is built over all known chunks for a slice; chunks of one hash and pairs of one slot stay apart."""
+    monkeypatch.setattr(bpe.pc, "index_in", lambda *a, **k: pytest.fail("looks through all known chunks"))
+    texts = strings(200, 3) + ["alpha beta", "beta alpha gamma", "gamma alpha <|endoftext|> é", "alpha, éa beta"]
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(bpe, "hashes", lambda buf, start, end: (end - start).astype(np.uint64) % np.uint64(3))
+            monkeypatch.setattr(bpe, "_SLOT_BITS", 6)
+        own = bpe.Bpe(bpe.word_bpe_path())
+        for i in range(0, len(texts), 17):
+            part = texts[i: i + 17]
+            ids, at = own.encode([t.encode() for t in part])
+            for k, t in enumerate(part):
+                assert ids[at[k]: at[k + 1]].tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+
+
 def test_merge_one_at_a_time_equals_merge_of_all():
     own = bpe.Bpe(bpe.word_bpe_path())
     texts = [t.encode() for t in strings(300, 2)]
