@@ -3,11 +3,13 @@
 import collections
 import datetime as dt
 import random
-from decimal import Decimal
+from decimal import Decimal, localcontext
 
 from pyspark.sql import functions as F
 
+from larder.functions import scan
 from larder.operators import history, orders
+from larder.plans import admission
 from larder.plans.admission import admit_in_order
 
 T0 = dt.datetime(2024, 1, 1)
@@ -145,6 +147,52 @@ def test_admission_by_many_ranges_is_exact_in_few_rounds(spark):
         assert 1 < rounds < 15
 
 
+def test_admission_walks_one_row_an_order_in_few_ranges(spark, monkeypatch):
+    """What is cut and walked are orders, not demands; ranges, and so rounds, do not grow with the shuffle partitions (8 here)."""
+    rng = random.Random(11)
+    n_orders, n_ingr = 90, 12
+    stock = [(i, Decimal(rng.randrange(60, 160))) for i in range(n_ingr)]
+    demand = [(o, rng.randrange(n_ingr), Decimal(rng.randrange(1, 14))) for o in range(n_orders) for _ in range(rng.randrange(0, 9))]
+    arrival = [(o, T0 + dt.timedelta(hours=rng.randrange(0, 40)), o) for o in range(n_orders)]
+    d = spark.createDataFrame(demand, "order_id long, ingredient_id long, demand decimal(18,2)")
+    a = spark.createDataFrame(arrival, "order_id long, arrival_ts timestamp_ntz, arrival_seq long")
+    s = spark.createDataFrame(stock, "ingredient_id long, quantity decimal(18,2)")
+    cut, sizes = scan.ranges, []
+
+    def ranged(*args):
+        out = cut(*args)
+        sizes.append([r["count"] for r in out.groupBy("_bucket").count().collect()])
+        return out
+
+    monkeypatch.setattr(scan, "ranges", ranged)
+    monkeypatch.setattr(admission, "RANGE_ROWS", 10)
+    monkeypatch.setattr(admission, "RANGES", 3)
+    monkeypatch.setattr(admission, "_END_ROWS", 5)
+    dec, after, rounds = admit_in_order(d, a, s)
+    want, final = _sequential_admission(demand, arrival, stock)
+    assert {r.order_id: r.accepted for r in dec.collect()} == want
+    assert {r.ingredient_id: r.quantity for r in after.collect()} == final
+    assert sum(sizes[0]) <= n_orders < len(demand) and 1 < len(sizes[0]) <= 4 and len(sizes) == rounds
+
+
+def test_admission_is_exact_for_amounts_of_any_size(spark):
+    """Amounts in whole units of 64 bits and beyond, other scales of demand and stock, demands that add up to just the stock."""
+    rng = random.Random(12)
+    for unit, of_demand, of_stock in ((Decimal("0.001"), "decimal(18,3)", "decimal(18,1)"), (Decimal("123456789012345.678901"), "decimal(38,6)", "decimal(38,6)")):
+        stock = [(i, unit * 1000) for i in range(3)]
+        demand = [(o, rng.randrange(3), unit * rng.randrange(1, 300)) for o in range(40) for _ in range(3)] + [(40, 0, unit * 400), (40, 0, unit * 600), (40, 1, unit)]
+        arrival = [(40, T0, 40)] + [(o, T0 + dt.timedelta(hours=1 + o % 7), o) for o in range(40)]
+        d = spark.createDataFrame(demand, f"order_id long, ingredient_id long, demand {of_demand}")
+        a = spark.createDataFrame(arrival, "order_id long, arrival_ts timestamp_ntz, arrival_seq long")
+        s = spark.createDataFrame(stock, f"ingredient_id long, quantity {of_stock}")
+        dec, after, _ = admit_in_order(d, a, s, target_rows=30)
+        with localcontext() as exact:
+            exact.prec = 60
+            want, final = _sequential_admission(demand, arrival, stock)
+        assert {r.order_id: r.accepted for r in dec.collect()} == want and want[40]
+        assert {r.ingredient_id: r.quantity for r in after.collect()} == final and final[0] == 0
+
+
 def test_price_as_of_with_overlaps_and_gaps(spark):
     rng = random.Random(8)
     at = lambda h: T0 + dt.timedelta(hours=h)
